@@ -81,17 +81,25 @@ def to_vectors(x: DataFrame, genes: DataFrame, cells: DataFrame | None = None,
     entry on the axis.  Result: (cell_id, vec ARRAY<DOUBLE>).
     """
     g = genes.select("gene_id", "gene_idx")
-    n = g.select(F.count(F.lit(1))).scalar()
+    n = axis_size(g)
     entries = x.join(F.broadcast(g), "gene_id").groupBy("cell_id").agg(
         F.map_from_entries(F.collect_list(F.struct("gene_idx", F.col(value).cast("double")))).alias("_m"))
     if cells is not None:
         entries = cells.select("cell_id").join(entries, "cell_id", "left")
     zero = F.lit(0.0) if fill is None else fill
-    vec = F.transform(F.sequence(F.lit(0), n - 1),
+    vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                       lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), zero))
     return entries.select("cell_id", vec.alias("vec"))
 
 
+def axis_size(genes: DataFrame) -> int:
+    """Length of a feature axis (an action on a bounded gene list)."""
+    n = genes.count()
+    if n > MAX_FEATURES:
+        raise ValueError(f"feature axis of {n} genes exceeds {MAX_FEATURES}")
+    return n
+
+
 def align_features(x_query: DataFrame, genes: DataFrame, cells: DataFrame, value: str = "value") -> DataFrame:
     """J4. Query matrix on the training feature axis, missing genes = 0,
     in long form (cell_id, gene_id, value) for every cell x training gene.

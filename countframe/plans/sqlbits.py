@@ -106,3 +106,84 @@ f5_scores AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes)
+
+
+# --- preprocessing steps in SQL ---------------------------------------------
+def norm_cte(src: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT cell_id, gene_id,
+         CAST(n AS DOUBLE) * 1e4 / CAST(sum(n) OVER (PARTITION BY cell_id) AS DOUBLE) AS value
+  FROM {src})"""
+
+
+def log_cte(src: str, name: str) -> str:
+    return f"\n{name} AS (SELECT cell_id, gene_id, ln(1 + value) AS value FROM {src})"
+
+
+def hvg_ctes(src_norm: str, src_obs: str, n_top: int, batch: bool, p: str) -> str:
+    """CTEs ending in ``{p}`` (gene_id, n_batches, dispersion_norm, highly_variable, rank)."""
+    if batch:
+        xb = f"SELECT o.batch, x.gene_id, x.value FROM {src_norm} x JOIN {src_obs} o ON x.cell_id = o.cell_id"
+        cells = f"SELECT batch, CAST(count(*) AS DOUBLE) AS nb FROM {src_obs} GROUP BY batch"
+        nbat = f"(SELECT count(DISTINCT batch) FROM {src_obs})"
+    else:
+        xb = f"SELECT 'all' AS batch, gene_id, value FROM {src_norm}"
+        cells = f"SELECT 'all' AS batch, CAST(count(*) AS DOUBLE) AS nb FROM {src_obs}"
+        nbat = "1"
+    return f"""
+{p}_xb AS ({xb}),
+{p}_cells AS ({cells}),
+{p}_per AS (SELECT batch, gene_id, sum(value) AS s1, sum(value * value) AS s2 FROM {p}_xb GROUP BY 1, 2),
+{p}_st AS (
+  SELECT q.batch, q.gene_id, q.s1 / c.nb AS mean,
+         (q.s2 - c.nb * (q.s1 / c.nb) * (q.s1 / c.nb)) / nullif(c.nb - 1, 0) AS var
+  FROM {p}_per q JOIN {p}_cells c ON q.batch = c.batch),
+{p}_d AS (
+  SELECT batch, gene_id, mean,
+         CASE WHEN var / nullif(mean, 0) > 0 THEN ln(var / nullif(mean, 0)) END AS log_disp,
+         ln(1 + mean) AS log_mean
+  FROM {p}_st),
+{p}_b AS (
+  SELECT *, CAST(least(19, coalesce(floor((log_mean - min(log_mean) OVER w)
+             / nullif(max(log_mean) OVER w - min(log_mean) OVER w, 0) * 20), 0)) AS INTEGER) AS bin
+  FROM {p}_d WINDOW w AS (PARTITION BY batch)),
+{p}_n AS (
+  SELECT *, CASE WHEN log_disp IS NULL THEN NULL
+                 WHEN stddev_samp(log_disp) OVER wb IS NULL THEN 1.0
+                 ELSE (log_disp - avg(log_disp) OVER wb) / nullif(stddev_samp(log_disp) OVER wb, 0) END AS norm
+  FROM {p}_b WINDOW wb AS (PARTITION BY batch, bin)),
+{p}_f AS (
+  SELECT *, norm IS NOT NULL AND rank() OVER (PARTITION BY batch ORDER BY {rnd('norm', 9)} DESC NULLS LAST) <= {n_top}
+         AS flag
+  FROM {p}_n),
+{p}_g AS (
+  SELECT gene_id, count_if(flag) AS n_batches, sum(coalesce(norm, 0.0)) / {nbat} AS dispersion_norm
+  FROM {p}_f GROUP BY gene_id),
+{p} AS (
+  SELECT gene_id, n_batches, dispersion_norm, r <= {n_top} AS highly_variable, r AS rank FROM (
+    SELECT *, row_number() OVER (ORDER BY n_batches DESC, {rnd('dispersion_norm', 9)} DESC, gene_id) AS r
+    FROM {p}_g))"""
+
+
+def stats_cte(src: str, n_cells: str, name: str) -> str:
+    n = f"CAST({n_cells} AS DOUBLE)"
+    return f"""
+{name} AS (
+  SELECT gene_id, mean, sqrt(greatest(var, 0.0)) AS std FROM (
+    SELECT gene_id, sum(value) / {n} AS mean,
+           (sum(value * value) - {n} * (sum(value) / {n}) * (sum(value) / {n})) / ({n} - 1) AS var
+    FROM {src} GROUP BY gene_id))"""
+
+
+def scale_cte(src: str, genes: str, cells: str, stats: str, name: str, max_value: float = 10.0) -> str:
+    """Dense z for every (cell of ``cells``) x (gene of ``genes``)."""
+    return f"""
+{name} AS (
+  SELECT c.cell_id, g.gene_id,
+         greatest(least((coalesce(v.value, 0.0) - coalesce(s.mean, 0.0))
+                        / CASE WHEN s.std IS NULL OR s.std = 0 THEN 1.0 ELSE s.std END, {max_value}), -{max_value})
+           AS value
+  FROM {cells} c CROSS JOIN {genes} g
+  LEFT JOIN {src} v ON v.cell_id = c.cell_id AND v.gene_id = g.gene_id
+  LEFT JOIN {stats} s ON s.gene_id = g.gene_id)"""
