@@ -1 +1,86 @@
-"""Queries registered later."""
+"""Neighbour queries on the ready-made vectors.
+
+The vectors are split by a seeded hash into ~20 % query rows and the
+training rest; both sides are the whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countframe.functions.hashing import hash16, round_half_up
+from countframe.operators import neighbors
+from countframe.plans.catalog import query
+from countframe.plans.sqlbits import F3, h, rnd, with_
+from countframe.sources import fixtures
+
+SPLIT_SALT, SPLIT_CUT = 3, 13107
+
+
+def f3_split(spark, sf):
+    lat = fixtures.embedding_latent(spark, sf)
+    is_q = hash16(F.col("cell_id"), SPLIT_SALT) < SPLIT_CUT
+    return lat.where(is_q), lat.where(~is_q)
+
+
+def f3_knn(spark, sf):
+    q, t = f3_split(spark, sf)
+    return neighbors.knn_join(q, t, 15), t
+
+
+def f3_proba(spark, sf):
+    nn, t = f3_knn(spark, sf)
+    return neighbors.knn_predict_proba(nn, t)
+
+
+KNN_SQL = with_(F3) + f""",
+q AS (SELECT * FROM f3 WHERE {h('cell_id', 3)} < 13107),
+t AS (SELECT * FROM f3 WHERE {h('cell_id', 3)} >= 13107),
+d AS (SELECT q.cell_id AS query_id, t.cell_id AS ref_id, {rnd('list_distance(q.vec, t.vec)')} AS dist FROM q, t),
+nn AS (
+  SELECT query_id, ref_id, CAST(rank AS INTEGER) AS rank, dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS rank FROM d)
+  WHERE rank <= 15),
+lab AS (SELECT nn.*, t.label FROM nn JOIN t ON nn.ref_id = t.cell_id),
+wt AS (
+  SELECT *, CASE WHEN min(dist) OVER (PARTITION BY query_id) = 0
+                 THEN (CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END) ELSE 1.0 / dist END AS w
+  FROM lab),
+pr AS (SELECT query_id, label, sum(w) / sum(sum(w)) OVER (PARTITION BY query_id) AS p FROM wt GROUP BY 1, 2),
+pred AS (
+  SELECT query_id, label AS pred FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {rnd('p', 9)} DESC, label) AS r FROM pr)
+  WHERE r = 1)"""
+
+
+@query("knn_join", KNN_SQL + " SELECT * FROM nn")
+def knn_join_q(spark, sf):
+    nn, _ = f3_knn(spark, sf)
+    return nn
+
+
+@query("knn_predict_proba", KNN_SQL + f" SELECT query_id, label, {rnd('p')} AS p FROM pr")
+def knn_predict_proba_q(spark, sf):
+    return f3_proba(spark, sf).withColumn("p", round_half_up("p"))
+
+
+@query("knn_predict", KNN_SQL + " SELECT query_id, pred FROM pred")
+def knn_predict_q(spark, sf):
+    return neighbors.knn_predict(f3_proba(spark, sf)).select("query_id", "pred")
+
+
+@query("knn_graph", with_(F3) + f""",
+d AS (SELECT a.cell_id AS src, b.cell_id AS dst, {rnd('list_distance(a.vec, b.vec)')} AS dist
+      FROM f3 a, f3 b WHERE a.cell_id <> b.cell_id)
+SELECT src, dst, CAST(rank AS INTEGER) AS rank, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 15""")
+def knn_graph_q(spark, sf):
+    return neighbors.neighbors(fixtures.embedding_latent(spark, sf), 15)
+
+
+@query("latent_head", with_(F3) + """
+SELECT cell_id, CAST(i - 1 AS INTEGER) AS idx, vec[i] AS value
+FROM f3, range(1, 31) r(i)""")
+def latent_head_q(spark, sf):
+    lat = fixtures.embedding_latent(spark, sf)
+    head = lat.select("cell_id", F.slice("vec", 1, 30).alias("vec"))
+    return head.select("cell_id", F.posexplode("vec").alias("idx", "value"))
