@@ -1 +1,102 @@
-"""Queries registered later."""
+"""Embedding queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countframe.functions.hashing import round_half_up
+from countframe.operators import embed, features, hvg, normalize, sampling
+from countframe.plans.catalog import query
+from countframe.plans.q_preprocess import F1_HVG, F1_LOG, f1_hvg, f1_log, hvg_axis
+from countframe.plans.sqlbits import h, rnd, scale_cte, stats_cte
+from countframe.sources import fixtures
+
+N_TOP_DOCS = 1000
+
+
+def f4_features(spark, sf, n_top: int = N_TOP_DOCS):
+    """Documents x tokens: normalise, log, top variable tokens, scale.
+    Returns (scaled vectors, axis, masked obs)."""
+    f4 = fixtures.document_tokens(spark, sf)
+    norm = normalize.normalize_total(f4)
+    hv = hvg.highly_variable(norm.x, norm.obs, n_top)
+    axis = hvg_axis(hv)
+    logcf = normalize.log1p(norm)
+    vecs = normalize.scale(logcf, axis, "self")
+    return vecs, axis, sampling.mask_labels(f4.obs)
+
+
+def _long(latent, name="score"):
+    return latent.select("cell_id", F.posexplode("vec").alias("pc", name))
+
+
+# D1 ---------------------------------------------------------------------------
+@query("pca_scores")
+def pca_scores_q(spark, sf):
+    vecs, _, _ = f4_features(spark, sf)
+    res = embed.pca(vecs, 50)
+    return _long(res.latent).withColumn("score", round_half_up("score"))
+
+
+# D2 ---------------------------------------------------------------------------
+@query("pca_project", F1_LOG + ",\nf1_genes AS (SELECT DISTINCT gene_id FROM f1_x)," +
+       stats_cte("f1_log", "(SELECT count(*) FROM f1_obs)", "f1_st") + "," +
+       scale_cte("f1_log", "f1_genes", "f1_obs", "f1_st", "f1_z") + f""",
+f6 AS (
+  SELECT g.gene_id, CAST(r.pc AS INTEGER) AS pc,
+         CAST({h("g.gene_id || ':' || CAST(r.pc AS VARCHAR)", 11)} AS DOUBLE) / 65536.0 - 0.5 AS w
+  FROM f1_genes g, range(0, 5) r(pc))
+SELECT z.cell_id, f6.pc, {rnd('sum(z.value * f6.w)')} AS score
+FROM f1_z z JOIN f6 ON z.gene_id = f6.gene_id GROUP BY 1, 2""")
+def pca_project_q(spark, sf):
+    cf = f1_log(spark, sf)
+    stats = normalize.gene_stats(cf.x, normalize.n_cells_of(cf.obs))
+    loadings = fixtures.rule_loadings(cf.genes(), 5)
+    sc = embed.project(cf.x, loadings, cf.obs, 5, stats)
+    return sc.withColumn("score", round_half_up("score"))
+
+
+# D4 ---------------------------------------------------------------------------
+@query("reconstruction_error")
+def reconstruction_error_q(spark, sf):
+    vecs, _, _ = f4_features(spark, sf)
+    _, mse = embed.linear_autoencoder(vecs, 64)
+    return mse.withColumn("mse", round_half_up("mse"))
+
+
+# D5 ---------------------------------------------------------------------------
+@query("nb_residuals", F1_HVG + f""",
+nb_ct AS (
+  SELECT o.cell_id, o.batch, coalesce(t.tot, 0.0) AS t FROM f1_obs o
+  LEFT JOIN (SELECT cell_id, CAST(sum(n) AS DOUBLE) AS tot FROM f1_x GROUP BY 1) t ON t.cell_id = o.cell_id),
+nb_bt AS (SELECT o.batch, CAST(sum(x.n) AS DOUBLE) AS T FROM f1_x x JOIN f1_obs o ON x.cell_id = o.cell_id GROUP BY 1),
+nb_gt AS (
+  SELECT o.batch, x.gene_id, CAST(sum(x.n) AS DOUBLE) AS g
+  FROM f1_x x JOIN f1_obs o ON x.cell_id = o.cell_id GROUP BY 1, 2),
+nb_dense AS (
+  SELECT c.cell_id, c.batch, c.t, a.gene_id, CAST(coalesce(x.n, 0) AS DOUBLE) AS v
+  FROM nb_ct c CROSS JOIN f1_axis a LEFT JOIN f1_x x ON x.cell_id = c.cell_id AND x.gene_id = a.gene_id),
+nb_mu AS (
+  SELECT d.*, d.t * coalesce(g.g, 0.0) / b.T AS mu FROM nb_dense d
+  LEFT JOIN nb_bt b ON b.batch = d.batch LEFT JOIN nb_gt g ON g.batch = d.batch AND g.gene_id = d.gene_id),
+nb_n AS (SELECT sqrt(CAST(count(*) AS DOUBLE)) AS c FROM f1_obs)
+SELECT cell_id, gene_id,
+       {rnd('CASE WHEN mu > 0 THEN greatest(least((v - mu) / sqrt(mu + mu * mu / 100.0), (SELECT c FROM nb_n)), -(SELECT c FROM nb_n)) ELSE 0.0 END')}
+         AS value
+FROM nb_mu""")
+def nb_residuals_q(spark, sf):
+    f1 = fixtures.customer_products(spark, sf)
+    axis = hvg_axis(f1_hvg(spark, sf))
+    vecs = embed.nb_residual_vectors(f1, axis, "batch")
+    return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))
+
+
+@query("nb_latent")
+def nb_latent_q(spark, sf):
+    f1 = fixtures.customer_products(spark, sf)
+    axis = hvg_axis(f1_hvg(spark, sf))
+    res = embed.nb_latent(f1, axis, 20, "batch")
+    return _long(res.latent).withColumn("score", round_half_up("score"))
+
+
+__all__ = ["f4_features", "features"]
