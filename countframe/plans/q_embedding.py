@@ -9,6 +9,7 @@ from countframe.operators import embed, features, hvg, normalize, sampling
 from countframe.plans.catalog import query
 from countframe.plans.q_preprocess import F1_HVG, F1_LOG, f1_hvg, f1_log, hvg_axis
 from countframe.plans.sqlbits import h, rnd, scale_cte, stats_cte
+from countframe.session import cut_lineage
 from countframe.sources import fixtures
 
 N_TOP_DOCS = 1000
@@ -22,7 +23,8 @@ def f4_features(spark, sf, n_top: int = N_TOP_DOCS):
     hv = hvg.highly_variable(norm.x, norm.obs, n_top)
     axis = hvg_axis(hv)
     logcf = normalize.log1p(norm)
-    vecs = normalize.scale(logcf, axis, "self")
+    # PCA and model fits make several passes over the vectors
+    vecs = cut_lineage(normalize.scale(logcf, axis, "self"))
     return vecs, axis, sampling.mask_labels(f4.obs)
 
 

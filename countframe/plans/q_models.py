@@ -1 +1,114 @@
-"""Queries registered later."""
+"""Model queries: label encoding, MLP / soft-max classifiers on the
+documents matrix, label propagation on the vectors' kNN graph
+(M1-M9)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from countframe.functions.hashing import round_half_up
+from countframe.operators import models, neighbors, sampling, semisup
+from countframe.plans.catalog import query
+from countframe.plans.q_embedding import f4_features
+from countframe.plans.sqlbits import F3, F4, exact_k, rnd, with_
+from countframe.session import cut_lineage
+from countframe.sources import fixtures
+
+PROP_ROUNDS = 3
+
+
+# M1 ---------------------------------------------------------------------------
+@query("label_encode", with_(F4) + """
+SELECT cell_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM f4_obs""")
+def label_encode_q(spark, sf):
+    obs = fixtures.document_tokens(spark, sf).obs
+    _, enc = models.encode_labels(obs, "label")
+    return enc.select("cell_id", "label", "label_idx")
+
+
+def f4_training_sets(spark, sf):
+    """(train, val, masked, labels): labelled rows split 80/20 per class,
+    masked rows to predict; each (cell_id, vec, label_idx[, truth])."""
+    vecs, _, mobs = f4_features(spark, sf)
+    labels = fixtures.class_list(mobs, "label_truth")
+    idx = fixtures.label_index(mobs.select(F.col("label_truth").alias("label")))
+    rows = (vecs.join(mobs.select("cell_id", "masked", F.col("label_truth").alias("label")), "cell_id")
+            .join(F.broadcast(idx), "label"))
+    # iterative fits make many passes: materialise once in the shared
+    # checkpoint folder instead of recomputing tokens, HVG and scaling
+    rows = cut_lineage(rows)
+    lab = cut_lineage(sampling.stratified_split(rows.where(~F.col("masked")), "label", 0.20))
+    train = lab.where(~F.col("is_val")).select("cell_id", "vec", "label_idx")
+    val = lab.where(F.col("is_val")).select("cell_id", "vec", "label_idx")
+    masked = rows.where(F.col("masked")).select("cell_id", "vec", "label_idx", F.col("label").alias("truth"))
+    return train, val, masked, labels
+
+
+def fit_f4_mlp(spark, sf):
+    train, val, masked, labels = f4_training_sets(spark, sf)
+    return models.fit_mlp(train, labels, val=val), masked
+
+
+# M2 / M3 / M5 -----------------------------------------------------------------
+@query("mlp_predict")
+def mlp_predict_q(spark, sf):
+    fit, masked = fit_f4_mlp(spark, sf)
+    hard, _ = models.predict(fit, masked)
+    return hard.withColumn("confidence", round_half_up("confidence"))
+
+
+# M4 ---------------------------------------------------------------------------
+@query("training_history")
+def training_history_q(spark, sf):
+    fit, _ = fit_f4_mlp(spark, sf)
+    return models.history_frame(spark, fit)
+
+
+# M6 ---------------------------------------------------------------------------
+@query("softmax_predict")
+def softmax_predict_q(spark, sf):
+    train, _, masked, labels = f4_training_sets(spark, sf)
+    fit = models.fit_softmax(train, labels)
+    hard, _ = models.predict(fit, masked)
+    return hard.withColumn("confidence", round_half_up("confidence"))
+
+
+# M7 / M8 ----------------------------------------------------------------------
+def f3_propagation(spark, sf, rounds=PROP_ROUNDS):
+    lat = fixtures.embedding_latent(spark, sf)
+    mobs = sampling.mask_labels(lat.select("cell_id", "label"))
+    seeds = mobs.select("cell_id", F.when(~F.col("masked"), F.col("label")).alias("label_seed"))
+    graph = neighbors.neighbors(lat, 15)
+    return semisup.propagate_labels(graph, seeds, "label_seed", rounds=rounds)
+
+
+def _prop_sql(rounds: int) -> str:
+    parts = [with_(F3) + f""",
+f3m AS ({exact_k('f3', 'floor(0.3 * N)', flag='masked')}),
+seeds AS (SELECT cell_id, label, 1.0 AS p FROM f3m WHERE NOT masked),
+d AS (SELECT a.cell_id AS src, b.cell_id AS dst, {rnd('list_distance(a.vec, b.vec)')} AS dist
+      FROM f3 a, f3 b WHERE a.cell_id <> b.cell_id),
+g AS (SELECT src, dst, 1.0 / (1.0 + dist) AS w FROM (
+        SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 15),
+p0 AS (SELECT * FROM seeds)"""]
+    for r in range(1, rounds + 1):
+        parts.append(f""",
+s{r} AS (SELECT g.src AS cell_id, p.label, sum(g.w * p.p) AS s FROM g JOIN p{r - 1} p ON g.dst = p.cell_id
+        WHERE g.src NOT IN (SELECT cell_id FROM seeds) GROUP BY 1, 2),
+p{r} AS (SELECT cell_id, label, s / sum(s) OVER (PARTITION BY cell_id) AS p FROM s{r}
+        UNION ALL SELECT * FROM seeds)""")
+    return "".join(parts)
+
+
+@query("label_propagation", _prop_sql(PROP_ROUNDS) + f" SELECT cell_id, label, {rnd('p')} AS p FROM p{PROP_ROUNDS}")
+def label_propagation_q(spark, sf):
+    return f3_propagation(spark, sf).withColumn("p", round_half_up("p"))
+
+
+@query("annotate_hard", _prop_sql(PROP_ROUNDS) + f"""
+SELECT cell_id, label AS pred, {rnd('p')} AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {rnd('p', 9)} DESC, label) AS r FROM p{PROP_ROUNDS})
+WHERE r = 1""")
+def annotate_hard_q(spark, sf):
+    ann = semisup.annotate(f3_propagation(spark, sf))
+    return ann.withColumn("confidence", round_half_up("confidence"))
