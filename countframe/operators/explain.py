@@ -20,12 +20,13 @@ STEPS = 50
 
 def mlp_layers(model: MultilayerPerceptronClassificationModel) -> list[tuple[np.ndarray, np.ndarray]]:
     """(W, b) per layer, W of shape (in, out), from MLlib's flat weights
-    (per layer: the in x out matrix column-major, then the bias)."""
+    (per layer: the out x in matrix stored column-major, i.e. the in x out
+    matrix row by row, then the bias)."""
     w = model.weights.toArray()
     sizes = list(model.getLayers())
     out, pos = [], 0
     for n_in, n_out in zip(sizes[:-1], sizes[1:]):
-        W = w[pos:pos + n_in * n_out].reshape(n_out, n_in).T
+        W = w[pos:pos + n_in * n_out].reshape(n_in, n_out)
         pos += n_in * n_out
         b = w[pos:pos + n_out]
         pos += n_out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +34,35 @@ def normalize_obs_columns(obs: DataFrame) -> DataFrame:
     return obs
 
 
+def _read_case_safe(spark: SparkSession, path: str) -> DataFrame:
+    """Read a parquet row table; when two column names differ only in case
+    (``Batch`` / ``batch``), rewrite it once with ``Batch`` renamed
+    ``batch_src`` into the shared checkpoint folder and read that copy."""
+    prev = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        cols = spark.read.parquet(path).columns
+        lowered = [c.lower() for c in cols]
+        if len(set(lowered)) == len(lowered):
+            return spark.read.parquet(path)
+        from countframe.session import ensure_checkpoint_dir
+
+        target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/obs-{uuid.uuid4().hex}"
+        df = spark.read.parquet(path)
+        renamed = [F.col(f"`{c}`").alias("batch_src") if c == "Batch" else F.col(f"`{c}`") for c in cols]
+        df.select(*renamed).write.parquet(target)
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", prev)
+    return spark.read.parquet(target)
+
+
 def read_counts(spark: SparkSession, x, obs, var=None) -> CountFrame:
     """S1. Load a matrix dataset from parquet paths (or ready DataFrames)."""
     def load(src):
         return src if isinstance(src, DataFrame) else spark.read.parquet(src)
 
     x_df = _check_x(load(x))
-    obs_df = normalize_obs_columns(load(obs))
+    obs_df = normalize_obs_columns(obs if isinstance(obs, DataFrame) else _read_case_safe(spark, obs))
     if "cell_id" not in obs_df.columns:
         raise ValueError("row table lacks 'cell_id'")
     var_df = load(var) if var is not None else None
