@@ -32,6 +32,19 @@ def index_genes(genes: DataFrame, order_col: str = "gene_id") -> DataFrame:
         .withColumn("gene_idx", (F.row_number().over(w) - 1).cast("int")).select("gene_id", "gene_idx")
 
 
+def freeze_axis(axis: DataFrame) -> DataFrame:
+    """Materialise a bounded feature axis (gene_id, gene_idx) once.
+
+    The axis is a selected gene list whose size is fixed by a parameter (a
+    top-n selection, a gene-set intersection); it is collected with a size
+    check and re-created as a local relation, so later actions (vector
+    width, statistics, broadcasts) do not recompute the selection."""
+    rows = axis.select("gene_id", "gene_idx").limit(MAX_FEATURES + 1).collect()
+    if len(rows) > MAX_FEATURES:
+        raise ValueError(f"feature axis exceeds {MAX_FEATURES} genes")
+    return axis.sparkSession.createDataFrame([(r[0], int(r[1])) for r in rows], "gene_id string, gene_idx int")
+
+
 def select_features(cf: CountFrame, flag: str = "highly_variable") -> CountFrame:
     """P6. Keep entries of genes whose ``var`` flag is true."""
     chosen = cf.var.where(F.col(flag)).select("gene_id")

@@ -24,7 +24,7 @@ def f4_features(spark, sf, n_top: int = N_TOP_DOCS):
     f4 = f4.with_x(cut_lineage(f4.x))
     norm = normalize.normalize_total(f4)
     hv = hvg.highly_variable(norm.x, norm.obs, n_top)
-    axis = cut_lineage(hvg_axis(hv))
+    axis = hvg_axis(hv)
     logcf = normalize.log1p(norm)
     # PCA and model fits make several passes over the vectors
     vecs = cut_lineage(normalize.scale(logcf, axis, "self"))

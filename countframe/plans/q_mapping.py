@@ -34,7 +34,7 @@ def _out(df, cols=("cell_id", "pred")):
 @query("map_query_knn")
 def map_query_knn_q(spark, sf):
     ref, qry = f2_masked(spark, sf)
-    axis = cut_lineage(f2_common_axis(spark, sf))
+    axis = f2_common_axis(spark, sf)
     space = project.fit_knn_space(ref, axis, "label_masked", n_pcs=50)
     return _out(project.map_query_knn(space, qry))
 
@@ -42,7 +42,7 @@ def map_query_knn_q(spark, sf):
 def f2_ref_training(spark, sf):
     """Labelled reference rows on the training axis: (cell_id, vec, label_idx)."""
     ref, _ = f2_masked(spark, sf)
-    axis = cut_lineage(f2_train_axis(spark, sf))
+    axis = f2_train_axis(spark, sf)
     rlog = normalize.log1p(normalize.normalize_total(ref))
     vecs = cut_lineage(normalize.scale(rlog, axis, "self"))
     labels = fixtures.class_list(ref.obs, "label_truth")
@@ -76,7 +76,7 @@ def map_query_latent_q(spark, sf):
 @query("map_query_semisup")
 def map_query_semisup_q(spark, sf):
     ref, qry = f2_masked(spark, sf)
-    axis = cut_lineage(f2_train_axis(spark, sf))
+    axis = f2_train_axis(spark, sf)
     res = embed.nb_latent(ref, axis, 20, "batch")
     graph = neighbors.neighbors(res.latent, 15)
     seeds = ref.obs.select("cell_id", F.when(~F.col("masked"), F.col("label_truth")).alias("label_seed"))

@@ -37,8 +37,9 @@ def f1_hvg(spark, sf):
 
 
 def hvg_axis(hv):
-    """Selected genes as a vector axis, indexed alphabetically."""
-    return features.index_genes(hv.where("highly_variable").select("gene_id"))
+    """Selected genes as a vector axis, indexed alphabetically (bounded by
+    the top-n parameter, materialised once)."""
+    return features.freeze_axis(features.index_genes(hv.where("highly_variable").select("gene_id")))
 
 
 # ---- shared SQL steps --------------------------------------------------------
@@ -149,7 +150,7 @@ f2_axis AS (
 
 def f2_common_axis(spark, sf):
     ref, qry = fixtures.reference_query_pair(spark, sf)
-    return features.index_genes(features.common_genes(ref.genes(), qry.genes()))
+    return features.freeze_axis(features.index_genes(features.common_genes(ref.genes(), qry.genes())))
 
 
 # J1 ---------------------------------------------------------------------------
