@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from countframe.frame import CountFrame
 
-MAX_FEATURES = 200_000  # vectors wider than this are refused (driver-side PCA/MLP)
+# Dense feature axes are selected gene lists; PCA decomposes a g x g matrix on
+# the driver and MLP/soft-max weights scale with g, so wider axes are refused.
+MAX_FEATURES = 20_000
 
 
 def ensure_column(df: DataFrame, name: str, default) -> DataFrame:

@@ -9,6 +9,11 @@ best candidates per query row.  A last window keeps the k best of the
 ``Bt * k`` candidates of each query (bounded, Spark limits per partition
 before the shuffle).  No pair list is ever materialised.
 
+When the training side is small enough (rows x dim x 8 bytes counted
+against ``broadcast_bytes``), it is broadcast instead: each task streams its
+query rows past the whole training matrix in blocks and emits final top-k
+rows, with no replication and no shuffle at all.
+
 Ordering is by distance rounded to 1e-6, ties by training id, which makes
 the result identical to plain SQL.  Inside a block the product form of the
 distance only *pre-selects*: every candidate within 1e-6 of the k-th
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from countframe.functions.hashing import round_half_up
 
 K = 15
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+BROADCAST_BYTES = 256 * 1024 * 1024  # training matrices up to this size are broadcast
 DIST_DIGITS = 6
 
 _CAND_SCHEMA = "query_id long, ref_id long, dist double"
@@ -47,35 +53,61 @@ def _exact_sq(q: np.ndarray, t: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _block_topk(k: int, exclude_self: bool):
+def _topk_rows(Q, qid, T, tid, k: int, exclude_self: bool) -> pd.DataFrame:
+    """k best (dist rounded, ref id) per query row of one block pair, with
+    every candidate inside the rounding slack of the k-th distance
+    re-measured exactly."""
     scale = float(10 ** DIST_DIGITS)
+    qn = np.einsum("ij,ij->i", Q, Q)
+    tn = np.einsum("ij,ij->i", T, T)
+    d2 = np.maximum(qn[:, None] + tn[None, :] - 2.0 * (Q @ T.T), 0.0)
+    if exclude_self:
+        d2[qid[:, None] == tid[None, :]] = np.inf
+    kk = min(k, d2.shape[1])
+    kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
+    # generous slack: product-form error plus the rounding granularity
+    slack = np.sqrt(np.maximum(kth, 0.0)) + 2.0 / scale + 1e-7 * np.sqrt(qn.max() + tn.max() + 1.0)
+    rows, cols = np.nonzero(d2 <= (slack * slack)[:, None])
+    if exclude_self:
+        keep = qid[rows] != tid[cols]
+        rows, cols = rows[keep], cols[keep]
+    exact = np.sqrt(_exact_sq(Q[rows], T[cols]))
+    dist = np.floor(exact * scale + 0.5) / scale
+    cand = pd.DataFrame({"query_id": qid[rows], "ref_id": tid[cols], "dist": dist})
+    cand = cand.sort_values(["query_id", "dist", "ref_id"], kind="mergesort")
+    return cand.groupby("query_id", sort=False).head(k)
 
+
+def _block_topk(k: int, exclude_self: bool):
     def fn(key, qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(tpdf) == 0:
             return pd.DataFrame({"query_id": [], "ref_id": [], "dist": []})
         Q = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
         T = np.stack(tpdf["vec"].to_numpy()).astype(np.float64)
-        qid = qpdf["id"].to_numpy()
-        tid = tpdf["id"].to_numpy()
-        qn = np.einsum("ij,ij->i", Q, Q)
-        tn = np.einsum("ij,ij->i", T, T)
-        d2 = np.maximum(qn[:, None] + tn[None, :] - 2.0 * (Q @ T.T), 0.0)
-        if exclude_self:
-            d2[qid[:, None] == tid[None, :]] = np.inf
-        kk = min(k, d2.shape[1])
-        kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
-        # generous slack: product-form error plus the rounding granularity
-        slack = np.sqrt(np.maximum(kth, 0.0)) + 2.0 / scale + 1e-7 * np.sqrt(qn.max() + tn.max() + 1.0)
-        rows, cols = np.nonzero(d2 <= (slack * slack)[:, None])
-        if exclude_self:
-            keep = qid[rows] != tid[cols]
-            rows, cols = rows[keep], cols[keep]
-        exact = np.sqrt(_exact_sq(Q[rows], T[cols]))
-        dist = np.floor(exact * scale + 0.5) / scale
-        cand = pd.DataFrame({"query_id": qid[rows], "ref_id": tid[cols], "dist": dist})
-        cand = cand.sort_values(["query_id", "dist", "ref_id"], kind="mergesort")
-        cand = cand.groupby("query_id", sort=False).head(k)
-        return cand
+        return _topk_rows(Q, qpdf["id"].to_numpy(), T, tpdf["id"].to_numpy(), k, exclude_self)
+
+    return fn
+
+
+def _broadcast_topk(bc, k: int, exclude_self: bool, block_rows: int):
+    """mapInPandas over query batches against the broadcast training matrix:
+    each query row sees every training row inside one task, so its k best
+    leave the task final (no shuffle, no second top-k)."""
+    def fn(batches):
+        T, tid = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            Qall = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            qall = pdf["id"].to_numpy()
+            for qs in range(0, len(Qall), block_rows):
+                Q, qid = Qall[qs:qs + block_rows], qall[qs:qs + block_rows]
+                parts = [_topk_rows(Q, qid, T[ts:ts + block_rows], tid[ts:ts + block_rows], k, exclude_self)
+                         for ts in range(0, len(T), block_rows)]
+                cand = pd.concat(parts).sort_values(["query_id", "dist", "ref_id"], kind="mergesort")
+                top = cand.groupby("query_id", sort=False).head(k).copy()
+                top["rank"] = (top.groupby("query_id", sort=False).cumcount() + 1).astype(np.int32)
+                yield top[["query_id", "ref_id", "rank", "dist"]]
 
     return fn
 
@@ -86,17 +118,32 @@ def _blocks(n: int, block_rows: int) -> int:
 
 def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", key: str = "cell_id",
              block_rows: int = BLOCK_ROWS, exclude_self: bool = False, method: str = "exact",
+             broadcast_bytes: int = BROADCAST_BYTES,
              lsh_bucket_length: float = 2.0, lsh_radius: float | None = None) -> DataFrame:
     """K1/K2/J6. (query_id, ref_id, rank, dist): the k nearest training rows
-    of every query row by Euclidean distance."""
+    of every query row by Euclidean distance.
+
+    A training side of at most ``broadcast_bytes`` (rows x dim x 8, counted
+    first) is broadcast; beyond it the blocked cogroup runs."""
+    q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     if method == "lsh":
         cand = _lsh_candidates(query, train, vec, key, lsh_bucket_length, lsh_radius, exclude_self)
     else:
-        nq = query.count()
         nt = train.count()
+        first = t.first()
+        dim = len(first["vec"]) if first is not None else 0
+        if method == "exact" and nt * max(dim, 1) * 8 <= broadcast_bytes:
+            # the training side has a checked size: ship it to every task
+            # once and stream the query rows past it
+            rows = t.collect()
+            T = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+            tid = np.array([r["id"] for r in rows], dtype=np.int64)
+            bc = query.sparkSession.sparkContext.broadcast((T, tid))
+            return q.mapInPandas(_broadcast_topk(bc, k, exclude_self, block_rows),
+                                 "query_id long, ref_id long, rank int, dist double")
+        nq = query.count()
         bq, bt = _blocks(nq, block_rows), _blocks(nt, block_rows)
-        q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-        t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
         # every query row is copied once per train block and vice versa
         q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).alias("qb"),
                          F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))

@@ -143,8 +143,9 @@ def test_knn_join_matches_numpy_and_blocks(spark):
     q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(len(Q))], "cell_id long, vec array<double>")
     t = spark.createDataFrame([(1000 + j, T[j].tolist()) for j in range(len(T))], "cell_id long, vec array<double>")
     d = np.sqrt(((Q[:, None, :] - T[None, :, :]) ** 2).sum(-1))
-    for block in (16, 4096):
-        got = neighbors.knn_join(q, t, 5, block_rows=block).collect()
+    # blocked cogroup path (broadcast disabled) and broadcast path
+    for block, bbytes in ((16, 0), (4096, 0), (16, neighbors.BROADCAST_BYTES)):
+        got = neighbors.knn_join(q, t, 5, block_rows=block, broadcast_bytes=bbytes).collect()
         assert len(got) == 57 * 5
         for r in got:
             i = r["query_id"]
