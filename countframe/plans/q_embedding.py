@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from countframe.functions.hashing import round_half_up
 from countframe.operators import embed, features, hvg, normalize, sampling
 from countframe.plans.catalog import query
-from countframe.plans.q_preprocess import F1_HVG, F1_LOG, f1_hvg, f1_log, hvg_axis
+from countframe.frame import CountFrame
+from countframe.plans.q_preprocess import F1_HVG, F1_LOG, F2_SQL, f1_hvg, f1_log, f2_train_axis, hvg_axis
 from countframe.plans.sqlbits import h, rnd, scale_cte, stats_cte
 from countframe.session import cut_lineage
 from countframe.sources import fixtures
@@ -105,3 +106,34 @@ def nb_latent_q(spark, sf):
 
 
 __all__ = ["f4_features", "features"]
+
+
+# D5 with frozen training totals and an unseen batch (T4's residual step) --------
+@query("nb_residuals_unseen_batch", F2_SQL + f""",
+u_ct AS (
+  SELECT o.cell_id, coalesce(t.tot, 0.0) AS t FROM f2_qry_obs o
+  LEFT JOIN (SELECT cell_id, CAST(sum(n) AS DOUBLE) AS tot FROM f2_qry_x GROUP BY 1) t ON t.cell_id = o.cell_id),
+u_T AS (SELECT CAST(sum(x.n) AS DOUBLE) AS T FROM f2_ref_x x JOIN f2_ref_obs o ON x.cell_id = o.cell_id),
+u_g AS (
+  SELECT x.gene_id, CAST(sum(x.n) AS DOUBLE) AS g
+  FROM f2_ref_x x JOIN f2_ref_obs o ON x.cell_id = o.cell_id GROUP BY 1),
+u_dense AS (
+  SELECT c.cell_id, c.t, a.gene_id, CAST(coalesce(x.n, 0) AS DOUBLE) AS v
+  FROM u_ct c CROSS JOIN f2_axis a LEFT JOIN f2_qry_x x ON x.cell_id = c.cell_id AND x.gene_id = a.gene_id),
+u_mu AS (
+  SELECT d.*, d.t * coalesce(g.g, 0.0) / (SELECT T FROM u_T) AS mu
+  FROM u_dense d LEFT JOIN u_g g ON g.gene_id = d.gene_id),
+u_n AS (SELECT sqrt(CAST(count(*) AS DOUBLE)) AS c FROM f2_qry_obs)
+SELECT cell_id, gene_id,
+       {rnd('CASE WHEN mu > 0 THEN greatest(least((v - mu) / sqrt(mu + mu * mu / 100.0), (SELECT c FROM u_n)), -(SELECT c FROM u_n)) ELSE 0.0 END')}
+         AS value
+FROM u_mu""")
+def nb_residuals_unseen_batch_q(spark, sf):
+    """Query rows without a batch get 'test'; the residuals use the frozen
+    reference totals, pooled over its batches for the unseen batch."""
+    ref, qry = fixtures.reference_query_pair(spark, sf)
+    axis = f2_train_axis(spark, sf)
+    qobs = features.ensure_column(qry.obs.drop("batch"), "batch", "test")
+    totals = embed.nb_batch_totals(ref, axis, "batch")
+    vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals)
+    return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))

@@ -84,3 +84,14 @@ def latent_head_q(spark, sf):
     lat = fixtures.embedding_latent(spark, sf)
     head = lat.select("cell_id", F.slice("vec", 1, 30).alias("vec"))
     return head.select("cell_id", F.posexplode("vec").alias("idx", "value"))
+
+
+# D3 + K3 ------------------------------------------------------------------------
+@query("knn_graph_head", with_(F3) + f""",
+d AS (SELECT a.cell_id AS src, b.cell_id AS dst, {rnd('list_distance(a.vec[1:30], b.vec[1:30])')} AS dist
+      FROM f3 a, f3 b WHERE a.cell_id <> b.cell_id)
+SELECT src, dst, CAST(rank AS INTEGER) AS rank, dist FROM (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM d) WHERE rank <= 15""")
+def knn_graph_head_q(spark, sf):
+    """kNN graph on the first 30 components only (n_pcs = 30)."""
+    return neighbors.neighbors(fixtures.embedding_latent(spark, sf), 15, n_pcs=30)

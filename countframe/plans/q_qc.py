@@ -217,3 +217,14 @@ def prediction_counts(spark, sf):
 SELECT DISTINCT label FROM f4_obs WHERE label IS NOT NULL ORDER BY label LIMIT 3""")
 def distinct_labels(spark, sf):
     return summary.distinct_labels(fixtures.document_tokens(spark, sf).obs, "label", 3)
+
+
+# A7 (histogram) ---------------------------------------------------------------
+@query("qc_histogram", with_(F1_QC) + """
+SELECT batch, bin, count(*) AS n FROM (
+  SELECT batch, CAST(least(9, coalesce(floor((n_genes_by_counts - min(n_genes_by_counts) OVER w)
+           / nullif(max(n_genes_by_counts) OVER w - min(n_genes_by_counts) OVER w, 0) * 10), 0)) AS INTEGER) AS bin
+  FROM f1_qc WINDOW w AS (PARTITION BY batch))
+GROUP BY batch, bin""")
+def qc_histogram(spark, sf):
+    return summary.histogram(f1_qc(spark, sf), "n_genes_by_counts", bins=10, by="batch")
