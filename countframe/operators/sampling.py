@@ -34,23 +34,26 @@ def exact_k_flag(df: DataFrame, key: str, seed, k_of_n: Callable[[Column], Colum
     its stratum in (md5, key) order, where n is the stratum size."""
     strata = list(strata)
     h = _hash_cols(df, key, seed)
-    if not strata:
-        h = h.withColumn("_s0", F.lit(0))
-        strata = ["_s0"]
-    counts = h.groupBy(*strata, "_hb").agg(F.count(F.lit(1)).alias("_c"))
+    groups = strata if strata else ["_s0"]
+    counts_src = h if strata else h.withColumn("_s0", F.lit(0))
+    counts = counts_src.groupBy(*groups, "_hb").agg(F.count(F.lit(1)).alias("_c"))
     # at most 65 536 rows per stratum: bounded window partitions
-    cum_w = Window.partitionBy(*strata).orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum_w = Window.partitionBy(*groups).orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (counts.withColumn("_cum", F.sum("_c").over(cum_w))
-              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*strata)))
+              .withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups)))
               .withColumn("_k", k_of_n(F.col("_n")).cast("bigint")))
     # one row per stratum with k >= 1: the bucket where the running count
     # crosses k, and how many of its rows are still needed
     cut = (counts.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k")))
-           .select(*strata, F.col("_hb").alias("_cut_b"),
+           .select(*groups, F.col("_hb").alias("_cut_b"),
                    (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_rem")))
-    # the cut table has one row per stratum; AQE broadcasts it after
-    # measuring it, otherwise it is a plain shuffle join
-    j = h.join(cut, strata, "left")
+    if strata:
+        # one row per stratum; AQE broadcasts it after measuring it
+        j = h.join(cut, strata, "left")
+    else:
+        # a single stratum: the cut is two scalars (scalar subqueries, no join)
+        j = h.withColumn("_cut_b", cut.select(F.min("_cut_b")).scalar()) \
+             .withColumn("_rem", cut.select(F.min("_rem")).scalar())
     outside = (j.where(F.col("_cut_b").isNull() | (F.col("_hb") != F.col("_cut_b")))
                .withColumn(flag, F.coalesce(F.col("_hb") < F.col("_cut_b"), F.lit(False))))
     rank_w = Window.partitionBy(*strata, "_hb").orderBy("_hx", key)
