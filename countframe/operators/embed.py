@@ -163,19 +163,26 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
     n = axis_size(genes)
     vc = cf.value_col
     cell_tot = cf.x.groupBy("cell_id").agg(F.sum(vc).cast("double").alias("_ctot"))
-    cells = cf.obs.select("cell_id", F.col(batch).alias("_b")).join(cell_tot, "cell_id", "left") \
-        .withColumn("_ctot", F.coalesce("_ctot", F.lit(0.0)))
     if batch_totals is None:
         batch_totals = nb_batch_totals(cf, genes, batch)
     # batch x axis arrays: bounded by (#batches + 1) x g
     gvec = _batch_arrays(batch_totals, n)
-    pooled = gvec.where(F.col("_b") == F.lit(POOLED)).select(
-        F.col("_b").alias("_pk"), F.col("_g").alias("_gp"), F.col("_btot").alias("_btotp"))
-    # a batch unseen in the totals falls back to the pooled row
-    cells = (cells.join(F.broadcast(gvec), "_b", "left")
-             .withColumn("_pk", F.lit(POOLED)).join(F.broadcast(pooled), "_pk", "left")
-             .withColumn("_g", F.coalesce("_g", "_gp")).withColumn("_btot", F.coalesce("_btot", "_btotp"))
-             .drop("_pk", "_gp", "_btotp"))
+    pooled = gvec.where(F.col("_b") == F.lit(POOLED))
+    pooled_g = pooled.select(F.first("_g")).scalar()
+    pooled_t = pooled.select(F.first("_btot")).scalar()
+    if batch in cf.obs.columns:
+        cells = cf.obs.select("cell_id", F.col(batch).alias("_b")).join(cell_tot, "cell_id", "left")
+        # a batch unseen in the totals falls back to the pooled row (two
+        # scalar subqueries: one array of axis length and one total)
+        cells = (cells.join(F.broadcast(gvec), "_b", "left")
+                 .withColumn("_g", F.coalesce("_g", pooled_g))
+                 .withColumn("_btot", F.coalesce("_btot", pooled_t)))
+    else:
+        # rows without a batch (a second dataset, batch "test") are an
+        # unseen batch: pooled totals for every row, no join needed
+        cells = cf.obs.select("cell_id").join(cell_tot, "cell_id", "left") \
+            .withColumn("_g", pooled_g).withColumn("_btot", pooled_t)
+    cells = cells.withColumn("_ctot", F.coalesce("_ctot", F.lit(0.0)))
     from countframe.operators.features import to_vectors
 
     vecs = to_vectors(cf.values(), genes, cf.obs)

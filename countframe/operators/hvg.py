@@ -31,15 +31,18 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
     """(batch, gene_id, mean, log_disp, log_mean, bin, norm) per batch."""
     if batch is None:
         xb = x_norm.withColumn("_batch", F.lit("all"))
-        cells = obs.groupBy().agg(F.count(F.lit(1)).alias("_n")).withColumn("_batch", F.lit("all"))
+        per = xb.groupBy("_batch", "gene_id").agg(
+            F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
+        # one batch: the number of cells is a scalar subquery
+        per = per.withColumn("_n", obs.select(F.count(F.lit(1))).scalar())
     else:
         # the row table carries the batch of each cell (one row per cell)
         xb = x_norm.join(obs.select("cell_id", F.col(batch).alias("_batch")), "cell_id")
         cells = obs.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"))
-    per = xb.groupBy("_batch", "gene_id").agg(
-        F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
-    # one row per batch: small
-    per = per.join(F.broadcast(cells), "_batch")
+        per = xb.groupBy("_batch", "gene_id").agg(
+            F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
+        # one row per batch: small
+        per = per.join(F.broadcast(cells), "_batch")
     n = F.col("_n").cast("double")
     mean = F.col("_s1") / n
     var = safe_div(F.col("_s2") - n * mean * mean, n - 1)

@@ -87,8 +87,9 @@ def map_query_semisup(ref: CountFrame, ref_probs: DataFrame, qry: CountFrame, ax
     batch falls back to the pooled training totals); the training PCA maps
     the residuals; each query row takes one propagation step from its k
     nearest training rows.  (cell_id, pred, confidence)."""
-    qobs = features.ensure_column(qry.obs, batch, "test")
-    qcf = CountFrame(qry.x, qobs)
+    # A second dataset without batches is one unseen batch ("test"); the
+    # residuals then use the pooled training totals for every row
+    qcf = qry if batch in qry.obs.columns else CountFrame(qry.x, qry.obs.select("cell_id"))
     totals = cut_lineage(embed.nb_batch_totals(ref, axis, batch))
     rvec = cut_lineage(embed.nb_residual_vectors(ref, axis, batch, batch_totals=totals))
     res = embed.pca(rvec, n_latent)

@@ -133,7 +133,7 @@ def nb_residuals_unseen_batch_q(spark, sf):
     reference totals, pooled over its batches for the unseen batch."""
     ref, qry = fixtures.reference_query_pair(spark, sf)
     axis = f2_train_axis(spark, sf)
-    qobs = features.ensure_column(qry.obs.drop("batch"), "batch", "test")
+    qobs = qry.obs.drop("batch")  # the second dataset carries no batch: unseen
     totals = embed.nb_batch_totals(ref, axis, "batch")
     vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals)
     return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))
