@@ -80,22 +80,32 @@ def map_query_latent(ae: embed.PcaResult, train_latent: DataFrame, axis: DataFra
     return pr.select(F.col("query_id").alias("cell_id"), "pred", "p")
 
 
-def map_query_semisup(ref: CountFrame, ref_probs: DataFrame, qry: CountFrame, axis: DataFrame,
-                      batch: str = "batch", n_latent: int = 20, k: int = 15) -> DataFrame:
-    """T4. Frozen model, possibly unseen batch: the query gets batch 'test'
-    when it has none; NB residuals use the *training* totals (an unseen
-    batch falls back to the pooled training totals); the training PCA maps
-    the residuals; each query row takes one propagation step from its k
-    nearest training rows.  (cell_id, pred, confidence)."""
-    # A second dataset without batches is one unseen batch ("test"); the
-    # residuals then use the pooled training totals for every row
-    qcf = qry if batch in qry.obs.columns else CountFrame(qry.x, qry.obs.select("cell_id"))
+@dataclass
+class NbSpace:
+    """A fitted count-model space: frozen per-batch totals and the PCA of the
+    training residuals."""
+    totals: DataFrame
+    pca: embed.PcaResult
+
+
+def fit_nb_space(ref: CountFrame, axis: DataFrame, batch: str = "batch", n_latent: int = 20) -> NbSpace:
+    """D5 training side, kept for mapping: totals and residual PCA."""
     totals = cut_lineage(embed.nb_batch_totals(ref, axis, batch))
     rvec = cut_lineage(embed.nb_residual_vectors(ref, axis, batch, batch_totals=totals))
-    res = embed.pca(rvec, n_latent)
-    qvec = embed.nb_residual_vectors(qcf, axis, batch, batch_totals=totals)
-    qlat = embed.project_vectors(qvec, res.components, res.mean)
-    nn = neighbors.knn_join(qlat, res.latent, k)
+    return NbSpace(totals, embed.pca(rvec, n_latent))
+
+
+def map_query_semisup(space: NbSpace, ref_probs: DataFrame, qry: CountFrame, axis: DataFrame,
+                      batch: str = "batch", k: int = 15) -> DataFrame:
+    """T4. Frozen model, possibly unseen batch: a second dataset without
+    batches is one unseen batch ("test"); NB residuals use the *training*
+    totals (an unseen batch falls back to the pooled training totals); the
+    training PCA maps the residuals; each query row takes one propagation
+    step from its k nearest training rows.  (cell_id, pred, confidence)."""
+    qcf = qry if batch in qry.obs.columns else CountFrame(qry.x, qry.obs.select("cell_id"))
+    qvec = embed.nb_residual_vectors(qcf, axis, batch, batch_totals=space.totals)
+    qlat = embed.project_vectors(qvec, space.pca.components, space.pca.mean)
+    nn = neighbors.knn_join(qlat, space.pca.latent, k)
     edges = nn.select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"), "dist")
     step = semisup.edge_weights(edges).join(ref_probs.withColumnRenamed("cell_id", "dst"), "dst") \
         .groupBy(F.col("src").alias("cell_id"), "label").agg(F.sum(F.col("w") * F.col("p")).alias("_s"))

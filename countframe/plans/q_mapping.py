@@ -77,12 +77,12 @@ def map_query_latent_q(spark, sf):
 def map_query_semisup_q(spark, sf):
     ref, qry = f2_masked(spark, sf)
     axis = f2_train_axis(spark, sf)
-    res = embed.nb_latent(ref, axis, 20, "batch")
-    graph = neighbors.neighbors(res.latent, 15)
+    space = project.fit_nb_space(ref, axis, "batch", 20)
+    graph = neighbors.neighbors(space.pca.latent, 15)
     seeds = ref.obs.select("cell_id", F.when(~F.col("masked"), F.col("label_truth")).alias("label_seed"))
     probs = cut_lineage(semisup.propagate_labels(graph, seeds, "label_seed", rounds=5))
-    qry_nobatch = CountFrame(qry.x, qry.obs.drop("batch"))
-    out = project.map_query_semisup(ref, probs, qry_nobatch, axis, "batch")
+    qry_nobatch = CountFrame(qry.x, qry.obs.drop("batch"))  # the second dataset has no batch
+    out = project.map_query_semisup(space, probs, qry_nobatch, axis, "batch")
     return out.select("cell_id", "pred", round_half_up("confidence").alias("confidence"))
 
 
