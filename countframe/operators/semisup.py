@@ -60,3 +60,15 @@ def propagate_labels(graph: DataFrame, obs: DataFrame, label: str = "label_seed"
 def annotate(probs: DataFrame) -> DataFrame:
     """M8 + M9. Hard label (ties -> alphabetical) and confidence per row."""
     return argmax_label(probs, cls="label", p="p")
+
+
+def annotate_from_latent(spark, latent_path: str, obs: DataFrame, label: str = "label_seed",
+                         space: str = "nb", k: int = 15, rounds: int = ROUNDS) -> DataFrame:
+    """M10. Warm start: the second model starts from an embedding stored by
+    the first one (S4) instead of refitting it: read the stored latent,
+    build its kNN graph and propagate the seed labels over it."""
+    from countframe.operators.neighbors import neighbors
+    from countframe.sources.io import read_latent
+
+    latent = read_latent(spark, latent_path, space)
+    return propagate_labels(neighbors(latent, k), obs, label, rounds=rounds)

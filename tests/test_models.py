@@ -103,3 +103,16 @@ def test_mlp_early_stopping_keeps_best(spark, data):
     hard, long = models.predict(fit, va)
     assert hard.count() == va.count()
     assert long.count() == 3 * va.count()
+
+
+def test_warm_start_from_stored_latent(spark, data, tmpdir_path):
+    from countframe.sources import write_latent
+
+    _, y, df = data
+    seeds = df.select("cell_id", F.when(F.col("cell_id") % 4 == 0, F.col("label_idx").cast("string")).alias("seed"))
+    write_latent(df.select("cell_id", "vec"), f"{tmpdir_path}/lat", "nb")
+    warm = semisup.annotate_from_latent(spark, f"{tmpdir_path}/lat", seeds, "seed", "nb", k=5, rounds=3)
+    cold = semisup.propagate_labels(neighbors.neighbors(df.select("cell_id", "vec"), 5), seeds, "seed", rounds=3)
+    a = {(r["cell_id"], r["label"]): round(r["p"], 9) for r in warm.collect()}
+    b = {(r["cell_id"], r["label"]): round(r["p"], 9) for r in cold.collect()}
+    assert a == b

@@ -173,3 +173,28 @@ def test_attach_predictions_and_argmax(spark):
     probs = spark.createDataFrame([(1, "b", 0.4), (1, "a", 0.4), (1, "c", 0.2)], "cell_id long, class string, score double")
     r = evaluate.argmax_label(probs).first()
     assert r["pred"] == "a" and r["confidence"] == 0.4
+
+
+def test_ensure_qc_only_when_missing(spark):
+    cf = qc.ensure_qc(_cf(spark))
+    assert {"n_genes_by_counts", "total_counts"} <= set(cf.obs.columns)
+    again = qc.ensure_qc(cf)
+    assert again.obs is cf.obs  # present: not recomputed
+
+
+def test_evaluate_query_with_and_without_truth(spark):
+    preds = spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "cell_id long, pred string")
+    with_truth = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A")], "cell_id long, label_truth string")
+    m = evaluate.evaluate_query(preds, with_truth).first()
+    assert m["n"] == 3 and abs(m["accuracy"] - 2 / 3) < 1e-12
+    no_truth = spark.createDataFrame([(1,), (2,), (3,)], "cell_id long")
+    counts = {r["pred"]: r["n"] for r in evaluate.evaluate_query(preds, no_truth).collect()}
+    assert counts == {"A": 2, "B": 1}
+
+
+def test_histogram_and_distribution(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(11)], "v double")
+    h = {r["bin"]: r["n"] for r in summary.histogram(df, "v", bins=5).collect()}
+    assert sum(h.values()) == 11 and h[4] == 3  # max value lands in the last bin
+    d = summary.distribution(df, "v").first()
+    assert (d["q0"], d["q50"], d["q100"], d["n"]) == (0.0, 5.0, 10.0, 11)
