@@ -162,40 +162,41 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
     falls back to the totals over all training batches."""
     n = axis_size(genes)
     vc = cf.value_col
-    cell_tot = cf.x.groupBy("cell_id").agg(F.sum(vc).cast("double").alias("_ctot"))
+    # one pass per cell over *all* its entries: the library size and the
+    # entries on the (broadcast, bounded) axis, gathered together
+    g = F.broadcast(genes.select("gene_id", "gene_idx"))
+    per_cell = cf.x.join(g, "gene_id", "left").groupBy("cell_id").agg(
+        F.sum(vc).cast("double").alias("_ctot"),
+        F.map_from_entries(F.collect_list(
+            F.when(F.col("gene_idx").isNotNull(), F.struct("gene_idx", F.col(vc).cast("double"))))).alias("_m"))
     if batch_totals is None:
         batch_totals = nb_batch_totals(cf, genes, batch)
     # batch x axis arrays: bounded by (#batches + 1) x g
     gvec = _batch_arrays(batch_totals, n)
-    pooled = gvec.where(F.col("_b") == F.lit(POOLED))
-    pooled_g = pooled.select(F.first("_g")).scalar()
-    pooled_t = pooled.select(F.first("_btot")).scalar()
+    # the pooled row as one scalar subquery (an axis-length array and a total)
+    pooled = gvec.where(F.col("_b") == F.lit(POOLED)).select(F.first(F.struct("_g", "_btot"))).scalar()
     if batch in cf.obs.columns:
-        cells = cf.obs.select("cell_id", F.col(batch).alias("_b")).join(cell_tot, "cell_id", "left")
-        # a batch unseen in the totals falls back to the pooled row (two
-        # scalar subqueries: one array of axis length and one total)
+        cells = cf.obs.select("cell_id", F.col(batch).alias("_b")).join(per_cell, "cell_id", "left")
+        # a batch unseen in the totals falls back to the pooled row
         cells = (cells.join(F.broadcast(gvec), "_b", "left")
-                 .withColumn("_g", F.coalesce("_g", pooled_g))
-                 .withColumn("_btot", F.coalesce("_btot", pooled_t)))
+                 .withColumn("_g", F.coalesce("_g", pooled["_g"]))
+                 .withColumn("_btot", F.coalesce("_btot", pooled["_btot"])))
     else:
         # rows without a batch (a second dataset, batch "test") are an
         # unseen batch: pooled totals for every row, no join needed
-        cells = cf.obs.select("cell_id").join(cell_tot, "cell_id", "left") \
-            .withColumn("_g", pooled_g).withColumn("_btot", pooled_t)
+        cells = cf.obs.select("cell_id").join(per_cell, "cell_id", "left") \
+            .withColumn("_g", pooled["_g"]).withColumn("_btot", pooled["_btot"])
     cells = cells.withColumn("_ctot", F.coalesce("_ctot", F.lit(0.0)))
-    from countframe.operators.features import to_vectors
-
-    vecs = to_vectors(cf.values(), genes, cf.obs)
-    n_cells = cf.obs.count()
-    clipv = float(np.sqrt(n_cells))
-    j = vecs.join(cells, "cell_id")
+    clipv = float(np.sqrt(cf.obs.count()))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                      lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
 
-    def r(v, g):
-        mu = F.col("_ctot") * g / F.col("_btot")
+    def r(v, gt):
+        mu = F.col("_ctot") * gt / F.col("_btot")
         res = (v - mu) / F.sqrt(mu + mu * mu / F.lit(theta))
         return F.when(mu > 0, F.greatest(F.least(res, F.lit(clipv)), F.lit(-clipv))).otherwise(F.lit(0.0))
 
-    return j.select("cell_id", F.zip_with("vec", "_g", r).alias("vec"))
+    return cells.select("cell_id", F.zip_with(vec, F.col("_g"), r).alias("vec"))
 
 
 def nb_batch_totals(cf: CountFrame, genes: DataFrame, batch: str = "batch") -> DataFrame:

@@ -8,7 +8,9 @@ from countframe.functions.hashing import round_half_up
 from countframe.operators import embed, features, hvg, normalize, sampling
 from countframe.plans.catalog import query
 from countframe.frame import CountFrame
-from countframe.plans.q_preprocess import F1_HVG, F1_LOG, F2_SQL, f1_hvg, f1_log, f2_train_axis, hvg_axis
+from countframe.plans.q_preprocess import (
+    F1_HVG, F1_LOG, F2_SQL, f1_base, f1_hvg, f1_log, f2_pair, f2_train_axis, hvg_axis,
+)
 from countframe.plans.sqlbits import h, rnd, scale_cte, stats_cte
 from countframe.session import cut_lineage
 from countframe.sources import fixtures
@@ -91,16 +93,16 @@ SELECT cell_id, gene_id,
          AS value
 FROM nb_mu""")
 def nb_residuals_q(spark, sf):
-    f1 = fixtures.customer_products(spark, sf)
-    axis = hvg_axis(f1_hvg(spark, sf))
+    f1 = f1_base(spark, sf, materialize=True)
+    axis = hvg_axis(f1_hvg(spark, sf, f1))
     vecs = embed.nb_residual_vectors(f1, axis, "batch")
     return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))
 
 
 @query("nb_latent")
 def nb_latent_q(spark, sf):
-    f1 = fixtures.customer_products(spark, sf)
-    axis = hvg_axis(f1_hvg(spark, sf))
+    f1 = f1_base(spark, sf, materialize=True)
+    axis = hvg_axis(f1_hvg(spark, sf, f1))
     res = embed.nb_latent(f1, axis, 20, "batch")
     return _long(res.latent).withColumn("score", round_half_up("score"))
 
@@ -131,8 +133,9 @@ FROM u_mu""")
 def nb_residuals_unseen_batch_q(spark, sf):
     """Query rows without a batch get 'test'; the residuals use the frozen
     reference totals, pooled over its batches for the unseen batch."""
-    ref, qry = fixtures.reference_query_pair(spark, sf)
-    axis = f2_train_axis(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    ref, qry = pair
+    axis = f2_train_axis(spark, sf, pair)
     qobs = qry.obs.drop("batch")  # the second dataset carries no batch: unseen
     totals = embed.nb_batch_totals(ref, axis, "batch")
     vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals)

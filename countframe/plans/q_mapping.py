@@ -13,15 +13,15 @@ from countframe.operators import (
 from countframe.plans.catalog import query
 from countframe.plans.q_embedding import f4_features
 from countframe.plans.q_models import f4_training_sets
-from countframe.plans.q_preprocess import F1_LOG, f1_log, f2_common_axis, f2_train_axis
+from countframe.plans.q_preprocess import F1_LOG, f1_log, f2_common_axis, f2_pair, f2_train_axis
 from countframe.plans.sqlbits import h, rnd
 from countframe.session import cut_lineage
 from countframe.sources import fixtures
 
 
-def f2_masked(spark, sf):
+def f2_masked(spark, sf, pair=None):
     """Reference side with 30 % of its labels hidden, and the query side."""
-    ref, qry = fixtures.reference_query_pair(spark, sf)
+    ref, qry = pair if pair is not None else fixtures.reference_query_pair(spark, sf)
     mobs = sampling.mask_labels(ref.obs)
     return CountFrame(ref.x, mobs), qry
 
@@ -33,16 +33,17 @@ def _out(df, cols=("cell_id", "pred")):
 # T1 ---------------------------------------------------------------------------
 @query("map_query_knn")
 def map_query_knn_q(spark, sf):
-    ref, qry = f2_masked(spark, sf)
-    axis = f2_common_axis(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    ref, qry = f2_masked(spark, sf, pair)
+    axis = f2_common_axis(spark, sf, pair)
     space = project.fit_knn_space(ref, axis, "label_masked", n_pcs=50)
     return _out(project.map_query_knn(space, qry))
 
 
-def f2_ref_training(spark, sf):
+def f2_ref_training(spark, sf, pair):
     """Labelled reference rows on the training axis: (cell_id, vec, label_idx)."""
-    ref, _ = f2_masked(spark, sf)
-    axis = f2_train_axis(spark, sf)
+    ref, _ = f2_masked(spark, sf, pair)
+    axis = f2_train_axis(spark, sf, pair)
     rlog = normalize.log1p(normalize.normalize_total(ref))
     vecs = cut_lineage(normalize.scale(rlog, axis, "self"))
     labels = fixtures.class_list(ref.obs, "label_truth")
@@ -55,8 +56,9 @@ def f2_ref_training(spark, sf):
 # T2 ---------------------------------------------------------------------------
 @query("map_query_classifier")
 def map_query_classifier_q(spark, sf):
-    _, qry = f2_masked(spark, sf)
-    _, axis, _, train, labels = f2_ref_training(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    _, qry = f2_masked(spark, sf, pair)
+    _, axis, _, train, labels = f2_ref_training(spark, sf, pair)
     fit = models.fit_softmax(train.select("cell_id", "vec", "label_idx"), labels)
     hard = project.map_query_classifier(fit, axis, qry)
     return hard.select("cell_id", "pred", round_half_up("confidence").alias("confidence"))
@@ -65,8 +67,9 @@ def map_query_classifier_q(spark, sf):
 # T3 ---------------------------------------------------------------------------
 @query("map_query_latent")
 def map_query_latent_q(spark, sf):
-    _, qry = f2_masked(spark, sf)
-    _, axis, vecs, train, _ = f2_ref_training(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    _, qry = f2_masked(spark, sf, pair)
+    _, axis, vecs, train, _ = f2_ref_training(spark, sf, pair)
     ae, _ = embed.linear_autoencoder(vecs, 20)
     train_lat = ae.latent.join(train.select("cell_id", "label"), "cell_id")
     return _out(project.map_query_latent(ae, train_lat, axis, qry))
@@ -75,8 +78,9 @@ def map_query_latent_q(spark, sf):
 # T4 ---------------------------------------------------------------------------
 @query("map_query_semisup")
 def map_query_semisup_q(spark, sf):
-    ref, qry = f2_masked(spark, sf)
-    axis = f2_train_axis(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    ref, qry = f2_masked(spark, sf, pair)
+    axis = f2_train_axis(spark, sf, pair)
     space = project.fit_nb_space(ref, axis, "batch", 20)
     graph = neighbors.neighbors(space.pca.latent, 15)
     seeds = ref.obs.select("cell_id", F.when(~F.col("masked"), F.col("label_truth")).alias("label_seed"))

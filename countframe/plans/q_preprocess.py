@@ -23,16 +23,23 @@ def _r(df, col="value", digits=6):
 
 
 # ---- shared Spark steps ------------------------------------------------------
-def f1_norm(spark, sf) -> CountFrame:
-    return normalize.normalize_total(fixtures.customer_products(spark, sf))
+def f1_base(spark, sf, materialize: bool = False) -> CountFrame:
+    """F1; multi-pass plans materialise it once instead of re-running the
+    three-way join for every pass."""
+    cf = fixtures.customer_products(spark, sf)
+    return fixtures.materialize(cf) if materialize else cf
 
 
-def f1_log(spark, sf) -> CountFrame:
-    return normalize.log1p(f1_norm(spark, sf))
+def f1_norm(spark, sf, base: CountFrame | None = None) -> CountFrame:
+    return normalize.normalize_total(base if base is not None else fixtures.customer_products(spark, sf))
 
 
-def f1_hvg(spark, sf):
-    cf = f1_norm(spark, sf)
+def f1_log(spark, sf, base: CountFrame | None = None) -> CountFrame:
+    return normalize.log1p(f1_norm(spark, sf, base))
+
+
+def f1_hvg(spark, sf, base: CountFrame | None = None):
+    cf = f1_norm(spark, sf, base)
     return hvg.highly_variable(cf.x, cf.obs, N_TOP_BATCH, batch="batch")
 
 
@@ -94,7 +101,8 @@ def gene_stats_q(spark, sf):
 SELECT cell_id, gene_id, {rnd('value')} AS value FROM f1_log
 WHERE gene_id IN (SELECT gene_id FROM f1_hv WHERE highly_variable)""")
 def select_features_q(spark, sf):
-    cf = f1_log(spark, sf).with_var(f1_hvg(spark, sf))
+    base = f1_base(spark, sf, materialize=True)
+    cf = f1_log(spark, sf, base).with_var(f1_hvg(spark, sf, base))
     return _r(features.select_features(cf, "highly_variable").x)
 
 
@@ -105,8 +113,9 @@ f1_sel AS (SELECT * FROM f1_log WHERE gene_id IN (SELECT gene_id FROM f1_axis)),
        scale_cte("f1_sel", "f1_axis", "f1_obs", "f1_sst", "f1_z") +
        f" SELECT cell_id, gene_id, {rnd('value')} AS value FROM f1_z")
 def scale_clip_q(spark, sf):
-    cf = f1_log(spark, sf)
-    axis = hvg_axis(f1_hvg(spark, sf))
+    base = f1_base(spark, sf, materialize=True)
+    cf = f1_log(spark, sf, base)
+    axis = hvg_axis(f1_hvg(spark, sf, base))
     vecs = normalize.scale(cf, axis, "self")
     return _r(normalize.vectors_to_long(vecs, axis))
 
@@ -117,21 +126,26 @@ SELECT c.cell_id, g.gene_idx, CAST(coalesce(x.n, 0) AS DOUBLE) AS value
 FROM f1_obs c CROSS JOIN f1_axis g
 LEFT JOIN f1_x x ON x.cell_id = c.cell_id AND x.gene_id = g.gene_id""")
 def dense_vectors_q(spark, sf):
-    f1 = fixtures.customer_products(spark, sf)
-    axis = hvg_axis(f1_hvg(spark, sf))
+    f1 = f1_base(spark, sf, materialize=True)
+    axis = hvg_axis(f1_hvg(spark, sf, f1))
     vecs = features.to_vectors(f1.values(), axis, f1.obs)
     return vecs.select("cell_id", F.posexplode("vec").alias("gene_idx", "value"))
 
 
 # ---- F2: reference / query pair -------------------------------------------------
-def f2_logs(spark, sf):
-    ref, qry = fixtures.reference_query_pair(spark, sf)
+def f2_pair(spark, sf, materialize: bool = False):
+    """(reference, query) of F2, over one materialised F1 when asked."""
+    return fixtures.reference_query_pair(spark, sf, f1_base(spark, sf, materialize) if materialize else None)
+
+
+def f2_logs(spark, sf, pair=None):
+    ref, qry = pair if pair is not None else fixtures.reference_query_pair(spark, sf)
     return normalize.log1p(normalize.normalize_total(ref)), normalize.log1p(normalize.normalize_total(qry))
 
 
-def f2_train_axis(spark, sf):
+def f2_train_axis(spark, sf, pair=None):
     """Training feature list: per-batch variable genes of the reference."""
-    ref, _ = fixtures.reference_query_pair(spark, sf)
+    ref, _ = pair if pair is not None else fixtures.reference_query_pair(spark, sf)
     rn = normalize.normalize_total(ref)
     return hvg_axis(hvg.highly_variable(rn.x, rn.obs, N_TOP_BATCH, batch="batch"))
 
@@ -148,8 +162,8 @@ f2_axis AS (
   FROM f2_hv WHERE highly_variable)"""
 
 
-def f2_common_axis(spark, sf):
-    ref, qry = fixtures.reference_query_pair(spark, sf)
+def f2_common_axis(spark, sf, pair=None):
+    ref, qry = pair if pair is not None else fixtures.reference_query_pair(spark, sf)
     return features.freeze_axis(features.index_genes(features.common_genes(ref.genes(), qry.genes())))
 
 
@@ -180,8 +194,9 @@ SELECT c.cell_id, g.gene_id, {rnd('coalesce(v.value, 0.0)')} AS value
 FROM f2_qry_obs c CROSS JOIN f2_axis g
 LEFT JOIN f2_qry_log v ON v.cell_id = c.cell_id AND v.gene_id = g.gene_id""")
 def align_features_q(spark, sf):
-    _, qlog = f2_logs(spark, sf)
-    return _r(features.align_features(qlog.x, f2_train_axis(spark, sf), qlog.obs))
+    pair = f2_pair(spark, sf, materialize=True)
+    _, qlog = f2_logs(spark, sf, pair)
+    return _r(features.align_features(qlog.x, f2_train_axis(spark, sf, pair), qlog.obs))
 
 
 # P7 ---------------------------------------------------------------------------
@@ -198,8 +213,9 @@ f2_ref_sel AS (SELECT * FROM f2_ref_log WHERE gene_id IN (SELECT gene_id FROM f2
        scale_cte("f2_qry_log", "f2_common", "f2_qry_obs", "f2_tst", "f2_z") +
        f" SELECT cell_id, gene_id, {rnd('value')} AS value FROM f2_z")
 def scale_with_train_stats_q(spark, sf):
-    rlog, qlog = f2_logs(spark, sf)
-    axis = f2_common_axis(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    rlog, qlog = f2_logs(spark, sf, pair)
+    axis = f2_common_axis(spark, sf, pair)
     train = features.select_genes(rlog.x, axis)
     st = normalize.gene_stats(train, normalize.n_cells_of(rlog.obs))
     vecs = normalize.scale(qlog, axis, st)
@@ -213,6 +229,7 @@ f2_qry_sel AS (SELECT * FROM f2_qry_log WHERE gene_id IN (SELECT gene_id FROM f2
        scale_cte("f2_qry_log", "f2_common", "f2_qry_obs", "f2_sst", "f2_z") +
        f" SELECT cell_id, gene_id, {rnd('value')} AS value FROM f2_z")
 def scale_self_stats_q(spark, sf):
-    _, qlog = f2_logs(spark, sf)
-    axis = f2_common_axis(spark, sf)
+    pair = f2_pair(spark, sf, materialize=True)
+    _, qlog = f2_logs(spark, sf, pair)
+    axis = f2_common_axis(spark, sf, pair)
     return _r(normalize.vectors_to_long(normalize.scale(qlog, axis, "self"), axis))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from countframe.frame import CountFrame
 from countframe.functions.hashing import hash16, md5_key
-from countframe.sources.tables import table
+from countframe.sources.tables import spread, table
 
 # Fixed values shared with the SQL oracle ------------------------------------
 TOKEN_STRIP = "\n.,"          # characters turned into spaces before splitting
@@ -32,7 +32,8 @@ REFERENCE_DROPS_BRAND = "Brand#3"
 
 # F1 --------------------------------------------------------------------------
 def customer_products(spark: SparkSession, sf_dir: str) -> CountFrame:
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    # an order has a bounded number of lines: spreading on it cannot skew
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = table(spark, sf_dir, "part").select(
         "p_partkey", F.concat("p_brand", F.lit("|"), "p_type").alias("gene_id"))
@@ -57,10 +58,19 @@ def customer_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # F2 --------------------------------------------------------------------------
-def reference_query_pair(spark: SparkSession, sf_dir: str) -> tuple[CountFrame, CountFrame]:
+def materialize(cf: CountFrame) -> CountFrame:
+    """Write the count matrix once into the shared checkpoint folder, for
+    plans that read it several times (statistics, feature axis, vectors)."""
+    from countframe.session import cut_lineage
+
+    return CountFrame(cut_lineage(cf.x), cf.obs, cf.var, cf.latent)
+
+
+def reference_query_pair(spark: SparkSession, sf_dir: str,
+                         base: CountFrame | None = None) -> tuple[CountFrame, CountFrame]:
     """F1 split by a seeded hash of the customer: ~20 % query, rest reference.
     The query side lacks one brand, the reference another."""
-    f1 = customer_products(spark, sf_dir)
+    f1 = base if base is not None else customer_products(spark, sf_dir)
     is_query = hash16(F.col("cell_id"), SPLIT_SALT) < SPLIT_CUT
     brand = F.split(F.col("gene_id"), r"\|").getItem(0)
     ref_x = f1.x.where(~is_query & (brand != REFERENCE_DROPS_BRAND))
@@ -82,7 +92,9 @@ def embedding_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
 # F4 --------------------------------------------------------------------------
 def document_tokens(spark: SparkSession, sf_dir: str, min_docs: float = TOKEN_MIN_DOCS,
                     min_fraction: float = TOKEN_MIN_FRACTION) -> CountFrame:
-    docs = table(spark, sf_dir, "documents")
+    # doc_id is unique, so spreading on it cannot skew; the per-(doc, token)
+    # counts and per-document windows below reuse this partitioning
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     # whole texts: every token of every document is counted
     tok = (docs.select(F.col("doc_id").alias("cell_id"),
                        F.explode(F.split(F.translate(F.lower("text"), TOKEN_STRIP, " " * len(TOKEN_STRIP)),
