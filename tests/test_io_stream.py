@@ -89,3 +89,12 @@ def test_project_stream_memory_sink(spark, tmpdir_path):
     q.stop()
     got = spark.sql("SELECT * FROM proj_out").select("cell_id", F.col("vec")[0].alias("z")).collect()
     assert len(got) == 10
+
+
+def test_checkpoint_dir_from_session_setting(spark, tmpdir_path):
+    from countframe.session import cut_lineage, ensure_checkpoint_dir
+
+    current = ensure_checkpoint_dir(spark)
+    assert current  # a local session gets one when unset
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10
