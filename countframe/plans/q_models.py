@@ -28,19 +28,22 @@ def label_encode_q(spark, sf):
 
 def f4_training_sets(spark, sf):
     """(train, val, masked, labels): labelled rows split 80/20 per class,
-    masked rows to predict; each (cell_id, vec, label_idx[, truth])."""
+    masked rows to predict; each (cell_id, vec, label_idx[, truth]).
+
+    The dense vectors are materialised once (``f4_features``); the split
+    itself is computed on the small (id, label) table and materialised, so
+    the three sets are the vectors joined with it.  MLlib persists its own
+    training input for the iterations."""
     vecs, _, mobs = f4_features(spark, sf)
     labels = fixtures.class_list(mobs, "label_truth")
     idx = fixtures.label_index(mobs.select(F.col("label_truth").alias("label")))
-    rows = (vecs.join(mobs.select("cell_id", "masked", F.col("label_truth").alias("label")), "cell_id")
-            .join(F.broadcast(idx), "label"))
-    # iterative fits make many passes: materialise once in the shared
-    # checkpoint folder instead of recomputing tokens, HVG and scaling
-    rows = cut_lineage(rows)
-    lab = cut_lineage(sampling.stratified_split(rows.where(~F.col("masked")), "label", 0.20))
-    train = lab.where(~F.col("is_val")).select("cell_id", "vec", "label_idx")
-    val = lab.where(F.col("is_val")).select("cell_id", "vec", "label_idx")
-    masked = rows.where(F.col("masked")).select("cell_id", "vec", "label_idx", F.col("label").alias("truth"))
+    meta = mobs.select("cell_id", "masked", F.col("label_truth").alias("label")).join(F.broadcast(idx), "label")
+    split = cut_lineage(sampling.stratified_split(meta.where(~F.col("masked")), "label", 0.20)
+                        .select("cell_id", "label_idx", "is_val"))
+    train = vecs.join(split.where(~F.col("is_val")).select("cell_id", "label_idx"), "cell_id")
+    val = vecs.join(split.where(F.col("is_val")).select("cell_id", "label_idx"), "cell_id")
+    masked = vecs.join(meta.where(F.col("masked")).select("cell_id", "label_idx", F.col("label").alias("truth")),
+                       "cell_id")
     return train, val, masked, labels
 
 
