@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from countframe.frame import CountFrame
 from countframe.operators.features import axis_size
+from countframe.session import ship_library
 
 THETA = 100.0
 POOLED = "__all__"
@@ -81,6 +82,7 @@ def project_vectors(vecs: DataFrame, components: np.ndarray, mean: np.ndarray |
     """D2 (vector form). (x - mean) @ PC per Arrow batch; the g x k matrix is
     shipped to the tasks once.  Row-local, so it also runs on a stream."""
     spark = vecs.sparkSession
+    ship_library(spark)
     bc = spark.sparkContext.broadcast((np.asarray(components, dtype=np.float64),
                                        None if mean is None else np.asarray(mean, dtype=np.float64)))
 

@@ -15,6 +15,8 @@ from pyspark.ml.classification import LogisticRegressionModel, MultilayerPercept
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countframe.session import ship_library
+
 STEPS = 50
 
 
@@ -68,6 +70,7 @@ def integrated_gradients(model, df: DataFrame, target: str = "target", vec: str
     Midpoint rule with ``steps`` points for the network; exact for the
     linear model."""
     spark = df.sparkSession
+    ship_library(spark)
     if isinstance(model, LogisticRegressionModel):
         kind, params = "linear", (model.coefficientMatrix.toArray(), model.interceptVector.toArray())
     elif isinstance(model, MultilayerPerceptronClassificationModel):

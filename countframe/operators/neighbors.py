@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import round_half_up
+from countframe.session import ship_library
 
 K = 15
 BLOCK_ROWS = 2048
@@ -125,6 +126,7 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", k
 
     A training side of at most ``broadcast_bytes`` (rows x dim x 8, counted
     first) is broadcast; beyond it the blocked cogroup runs."""
+    ship_library(query.sparkSession)
     q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     if method == "lsh":

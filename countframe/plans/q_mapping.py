@@ -91,8 +91,8 @@ def map_query_semisup_q(spark, sf):
 
 
 # X1 ---------------------------------------------------------------------------
-def f4_softmax(spark, sf):
-    train, _, masked, labels = f4_training_sets(spark, sf)
+def f4_softmax(spark, sf, feats=None):
+    train, _, masked, labels = f4_training_sets(spark, sf, feats)
     return models.fit_softmax(train, labels), masked, labels
 
 
@@ -130,7 +130,9 @@ def top_features_q(spark, sf):
 # X3 ---------------------------------------------------------------------------
 @query("explain_labels")
 def explain_labels_q(spark, sf):
-    fit, masked, labels = f4_softmax(spark, sf)
+    feats = f4_features(spark, sf)
+    axis = feats[1]
+    fit, masked, labels = f4_softmax(spark, sf, feats)
     hard, _ = models.predict(fit, masked)
     first3 = [r[0] for r in summary.distinct_labels(hard, "pred", 3).collect()]
     idx = {l: i for i, l in enumerate(labels)}
@@ -138,7 +140,6 @@ def explain_labels_q(spark, sf):
     rows = sampling.limit_per_label(rows, 50, label="pred")
     target = F.element_at(F.create_map(*[x for l in first3 for x in (F.lit(l), F.lit(idx[l]))]), F.col("pred"))
     ig = explain.integrated_gradients(fit.model, rows.withColumn("target", target.cast("int")))
-    _, axis, _ = f4_features(spark, sf)
     means = explain.mean_attribution(ig, by=["target"]).join(F.broadcast(axis), "gene_idx")
     top = explain.top_features(means, 10, by=["target"])
     names = F.lit(labels)
@@ -163,6 +164,7 @@ def model_comparison_q(spark, sf):
     truth = mobs.where("masked").select("cell_id", F.col("label_truth").alias("truth"))
     lab = sampling.labeled(mobs).select("cell_id", F.col("label_truth").alias("label"))
     rows = []
+    feats = (vecs, axis, mobs)
     # PCA + kNN
     pcs = embed.pca(vecs, 50)
     lat = cut_lineage(pcs.latent)
@@ -171,7 +173,7 @@ def model_comparison_q(spark, sf):
     knn = neighbors.knn_predict(neighbors.knn_predict_proba(neighbors.knn_join(q, t, 15), t))
     rows.append(("pca_knn", _metrics_row(knn.withColumnRenamed("query_id", "cell_id"), truth)))
     # MLP
-    train, val, masked, labels = f4_training_sets(spark, sf)
+    train, val, masked, labels = f4_training_sets(spark, sf, feats)
     fit = models.fit_mlp(train, labels, val=val)
     hard, _ = models.predict(fit, masked)
     rows.append(("mlp", _metrics_row(hard, truth)))

@@ -26,7 +26,7 @@ def label_encode_q(spark, sf):
     return enc.select("cell_id", "label", "label_idx")
 
 
-def f4_training_sets(spark, sf):
+def f4_training_sets(spark, sf, feats=None):
     """(train, val, masked, labels): labelled rows split 80/20 per class,
     masked rows to predict; each (cell_id, vec, label_idx[, truth]).
 
@@ -34,7 +34,7 @@ def f4_training_sets(spark, sf):
     itself is computed on the small (id, label) table and materialised, so
     the three sets are the vectors joined with it.  MLlib persists its own
     training input for the iterations."""
-    vecs, _, mobs = f4_features(spark, sf)
+    vecs, _, mobs = feats if feats is not None else f4_features(spark, sf)
     labels = fixtures.class_list(mobs, "label_truth")
     idx = fixtures.label_index(mobs.select(F.col("label_truth").alias("label")))
     meta = mobs.select("cell_id", "masked", F.col("label_truth").alias("label")).join(F.broadcast(idx), "label")

@@ -41,6 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_library(spark)
     return spark
 
 
@@ -89,3 +90,27 @@ def cut_lineage(df):
         return df.checkpoint(eager=True)
     finally:
         df.unpersist()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make ``countframe`` importable in the Python workers (once per
+    application): the Arrow functions of the kNN kernel, the projection and
+    the attributions refer to functions of this package.  The package is
+    zipped on the driver and distributed by Spark itself (``addPyFile``),
+    the same as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+
+    import countframe
+
+    pkg_dir = os.path.dirname(os.path.abspath(countframe.__file__))
+    staging = tempfile.mkdtemp(prefix="countframe-lib-")
+    archive = shutil.make_archive(os.path.join(staging, "countframe"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="countframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
