@@ -119,7 +119,9 @@ def project(x: DataFrame, loadings: DataFrame, cells: DataFrame, n_pcs: int, sta
         def clip(c):
             return F.greatest(F.least(c, F.lit(max_value)), F.lit(-max_value)) if max_value is not None else c
 
-        st = stats.select("gene_id", F.col("mean").alias("_mu"), sd.alias("_sd"))
+        # statistics of the loadings' genes only: bounded by the axis
+        st = stats.join(loadings.select("gene_id").distinct(), "gene_id", "left_semi") \
+            .select("gene_id", F.col("mean").alias("_mu"), sd.alias("_sd"))
         st = st.withColumn("_z0", clip(-F.col("_mu") / F.col("_sd")))
         xs = x.join(F.broadcast(st), "gene_id").select(
             "cell_id", "gene_id", (clip((F.col(value) - F.col("_mu")) / F.col("_sd")) - F.col("_z0")).alias("_d"))
@@ -180,7 +182,8 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
     if batch in cf.obs.columns:
         cells = cf.obs.select("cell_id", F.col(batch).alias("_b")).join(per_cell, "cell_id", "left")
         # a batch unseen in the totals falls back to the pooled row
-        cells = (cells.join(F.broadcast(gvec), "_b", "left")
+        # (#batches + 1) rows: AQE broadcasts them once measured
+        cells = (cells.join(gvec, "_b", "left")
                  .withColumn("_g", F.coalesce("_g", pooled["_g"]))
                  .withColumn("_btot", F.coalesce("_btot", pooled["_btot"])))
     else:

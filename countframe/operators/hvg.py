@@ -41,8 +41,8 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
         cells = obs.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"))
         per = xb.groupBy("_batch", "gene_id").agg(
             F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
-        # one row per batch: small
-        per = per.join(F.broadcast(cells), "_batch")
+        # one row per batch; AQE broadcasts it once it has measured it
+        per = per.join(cells, "_batch")
     n = F.col("_n").cast("double")
     mean = F.col("_s1") / n
     var = safe_div(F.col("_s2") - n * mean * mean, n - 1)
@@ -51,37 +51,49 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
     per = per.select("_batch", "gene_id", "mean",
                      F.when(disp > 0, F.log(disp)).alias("log_disp"),
                      F.log1p("mean").alias("log_mean"))
-    wb = Window.partitionBy("_batch")
-    lo = F.min("log_mean").over(wb)
-    hi = F.max("log_mean").over(wb)
-    frac = safe_div(F.col("log_mean") - lo, hi - lo)
+    # per-batch range of log means: an aggregate joined back (one row per
+    # batch), not a window holding every gene of a batch
+    rng = per.groupBy("_batch").agg(F.min("log_mean").alias("_lo"), F.max("log_mean").alias("_hi"))
+    per = per.join(rng, "_batch")
+    frac = safe_div(F.col("log_mean") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     per = per.withColumn("bin", F.least(F.lit(N_BINS - 1),
                                          F.coalesce(F.floor(frac * N_BINS), F.lit(0))).cast("int"))
-    wbin = Window.partitionBy("_batch", "bin")
-    bmean = F.avg("log_disp").over(wbin)
-    bstd = F.stddev_samp("log_disp").over(wbin)
+    # per-bin mean / std of the log dispersion: at most 20 rows per batch
+    bins = per.groupBy("_batch", "bin").agg(F.avg("log_disp").alias("_bm"), F.stddev_samp("log_disp").alias("_bs"))
+    per = per.join(bins, ["_batch", "bin"])
     norm = F.when(F.col("log_disp").isNull(), F.lit(None).cast("double")) \
-        .when(bstd.isNull(), F.lit(1.0)) \
-        .otherwise(safe_div(F.col("log_disp") - bmean, bstd))
-    return per.withColumn("norm", norm).withColumnRenamed("_batch", "batch")
+        .when(F.col("_bs").isNull(), F.lit(1.0)) \
+        .otherwise(safe_div(F.col("log_disp") - F.col("_bm"), F.col("_bs")))
+    return per.withColumn("norm", norm).select(
+        F.col("_batch").alias("batch"), "gene_id", "mean", "log_disp", "log_mean", "bin", "norm")
 
 
 def highly_variable(x_norm: DataFrame, obs: DataFrame, n_top: int = 2000, batch: str | None = None,
                     value: str = "value") -> DataFrame:
-    """N3/N3b. (gene_id, n_batches, dispersion_norm, highly_variable, rank)."""
+    """N3/N3b. (gene_id, n_batches, dispersion_norm, highly_variable, rank);
+    ``rank`` is the position among the selected genes (NULL otherwise)."""
     d = dispersion_table(x_norm, obs, batch, value)
     # ranks compare values rounded to 1e-9, so that last-bit differences of
     # floating sums never reorder genes
-    w = Window.partitionBy("batch").orderBy(round_half_up("norm", 9).desc_nulls_last())
-    d = d.withColumn("flag", F.col("norm").isNotNull() & (F.rank().over(w) <= n_top))
+    d = d.withColumn("_n9", round_half_up("norm", 9))
+    # per-batch top n: rank() <= n  <=>  norm >= the n-th largest norm of the
+    # batch.  row_number <= n is limited per partition before the shuffle.
+    w = Window.partitionBy("batch").orderBy(F.col("_n9").desc())
+    cut = (d.where(F.col("_n9").isNotNull()).withColumn("_r", F.row_number().over(w))
+           .where(F.col("_r") <= n_top).groupBy("batch").agg(F.min("_n9").alias("_cut")))
+    d = d.join(cut, "batch", "left").withColumn(
+        "flag", F.coalesce(F.col("_n9") >= F.col("_cut"), F.lit(False)))
     n_batches = (obs.select(batch).distinct().select(F.count(F.lit(1))).scalar()
                  if batch is not None else F.lit(1))
     g = d.groupBy("gene_id").agg(
         F.count_if("flag").alias("n_batches"),
         F.sum(F.coalesce("norm", F.lit(0.0))).alias("_sn"))
-    g = g.withColumn("dispersion_norm", F.col("_sn") / n_batches)
-    # top n over the (bounded) gene list; Spark limits per partition first
-    wr = Window.orderBy(F.col("n_batches").desc(), round_half_up("dispersion_norm", 9).desc(), F.col("gene_id"))
-    g = g.withColumn("rank", F.row_number().over(wr))
+    g = g.withColumn("dispersion_norm", F.col("_sn") / n_batches) \
+        .withColumn("_d9", round_half_up("dispersion_norm", 9))
+    # overall top n: a bounded take-ordered, numbered, broadcast back
+    order = [F.col("n_batches").desc(), F.col("_d9").desc(), F.col("gene_id")]
+    top = g.orderBy(*order).limit(n_top).select("gene_id", "n_batches", "_d9")
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("gene_id", "rank")
+    g = g.join(F.broadcast(top), "gene_id", "left")
     return g.select("gene_id", "n_batches", "dispersion_norm",
-                    (F.col("rank") <= n_top).alias("highly_variable"), "rank")
+                    F.col("rank").isNotNull().alias("highly_variable"), F.col("rank").cast("int").alias("rank"))

@@ -161,7 +161,8 @@ def hvg_ctes(src_norm: str, src_obs: str, n_top: int, batch: bool, p: str) -> st
   SELECT gene_id, count_if(flag) AS n_batches, sum(coalesce(norm, 0.0)) / {nbat} AS dispersion_norm
   FROM {p}_f GROUP BY gene_id),
 {p} AS (
-  SELECT gene_id, n_batches, dispersion_norm, r <= {n_top} AS highly_variable, r AS rank FROM (
+  SELECT gene_id, n_batches, dispersion_norm, r <= {n_top} AS highly_variable,
+         CAST(CASE WHEN r <= {n_top} THEN r END AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (ORDER BY n_batches DESC, {rnd('dispersion_norm', 9)} DESC, gene_id) AS r
     FROM {p}_g))"""
 

@@ -129,7 +129,7 @@ def rule_predictions(obs: DataFrame) -> DataFrame:
     n_labels = labels.select(F.count(F.lit(1))).scalar()
     base = obs.select("cell_id", F.col("label").alias("truth")).withColumn(
         "_alt", (hash16(F.col("cell_id"), 8) % n_labels).cast("int"))
-    alt = F.broadcast(labels.select(F.col("label_idx").alias("_alt"), F.col("label").alias("_alt_label")))
+    alt = labels.select(F.col("label_idx").alias("_alt"), F.col("label").alias("_alt_label"))
     return (base.join(alt, "_alt", "left")
             .select("cell_id", "truth",
                     F.when(hash16(F.col("cell_id"), 7) < PRED_KEEP, F.col("truth"))
