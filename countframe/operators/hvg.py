@@ -53,8 +53,14 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
                      F.log1p("mean").alias("log_mean"))
     # per-batch range of log means: an aggregate joined back (one row per
     # batch), not a window holding every gene of a batch
-    rng = per.groupBy("_batch").agg(F.min("log_mean").alias("_lo"), F.max("log_mean").alias("_hi"))
-    per = per.join(rng, "_batch")
+    if batch is None:
+        # one batch: the range is two scalar subqueries (a join on the
+        # constant batch key would become a nested-loop join)
+        per = per.withColumn("_lo", per.select(F.min("log_mean")).scalar()) \
+                 .withColumn("_hi", per.select(F.max("log_mean")).scalar())
+    else:
+        rng = per.groupBy("_batch").agg(F.min("log_mean").alias("_lo"), F.max("log_mean").alias("_hi"))
+        per = per.join(rng, "_batch")
     frac = safe_div(F.col("log_mean") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     per = per.withColumn("bin", F.least(F.lit(N_BINS - 1),
                                          F.coalesce(F.floor(frac * N_BINS), F.lit(0))).cast("int"))
@@ -79,10 +85,12 @@ def highly_variable(x_norm: DataFrame, obs: DataFrame, n_top: int = 2000, batch:
     # per-batch top n: rank() <= n  <=>  norm >= the n-th largest norm of the
     # batch.  row_number <= n is limited per partition before the shuffle.
     w = Window.partitionBy("batch").orderBy(F.col("_n9").desc())
-    cut = (d.where(F.col("_n9").isNotNull()).withColumn("_r", F.row_number().over(w))
-           .where(F.col("_r") <= n_top).groupBy("batch").agg(F.min("_n9").alias("_cut")))
-    d = d.join(cut, "batch", "left").withColumn(
-        "flag", F.coalesce(F.col("_n9") >= F.col("_cut"), F.lit(False)))
+    top_b = d.where(F.col("_n9").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_top)
+    if batch is None:
+        d = d.withColumn("_cut", top_b.select(F.min("_n9")).scalar())
+    else:
+        d = d.join(top_b.groupBy("batch").agg(F.min("_n9").alias("_cut")), "batch", "left")
+    d = d.withColumn("flag", F.coalesce(F.col("_n9") >= F.col("_cut"), F.lit(False)))
     n_batches = (obs.select(batch).distinct().select(F.count(F.lit(1))).scalar()
                  if batch is not None else F.lit(1))
     g = d.groupBy("gene_id").agg(

@@ -27,16 +27,31 @@ _AGGS = {
 }
 
 
+APPROX_ACCURACY = 10_000  # percentile sketch: relative rank error about 1e-4
+
+
+def _quantile(c, q: float, approx: bool):
+    """Exact percentile (a value -> count map per group, memory grows with
+    the distinct values of a group), or a bounded sketch when ``approx``."""
+    if approx:
+        return F.percentile_approx(c, q, APPROX_ACCURACY).cast("double")
+    return F.percentile(c, q)
+
+
 def summarize(df: DataFrame, by: str | Sequence[str], metrics: Sequence[str],
-              aggs: Sequence[str] = ("mean", "median", "std"), digits: int | None = 1) -> DataFrame:
+              aggs: Sequence[str] = ("mean", "median", "std"), digits: int | None = 1,
+              approx: bool = False) -> DataFrame:
     """A1/A2. ``groupBy(by)`` with <metric>_<agg> columns, rounded half-up.
     std is the sample standard deviation (NULL for a single row); median is
-    exact, like the reference's."""
+    exact like the reference's, or a bounded sketch with ``approx``."""
     by = [by] if isinstance(by, str) else list(by)
     cols = []
     for m in metrics:
         for a in aggs:
-            v = _AGGS[a](F.col(m)).cast("double")
+            if a == "median":
+                v = _quantile(F.col(m), 0.5, approx).cast("double")
+            else:
+                v = _AGGS[a](F.col(m)).cast("double")
             cols.append((round_half_up(v, digits) if digits is not None else v).alias(f"{m}_{a}"))
     return df.groupBy(*by).agg(*cols)
 
@@ -87,29 +102,32 @@ QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def distribution(df: DataFrame, metric: str | Sequence[str], by: str | Sequence[str] | None = None,
-                 digits: int = 6) -> DataFrame:
-    """A7/A8. Exact quantile summary (the data of a violin/box plot) of one or
-    more metrics, optionally per group: (by..., metric, n, mean, q0..q100)."""
+                 digits: int = 6, approx: bool = False) -> DataFrame:
+    """A7/A8. Quantile summary (the data of a violin/box plot) of one or
+    more metrics, optionally per group: (by..., metric, n, mean, q0..q100).
+    Exact by default; ``approx`` uses the bounded percentile sketch."""
     metrics = [metric] if isinstance(metric, str) else list(metric)
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("_m"))
     long = long.select(*by, "_m.metric", "_m.v")
-    qcols = [round_half_up(F.percentile("v", q), digits).alias(f"q{int(q * 100)}") for q in QUANTILES]
+    qcols = [round_half_up(_quantile(F.col("v"), q, approx), digits).alias(f"q{int(q * 100)}") for q in QUANTILES]
     return long.groupBy(*by, "metric").agg(
         F.count("v").alias("n"), round_half_up(F.avg("v"), digits).alias("mean"), *qcols)
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 20, by: str | None = None) -> DataFrame:
-    """A7. Equal-width histogram counts between the (group) min and max."""
+    """A7. Equal-width histogram counts between the (group) min and max.
+    The range is an aggregate (one row per group) brought back by a join,
+    so a group holding a third of all rows is never one window partition."""
     keys = [by] if by else []
-    w = Window.partitionBy(*keys) if keys else None
-    if w is None:
+    if keys:
+        rng = df.groupBy(*keys).agg(F.min(metric).alias("_lo"), F.max(metric).alias("_hi"))
+        df = df.join(rng, keys)
+        lo, hi = F.col("_lo"), F.col("_hi")
+    else:
         lo = df.select(F.min(metric)).scalar()
         hi = df.select(F.max(metric)).scalar()
-    else:
-        lo = F.min(metric).over(w)
-        hi = F.max(metric).over(w)
     width = safe_div(F.col(metric) - lo, hi - lo)
     b = F.least(F.lit(bins - 1), F.coalesce(F.floor(width * bins), F.lit(0))).cast("int")
     return df.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))

@@ -198,3 +198,12 @@ def test_histogram_and_distribution(spark):
     assert sum(h.values()) == 11 and h[4] == 3  # max value lands in the last bin
     d = summary.distribution(df, "v").first()
     assert (d["q0"], d["q50"], d["q100"], d["n"]) == (0.0, 5.0, 10.0, 11)
+
+
+def test_approximate_quantiles_close_to_exact(spark):
+    df = spark.range(0, 5001).select((F.col("id") % 97).cast("double").alias("v"), F.lit("a").alias("g"))
+    ex = summary.distribution(df, "v", by="g").first()
+    ap = summary.distribution(df, "v", by="g", approx=True).first()
+    assert abs(ex["q50"] - ap["q50"]) <= 1.0 and ex["q0"] == ap["q0"] and ex["q100"] == ap["q100"]
+    s = summary.summarize(df, "g", ["v"], ("median",), approx=True).first()
+    assert abs(s["v_median"] - ex["q50"]) <= 1.0
