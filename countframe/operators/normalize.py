@@ -93,3 +93,25 @@ def vectors_to_long(vecs: DataFrame, genes: DataFrame, vec: str = "vec", value:
     """(cell_id, gene_id, value) from dense vectors on a (bounded) axis."""
     long = vecs.select("cell_id", F.posexplode(vec).alias("gene_idx", value))
     return long.join(F.broadcast(genes.select("gene_id", "gene_idx")), "gene_idx").select("cell_id", "gene_id", value)
+
+
+def scale_dense(vecs: DataFrame, max_value: float | None = MAX_VALUE, vec: str = "vec") -> DataFrame:
+    """N5 on dense vectors that already hold every cell (implicit zeros
+    included): per-feature mean and sample variance in one MLlib
+    ``Summarizer`` pass, then a row-local standardise-and-clip.  Meant for a
+    materialised vector table that later stages read several times."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    summ = vecs.select(Summarizer.metrics("mean", "variance").summary(array_to_vector(vec)).alias("s")).first()["s"]
+    means = [float(x) for x in summ["mean"].toArray()]
+    stds = [float(x) ** 0.5 if x > 0 else 1.0 for x in summ["variance"].toArray()]
+    if len(means) > MAX_FEATURES:
+        raise ValueError("feature axis too wide for dense scaling")
+    mu, sd = F.lit(means), F.lit(stds)
+
+    def z(v, i):
+        s = (v - F.element_at(mu, i + 1)) / F.element_at(sd, i + 1)
+        return F.greatest(F.least(s, F.lit(max_value)), F.lit(-max_value)) if max_value is not None else s
+
+    return vecs.withColumn(vec, F.transform(vec, lambda v, i: z(v, i)))

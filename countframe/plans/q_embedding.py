@@ -22,15 +22,16 @@ def f4_features(spark, sf, n_top: int = N_TOP_DOCS):
     """Documents x tokens: normalise, log, top variable tokens, scale.
     Returns (scaled vectors, axis, masked obs)."""
     f4 = fixtures.document_tokens(spark, sf)
-    # several actions follow (axis size, statistics, fits): tokenise the
-    # whole texts once and keep the counts in the checkpoint folder
-    f4 = f4.with_x(cut_lineage(f4.x))
     norm = normalize.normalize_total(f4)
     hv = hvg.highly_variable(norm.x, norm.obs, n_top)
     axis = hvg_axis(hv)
     logcf = normalize.log1p(norm)
-    # PCA and model fits make several passes over the vectors
-    vecs = cut_lineage(normalize.scale(logcf, axis, "self"))
+    # PCA and model fits make several passes over the vectors: materialise
+    # the (unscaled) dense vectors once; statistics come from them in one
+    # pass and scaling is a row-local transform on top
+    sel = features.select_genes(logcf.x, axis)
+    raw = cut_lineage(features.to_vectors(sel, axis, logcf.obs))
+    vecs = normalize.scale_dense(raw)
     return vecs, axis, sampling.mask_labels(f4.obs)
 
 

@@ -207,3 +207,13 @@ def test_approximate_quantiles_close_to_exact(spark):
     assert abs(ex["q50"] - ap["q50"]) <= 1.0 and ex["q0"] == ap["q0"] and ex["q100"] == ap["q100"]
     s = summary.summarize(df, "g", ["v"], ("median",), approx=True).first()
     assert abs(s["v_median"] - ex["q50"]) <= 1.0
+
+
+def test_scale_dense_equals_long_form_scaling(spark):
+    cf = _cf(spark)
+    axis = features.index_genes(cf.var)
+    long_form = {r["cell_id"]: r["vec"] for r in normalize.scale(cf, axis, "self").collect()}
+    raw = features.to_vectors(cf.values(), axis, cf.obs)
+    dense = {r["cell_id"]: r["vec"] for r in normalize.scale_dense(raw).collect()}
+    for c in long_form:
+        assert np.allclose(long_form[c], dense[c], atol=1e-12)
