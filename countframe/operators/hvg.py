@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import round_half_up, safe_div
+from countframe.session import cut_lineage
 
 N_BINS = 20
 
@@ -46,7 +47,10 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
     n = F.col("_n").cast("double")
     mean = F.col("_s1") / n
     var = safe_div(F.col("_s2") - n * mean * mean, n - 1)
-    per = per.select("_batch", "gene_id", mean.alias("mean"), var.alias("var"))
+    # the per-(batch, gene) table is small (genes x batches) and is read
+    # by several aggregates and scalar subqueries below: materialise it once
+    # so the whole matrix is scanned a single time
+    per = cut_lineage(per.select("_batch", "gene_id", mean.alias("mean"), var.alias("var")))
     disp = safe_div(F.col("var"), F.col("mean"))
     per = per.select("_batch", "gene_id", "mean",
                      F.when(disp > 0, F.log(disp)).alias("log_disp"),
