@@ -51,9 +51,10 @@ def exact_k_flag(df: DataFrame, key: str, seed, k_of_n: Callable[[Column], Colum
         # one row per stratum; AQE broadcasts it after measuring it
         j = h.join(cut, strata, "left")
     else:
-        # a single stratum: the cut is two scalars (scalar subqueries, no join)
-        j = h.withColumn("_cut_b", cut.select(F.min("_cut_b")).scalar()) \
-             .withColumn("_rem", cut.select(F.min("_rem")).scalar())
+        # a single stratum: the cut is one (bucket, remainder) pair, read as a
+        # single scalar subquery (no join, one pass over the counts)
+        c = cut.select(F.first(F.struct("_cut_b", "_rem")).alias("c")).scalar()
+        j = h.withColumn("_cut_b", c["_cut_b"]).withColumn("_rem", c["_rem"])
     outside = (j.where(F.col("_cut_b").isNull() | (F.col("_hb") != F.col("_cut_b")))
                .withColumn(flag, F.coalesce(F.col("_hb") < F.col("_cut_b"), F.lit(False))))
     rank_w = Window.partitionBy(*strata, "_hb").orderBy("_hx", key)

@@ -126,8 +126,8 @@ def histogram(df: DataFrame, metric: str, bins: int = 20, by: str | None = None)
         df = df.join(rng, keys)
         lo, hi = F.col("_lo"), F.col("_hi")
     else:
-        lo = df.select(F.min(metric)).scalar()
-        hi = df.select(F.max(metric)).scalar()
+        r = df.select(F.struct(F.min(metric).alias("lo"), F.max(metric).alias("hi"))).scalar()
+        lo, hi = r["lo"], r["hi"]
     width = safe_div(F.col(metric) - lo, hi - lo)
     b = F.least(F.lit(bins - 1), F.coalesce(F.floor(width * bins), F.lit(0))).cast("int")
     return df.withColumn("bin", b).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
