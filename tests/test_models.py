@@ -116,3 +116,39 @@ def test_warm_start_from_stored_latent(spark, data, tmpdir_path):
     a = {(r["cell_id"], r["label"]): round(r["p"], 9) for r in warm.collect()}
     b = {(r["cell_id"], r["label"]): round(r["p"], 9) for r in cold.collect()}
     assert a == b
+
+
+def test_weighted_f1_equals_mllib_evaluator(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from countframe.operators import evaluate
+
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 4, 500)
+    p = np.where(rng.random(500) < 0.6, y, rng.integers(0, 4, 500))
+    df = spark.createDataFrame([(i, str(a), str(b), float(a), float(b)) for i, (a, b) in enumerate(zip(y, p))],
+                               "cell_id long, truth string, pred string, label double, prediction double")
+    ours = evaluate.weighted_f1(df).first()[0]
+    ev = MulticlassClassificationEvaluator(metricName="weightedFMeasure").evaluate(df)
+    assert abs(ours - ev) < 1e-12
+
+
+def test_long_form_projection_equals_vector_projection(spark):
+    from countframe.operators import features, normalize
+
+    rng = np.random.default_rng(9)
+    rows = [(c, f"g{g}", float(rng.integers(1, 20))) for c in range(60) for g in range(8) if rng.random() < 0.6]
+    x = spark.createDataFrame(rows, "cell_id long, gene_id string, value double")
+    cells = spark.range(0, 62).withColumnRenamed("id", "cell_id")  # two cells without entries
+    axis = features.index_genes(x.select("gene_id").distinct())
+    stats = normalize.gene_stats(x, 62)
+    for clip in (None, 1.0):
+        vecs = normalize.scale_vectors(x, axis, cells, stats, max_value=clip)
+        res = embed.pca(vecs, 3)
+        loadings = res.loadings(spark, axis)
+        long = {(r["cell_id"], r["pc"]): r["score"]
+                for r in embed.project(x, loadings, cells, 3, stats, max_value=clip).collect()}
+        vec = {r["cell_id"]: r["vec"] for r in embed.project_vectors(vecs, res.components, None).collect()}
+        for c in range(62):
+            for k in range(3):
+                assert abs(long[(c, k)] - vec[c][k]) < 1e-9
