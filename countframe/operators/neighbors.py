@@ -41,6 +41,7 @@ K = 15
 BLOCK_ROWS = 2048
 BROADCAST_BYTES = 256 * 1024 * 1024  # training matrices up to this size are broadcast
 DIST_DIGITS = 6
+EXACT_CHUNK = 65_536  # candidate pairs re-measured at a time
 
 _CAND_SCHEMA = "query_id long, ref_id long, dist double"
 
@@ -72,7 +73,12 @@ def _topk_rows(Q, qid, T, tid, k: int, exclude_self: bool) -> pd.DataFrame:
     if exclude_self:
         keep = qid[rows] != tid[cols]
         rows, cols = rows[keep], cols[keep]
-    exact = np.sqrt(_exact_sq(Q[rows], T[cols]))
+    # every candidate is re-measured (ties included: with many identical
+    # rows all of them qualify), in chunks so memory stays bounded
+    exact = np.empty(len(rows))
+    for s in range(0, len(rows), EXACT_CHUNK):
+        e = s + EXACT_CHUNK
+        exact[s:e] = np.sqrt(_exact_sq(Q[rows[s:e]], T[cols[s:e]]))
     dist = np.floor(exact * scale + 0.5) / scale
     cand = pd.DataFrame({"query_id": qid[rows], "ref_id": tid[cols], "dist": dist})
     cand = cand.sort_values(["query_id", "dist", "ref_id"], kind="mergesort")

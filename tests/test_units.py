@@ -217,3 +217,28 @@ def test_scale_dense_equals_long_form_scaling(spark):
     dense = {r["cell_id"]: r["vec"] for r in normalize.scale_dense(raw).collect()}
     for c in long_form:
         assert np.allclose(long_form[c], dense[c], atol=1e-12)
+
+
+def test_knn_with_a_third_identical_rows(spark):
+    # a third of the training rows are the same vector: all tie, ties go by id
+    rng = np.random.default_rng(4)
+    T = rng.normal(size=(300, 4))
+    T[:100] = 0.25
+    Q = np.vstack([np.full((1, 4), 0.25), rng.normal(size=(5, 4))])
+    q = spark.createDataFrame([(i, Q[i].tolist()) for i in range(len(Q))], "cell_id long, vec array<double>")
+    t = spark.createDataFrame([(1000 + j, T[j].tolist()) for j in range(len(T))], "cell_id long, vec array<double>")
+    for bbytes in (0, neighbors.BROADCAST_BYTES):
+        got = neighbors.knn_join(q, t, 7, block_rows=64, broadcast_bytes=bbytes).where("query_id = 0").collect()
+        assert sorted(r["ref_id"] for r in got) == list(range(1000, 1007))
+        assert all(r["dist"] == 0.0 for r in got)
+
+
+def test_stratified_split_with_a_hot_label(spark):
+    obs = spark.range(0, 3000).withColumnRenamed("id", "cell_id").withColumn(
+        "label", F.when(F.col("cell_id") < 1000, "hot").otherwise(F.concat(F.lit("c"), (F.col("cell_id") % 7).cast("string"))))
+    s = sampling.stratified_split(obs, "label", 0.25)
+    per = {r["label"]: (r["n"], r["v"]) for r in
+           s.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_val").alias("v")).collect()}
+    for lab, (n, v) in per.items():
+        assert v == math.floor(0.25 * n + 0.5)
+    assert per["hot"] == (1000, 250)
