@@ -103,7 +103,10 @@ def ship_library(spark: SparkSession) -> None:
     the attributions refer to functions of this package.  The package is
     zipped on the driver and distributed by Spark itself (``addPyFile``),
     the same as ``--py-files`` would."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no driver-side context: the package must be installed
+        return
     if sc.applicationId in _SHIPPED:
         return
     import shutil
