@@ -31,7 +31,7 @@ sc AS (SELECT s.* FROM f5_scores s JOIN f4_mobs m ON s.cell_id = m.cell_id WHERE
 cls AS (
   SELECT coalesce(t.class, q.class) AS class, coalesce(t.support, 0) AS support,
          coalesce(q.n_pred, 0) AS n_pred, coalesce(t.tp, 0) AS tp
-  FROM (SELECT truth AS class, count(*) AS support, count_if(truth = pred) AS tp FROM ev GROUP BY 1) t
+  FROM (SELECT truth AS class, count(*) AS support, CAST(count_if(truth = pred) AS BIGINT) AS tp FROM ev GROUP BY 1) t
   FULL JOIN (SELECT pred AS class, count(*) AS n_pred FROM ev GROUP BY 1) q ON t.class = q.class),
 roc_agg AS (
   SELECT class, score, CAST(sum(CASE WHEN truth = class THEN 1 ELSE 0 END) AS BIGINT) AS pos,

@@ -47,7 +47,7 @@ def qc_cells(spark, sf):
 
 # Q2 -------------------------------------------------------------------------
 @query("qc_genes", with_(F1) + f"""
-SELECT gene_id, count_if(n > 0) AS n_cells_by_counts, CAST(sum(n) AS BIGINT) AS total_counts,
+SELECT gene_id, CAST(count_if(n > 0) AS BIGINT) AS n_cells_by_counts, CAST(sum(n) AS BIGINT) AS total_counts,
        {rnd('CAST(sum(n) AS DOUBLE) / (SELECT count(*) FROM f1_obs)')} AS mean_counts,
        {rnd('(1.0 - CAST(count_if(n > 0) AS DOUBLE) / (SELECT count(*) FROM f1_obs)) * 100.0')}
          AS pct_dropout_by_counts
@@ -107,7 +107,8 @@ def label_masking(spark, sf):
 
 # A3 / P5 --------------------------------------------------------------------
 @query("labeled_split_counts", with_(F4_MASKED) + """
-SELECT count_if(label_masked <> 'Unknown') AS n_labeled, count_if(label_masked = 'Unknown') AS n_unlabeled
+SELECT CAST(count_if(label_masked <> 'Unknown') AS BIGINT) AS n_labeled,
+       CAST(count_if(label_masked = 'Unknown') AS BIGINT) AS n_unlabeled
 FROM f4_mobs""")
 def labeled_split_counts(spark, sf):
     return summary.label_counts(f4_masked(spark, sf))

@@ -158,7 +158,7 @@ def hvg_ctes(src_norm: str, src_obs: str, n_top: int, batch: bool, p: str) -> st
          AS flag
   FROM {p}_n),
 {p}_g AS (
-  SELECT gene_id, count_if(flag) AS n_batches, sum(coalesce(norm, 0.0)) / {nbat} AS dispersion_norm
+  SELECT gene_id, CAST(count_if(flag) AS BIGINT) AS n_batches, sum(coalesce(norm, 0.0)) / {nbat} AS dispersion_norm
   FROM {p}_f GROUP BY gene_id),
 {p} AS (
   SELECT gene_id, n_batches, dispersion_norm, r <= {n_top} AS highly_variable,
