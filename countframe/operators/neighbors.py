@@ -20,9 +20,8 @@ distance only *pre-selects*: every candidate within 1e-6 of the k-th
 distance is re-measured exactly, so ties and rounding never drop a true
 neighbour.
 
-``method="lsh"`` (K2) is the approximate path for inputs where the
-quadratic exact join is too expensive: MLlib's random-projection LSH
-proposes pairs within a radius; the same top-k and vote follow.
+No approximate (LSH) path is offered: a bucketed similarity join emits
+every pair inside a hash bucket, which turns quadratic on a hot bucket.
 """
 
 from __future__ import annotations
@@ -124,10 +123,9 @@ def _blocks(n: int, block_rows: int) -> int:
 
 
 def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", key: str = "cell_id",
-             block_rows: int = BLOCK_ROWS, exclude_self: bool = False, method: str = "exact",
-             broadcast_bytes: int = BROADCAST_BYTES,
-             lsh_bucket_length: float = 2.0, lsh_radius: float | None = None) -> DataFrame:
-    """K1/K2/J6. (query_id, ref_id, rank, dist): the k nearest training rows
+             block_rows: int = BLOCK_ROWS, exclude_self: bool = False,
+             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """K1/J6. (query_id, ref_id, rank, dist): the k nearest training rows
     of every query row by Euclidean distance.
 
     A training side of at most ``broadcast_bytes`` (rows x dim x 8, counted
@@ -135,52 +133,32 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", k
     ship_library(query.sparkSession)
     q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
-    if method == "lsh":
-        cand = _lsh_candidates(query, train, vec, key, lsh_bucket_length, lsh_radius, exclude_self)
-    else:
-        nt = train.count()
-        first = t.first()
-        dim = len(first["vec"]) if first is not None else 0
-        if method == "exact" and nt * max(dim, 1) * 8 <= broadcast_bytes:
-            # the training side has a checked size: ship it to every task
-            # once and stream the query rows past it
-            rows = t.collect()
-            T = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-            tid = np.array([r["id"] for r in rows], dtype=np.int64)
-            bc = query.sparkSession.sparkContext.broadcast((T, tid))
-            return q.mapInPandas(_broadcast_topk(bc, k, exclude_self, block_rows),
-                                 "query_id long, ref_id long, rank int, dist double")
-        nq = query.count()
-        bq, bt = _blocks(nq, block_rows), _blocks(nt, block_rows)
-        # every query row is copied once per train block and vice versa
-        q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).alias("qb"),
-                         F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
-        t_rep = t.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bt)).alias("tb"),
-                         F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-        cand = (q_rep.groupBy("qb", "tb").cogroup(t_rep.groupBy("qb", "tb"))
-                .applyInPandas(_block_topk(k, exclude_self), _CAND_SCHEMA))
+    nt = train.count()
+    first = t.first()
+    dim = len(first["vec"]) if first is not None else 0
+    if nt * max(dim, 1) * 8 <= broadcast_bytes:
+        # the training side has a checked size: ship it to every task
+        # once and stream the query rows past it
+        rows = t.collect()
+        T = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+        tid = np.array([r["id"] for r in rows], dtype=np.int64)
+        bc = query.sparkSession.sparkContext.broadcast((T, tid))
+        return q.mapInPandas(_broadcast_topk(bc, k, exclude_self, block_rows),
+                             "query_id long, ref_id long, rank int, dist double")
+    nq = query.count()
+    bq, bt = _blocks(nq, block_rows), _blocks(nt, block_rows)
+    # every query row is copied once per train block and vice versa
+    q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).alias("qb"),
+                     F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
+    t_rep = t.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bt)).alias("tb"),
+                     F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
+    cand = (q_rep.groupBy("qb", "tb").cogroup(t_rep.groupBy("qb", "tb"))
+            .applyInPandas(_block_topk(k, exclude_self), _CAND_SCHEMA))
     w = Window.partitionBy("query_id").orderBy("dist", "ref_id")
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "ref_id", F.col("rank").cast("int").alias("rank"), "dist"))
 
 
-def _lsh_candidates(query, train, vec, key, bucket_length, radius, exclude_self):
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = query.select(F.col(key).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    t = train.select(F.col(key).alias("id"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=4, seed=42).fit(t)
-    radius = radius if radius is not None else bucket_length * 2
-    pairs = model.approxSimilarityJoin(q, t, radius, distCol="d")
-    out = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("ref_id"),
-                       round_half_up("d", DIST_DIGITS).alias("dist"))
-    if exclude_self:
-        out = out.where(F.col("query_id") != F.col("ref_id"))
-    return out
-
-
 def neighbors(latent: DataFrame, k: int = K, n_pcs: int | None = None, vec: str = "vec",
               key: str = "cell_id", **kw) -> DataFrame:
     """K3. kNN graph of one embedding (self excluded): (src, dst, rank, dist).

@@ -155,16 +155,6 @@ def test_knn_join_matches_numpy_and_blocks(spark):
     assert zero["ref_id"] == 1005 and zero["dist"] == 0.0
 
 
-def test_knn_lsh_recall(spark):
-    rng = np.random.default_rng(2)
-    X = rng.normal(size=(300, 6))
-    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(300)], "cell_id long, vec array<double>")
-    exact = {(r["query_id"], r["ref_id"]) for r in neighbors.knn_join(df, df, 5, exclude_self=True).collect()}
-    approx = {(r["query_id"], r["ref_id"]) for r in
-              neighbors.knn_join(df, df, 5, exclude_self=True, method="lsh", lsh_bucket_length=4.0).collect()}
-    assert len(exact & approx) / len(exact) > 0.5
-
-
 def test_attach_predictions_and_argmax(spark):
     obs = spark.createDataFrame([(1,), (2,)], "cell_id long")
     preds = spark.createDataFrame([(2, "X")], "cell_id long, pred string")
