@@ -89,22 +89,28 @@ def to_vectors(x: DataFrame, genes: DataFrame, cells: DataFrame | None = None,
     """P9 + J4. Dense per-cell arrays on a fixed feature axis.
 
     ``genes`` is (gene_id, gene_idx) with idx 0..g-1 (a bounded feature
-    list, broadcast).  Entries are grouped per cell (a cell holds at most g
-    entries, so groups are bounded) into a map and read out in index order;
-    genes the cell lacks become 0 (the implicit zero), or ``fill``.
-    With ``cells`` every listed cell gets a vector, also cells without any
-    entry on the axis.  Result: (cell_id, vec ARRAY<DOUBLE>).
-    """
+    list, broadcast).  Each cell's entries are gathered (at most g per cell,
+    so groups are bounded), merged with one placeholder per axis position,
+    sorted by (position, entry first) and reduced to the first item per
+    position: O((g + e) log(g + e)) per cell, no per-position map lookups.
+    Genes the cell lacks become 0 (the implicit zero), or ``fill``.  With
+    ``cells`` every listed cell gets a vector, also cells without any entry
+    on the axis.  Result: (cell_id, vec ARRAY<DOUBLE>)."""
     g = genes.select("gene_id", "gene_idx")
     n = axis_size(g)
     entries = x.join(F.broadcast(g), "gene_id").groupBy("cell_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("gene_idx", F.col(value).cast("double")))).alias("_m"))
+        F.collect_list(F.struct(F.col("gene_idx").alias("i"), F.lit(0).alias("p"),
+                                F.col(value).cast("double").alias("v"))).alias("_e"))
     if cells is not None:
         entries = cells.select("cell_id").join(entries, "cell_id", "left")
-    zero = F.lit(0.0) if fill is None else fill
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), zero))
-    return entries.select("cell_id", vec.alias("vec"))
+    zero = F.lit(0.0) if fill is None else fill.cast("double")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                        lambda i: F.struct(i.alias("i"), F.lit(1).alias("p"), zero.alias("v")))
+    merged = F.array_sort(F.concat(F.coalesce(F.col("_e"), F.array().cast(
+        "array<struct<i:int,p:int,v:double>>")), slots))
+    firsts = F.filter(F.col("_all"), lambda e, j: (j == 0) | (F.col("_all")[j - 1]["i"] != e["i"]))
+    return (entries.select("cell_id", merged.alias("_all"))
+            .select("cell_id", F.transform(firsts, lambda e: e["v"]).alias("vec")))
 
 
 def axis_size(genes: DataFrame) -> int:
