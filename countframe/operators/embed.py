@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countframe.frame import CountFrame
-from countframe.operators.features import axis_size
+from countframe.operators.features import axis_size, dense_from_entries, entry
 from countframe.session import ship_library
 
 THETA = 100.0
@@ -171,8 +171,7 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
     g = F.broadcast(genes.select("gene_id", "gene_idx"))
     per_cell = cf.x.join(g, "gene_id", "left").groupBy("cell_id").agg(
         F.sum(vc).cast("double").alias("_ctot"),
-        F.map_from_entries(F.collect_list(
-            F.when(F.col("gene_idx").isNotNull(), F.struct("gene_idx", F.col(vc).cast("double"))))).alias("_m"))
+        F.collect_list(F.when(F.col("gene_idx").isNotNull(), entry(F.col("gene_idx"), F.col(vc)))).alias("_e"))
     if batch_totals is None:
         batch_totals = nb_batch_totals(cf, genes, batch)
     # batch x axis arrays: bounded by (#batches + 1) x g
@@ -193,15 +192,14 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
             .withColumn("_g", pooled["_g"]).withColumn("_btot", pooled["_btot"])
     cells = cells.withColumn("_ctot", F.coalesce("_ctot", F.lit(0.0)))
     clipv = float(np.sqrt(cf.obs.count()))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
+    cells = dense_from_entries(cells, "_e", n, keep=["cell_id", "_ctot", "_g", "_btot"], out="_v")
 
     def r(v, gt):
         mu = F.col("_ctot") * gt / F.col("_btot")
         res = (v - mu) / F.sqrt(mu + mu * mu / F.lit(theta))
         return F.when(mu > 0, F.greatest(F.least(res, F.lit(clipv)), F.lit(-clipv))).otherwise(F.lit(0.0))
 
-    return cells.select("cell_id", F.zip_with(vec, F.col("_g"), r).alias("vec"))
+    return cells.select("cell_id", F.zip_with(F.col("_v"), F.col("_g"), r).alias("vec"))
 
 
 def nb_batch_totals(cf: CountFrame, genes: DataFrame, batch: str = "batch") -> DataFrame:
@@ -221,11 +219,9 @@ def nb_batch_totals(cf: CountFrame, genes: DataFrame, batch: str = "batch") -> D
 
 def _batch_arrays(bt: DataFrame, n: int) -> DataFrame:
     grouped = bt.groupBy(F.col("batch").alias("_b")).agg(
-        F.map_from_entries(F.collect_list(F.struct("gene_idx", "g_total"))).alias("_m"),
+        F.collect_list(entry(F.col("gene_idx"), F.col("g_total"))).alias("_e"),
         F.first("T_total").alias("_btot"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
-    return grouped.select("_b", vec.alias("_g"), "_btot")
+    return dense_from_entries(grouped, "_e", n, keep=["_b", "_btot"], out="_g")
 
 
 def nb_latent(cf: CountFrame, genes: DataFrame, k: int = 20, batch: str = "batch", theta: float = THETA):

@@ -99,18 +99,33 @@ def to_vectors(x: DataFrame, genes: DataFrame, cells: DataFrame | None = None,
     g = genes.select("gene_id", "gene_idx")
     n = axis_size(g)
     entries = x.join(F.broadcast(g), "gene_id").groupBy("cell_id").agg(
-        F.collect_list(F.struct(F.col("gene_idx").alias("i"), F.lit(0).alias("p"),
-                                F.col(value).cast("double").alias("v"))).alias("_e"))
+        F.collect_list(entry(F.col("gene_idx"), F.col(value))).alias("_e"))
     if cells is not None:
         entries = cells.select("cell_id").join(entries, "cell_id", "left")
+    return dense_from_entries(entries, "_e", n, fill, keep=["cell_id"])
+
+
+ENTRY_TYPE = "array<struct<i:int,p:int,v:double>>"
+
+
+def entry(idx, val) -> Column:
+    """One (position, value) item for ``dense_from_entries``."""
+    return F.struct(idx.cast("int").alias("i"), F.lit(0).alias("p"), val.cast("double").alias("v"))
+
+
+def dense_from_entries(df: DataFrame, col: str, n: int, fill: Column | None = None,
+                       keep: list[str] | None = None, out: str = "vec") -> DataFrame:
+    """Dense arrays of length n from an array of (i, p=0, v) items: merged
+    with one placeholder per position, sorted, first item per position kept
+    (O((n + e) log(n + e)) per row)."""
+    keep = keep or []
     zero = F.lit(0.0) if fill is None else fill.cast("double")
     slots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                         lambda i: F.struct(i.alias("i"), F.lit(1).alias("p"), zero.alias("v")))
-    merged = F.array_sort(F.concat(F.coalesce(F.col("_e"), F.array().cast(
-        "array<struct<i:int,p:int,v:double>>")), slots))
+    merged = F.array_sort(F.concat(F.coalesce(F.col(col), F.array().cast(ENTRY_TYPE)), slots))
     firsts = F.filter(F.col("_all"), lambda e, j: (j == 0) | (F.col("_all")[j - 1]["i"] != e["i"]))
-    return (entries.select("cell_id", merged.alias("_all"))
-            .select("cell_id", F.transform(firsts, lambda e: e["v"]).alias("vec")))
+    return (df.select(*keep, merged.alias("_all"))
+            .select(*keep, F.transform(firsts, lambda e: e["v"]).alias(out)))
 
 
 def axis_size(genes: DataFrame) -> int:
