@@ -6,8 +6,10 @@ comes from the caller, and only settings that are *unset* get a default here.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,13 +49,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def apply_defaults(spark: SparkSession) -> None:
-    """Fill in the library defaults on a session someone else built."""
-    for k, v in DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
@@ -77,21 +72,45 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder inside the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/countframe-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never local).
+    """Write ``df`` once as Parquet into the shared checkpoint folder (never a
+    machine-local one on a cluster) and return a frame that reads it back.
 
-    The frame is persisted for the duration of the checkpoint: an eager
-    checkpoint runs one job to materialise and another to write, and the
-    second would otherwise recompute the whole plan.  The written copy is
-    what later stages read; the cache is released right after."""
-    from pyspark import StorageLevel
+    Later stages read the written copy, so a lost executor costs no
+    recomputation of the plan, and scans stay columnar (pruned columns,
+    pushed filters).  The folder is removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    _drop_at_exit(spark)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
+
+_SCRATCH: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    """Delete the application's scratch folder when the driver's Python ends
+    (best effort: a session that is already stopped leaves it behind)."""
+    path = scratch_dir(spark)
+    if path in _SCRATCH:
+        return
+    _SCRATCH.add(path)
+    sc = spark.sparkContext
+
+    def drop() -> None:
+        if sc._jsc is None:
+            return
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+    atexit.register(drop)
 
 
 _SHIPPED: set[str] = set()
