@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this subpackage with ``query`` and ``ORACLE_SQL``
 MODULES = {
     "op1_decontaminate": "q1_decontaminate",
+    "op3_language": "q3_language",
+    "op10_fingerprint": "q10_fingerprint",
 }
 
 
