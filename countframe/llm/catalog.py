@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_decontaminate": "q1_decontaminate",
     "op3_language": "q3_language",
+    "op4_mixing": "q4_mixing",
+    "op9_chat": "q9_chat",
     "op10_fingerprint": "q10_fingerprint",
 }
 
