@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this subpackage with ``query`` and ``ORACLE_SQL``
 MODULES = {
     "op1_decontaminate": "q1_decontaminate",
+    "op2_toxicity": "q2_toxicity",
     "op3_language": "q3_language",
     "op4_mixing": "q4_mixing",
     "op9_chat": "q9_chat",
