@@ -27,6 +27,7 @@ rows.  Other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,37 +61,41 @@ def format_trees(messages: DataFrame, conv: str = "conv_id", msg: str = "msg_id"
     m = cut_lineage(m.withColumn("n", one).where("n = 1").drop("n"))
     nodes = m.select("ck", "id", "pid", "score")
 
-    # pointers[k]: the 2^k-th ancestor, score sum and length up to it
+    # pointers[k]: messages with a 2^k-th ancestor, and the score sum and length
+    # of the way below it; a message leaves the joins once it knows its root
     known = nodes.select("ck", F.col("id").alias("pid"), F.col("id").alias("up"))
     step = cut_lineage(nodes.join(known, ["ck", "pid"], "left")
                        .select("ck", "id", "up", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n")))
     longest = nodes.groupBy("ck").count().agg(F.max("count")).first()[0] or 1
-    pointers = [step]
+    pointers, rooted = [step.where("up IS NOT NULL")], [step.where("up IS NULL")]
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
-        above = step.select("ck", F.col("id").alias("up"), F.col("up").alias("up2"),
-                            F.col("total").alias("total2"), F.col("n").alias("n2"))
-        step = cut_lineage(step.join(above, ["ck", "up"], "left").select(
-            "ck", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n")))
-        pointers.append(step)
-
-    leaves = step.where("up IS NULL").join(nodes.select("ck", F.col("pid").alias("id")), ["ck", "id"], "left_anti")
+        above = reduce(DataFrame.unionByName, [pointers[-1], *rooted]).select(
+            "ck", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
+        step = cut_lineage(pointers[-1].join(above, ["ck", "up"]).select(
+            "ck", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"),
+            (F.col("n") + F.col("n2")).alias("n")))
+        pointers.append(step.where("up IS NOT NULL"))
+        rooted.append(step.where("up IS NULL"))
+
+    leaves = (reduce(DataFrame.unionByName, rooted)
+              .join(nodes.select("ck", F.col("pid").alias("id")), ["ck", "id"], "left_anti"))
     mean = F.col("total") / F.col("n")
     best = Window.partitionBy("ck").orderBy(mean.desc(), F.col("n").desc(), F.length("id"), "id")
-    path = (leaves.withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= top_k)
-            .select("ck", F.col("id").alias("leaf"), "branch_rank", mean.alias("branch_score"), "n",
-                    F.col("id").alias("id"), F.lit(0).cast("bigint").alias("up_by")))
-    for k, p in enumerate(pointers[:-1] or pointers):
-        both = F.array(F.struct("id", "up_by"), F.struct(F.col("up").alias("id"), (F.col("up_by") + (1 << k)).alias("up_by")))
-        path = (path.join(p.select("ck", "id", "up"), ["ck", "id"])
-                .select("ck", "leaf", "branch_rank", "branch_score", "n",
-                        F.explode(F.filter(both, lambda x: x["id"].isNotNull())).alias("at"))
-                .select("ck", "leaf", "branch_rank", "branch_score", "n", "at.id", "at.up_by"))
+    keys = ["ck", "leaf", "branch_rank", "branch_score"]
+    ends = cut_lineage(leaves.withColumn("branch_rank", F.row_number().over(best)).where(F.col("branch_rank") <= top_k)
+                       .select("ck", F.col("id").alias("leaf"), "branch_rank", mean.alias("branch_score"),
+                               F.col("n").alias("place"), "id"))
+    # climb: round k adds the messages 2^k to 2^(k+1) - 1 steps above the leaf
+    parts = [ends]
+    for k, p in enumerate(pointers):
+        far = reduce(DataFrame.unionByName, parts).where(F.col("place") > (1 << k))
+        parts.append(cut_lineage(far.join(p.select("ck", "id", "up"), ["ck", "id"]).select(
+            *keys, (F.col("place") - (1 << k)).alias("place"), F.col("up").alias("id"))))
+    path = reduce(DataFrame.unionByName, parts)
 
     head = F.concat(F.lit(HEAD), escape(F.col("role"), role=True), F.lit(MIDDLE))
     body = escape(F.col("text"))
     turns = (path.join(m.select("conv", "ck", "id", "role", head.alias("head"), body.alias("body")), ["ck", "id"])
-             .withColumn("place", F.col("n") - F.col("up_by"))
              .withColumn("turn", F.concat("head", "body", F.lit(TAIL))))
     end = F.sum(F.length("turn")).over(Window.partitionBy("ck", "leaf").orderBy("place"))
     turns = turns.withColumn("start", end - F.length("turn") + F.length("head"))
