@@ -66,7 +66,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", row_id: str
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     key = F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit("null"))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("__cf_in"),
+        *[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names)],     # flat, so that unused ones are pruned
         F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("n")).alias("skey"),
         F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("tie"),
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", row_id: str
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     crossed = (F.floor(rate * F.col("rank") + start) - F.floor(rate * (F.col("rank") - 1) + start)).cast("bigint")
     return (rows.join(offsets, place).withColumn("rank", rank).withColumn("copies", crossed)
-            .select("__cf_in.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
+            .select(*[F.col(f"__cf_{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))
 
 
 def emit(mixed: DataFrame, copy: str = "copy") -> DataFrame:
