@@ -158,9 +158,10 @@ def shingle_sets(column, size: int, word_bytes: np.ndarray = NON_SPACE) -> Itera
     hashes[first[r]:first[r + 1]]."""
     for block in blocks(column):
         row, h = shingles(Words(block, word_bytes), size)
-        order = np.lexsort((h, row)) if len(row) else np.zeros(0, np.int64)
-        row, h = row[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        row, h = row[new], h[new]
-        yield block, np.searchsorted(row, np.arange(block.n + 1)), h
+        sizes = np.bincount(row, minlength=block.n)
+        if len(row) and (row[1:] < row[:-1]).any():       # short texts come last
+            h = h[np.argsort(row, kind="stable")]
+        stop = np.cumsum(sizes)
+        sets = [np.unique(h[e - n:e]) for e, n in zip(stop, sizes)]
+        first = np.cumsum([0] + [len(x) for x in sets])
+        yield block, first, np.concatenate(sets) if sets else h
