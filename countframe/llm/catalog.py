@@ -14,6 +14,7 @@ MODULES = {
     "op3_language": "q3_language",
     "op4_mixing": "q4_mixing",
     "op5_linededup": "q5_linededup",
+    "op6_quality": "q6_quality",
     "op7_licenses": "q7_licenses",
     "op8_jaccard": "q8_jaccard",
     "op9_chat": "q9_chat",
