@@ -399,9 +399,10 @@ def _tag(keys: np.ndarray, kind: int) -> np.ndarray:
 # the join -------------------------------------------------------------------------
 def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent: int = PERCENT,
             size: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """One row per input row: (id, n_shingles, node, component_id, links),
-    component_id being the smallest id reachable by links of at least
-    ``percent`` % similarity; links counts the verified links of the node."""
+    """One row per input row: (id, n_shingles, node, component, component_id,
+    links).  component names the node's component, component_id is the
+    smallest id reachable by links of at least ``percent`` % similarity, links
+    counts the verified links of the node."""
     ship_library(docs.sparkSession)
     bands = Bands(percent)
     rows = docs.select(F.col(row_id).alias("id"), document_nodes(docs, text, size).alias("d"))
@@ -468,7 +469,7 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
     least = named.groupBy("comp").agg(F.min("own").alias("component_id"))
     ends = every.select(pair(F.col("a"), F.col("b")).alias("p")).distinct().select(F.explode(F.array("p.a", "p.b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = named.join(least, "comp").join(degree, "node", "left").select("node", "component_id", "links")
+    named = named.join(least, "comp").join(degree, "node", "left").select("node", "comp", "component_id", "links")
     return (rows.join(named, "node", "left")
-            .select("id", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+            .select("id", "n_shingles", "node", F.col("comp").alias("component"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.coalesce("links", F.lit(0)).alias("links")))

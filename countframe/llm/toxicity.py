@@ -43,7 +43,7 @@ LANDMARKS = 160
 MAX_DOCS = 6_000         # labelled texts learned from, per class
 MAX_TOKENS = 6_000       # distinct tokens learned from, per class
 CHANCE = 0.05            # chance tokens expected among those called toxic
-_CACHE = 1 << 18
+_CACHE = 1 << 20         # remembered token decisions per worker
 
 # symbols: a-z 1..26, digits 27, bytes of other scripts 28..31, 0 = dropped
 _SYMBOL = np.zeros(256, np.uint8)
@@ -90,6 +90,9 @@ class Tokens:
 
 
 # the kernel --------------------------------------------------------------------
+_STEPS = (DECAY ** np.arange(3, 11)).astype(np.float32)      # weight by span
+
+
 @lru_cache(maxsize=PIECE + 1)
 def _triples(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions i < j < k with k - i < SPAN, and their weights."""
@@ -155,6 +158,27 @@ class Model:
             out /= np.maximum(norm, 1e-12)[:, None]
         return out
 
+    def decide(self, sym: np.ndarray) -> np.ndarray:
+        """kernel(sym) @ weight + bias without the kernel rows: the weights are
+        summed per subsequence once (``value``), rows are sorted in place for
+        their norms."""
+        n, length = sym.shape
+        i, j, k, w = _triples(length)
+        if not len(w):
+            return np.full(n, self.bias, np.float32)
+        s = sym.astype(np.int32)
+        key = (s[:, i] << 10 | s[:, j] << 5 | s[:, k]) << 3 | (k - i - 2).astype(np.int32)
+        key.sort(axis=1)
+        weight = _STEPS[key & 7]
+        code = key >> 3
+        top = (self.value[code] * weight).sum(axis=1)
+        new = np.ones(key.shape, bool)
+        new[:, 1:] = code[:, 1:] != code[:, :-1]
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(weight.ravel(), at)
+        norm = np.add.reduceat(total * total, np.cumsum(new.sum(axis=1)) - new.sum(axis=1))
+        return (top / np.sqrt(norm) + np.float32(self.bias)).astype(np.float32)
+
     def kernel_of(self, tokens: list[np.ndarray]) -> np.ndarray:
         """Kernel rows of tokens of any length (at most PIECE symbols)."""
         out = np.zeros((len(tokens), self.table.shape[1]), np.float32)
@@ -168,9 +192,10 @@ class Model:
         """SVM decision of every token of a block (equal tokens once)."""
         h, index, back = np.unique(tokens.hash, return_index=True, return_inverse=True)
         if "cache" not in self.__dict__:
+            self.value = (self.table @ self.weight)[self.lut]
             self.cache = (np.zeros(_CACHE, np.uint64), np.zeros(_CACHE, np.float32))
         keys, vals = self.cache
-        slot = (h >> np.uint64(46)).astype(np.int64)
+        slot = (h >> np.uint64(44)).astype(np.int64)
         known = keys[slot] == h
         score = np.where(known, vals[slot], np.float32(self.bias)).astype(np.float32)
         todo = np.flatnonzero(~known)
@@ -188,12 +213,12 @@ class Model:
             at = np.flatnonzero(span == length)
             for part in np.array_split(at, -(-len(at) // 2048)):
                 sym = tokens.sym[begin[part][:, None] + np.arange(length)]
-                np.maximum.at(score, piece_of[part], self.kernel(sym) @ self.weight + np.float32(self.bias))
+                np.maximum.at(score, piece_of[part], self.decide(sym))
         keys[slot[todo]], vals[slot[todo]] = h[todo], score[todo]
         return score[back]
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "value")}
 
     def features(self, column) -> np.ndarray:
         """Per text: strongest token decision, second strongest, log of 1 +
