@@ -1,16 +1,20 @@
 """Line dedup by winnowing (operator 5), DataFrame functions only.
 
 A text is cut into units: lines, and sentences inside a line (a unit keeps
-the white space after it, so joining all units gives the text back).  Of the
-hashes of every three neighbouring units the smallest is a fingerprint, and
-so is every unit of at least half the shortest run.  So each repeated run of
-``min_chars`` characters in whole units holds a fingerprint, guaranteed.
+the white space after it, so joining all units gives the text back).  Pairs
+of neighbouring units are hashed; of every two neighbouring pairs the one
+with the smaller hash is a fingerprint, and so is every pair, and every
+single unit, of at least ``min_chars`` characters.  So each repeated run of
+``min_chars`` characters in whole units holds a fingerprint: a run of three
+or more units holds two neighbouring pairs, shorter ones are long enough
+themselves.
 
 Fingerprints meet only the first occurrence of their hash (by document, then
 position: one row per occurrence, no pairs within a group).  Around both
-positions the match is extended unit by unit, up to ``REACH`` units each way;
-longer runs hold further fingerprints, which continue it.  Runs of extended
-units with at least ``min_chars`` characters are deleted from the later
+positions the match is extended unit by unit, up to ``reach`` units each way;
+longer runs hold further fingerprints, which continue it.  Extended matches of
+at least ``min_chars`` characters, or that end at ``reach``, are united, and
+united runs of at least ``min_chars`` characters are deleted from the later
 place; the first occurrence of every unit stays.
 
 Scale: one shuffle of fingerprints by hash (partial aggregation to the first
@@ -18,11 +22,10 @@ occurrence, so a hot line is one row per task there; its occurrences are
 joined by a join that can be split), then the unit hashes of documents, 8
 bytes a unit.  Texts move once, to meet their deletions.
 
-Cases: null texts stay null, empty texts empty; a text whose last unit goes
-becomes empty (``emptied``).  Documents are ordered by id (null last), then a
+Cases: null texts stay null, empty texts empty; a text that loses all but
+white space is ``emptied``.  Documents are ordered by id (null last), then a
 hash of the text; rows equal in both are one document and get the same
-result.  Equal units inside one document are later repeats as well.  Blank
-units are never fingerprints, and only go between two deleted units.  Extra
+result.  Equal units inside one document are later repeats as well.  Extra
 columns pass through; input columns named like an output are replaced.
 """
 
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from countframe.session import cut_lineage
 
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
-REACH = 8                # units compared on each side of a fingerprint
-UNIT_END = r"(?<=\n)|(?<=[.!?]\s)"
+REACH = 12               # units compared on each side of a fingerprint
+UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
 
 
 def units(text: Column) -> Column:
@@ -82,35 +85,39 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).dropDuplicates(["k"])
                       .select("k", F.col("u.h").alias("h"), F.col("u.len").alias("len")))
 
-    def is_mark(x, i):
-        a, b, c, d = (F.coalesce(F.get("h", i + o), F.lit(0)) for o in (-2, -1, 1, 2))
-        big = F.lit((1 << 63) - 1)
-        a, b, c, d = (F.when(v == 0, big).otherwise(v) for v in (a, b, c, d))
-        least = (x <= F.least(a, b)) | (x <= F.least(b, c)) | (x <= F.least(c, d))
-        return (x != 0) & ((F.get("len", i) * 2 >= min_chars) | least)
-
-    marks = doc.select("k", F.explode(F.filter(
-        F.transform("h", lambda x, i: F.when(is_mark(x, i), F.struct(x.alias("h"), i.alias("pos")))), lambda m: m.isNotNull())).alias("m"))
-    marks = marks.select(F.col("m.h").alias("h"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
-    firsts = marks.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("h", "first")
+    # hashes of neighbouring pairs (null at the end and beside a blank unit)
+    pairs = F.transform("h", lambda x, i: F.when((x != 0) & (F.get("h", i + 1) != 0), F.xxhash64(x, F.get("h", i + 1))))
+    most = F.lit((1 << 63) - 1)
+
+    def of_pair(g, i):
+        least = (g <= F.coalesce(F.get("g", i - 1), most)) | (g <= F.coalesce(F.get("g", i + 1), most))
+        return F.when(least | (F.get("len", i) + F.get("len", i + 1) >= min_chars), F.struct(g.alias("g"), i.alias("pos")))
+
+    def of_unit(x, i):
+        return F.when((x != 0) & (F.get("len", i) >= min_chars), F.struct(F.xxhash64(x).alias("g"), i.alias("pos")))
+
+    some = lambda c: F.filter(c, lambda m: m.isNotNull() & m["g"].isNotNull())
+    marks = doc.withColumn("g", pairs).select("k", F.explode(F.concat(
+        some(F.transform("g", of_pair)), some(F.transform("h", of_unit)))).alias("m"))
+    marks = marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
+    firsts = marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("g", "first")
     pos = lambda at: F.pmod(F.col(at), F.lit(_TH).cast("decimal(9,0)")).cast("int")
-    found = (marks.join(firsts, "h").where("first < at")
+    found = (marks.join(firsts, "g").where("first < at")
              .select((F.col("at") - pos("at")).cast(PLACE).alias("k"), pos("at").alias("pos"),
                      (F.col("first") - pos("first")).cast(PLACE).alias("fk"), pos("first").alias("fpos")))
-    hashes = doc.select("k", "h")
     before = lambda h, p: F.reverse(F.slice(h, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
-    after = lambda h, p: F.slice(h, p + 2, F.lit(reach))
-    around = lambda h, p: F.struct(F.get(h, p).alias("h"), before(h, p).alias("l"), after(h, p).alias("r"))
-    own = found.join(hashes, "k").select("k", "pos", "fk", "fpos", around(F.col("h"), F.col("pos")).alias("x"))
-    met = (own.join(hashes.select(F.col("k").alias("fk"), F.col("h").alias("fh")), "fk")
-           .select("k", "pos", "x", around(F.col("fh"), F.col("fpos")).alias("y")).where("x.h = y.h"))
-    met = met.select("k", F.sequence(F.col("pos") - _agree(F.col("x.l"), F.col("y.l")),
-                                     F.col("pos") + _agree(F.col("x.r"), F.col("y.r"))).alias("cover"))
-    covered = (met.select("k", F.explode("cover").alias("pos")).distinct()
-               .groupBy("k").agg(F.array_sort(F.collect_list("pos")).alias("cover")))
-    # runs of covered units, by gaps and islands, and their length in characters
-    placed = covered.join(doc.select("k", "len"), "k").select(
-        "k", F.posexplode(F.transform("cover", lambda p: F.struct(p.alias("pos"), F.get("len", p).alias("len")))).alias("nth", "u"))
+    after = lambda h, p: F.slice(h, p + 1, F.lit(reach + 1))
+    there = found.join(doc.select(F.col("k").alias("fk"), F.col("h").alias("fh")), "fk").select(
+        "k", "pos", before(F.col("fh"), F.col("fpos")).alias("fl"), after(F.col("fh"), F.col("fpos")).alias("fr"))
+    left, right = _agree(before(F.col("h"), F.col("pos")), F.col("fl")), _agree(after(F.col("h"), F.col("pos")), F.col("fr"))
+    met = (there.join(doc, "k").select("k", "pos", "len", left.alias("l"), right.alias("r")).where("r > 0")
+           .select("k", "l", "r", F.transform(F.sequence(F.col("pos") - F.col("l"), F.col("pos") + F.col("r") - 1),
+                                              lambda p: F.struct(p.alias("pos"), F.get("len", p).alias("len"))).alias("cover")))
+    chars = F.aggregate("cover", F.lit(0), lambda a, u: a + u["len"])
+    met = met.where((chars >= min_chars) | (F.col("l") == reach) | (F.col("r") > reach))
+    covered = met.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("cover"))
+    # runs of covered units, by gaps and islands
+    placed = covered.select("k", F.posexplode("cover").alias("nth", "u"))
     runs = (placed.groupBy("k", (F.col("u.pos") - F.col("nth")).alias("island"))
             .agg(F.min("u.pos").alias("first"), F.max("u.pos").alias("last"), F.sum("u.len").alias("chars"))
             .where(F.col("chars") >= min_chars))
