@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 8): universe-partition pigeonhole.
 
 A document is the set of its 5-word shingles (64-bit hashes); equal sets are
-one node (128-bit digest).  Sizes fall into bands that grow by ``GROWTH``.
+one node (named by a 64-bit digest of size and hashes).  Sizes fall into bands that grow by ``GROWTH``.
 Band b cuts the hash universe into m_b segments, m_b above the largest
 difference two linked sets of the band can have, so linked sets agree on at
 least one whole segment (pigeonhole).  A set is indexed in its own band and,
@@ -10,10 +10,12 @@ if it can link with smaller sets there, in the band below.
 1.  Index: one key per (band, non-empty segment, subset).  Keys leave a task
     packed per (part, node); copies of a key inside a task batch are reduced
     to one representative before the shuffle, so a key that a third of all
-    documents share costs one row per task batch, not one per document.
+    documents share costs one row per task batch, not one per document.  The
+    number of parts follows the number of keys (``PART_KEYS`` per part).
 2.  Stars: every member of a key is paired with one member (the smallest
     node; next, for keys that stay open, the member of most open keys).
-    Pairs are verified exactly and links joined to components.  A key whose
+    Pairs that sizes and bucket counts of the sets do not rule out are verified
+    exactly on whole sets; links are joined to components.  A key whose
     members are all in one component is closed: no pair inside can add
     anything.
 3.  Cost-based allocation for open keys: a key of up to ``HOT`` members is
@@ -43,7 +45,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countframe.llm import textarrays as ta
@@ -55,6 +57,7 @@ PERCENT = 75
 GROWTH = 1.8
 HOT = 64
 BATCH_BYTES = 8 << 20    # text per pre-aggregation batch
+PART_KEYS = 1_500_000    # shingles per part of the index
 STAR_ROWS = 512          # members verified against one copy of the star's centre
 _A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -103,8 +106,27 @@ def key_of(band: np.ndarray, seg: np.ndarray, total: np.ndarray) -> np.ndarray:
     return ta.mix64(total + ta.mix64(seg.astype(np.uint64) * _C + band.astype(np.uint64)))
 
 
-def node_of(h: np.ndarray) -> bytes:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+def node_of(h: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8, salt=len(h).to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def bucket_counts(h: np.ndarray) -> bytes:
+    """Hashes per bucket, for a power of two of buckets about as many as
+    hashes; counts stop at 255 (then the counts rule nothing out)."""
+    buckets = 1 << min(16, max(5, (len(h) - 1).bit_length() if len(h) else 0))
+    at = (h >> np.uint64(40)) & np.uint64(buckets - 1)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes, n: int, m: int) -> int:
+    """Upper bound of the intersection of sets of n and m hashes, from their
+    bucket counts."""
+    u, v = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if u.max(initial=0) == 255 or v.max(initial=0) == 255:
+        return min(n, m)
+    u, v = u.astype(np.int64), v.astype(np.int64)
+    k = min(len(u), len(v))
+    return int(np.minimum(u.reshape(-1, k).sum(axis=0), v.reshape(-1, k).sum(axis=0)).sum())
 
 
 def text_sets(column, size: int = SHINGLE):
@@ -130,22 +152,43 @@ def _joined(parts):
 
 
 # 0. nodes ------------------------------------------------------------------------
-def document_nodes(docs: DataFrame, text: str = "text", size: int = SHINGLE):
-    """Column struct<n, node>: set size and digest (null for the empty set)."""
+SIGNATURE = ("s0", "s1", "s2", "s3")
+_NODE = "struct<n:bigint,node:bigint>"
+_DESCRIBED = "struct<n:bigint,node:bigint,counts:binary,s0:bigint,s1:bigint,s2:bigint,s3:bigint>"
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """256 bits as four longs: bit i is odd if an odd number of hashes fall on
+    i.  Two signatures differ in at most as many bits as the sets differ."""
+    odd = np.bincount(((h >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    @F.arrow_udf("struct<n:bigint,node:binary>")
+
+def document_nodes(text, size: int = SHINGLE, described: bool = False):
+    """Column struct<n, node>: set size and name (null for the empty set);
+    ``described``: with bucket counts and parity signature as well."""
+
+    @F.arrow_udf(_DESCRIBED if described else _NODE)
     def describe(column: pa.Array) -> pa.Array:
-        n, nodes = [], []
-        for sizes, _, _, own in text_sets(column, size):
+        n, nodes, counts, signs = [], [], [], []
+        for sizes, first, h, own in text_sets(column, size):
             n += sizes.tolist()
             nodes += own
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(nodes, pa.binary())], ["n", "node"])
+            if described:
+                sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+                counts += [bucket_counts(s) for s in sets]
+                signs += [parity(s) for s in sets]
+        out = {"n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())}
+        if described:
+            signs = np.array(signs, np.int64).reshape(-1, 4)
+            out |= {"counts": pa.array(counts, pa.binary())} | {c: pa.array(signs[:, i]) for i, c in enumerate(SIGNATURE)}
+        return pa.StructArray.from_arrays(list(out.values()), list(out))
 
-    return describe(F.col(text).cast("string"))
+    return describe(text)
 
 
 # 1. index ------------------------------------------------------------------------
-_INDEX = "part int, node binary, centre binary, keys array<bigint>"
+_INDEX = "part int, node bigint, centre bigint, keys binary"
 
 
 def _index_rows(parts: int, size: int, bands: Bands):
@@ -154,6 +197,7 @@ def _index_rows(parts: int, size: int, bands: Bands):
             for sizes, first, h, nodes in text_sets(batch.column(0), size):
                 fresh = {x: i for i, x in reversed(list(enumerate(nodes))) if x is not None}
                 fresh = np.array(sorted(fresh.values()), np.int64)
+                names = np.array([x or 0 for x in nodes], np.int64)
                 for which, band, differ in bands.places(sizes[fresh]):
                     if not len(which):
                         continue
@@ -163,16 +207,21 @@ def _index_rows(parts: int, size: int, bands: Bands):
                     row = np.repeat(np.arange(len(docs)), length)
                     _, _, r, seg, total = segment_subsets(h[at], row, bands.segments[band][row])
                     few = np.flatnonzero(np.bincount(r, minlength=len(docs)) <= differ)
-                    yield from _packed(key_of(band[r], seg, total), r, [nodes[d] for d in docs], few, parts)
+                    yield from _packed(short_key(key_of(band[r], seg, total), parts), r, names[docs], few)
 
     return index
 
 
-def _packed(keys, row, nodes, few, parts):
+def short_key(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a key, and 32 bits of it; keys that only seem equal are
+    told apart by verification."""
+    return (keys % np.uint64(parts)).astype(np.int64) << 32 | (keys >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(keys, row, names, few):
     """Rows of one batch: keys of one document only, and representatives of
     shared keys, by part of the key; members of shared keys beside their
-    representative in parts of their own; sets with too few segments for the
-    guarantee once more, without keys."""
+    representative; sets with too few segments once more, without keys."""
     order = np.argsort(keys)
     k, r = keys[order], row[order]
     new = np.ones(len(k), bool)
@@ -180,97 +229,124 @@ def _packed(keys, row, nodes, few, parts):
     group = np.cumsum(new) - 1
     shared = np.bincount(group)[group] > 1
     centre = r[np.flatnonzero(new)][group]
-    part = (k % np.uint64(parts)).astype(np.int64)
-    names = np.array(nodes, object)
-    for chosen, middle, place in ((new, None, part), (shared, centre, (r * 7919) % parts)):
+    part = k >> 32
+    for chosen, middle in ((new, None), (shared, centre)):
         at = np.flatnonzero(chosen)
-        c = np.zeros(len(at), np.int64) if middle is None else middle[at]
-        at = at[np.argsort((place[at] << 42) | (r[at] << 21) | c)]     # a batch has less than 2^21 texts
-        c = np.zeros(len(at), np.int64) if middle is None else middle[at]
-        p, o = place[at], r[at]
+        first, second = (part, r) if middle is None else (r, middle)
+        at = at[np.argsort(first[at] << 24 | second[at], kind="stable")]     # a batch has less than 2^24 texts
+        p, o = first[at], second[at]
         cut = np.ones(len(at), bool)
-        cut[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1]) | (c[1:] != c[:-1])
+        cut[1:] = (p[1:] != p[:-1]) | (o[1:] != o[:-1])
         start = np.flatnonzero(cut)
         if len(start):
-            beside = pa.nulls(len(start), pa.binary()) if middle is None else pa.array(names[c[start]], pa.binary())
+            raw = k[at] if middle is not None else k[at].astype(np.uint32)
+            ends = np.append(start, len(at)).astype(np.int32) * raw.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            own = at[start]
             yield pa.RecordBatch.from_arrays([
-                pa.array(p[start], pa.int32()), pa.array(names[o[start]], pa.binary()), beside,
-                pa.ListArray.from_arrays(pa.array(np.append(start, len(at)), pa.int32()), pa.array(k[at].view(np.int64))),
-            ], ["part", "node", "centre", "keys"])
+                pa.array(part[own], pa.int32()), pa.array(names[r[own]]),
+                pa.nulls(len(start), pa.int64()) if middle is None else pa.array(names[middle[own]]), packed],
+                ["part", "node", "centre", "keys"])
     if len(few):
-        yield pa.RecordBatch.from_arrays([
-            pa.array(few % parts, pa.int32()), pa.array(names[few], pa.binary()), pa.nulls(len(few), pa.binary()),
-            pa.array([None] * len(few), pa.list_(pa.int64()))], ["part", "node", "centre", "keys"])
-
-
-def shared_keys(texts: DataFrame, size: int, bands: Bands) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(few)), pa.int32()), pa.array(names[few]),
+                                          pa.nulls(len(few), pa.int64()), pa.nulls(len(few), pa.binary())],
+                                         ["part", "node", "centre", "keys"])
+
+
+def _meet(batches):
+    """One part of the index: members (key, node, centre) of keys of several
+    nodes; rows with a centre, and those without keys, pass through."""
+    keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def members(k, n, c, null_key=False):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()) if null_key else pa.array(k), pa.array(n), pa.array(c)],
+                                          ["key", "node", "centre"])
+
+    for batch in batches:
+        packed = batch.column("keys")
+        known = packed.is_valid().to_numpy(zero_copy_only=False)
+        beside = batch.column("centre").is_valid().to_numpy(zero_copy_only=False)
+        centre = batch.column("centre").fill_null(0).to_numpy()
+        node, part = batch.column("node").to_numpy(), batch.column("part").to_numpy().astype(np.int64)
+        _, off, raw = packed.buffers()
+        off = np.frombuffer(off, np.int32)[packed.offset:packed.offset + len(packed) + 1].astype(np.int64) // 4
+        raw = np.frombuffer(raw, np.uint32, len(raw) // 4) if raw is not None else np.zeros(0, np.uint32)
+        size = np.diff(off)
+
+        def words(rows, width):
+            """Where the keys of these rows begin, and whose they are."""
+            n = size[rows] // width  # noqa: B023
+            owner = np.repeat(rows, n)
+            return off[owner] + width * (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)), owner  # noqa: B023
+
+        if not known.all():
+            yield members(None, node[~known], node[~known], True)
+        at, owner = words(np.flatnonzero(known & beside), 2)
+        if len(at):
+            yield members(raw[at].astype(np.int64) | raw[at + 1].astype(np.int64) << 32, node[owner], centre[owner])
+        at, owner = words(np.flatnonzero(known & ~beside), 1)
+        keys.append(raw[at].astype(np.int64) | part[owner] << 32)
+        nodes.append(node[owner])
+    k, n = np.concatenate(keys), np.concatenate(nodes)
+    del keys, nodes
+    order = np.argsort(k)
+    k, n = k[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    if not len(start):
+        return
+    size = np.diff(np.append(start, len(k)))
+    low, high = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
+    some = np.repeat(low != high, size)
+    k, n, low = k[some], n[some], np.repeat(low, size)[some]
+    for at in range(0, len(k), 1 << 18):
+        yield members(k[at:at + (1 << 18)], n[at:at + (1 << 18)], low[at:at + (1 << 18)])
+
+
+def shared_keys(texts: DataFrame, total: int, size: int, bands: Bands) -> DataFrame:
     """(key, node, centre): members of keys of several nodes, each beside a
-    member of the same key; key null: sets with too few segments."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    member of the same key; key null: sets with too few segments.  ``total``
+    is the number of shingles, which bounds the keys of a part."""
+    parts = max(12, -(-total // PART_KEYS))
     rows = texts.mapInArrow(_index_rows(parts, size, bands), _INDEX).repartitionById(parts, F.col("part"))
-    rows = rows.select("part", "node", "centre", F.explode_outer("keys").alias("key"))
-    # the window sees one row per (task batch, key); members beside their
-    # representative are in parts of their own and pass through
-    keyed = Window.partitionBy("key", "part")
-    alone = F.when(F.col("centre").isNull(), F.col("node"))
-    rows = rows.withColumn("low", F.min(alone).over(keyed)).withColumn("high", F.max(alone).over(keyed))
-    return (rows.where("key IS NULL OR centre IS NOT NULL OR low <> high")
-            .select("key", "node", F.coalesce("centre", "low").alias("centre")))
+    return rows.mapInArrow(_meet, "key bigint, node bigint, centre bigint")
 
 
 # 2. verification -----------------------------------------------------------------
-def bloom(nodes: DataFrame, count: int) -> np.ndarray:
-    """Bits set for the nodes; between 2^16 and 2^27 bits."""
+def bloom(values: DataFrame, count: int) -> np.ndarray:
+    """Bits set for the longs in column v; between 2^16 and 2^27 bits."""
     bits = 1 << min(27, max(16, (16 * count).bit_length()))
-    at = F.pmod(F.xxhash64("node"), F.lit(bits))
-    words = (nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {bits}) & 63 as int))").alias("b"))
+    at = F.pmod(F.xxhash64("v"), F.lit(bits))
+    words = (values.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {bits}) & 63 as int))").alias("b"))
              .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out
 
 
-def needed_sets(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, n, hashes, hist, s0..s3): the sets of ``nodes``, made again from
-    the texts, with a histogram and a 256-bit parity signature."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(bloom(nodes, nodes.count()))
+def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes): the sets of ``wanted`` (node, place), made again from
+    (place, text) rows; other texts are passed over by a Bloom filter of places."""
+    spark = docs.sparkSession
+    values = wanted.select(F.col("place").alias("v"))
+    shared = spark.sparkContext.broadcast(bloom(values, values.count()))
+    bits = len(shared.value) * 64
 
     def emit(batches):
-        import xxhash
-
-        bits = shared.value
+        filled = shared.value
         for batch in batches:
-            for sizes, first, h, own in text_sets(batch.column(0), size):
-                keep = {}
-                for i, x in enumerate(own):
-                    if x is not None and x not in keep:
-                        at = xxhash.xxh64_intdigest(x, seed=42) % (len(bits) * 64)
-                        if int(bits[at >> 6]) >> (at & 63) & 1:
-                            keep[x] = i
+            at = batch.column("at").to_numpy()
+            some = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
+            if not len(some):
+                continue
+            for sizes, first, h, own in text_sets(batch.column("text").take(pa.array(some)), size):
+                keep = list({x: i for i, x in enumerate(own) if x is not None}.items())
                 if keep:
-                    rows = list(keep.values())
-                    sets = [h[first[i]:first[i + 1]] for i in rows]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(list(keep), pa.binary()), pa.array(sizes[rows], pa.int64()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                        pa.array([np.minimum(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256), 65535)
-                                  .astype(np.uint16).tobytes() for s in sets], pa.binary()),
-                        *[pa.array(c) for c in np.stack([parity(s) for s in sets], axis=1)]],
-                        ["node", "n", "hashes", "hist", *SIGNATURE])
-
-    rows = texts.mapInArrow(emit, "node binary, n bigint, hashes binary, hist binary, " + ", ".join(f"{c} bigint" for c in SIGNATURE))
-    return cut_lineage(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-
-
-SIGNATURE = ("s0", "s1", "s2", "s3")
+                        pa.array([x for x, _ in keep], pa.int64()),
+                        pa.array([h[first[i]:first[i + 1]].tobytes() for _, i in keep], pa.binary())], ["node", "hashes"])
 
-
-def parity(h: np.ndarray) -> np.ndarray:
-    """256 bits as four longs: bit i is odd if an odd number of hashes fall on
-    i.  Two signatures differ in at most as many bits as the sets differ."""
-    odd = np.bincount(((h >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    rows = docs.select(F.pmod(F.xxhash64("place"), F.lit(bits)).alias("at"), "text").mapInArrow(emit, "node bigint, hashes binary")
+    return cut_lineage(rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def close(percent: int) -> str:
@@ -280,45 +356,41 @@ def close(percent: int) -> str:
             f"{bits} <= (nx + ny) * {100 - percent} div {100 + percent}")
 
 
-def signed(rows: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+def signed(rows: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
     """``rows`` (with a column node) beside size and signature, named for ``side``."""
-    return rows.join(sets.select("node", F.col("n").alias(f"n{side}"), *[F.col(c).alias(f"{side}{c[1]}") for c in SIGNATURE]),
+    return rows.join(nodes.select("node", F.col("n").alias(f"n{side}"), *[F.col(c).alias(f"{side}{c[1]}") for c in SIGNATURE]),
                      "node").withColumnRenamed("node", side)
 
 
 def possible(percent: int):
-    """Column function: can two sets of these sizes and histograms link?"""
+    """Column function: can two sets of these sizes and bucket counts link?"""
 
     @F.arrow_udf("boolean")
     def check(n: pa.Array, m: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y, u, v in zip(n.to_pylist(), m.to_pylist(), a.to_pylist(), b.to_pylist()):
-            u, v = np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16)
-            if u.max() == 65535 or v.max() == 65535:
-                out.append(min(x, y) * 100 >= percent * max(x, y))
-                continue
-            most = int(np.minimum(u, v).sum())
-            out.append(most * 100 >= percent * (x + y - most))
-        return pa.array(out, pa.bool_())
+        most = ((x, y, most_common(u, v, x, y)) for x, y, u, v in zip(n.to_pylist(), m.to_pylist(), a.to_pylist(), b.to_pylist()))
+        return pa.array([k * 100 >= percent * (x + y - k) for x, y, k in most], pa.bool_())
 
     return check
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     """The linked ones of distinct pairs (a, b): the members b of a centre a
     come beside a copy of a's set, at most STAR_ROWS of them per copy."""
-    small = sets.select("node", "n", "hist")
-    side = lambda x: small.select(*[F.col(c).alias(d) for c, d in zip(("node", "n", "hist"), (x, f"n_{x}", f"h_{x}"))])
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        f"least(n_a, n_b) * 100 >= {percent} * greatest(n_a, n_b)")
-    pairs = cut_lineage(pairs.where(possible(percent)(*(F.col(c) for c in ("n_a", "n_b", "h_a", "h_b")))).select("a", "b"))
+    near = F.expr(close(percent))
+    pairs = signed(signed(pairs.select(F.col("a").alias("node"), "b"), nodes, "x").withColumnRenamed("b", "node"), nodes, "y")
+    pairs = pairs.where(near).select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny")
+    small = nodes.select("node", "counts")
+    pairs = pairs.join(small.toDF("a", "u"), "a").join(small.toDF("b", "v"), "b")
+    pairs = cut_lineage(pairs.where(possible(percent)(*(F.col(c) for c in ("nx", "ny", "u", "v")))).select("a", "b"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = needed_sets(docs, cut_lineage(ends.join(nodes.select("node", "place"), "node")), size)
     copies = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / STAR_ROWS).cast("int").alias("copies"))
     members = (pairs.join(copies, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("copies")))
                .join(sets.select(F.col("node").alias("b"), F.col("hashes")), "b")
                .select("a", "salt", "b", "hashes"))
     centres = (copies.join(sets.select(F.col("node").alias("a"), F.col("hashes")), "a")
                .select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
-                       F.lit(None).cast("binary").alias("b"), "hashes"))
+                       F.lit(None).cast("bigint").alias("b"), "hashes"))
 
     def match(batches):
         now, centre = None, None
@@ -336,17 +408,17 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if both * 100 >= percent * (len(centre) + len(s) - both):
                     out.append((x, y))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()),
-                                                  pa.array([o[1] for o in out], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()),
+                                                  pa.array([o[1] for o in out], pa.int64())], ["a", "b"])
 
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     together = (centres.unionByName(members).repartition(parts, "a", "salt")
                 .sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()))
-    return cut_lineage(together.mapInArrow(match, "a binary, b binary"))
+    return cut_lineage(together.mapInArrow(match, "a bigint, b bigint"))
 
 
 # 3. one-deletion neighbourhoods ---------------------------------------------------
-def neighbourhoods(bands: Bands):
+def neighbourhoods(bands: Bands, parts: int):
     """(node, hashes, hot keys) -> probes and index entries of the sets whose
     other segments do not reach the guarantee, by a tagged key: whole against
     whole, whole against one-deletion, one-deletion against whole."""
@@ -357,14 +429,14 @@ def neighbourhoods(bands: Bands):
             for node, raw, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "hashes", "hot"))):
                 h = np.frombuffer(raw, np.uint64)
                 n = len(h)
-                hot = np.array(hot or [], np.int64).view(np.uint64)
+                hot = np.array(hot or [], np.int64)
                 for _, band, differ in bands.places(np.array([n])):
                     if not len(band):
                         continue
                     m = int(bands.segments[band[0]])
                     order, start, _, seg, total = segment_subsets(h, np.zeros(n, np.int64), np.full(n, m))
                     whole = key_of(band, seg, total)
-                    is_hot = np.isin(whole, hot)
+                    is_hot = np.isin(short_key(whole, parts), hot)
                     # allocation: 1 for every segment that is not hot (worked off
                     # before), 2 for the cheapest of them, then 1 for hot and empty ones
                     need = int(differ[0]) + 1 - int((~is_hot).sum())
@@ -386,7 +458,7 @@ def neighbourhoods(bands: Bands):
                         nodes += [node] * len(got)
                         probe.append(np.full(len(got), asks))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.binary()),
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.int64()),
                                                   pa.array(np.concatenate(probe))], ["key", "node", "probe"])
 
     return expand
@@ -405,71 +477,77 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
     counts the verified links of the node."""
     ship_library(docs.sparkSession)
     bands = Bands(percent)
-    rows = docs.select(F.col(row_id).alias("id"), document_nodes(docs, text, size).alias("d"))
-    rows = cut_lineage(rows.select("id", F.col("d.n").alias("n_shingles"), F.col("d.node").alias("node")))
-    texts = docs.select(F.col(text).cast("string").alias("text"))
-    members = cut_lineage(shared_keys(texts, size, bands))
-    nodes = members.select("node").distinct()
-    sets = needed_sets(texts, nodes, size)
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(row_id).alias("id"), document_nodes(body, size, described=True).alias("d"))
+    rows = cut_lineage(rows.select("id", F.col("d.n").alias("n_shingles"), "d.node", "d.counts", *[f"d.{c}" for c in SIGNATURE]))
+    # where a text is found again: a hash of its row's id
+    place = lambda c: F.xxhash64(F.col(c))
+    nodes = cut_lineage(rows.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), place("id").alias("place"), "counts", *SIGNATURE)
+                        .dropDuplicates(["node"]))
+    texts = docs.select(place(row_id).alias("place"), body.alias("text"))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    members = cut_lineage(shared_keys(texts.select("text"), total, size, bands))
+    check = lambda pairs: verify(pairs, nodes, texts, percent, size)
 
     pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = members.where("key IS NOT NULL AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
     tested = [cut_lineage(stars.distinct())]
-    links = [verify(tested[0], sets, percent)]
+    links = [check(tested[0])]
     comp = connect(links[0])
 
-    def open_members(comp: DataFrame) -> DataFrame:
-        """(key, node, comp, members) of keys that span components."""
-        named = members.where("key IS NOT NULL")
-        for end in ("node", "centre"):
-            named = named.join(comp.select(F.col("node").alias(end), F.col("comp").alias(f"c_{end}")), end, "left")
-        own, other = F.coalesce("c_node", "node"), F.coalesce("c_centre", "centre")
-        keys = named.where(own != other).select("key").distinct()
-        got = named.select("key", "node", own.alias("comp")).join(keys, "key", "left_semi").distinct()
-        size_of = got.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-        return cut_lineage(got.join(size_of, "key"))
-
-    # second star: the member of most open keys
-    opened = open_members(comp)
+    def named(frame: DataFrame, column: str, out: str) -> DataFrame:
+        """With the component of ``column`` (its own name without links) as ``out``."""
+        got = frame.join(comp.select(F.col("node").alias(column), F.col("comp").alias("__cf_c")), column, "left")
+        return got.withColumn(out, F.coalesce("__cf_c", column)).drop("__cf_c")
+
+    # members of keys that span components; the second star joins them to the
+    # member of most such keys
+    open_pairs = named(named(tested[0], "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("centre"), F.col("b").alias("node"))
+    keys = members.where("key IS NOT NULL").join(open_pairs, ["centre", "node"], "left_semi").select("key").distinct()
+    opened = cut_lineage(members.select("key", "node").join(keys, "key", "left_semi").distinct())
     weight = opened.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    centre = (opened.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("a"),
-                                                            F.max_by("comp", F.struct("w", "node")).alias("ca")))
-    second = (opened.join(centre, "key").where("node <> a AND comp <> ca").select("a", F.col("node").alias("b")).distinct()
-              .join(tested[0], ["a", "b"], "left_anti"))
-    tested.append(cut_lineage(second))
-    links.append(verify(tested[1], sets, percent))
+    centre = opened.join(weight, "node").groupBy("key").agg(F.max("w").alias("w"), F.max_by("node", F.struct("w", "node")).alias("a"))
+    second = named(named(opened.join(centre.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
+                         "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    tested.append(cut_lineage(second.join(tested[0], ["a", "b"], "left_anti")))
+    links.append(check(tested[1]))
     comp = connect(reduce(DataFrame.unionByName, links))
 
     # keys still open: pairs of different components, or deletion neighbourhoods
-    opened = open_members(comp)
-    cool = opened.where(F.col("members") <= hot).select("key", "node", "comp")
-    left, right = (signed(cool.withColumnRenamed("comp", f"c{x}"), sets, x) for x in ("x", "y"))
+    spread = named(opened, "node", "comp")
+    still = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    spread = cut_lineage(spread.join(still.select("key", "members"), "key"))
     near_by = F.expr(close(percent))
+    cool = spread.where(F.col("members") <= hot).select("key", "node", "comp")
+    left, right = (signed(cool.withColumnRenamed("comp", f"c{x}"), nodes, x) for x in ("x", "y"))
     crossed = left.join(right, (left["key"] == right["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_by)
     crossed = crossed.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    warm = opened.where(F.col("members") > hot).groupBy("node").agg(F.collect_list("key").alias("hot"))
+    warm = spread.where(F.col("members") > hot).groupBy("node").agg(F.collect_list("key").alias("hot"))
     few = members.where("key IS NULL").select("node").distinct()
-    entries = cut_lineage(warm.join(few, "node", "full_outer").join(sets.select("node", "hashes"), "node")
-                          .select("node", "hashes", "hot").mapInArrow(neighbourhoods(bands), "key bigint, node binary, probe boolean"))
-    entries = entries.join(comp, "node", "left").select("key", "node", "probe", F.coalesce("comp", "node").alias("comp"))
-    asks, holds = (signed(entries.where(w).select("key", "node", F.col("comp").alias(f"c{x}")), sets, x)
+    warm = cut_lineage(warm.join(few, "node", "full_outer"))
+    parts = max(12, -(-total // PART_KEYS))
+    sets = needed_sets(texts, cut_lineage(warm.select("node").join(nodes.select("node", "place"), "node")), size)
+    entries = cut_lineage(warm.join(sets, "node").select("node", "hashes", "hot")
+                          .mapInArrow(neighbourhoods(bands, parts), "key bigint, node bigint, probe boolean"))
+    entries = named(entries, "node", "comp")
+    asks, holds = (signed(entries.where(w).select("key", "node", F.col("comp").alias(f"c{x}")), nodes, x)
                    for w, x in (("probe", "x"), ("NOT probe", "y")))
     near = asks.join(holds, (asks["key"] == holds["key"]) & (F.col("cx") != F.col("cy")) & near_by)
     near = near.select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
     rest = crossed.unionByName(near).distinct()
     for done in tested:
         rest = rest.join(done.select(pair(F.col("a"), F.col("b")).alias("p")).select("p.a", "p.b"), ["a", "b"], "left_anti")
-    links.append(verify(cut_lineage(rest), sets, percent))
+    links.append(check(cut_lineage(rest)))
     every = reduce(DataFrame.unionByName, links)
     comp = connect(every)
 
     # ids: the smallest of each node, then of each component
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("own"))
-    named = ids.join(comp, "node", "left").select("node", "own", F.coalesce("comp", "node").alias("comp"))
-    least = named.groupBy("comp").agg(F.min("own").alias("component_id"))
+    classes = ids.join(comp, "node", "left").select("node", "own", F.coalesce("comp", "node").alias("comp"))
+    least = classes.groupBy("comp").agg(F.min("own").alias("component_id"))
     ends = every.select(pair(F.col("a"), F.col("b")).alias("p")).distinct().select(F.explode(F.array("p.a", "p.b")).alias("node"))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    named = named.join(least, "comp").join(degree, "node", "left").select("node", "comp", "component_id", "links")
-    return (rows.join(named, "node", "left")
+    classes = classes.join(least, "comp").join(degree, "node", "left").select("node", "comp", "component_id", "links")
+    return (rows.join(classes, "node", "left")
             .select("id", "n_shingles", "node", F.col("comp").alias("component"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.coalesce("links", F.lit(0)).alias("links")))
