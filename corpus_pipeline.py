@@ -67,7 +67,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stay = (groups.where("node IS NOT NULL").groupBy("component").agg(F.min(first).alias("f"))
             .select(F.col("f.node").alias("node"), F.coalesce(F.col("f.id").cast("string"), F.lit("")).alias("kid")))
     rows = _packed(docs, "doc_id", "text").select(
-        _ROW, jaccard.document_nodes(docs).alias("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kid"),
+        _ROW, jaccard.document_nodes(F.col("text").cast("string")).alias("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kid"),
         F.xxhash64("text").alias("th"))
     rows = rows.select(_ROW, F.col("d.node").alias("node"), "kid", "th")
     # rows equal in id and set: one of them
