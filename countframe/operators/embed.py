@@ -158,8 +158,12 @@ def linear_autoencoder(vecs: DataFrame, k: int = 64, vec: str = "vec", key: str
 
 
 def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
-                        theta: float = THETA, batch_totals: DataFrame | None = None) -> DataFrame:
-    """D5. Dense NB Pearson residual vectors (cell_id, vec) on the axis.
+                        theta: float = THETA, batch_totals: DataFrame | None = None,
+                        n_train: int | None = None) -> DataFrame:
+    """D5. Dense NB Pearson residual vectors (cell_id, vec) on the axis,
+    clipped at the square root of the number of *training* cells: frozen
+    totals need their ``n_train``, so that a row's vector never depends on
+    the rows it is scored with.
 
     ``batch_totals`` (batch, gene_idx, g_total) and the batch sums may come
     from a frozen training set (query mapping); a batch unseen in training
@@ -174,6 +178,7 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
         F.map_from_entries(F.collect_list(
             F.when(F.col("gene_idx").isNotNull(), F.struct("gene_idx", F.col(vc).cast("double"))))).alias("_m"))
     if batch_totals is None:
+        n_train = cf.obs.count()
         batch_totals = nb_batch_totals(cf, genes, batch)
     # batch x axis arrays: bounded by (#batches + 1) x g
     gvec = _batch_arrays(batch_totals, n)
@@ -192,7 +197,9 @@ def nb_residual_vectors(cf: CountFrame, genes: DataFrame, batch: str = "batch",
         cells = cf.obs.select("cell_id").join(per_cell, "cell_id", "left") \
             .withColumn("_g", pooled["_g"]).withColumn("_btot", pooled["_btot"])
     cells = cells.withColumn("_ctot", F.coalesce("_ctot", F.lit(0.0)))
-    clipv = float(np.sqrt(cf.obs.count()))
+    if n_train is None:
+        raise ValueError("frozen totals need the number of their cells (n_train)")
+    clipv = float(np.sqrt(n_train))
     vec = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                       lambda i: F.coalesce(F.element_at(F.col("_m"), i.cast("int")), F.lit(0.0)))
 

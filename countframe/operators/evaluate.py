@@ -4,8 +4,8 @@ M9).
 
 ROC curves run cumulative sums over a whole class.  A class may hold a
 third of all rows, so the curve is computed in two levels: scores are first
-pre-aggregated per distinct value, then cut into equal-width score buckets;
-bucket totals get a running sum over at most ``n_buckets`` rows per class,
+pre-aggregated per distinct value, then cut into buckets of about equally
+many distinct scores (approximate quantiles); bucket totals get a running sum over at most ``n_buckets`` rows per class,
 and rows only cumulate inside their own (class, bucket) window.
 """
 
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from countframe.frame import UNKNOWN
 from countframe.functions.hashing import round_half_up, safe_div
-from countframe.operators.summary import crosstab, distinct_values
+from countframe.operators.summary import crosstab
+from countframe.session import cut_lineage
 
-N_BUCKETS = 1024
+N_BUCKETS = 256
 
 
 def with_truth(preds: DataFrame, obs: DataFrame, truth: str = "label_truth") -> DataFrame:
@@ -97,10 +98,11 @@ def roc_table(scores: DataFrame, cls: str = "class", truth: str = "truth", score
     tot = (agg.groupBy(cls).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                 F.min(score).alias("_lo"), F.max(score).alias("_hi"))
            .where(F.col("P") > 0))
-    agg = agg.join(tot, cls)
-    width = safe_div(F.col("_hi") - F.col(score), F.col("_hi") - F.col("_lo"))
-    agg = agg.withColumn("_b", F.least(F.lit(n_buckets - 1),
-                                       F.coalesce(F.floor(width * n_buckets), F.lit(0))).cast("int"))
+    agg = cut_lineage(agg.join(tot, cls).drop("_lo", "_hi"))
+    # buckets are ranges of distinct scores of about equal row counts: quantiles
+    # of all distinct scores, so scores piled up near 0 and 1 spread out
+    cuts = sorted(set(agg.approxQuantile(score, [i / n_buckets for i in range(1, n_buckets)], 0.25 / n_buckets)))
+    agg = agg.withColumn("_b", -F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score))) if cuts else F.lit(0))
     buckets = agg.groupBy(cls, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     before = Window.partitionBy(cls).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select(cls, "_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"),
@@ -114,10 +116,14 @@ def roc_table(scores: DataFrame, cls: str = "class", truth: str = "truth", score
 
 
 def roc_points(scores: DataFrame, digits: int = 6, **kw) -> DataFrame:
-    """E5. (class, threshold, tps, fps, tpr, fpr) at every distinct score."""
+    """E5. (class, threshold, tps, fps, tpr, fpr) at every distinct score, and
+    each curve's origin: threshold +inf, nothing predicted positive."""
     t = roc_table(scores, **kw)
     cls = kw.get("cls", "class")
     score = kw.get("score", "score")
+    origin = t.select(cls, "P", "N").distinct().select(
+        cls, F.lit(float("inf")).alias(score), "P", "N", F.lit(0).cast("bigint").alias("tps"), F.lit(0).cast("bigint").alias("fps"))
+    t = t.select(cls, score, "P", "N", "tps", "fps").unionByName(origin)
     return t.select(cls, F.col(score).alias("threshold"), "tps", "fps",
                     round_half_up(safe_div(F.col("tps"), F.col("P")), digits).alias("tpr"),
                     round_half_up(safe_div(F.col("fps"), F.col("N")), digits).alias("fpr"))
@@ -148,7 +154,7 @@ def argmax_label(probs: DataFrame, cls: str = "class", p: str = "score", key: st
 def attach_predictions(obs: DataFrame, preds: DataFrame, name: str = "pred") -> DataFrame:
     """P8. Every row gets 'Unknown' unless it has a prediction."""
     return obs.join(preds.select("cell_id", F.col("pred").alias("_p")), "cell_id", "left") \
-        .withColumn(name, F.coalesce(F.col("_p"), F.lit(UNKNOWN))).drop("_p")
+        .withColumn(name, F.coalesce(F.col("_p").cast("string"), F.lit(UNKNOWN))).drop("_p")
 
 
 def results_table(rows: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -166,7 +172,3 @@ def evaluate_query(preds: DataFrame, obs: DataFrame, truth: str = "label_truth")
         return metrics(with_truth(preds, obs, truth))
     return preds.groupBy("pred").agg(F.count(F.lit(1)).alias("n"))
 
-
-__all__ = ["accuracy", "weighted_f1", "metrics", "confusion", "binarize", "roc_points", "roc_auc",
-           "argmax_label", "attach_predictions", "results_table", "evaluate_query", "with_truth",
-           "per_class_f1", "class_counts", "distinct_values"]

@@ -75,15 +75,6 @@ def genes_missing(train: DataFrame, query_genes: DataFrame) -> DataFrame:
     return train.join(query_genes.select("gene_id"), "gene_id", "left_anti")
 
 
-def attach_stats(x: DataFrame, stats: DataFrame, on: str | list[str] = "gene_id",
-                 bounded: bool = True) -> DataFrame:
-    """J5. Bring per-gene (or per-batch) statistics back to the entries.
-    ``bounded`` says the statistics table has a size fixed by a parameter
-    (a selected gene list), which makes the broadcast safe; otherwise the
-    choice is left to AQE's measured sizes."""
-    return x.join(F.broadcast(stats) if bounded else stats, on, "inner")
-
-
 def to_vectors(x: DataFrame, genes: DataFrame, cells: DataFrame | None = None,
                value: str = "value", fill: Column | None = None) -> DataFrame:
     """P9 + J4. Dense per-cell arrays on a fixed feature axis.

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import round_half_up, safe_div
+from countframe.operators.normalize import moments_with_zeros, stored_moments
 from countframe.session import cut_lineage
 
 N_BINS = 20
@@ -32,21 +33,17 @@ def dispersion_table(x_norm: DataFrame, obs: DataFrame, batch: str | None = None
     """(batch, gene_id, mean, log_disp, log_mean, bin, norm) per batch."""
     if batch is None:
         xb = x_norm.withColumn("_batch", F.lit("all"))
-        per = xb.groupBy("_batch", "gene_id").agg(
-            F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
+        per = xb.groupBy("_batch", "gene_id").agg(*stored_moments(value))
         # one batch: the number of cells is a scalar subquery
         per = per.withColumn("_n", obs.select(F.count(F.lit(1))).scalar())
     else:
         # the row table carries the batch of each cell (one row per cell)
         xb = x_norm.join(obs.select("cell_id", F.col(batch).alias("_batch")), "cell_id")
         cells = obs.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"))
-        per = xb.groupBy("_batch", "gene_id").agg(
-            F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
+        per = xb.groupBy("_batch", "gene_id").agg(*stored_moments(value))
         # one row per batch; AQE broadcasts it once it has measured it
         per = per.join(cells, "_batch")
-    n = F.col("_n").cast("double")
-    mean = F.col("_s1") / n
-    var = safe_div(F.col("_s2") - n * mean * mean, n - 1)
+    mean, var = moments_with_zeros(F.col("_n").cast("double"))
     # the per-(batch, gene) table is small (genes x batches) and is read
     # by several aggregates and scalar subqueries below: materialise it once
     # so the whole matrix is scanned a single time
@@ -88,8 +85,16 @@ def highly_variable(x_norm: DataFrame, obs: DataFrame, n_top: int = 2000, batch:
     d = d.withColumn("_n9", round_half_up("norm", 9))
     # per-batch top n: rank() <= n  <=>  norm >= the n-th largest norm of the
     # batch.  row_number <= n is limited per partition before the shuffle.
-    w = Window.partitionBy("batch").orderBy(F.col("_n9").desc())
-    top_b = d.where(F.col("_n9").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_top)
+    # Spark does that up to 1000 rows; a larger n first ranks within 1024
+    # groups of genes, so that at most 1024 n rows of a batch meet.
+    def top_rows(rows, *by):
+        w = Window.partitionBy(*by).orderBy(F.col("_n9").desc())
+        return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_top).drop("_r")
+
+    top_b = d.where(F.col("_n9").isNotNull())
+    if n_top > 1000:
+        top_b = top_rows(top_b.withColumn("_g", F.pmod(F.xxhash64("gene_id"), F.lit(1024))), "batch", "_g")
+    top_b = top_rows(top_b, "batch")
     if batch is None:
         d = d.withColumn("_cut", top_b.select(F.min("_n9")).scalar())
     else:

@@ -134,23 +134,26 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", k
     q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     nt = train.count()
+    if nt == 0:
+        return q.sparkSession.createDataFrame([], "query_id long, ref_id long, rank int, dist double")
     first = t.first()
     dim = len(first["vec"]) if first is not None else 0
     if nt * max(dim, 1) * 8 <= broadcast_bytes:
         # the training side has a checked size: ship it to every task
         # once and stream the query rows past it
-        rows = t.collect()
-        T = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        tid = np.array([r["id"] for r in rows], dtype=np.int64)
+        got = t.toArrow()
+        T = np.array(got["vec"].combine_chunks().flatten(), dtype=np.float64).reshape(nt, dim)
+        tid = got["id"].to_numpy()
         bc = query.sparkSession.sparkContext.broadcast((T, tid))
         return q.mapInPandas(_broadcast_topk(bc, k, exclude_self, block_rows),
                              "query_id long, ref_id long, rank int, dist double")
     nq = query.count()
     bq, bt = _blocks(nq, block_rows), _blocks(nt, block_rows)
-    # every query row is copied once per train block and vice versa
-    q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).alias("qb"),
+    # every query row is copied once per train block and vice versa; block
+    # numbers have one type on both sides, as int and bigint hash differently
+    q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int").alias("qb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
-    t_rep = t.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bt)).alias("tb"),
+    t_rep = t.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bt)).cast("int").alias("tb"),
                      F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
     cand = (q_rep.groupBy("qb", "tb").cogroup(t_rep.groupBy("qb", "tb"))
             .applyInPandas(_block_topk(k, exclude_self), _CAND_SCHEMA))

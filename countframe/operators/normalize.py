@@ -37,14 +37,27 @@ def log1p(cf: CountFrame) -> CountFrame:
 
 def gene_stats(x: DataFrame, n_cells: Column | int, value: str = "value") -> DataFrame:
     """N4. Per gene mean and sample std over *all* cells:
-    mean = S1/n, var = (S2 - n mean^2)/(n - 1).  One aggregation, never dense."""
+    the squared deviations of the stored entries about their own mean, moved to
+    the overall mean, plus those of the zeros.  One aggregation, never dense."""
     n = F.lit(n_cells) if isinstance(n_cells, int) else n_cells
-    g = x.groupBy("gene_id").agg(F.sum(value).alias("_s1"), F.sum(F.col(value) * F.col(value)).alias("_s2"))
-    mean = safe_div(F.col("_s1"), n)
-    var = safe_div(F.col("_s2") - n * mean * mean, n - 1)
+    g = x.groupBy("gene_id").agg(*stored_moments(value))
+    mean, var = moments_with_zeros(n)
     return g.select("gene_id", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
 
 
+def stored_moments(value: str = "value") -> list[Column]:
+    return [F.count(value).alias("_m"), F.avg(value).alias("_a"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("_v")]
+
+
+def moments_with_zeros(n) -> tuple[Column, Column]:
+    """Mean and sample variance over n cells, from the moments of the stored
+    entries; no difference of large sums."""
+    m, a, v = F.col("_m"), F.col("_a"), F.col("_v")
+    mean = safe_div(m * a, n)
+    squares = (m - 1) * v + m * (a - mean) * (a - mean) + (n - m) * mean * mean
+    return mean, safe_div(squares, n - 1)
+
+
 def n_cells_of(obs: DataFrame) -> Column:
     return obs.select(F.count(F.lit(1))).scalar()
 

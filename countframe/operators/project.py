@@ -53,28 +53,33 @@ def map_query_knn(space: KnnSpace, qry: CountFrame, k: int = 15) -> DataFrame:
     return pr.select(F.col("query_id").alias("cell_id"), "pred", "p")
 
 
-def query_vectors_on_axis(qry: CountFrame, axis: DataFrame) -> DataFrame:
-    """T2/T3 input: normalise, log, scale with the query's *own* statistics
-    (what the reference's classifier path does), then align to the training
+def query_vectors_on_axis(qry: CountFrame, axis: DataFrame, stats: DataFrame | str) -> DataFrame:
+    """T2/T3 input: normalise, log, scale with the training statistics
+    ``stats`` (``"self"``: with the query's own, so that a row's vector
+    depends on the rows it is scored with), then align to the training
     feature list; genes the query lacks are 0."""
     qlog = normalize.log1p(normalize.normalize_total(qry))
     present = features.genes_present(axis, qlog.genes())
     sel = features.select_genes(qlog.x, present)
-    stats = normalize.gene_stats(sel, normalize.n_cells_of(qlog.obs))
+    if isinstance(stats, str):
+        stats = normalize.gene_stats(sel, normalize.n_cells_of(qlog.obs))
+    else:
+        stats = stats.join(present.select("gene_id"), "gene_id", "left_semi")
     return normalize.scale_vectors(sel, axis, qlog.obs, stats)
 
 
-def map_query_classifier(fit: models.FitResult, axis: DataFrame, qry: CountFrame) -> DataFrame:
+def map_query_classifier(fit: models.FitResult, axis: DataFrame, qry: CountFrame,
+                         stats: DataFrame | str) -> DataFrame:
     """T2. Score the aligned query rows with a trained classifier."""
-    hard, _ = models.predict(fit, query_vectors_on_axis(qry, axis))
+    hard, _ = models.predict(fit, query_vectors_on_axis(qry, axis, stats))
     return hard
 
 
 def map_query_latent(ae: embed.PcaResult, train_latent: DataFrame, axis: DataFrame, qry: CountFrame,
-                     k: int = 15) -> DataFrame:
+                     stats: DataFrame | str, k: int = 15) -> DataFrame:
     """T3. Aligned query rows through the (linear) encoder, then kNN on the
     training embedding."""
-    qlat = embed.project_vectors(query_vectors_on_axis(qry, axis), ae.components, ae.mean)
+    qlat = embed.project_vectors(query_vectors_on_axis(qry, axis, stats), ae.components, ae.mean)
     nn = neighbors.knn_join(qlat, train_latent, k)
     pr = neighbors.knn_predict(neighbors.knn_predict_proba(nn, train_latent))
     return pr.select(F.col("query_id").alias("cell_id"), "pred", "p")
@@ -85,14 +90,16 @@ class NbSpace:
     """A fitted count-model space: frozen per-batch totals and the PCA of the
     training residuals."""
     totals: DataFrame
+    n_train: int
     pca: embed.PcaResult
 
 
 def fit_nb_space(ref: CountFrame, axis: DataFrame, batch: str = "batch", n_latent: int = 20) -> NbSpace:
     """D5 training side, kept for mapping: totals and residual PCA."""
     totals = cut_lineage(embed.nb_batch_totals(ref, axis, batch))
-    rvec = cut_lineage(embed.nb_residual_vectors(ref, axis, batch, batch_totals=totals))
-    return NbSpace(totals, embed.pca(rvec, n_latent))
+    n_train = ref.obs.count()
+    rvec = cut_lineage(embed.nb_residual_vectors(ref, axis, batch, batch_totals=totals, n_train=n_train))
+    return NbSpace(totals, n_train, embed.pca(rvec, n_latent))
 
 
 def map_query_semisup(space: NbSpace, ref_probs: DataFrame, qry: CountFrame, axis: DataFrame,
@@ -103,7 +110,7 @@ def map_query_semisup(space: NbSpace, ref_probs: DataFrame, qry: CountFrame, axi
     training PCA maps the residuals; each query row takes one propagation
     step from its k nearest training rows.  (cell_id, pred, confidence)."""
     qcf = qry if batch in qry.obs.columns else CountFrame(qry.x, qry.obs.select("cell_id"))
-    qvec = embed.nb_residual_vectors(qcf, axis, batch, batch_totals=space.totals)
+    qvec = embed.nb_residual_vectors(qcf, axis, batch, batch_totals=space.totals, n_train=space.n_train)
     qlat = embed.project_vectors(qvec, space.pca.components, space.pca.mean)
     nn = neighbors.knn_join(qlat, space.pca.latent, k)
     edges = nn.select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"), "dist")
@@ -111,4 +118,4 @@ def map_query_semisup(space: NbSpace, ref_probs: DataFrame, qry: CountFrame, axi
         .groupBy(F.col("src").alias("cell_id"), "label").agg(F.sum(F.col("w") * F.col("p")).alias("_s"))
     probs = step.select("cell_id", "label",
                         (F.col("_s") / F.sum("_s").over(Window.partitionBy("cell_id"))).alias("p"))
-    return semisup.annotate(probs).select("cell_id", "pred", "confidence")
+    return semisup.annotate(probs, qry.obs).select("cell_id", "pred", "confidence")

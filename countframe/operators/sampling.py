@@ -81,8 +81,9 @@ def mask_labels(obs: DataFrame, frac: float = 0.30, seed=SEED, label: str = "lab
     """R2 + P1. Copy ``label`` to ``label_truth`` and hide exactly
     floor(frac * n) labels: ``label_masked`` = 'Unknown' for those rows."""
     flagged = exact_k_flag(obs, key, seed, lambda total: F.floor(F.lit(float(frac)) * total), flag="masked")
-    return (flagged.withColumn("label_truth", F.col(label))
-            .withColumn("label_masked", F.when(F.col("masked"), F.lit(UNKNOWN)).otherwise(F.col(label))))
+    # Labels of any type become strings, so that 'Unknown' is one of them
+    return (flagged.withColumn("label_truth", F.col(label).cast("string"))
+            .withColumn("label_masked", F.when(F.col("masked"), F.lit(UNKNOWN)).otherwise(F.col(label).cast("string"))))
 
 
 def labeled(obs: DataFrame, col: str = "label_masked") -> DataFrame:
@@ -110,14 +111,19 @@ def random_split(df: DataFrame, frac: float = 0.10, seed=SEED, key: str = "cell_
 
 def sample_per_label(df: DataFrame, n: int = 100, label: str = "label", seed=SEED,
                      key: str = "cell_id") -> DataFrame:
-    """R5. At most n rows per label, chosen by seeded hash order.
-    ``row_number <= n`` lets Spark keep only n rows per label and map task
-    before the shuffle (WindowGroupLimit), so a hot label costs n rows."""
-    w = Window.partitionBy(label).orderBy(md5_key(F.col(key), seed), key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """R5. At most n rows per label, chosen by seeded hash order: the counted
+    cut of ``exact_k_flag``, so neither a hot label nor a large n meets in one
+    window."""
+    flagged = exact_k_flag(df, key, seed, lambda total: F.least(total, F.lit(n)), strata=[label], flag="_keep")
+    return flagged.where("_keep").drop("_keep")
 
 
 def limit_per_label(df: DataFrame, n: int = 50, label: str = "label", key: str = "cell_id") -> DataFrame:
-    """R6. The first n rows of each label by key."""
-    w = Window.partitionBy(label).orderBy(key)
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    """R6. The first n rows of each label by key.  ``row_number <= n`` keeps n
+    rows per label and map task before the shuffle; Spark does so up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000) rows, so a larger
+    n first ranks within 1024 hash groups of the key."""
+    top = lambda d, *by: d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("_r") <= n).drop("_r")
+    if n > 1000:
+        df = top(df.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(1024))), label, "_g").drop("_g")
+    return top(df, label)

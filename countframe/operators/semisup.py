@@ -1,13 +1,12 @@
 """Semi-supervised annotation by label propagation on a kNN graph (M7, M8,
 M10): labelled rows are clamped to their label, every other row takes the
-weight-averaged class distribution of its neighbours, for a fixed number of
-rounds (Zhu & Ghahramani 2002).  Probabilities are kept long and sparse:
+weight-averaged class distribution of its neighbours, until nothing
+moves or a bound on the rounds (Zhu & Ghahramani 2002).  Probabilities are kept long and sparse:
 (cell_id, label, p), only non-zero classes stored.
 
-Each round is one join of the edge list with the current probabilities and
-one aggregation.  The edge list is hash-partitioned by ``dst`` once, so the
-per-round join only moves the (smaller) probability table; lineage is cut
-with a reliable checkpoint every few rounds.
+Each round is one join of the edge list (written once) with the current
+probabilities, which can be split at hub nodes, and one aggregation; lineage
+is cut, and convergence tested, every few rounds.
 """
 
 from __future__ import annotations
@@ -15,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countframe.frame import UNKNOWN
 from countframe.operators.evaluate import argmax_label
 from countframe.session import cut_lineage
 
 ROUNDS = 10
 CHECKPOINT_EVERY = 4
+TOL = 1e-4
 
 
 def edge_weights(graph: DataFrame) -> DataFrame:
@@ -42,24 +43,33 @@ def propagate_step(edges: DataFrame, probs: DataFrame, seeds: DataFrame) -> Data
 
 
 def propagate_labels(graph: DataFrame, obs: DataFrame, label: str = "label_seed", rounds: int = ROUNDS,
-                     checkpoint_every: int | None = CHECKPOINT_EVERY) -> DataFrame:
-    """M7. (cell_id, label, p) after ``rounds`` rounds.  ``obs`` holds the
-    seed label (NULL = unlabelled)."""
-    spark = graph.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = edge_weights(graph).repartition(n_parts, "dst")
-    seeds = seed_probs(obs, label)
+                     checkpoint_every: int = CHECKPOINT_EVERY, tol: float = TOL) -> DataFrame:
+    """M7. (cell_id, label, p) after ``rounds`` rounds, or earlier once no
+    probability moved by more than ``tol`` in a round.  ``obs`` holds the
+    seed label (NULL = unlabelled).  A row that no seed reaches has no entry
+    here; ``annotate`` gives it 'Unknown'.  The graph is computed once."""
+    edges = cut_lineage(edge_weights(graph))
+    seeds = cut_lineage(seed_probs(obs, label))
     probs = seeds
     for r in range(1, rounds + 1):
-        probs = propagate_step(edges, probs, seeds)
-        if checkpoint_every and r % checkpoint_every == 0 and r < rounds:
-            probs = cut_lineage(probs)
+        new = propagate_step(edges, probs, seeds)
+        if r % checkpoint_every == 0 and r < rounds:
+            probs, new = cut_lineage(probs), cut_lineage(new)
+            both = new.join(probs.withColumnRenamed("p", "_old"), ["cell_id", "label"], "full_outer")
+            moved = both.select(F.max(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))))).first()[0]
+            if (moved or 0.0) <= tol:
+                return new
+        probs = new
     return probs
 
 
-def annotate(probs: DataFrame) -> DataFrame:
-    """M8 + M9. Hard label (ties -> alphabetical) and confidence per row."""
-    return argmax_label(probs, cls="label", p="p")
+def annotate(probs: DataFrame, obs: DataFrame) -> DataFrame:
+    """M8 + M9. Every row of ``obs`` with its hard label (ties ->
+    alphabetical) and confidence; rows without a class get 'Unknown', 0."""
+    hard = argmax_label(probs, cls="label", p="p")
+    return obs.select("cell_id").join(hard, "cell_id", "left").select(
+        "cell_id", F.coalesce(F.col("pred").cast("string"), F.lit(UNKNOWN)).alias("pred"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 def annotate_from_latent(spark, latent_path: str, obs: DataFrame, label: str = "label_seed",

@@ -1,8 +1,9 @@
 """Group summaries, cross-tabulations and distributions.
 
-Zero-filled cross-tabs are built by pivoting on the (small, collected and
-size-checked) list of column values and unpivoting back to long form: every
-(row value, column value) pair appears without a cross join.
+Zero-filled cross-tabs expand each distinct row value by an array of the
+distinct column values (a scalar subquery) and join the counts: every (row
+value, column value) pair appears without a cross join, and values stay what
+they are (any type, any characters).
 """
 
 from __future__ import annotations
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 from countframe.frame import UNKNOWN
 from countframe.functions.hashing import round_half_up, safe_div
 
-MAX_PIVOT_VALUES = 10_000
-
 _AGGS = {
     "mean": lambda c: F.avg(c),
     "median": lambda c: F.median(c),
@@ -62,28 +61,20 @@ def label_counts(obs: DataFrame, col: str = "label_masked") -> DataFrame:
     return obs.agg(F.count_if(~unknown).alias("n_labeled"), F.count_if(unknown).alias("n_unlabeled"))
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct values of a low-cardinality column, size-checked."""
-    got = [r[0] for r in df.select(col).distinct().limit(max_values + 1).collect()]
-    if len(got) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values")
-    return sorted(v for v in got if v is not None)
-
-
-def crosstab_wide(df: DataFrame, rows: str, cols: str, values: list | None = None) -> DataFrame:
-    """A4 (wide). One column per value of ``cols``, zero-filled."""
-    values = values if values is not None else distinct_values(df, cols)
-    return df.groupBy(rows).pivot(cols, values).count().na.fill(0)
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a class column (a short list by nature)."""
+    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
 
 
-def crosstab(df: DataFrame, rows: str, cols: str, values: list | None = None) -> DataFrame:
-    """A4 (long). (rows, cols, n) for every row value x column value,
-    zero-filled: pivot then unpivot, no cross join."""
-    values = values if values is not None else distinct_values(df, cols)
-    wide = crosstab_wide(df, rows, cols, values)
-    names = [str(v) for v in values]
-    long = wide.unpivot([rows], names, cols, "n")
-    return long.withColumn("n", F.col("n").cast("bigint"))
+def crosstab(df: DataFrame, rows: str, cols: str) -> DataFrame:
+    """A4. (rows, cols, n) for every row value x column value, zero-filled.
+    A null column value is not a column; a null row value is a row."""
+    pairs = df.select(F.col(rows).alias("_r"), F.col(cols).alias("_c"))
+    n = pairs.groupBy("_r", "_c").agg(F.count(F.lit(1)).alias("n"))
+    every = pairs.where(F.col("_c").isNotNull()).select(F.sort_array(F.collect_set("_c"))).scalar()
+    grid = pairs.select("_r").distinct().select(F.col("_r").alias("_row"), F.explode(every).alias("_col"))
+    full = grid.join(n, F.col("_row").eqNullSafe(F.col("_r")) & (F.col("_col") == F.col("_c")), "left")
+    return full.select(F.col("_row").alias(rows), F.col("_col").alias(cols), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def crosstab_prop(ct: DataFrame, rows: str, cols: str, digits: int = 3) -> DataFrame:
@@ -141,12 +132,3 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def distinct_labels(df: DataFrame, col: str, n: int = 3) -> DataFrame:
     """A10. First n distinct values in sort order (the limit is the feature)."""
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).limit(n)
-
-
-def mean_by_feature(vec_df: DataFrame, vec: str = "vec", names: DataFrame | None = None) -> DataFrame:
-    """A11. Column mean of a set of equal-length arrays: (idx, mean)."""
-    exploded = vec_df.select(F.posexplode(vec).alias("idx", "v"))
-    out = exploded.groupBy("idx").agg(F.avg("v").alias("mean"))
-    if names is not None:
-        out = out.join(names, "idx")
-    return out

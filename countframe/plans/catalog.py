@@ -33,7 +33,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from countframe.plans import (  # noqa: F401
-        q_annotation,
         q_embedding,
         q_evaluation,
         q_mapping,

@@ -21,7 +21,7 @@ N_TOP_DOCS = 1000
 def f4_features(spark, sf, n_top: int = N_TOP_DOCS):
     """Documents x tokens: normalise, log, top variable tokens, scale.
     Returns (scaled vectors, axis, masked obs)."""
-    f4 = fixtures.document_tokens(spark, sf)
+    f4 = fixtures.materialize(fixtures.document_tokens(spark, sf))     # tokenised once
     norm = normalize.normalize_total(f4)
     hv = hvg.highly_variable(norm.x, norm.obs, n_top)
     axis = hvg_axis(hv)
@@ -108,9 +108,6 @@ def nb_latent_q(spark, sf):
     return _long(res.latent).withColumn("score", round_half_up("score"))
 
 
-__all__ = ["f4_features", "features"]
-
-
 # D5 with frozen training totals and an unseen batch (T4's residual step) --------
 @query("nb_residuals_unseen_batch", F2_SQL + f""",
 u_ct AS (
@@ -126,7 +123,7 @@ u_dense AS (
 u_mu AS (
   SELECT d.*, d.t * coalesce(g.g, 0.0) / (SELECT T FROM u_T) AS mu
   FROM u_dense d LEFT JOIN u_g g ON g.gene_id = d.gene_id),
-u_n AS (SELECT sqrt(CAST(count(*) AS DOUBLE)) AS c FROM f2_qry_obs)
+u_n AS (SELECT sqrt(CAST(count(*) AS DOUBLE)) AS c FROM f2_ref_obs)
 SELECT cell_id, gene_id,
        {rnd('CASE WHEN mu > 0 THEN greatest(least((v - mu) / sqrt(mu + mu * mu / 100.0), (SELECT c FROM u_n)), -(SELECT c FROM u_n)) ELSE 0.0 END')}
          AS value
@@ -139,5 +136,5 @@ def nb_residuals_unseen_batch_q(spark, sf):
     axis = f2_train_axis(spark, sf, pair)
     qobs = qry.obs.drop("batch")  # the second dataset carries no batch: unseen
     totals = embed.nb_batch_totals(ref, axis, "batch")
-    vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals)
+    vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals, n_train=ref.obs.count())
     return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))

@@ -95,7 +95,9 @@ def label_binarize_q(spark, sf):
 # E5 ---------------------------------------------------------------------------
 @query("roc_points", EV + f"""
 SELECT class, score AS threshold, CAST(tps AS BIGINT) AS tps, CAST(fps AS BIGINT) AS fps,
-       {rnd('CAST(tps AS DOUBLE) / P')} AS tpr, {rnd('CAST(fps AS DOUBLE) / N')} AS fpr FROM roc""")
+       {rnd('CAST(tps AS DOUBLE) / P')} AS tpr, {rnd('CAST(fps AS DOUBLE) / nullif(CAST(N AS DOUBLE), 0)')} AS fpr
+FROM (SELECT class, score, tps, fps, P, N FROM roc
+      UNION ALL SELECT DISTINCT class, CAST('Infinity' AS DOUBLE), 0, 0, P, N FROM roc)""")
 def roc_points_q(spark, sf):
     return evaluate.roc_points(_masked_scores(spark, sf))
 

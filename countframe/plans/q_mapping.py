@@ -13,7 +13,7 @@ from countframe.operators import (
 from countframe.plans.catalog import query
 from countframe.plans.q_embedding import f4_features
 from countframe.plans.q_models import f4_training_sets
-from countframe.plans.q_preprocess import F1_LOG, f1_log, f2_common_axis, f2_pair, f2_train_axis
+from countframe.plans.q_preprocess import F1_LOG, f1_log, f2_pair, f2_train_axis
 from countframe.plans.sqlbits import h, rnd
 from countframe.session import cut_lineage
 from countframe.sources import fixtures
@@ -35,7 +35,9 @@ def _out(df, cols=("cell_id", "pred")):
 def map_query_knn_q(spark, sf):
     pair = f2_pair(spark, sf, materialize=True)
     ref, qry = f2_masked(spark, sf, pair)
-    axis = f2_common_axis(spark, sf, pair)
+    # the shared part of the training HVG list
+    train = f2_train_axis(spark, sf, pair)
+    axis = features.freeze_axis(features.index_genes(features.genes_present(train, qry.genes()).select("gene_id")))
     space = project.fit_knn_space(ref, axis, "label_masked", n_pcs=50)
     return _out(project.map_query_knn(space, qry))
 
@@ -45,12 +47,13 @@ def f2_ref_training(spark, sf, pair):
     ref, _ = f2_masked(spark, sf, pair)
     axis = f2_train_axis(spark, sf, pair)
     rlog = normalize.log1p(normalize.normalize_total(ref))
-    vecs = cut_lineage(normalize.scale(rlog, axis, "self"))
+    stats = cut_lineage(normalize.gene_stats(features.select_genes(rlog.x, axis), normalize.n_cells_of(rlog.obs)))
+    vecs = cut_lineage(normalize.scale(rlog, axis, stats))
     labels = fixtures.class_list(ref.obs, "label_truth")
     idx = fixtures.label_index(ref.obs.select(F.col("label_truth").alias("label")))
     lab = sampling.labeled(ref.obs).select("cell_id", F.col("label_truth").alias("label"))
     train = vecs.join(lab, "cell_id").join(F.broadcast(idx), "label")
-    return ref, axis, vecs, train, labels
+    return ref, axis, vecs, train, labels, stats
 
 
 # T2 ---------------------------------------------------------------------------
@@ -58,9 +61,9 @@ def f2_ref_training(spark, sf, pair):
 def map_query_classifier_q(spark, sf):
     pair = f2_pair(spark, sf, materialize=True)
     _, qry = f2_masked(spark, sf, pair)
-    _, axis, _, train, labels = f2_ref_training(spark, sf, pair)
+    _, axis, _, train, labels, stats = f2_ref_training(spark, sf, pair)
     fit = models.fit_softmax(train.select("cell_id", "vec", "label_idx"), labels)
-    hard = project.map_query_classifier(fit, axis, qry)
+    hard = project.map_query_classifier(fit, axis, qry, stats)
     return hard.select("cell_id", "pred", round_half_up("confidence").alias("confidence"))
 
 
@@ -69,10 +72,10 @@ def map_query_classifier_q(spark, sf):
 def map_query_latent_q(spark, sf):
     pair = f2_pair(spark, sf, materialize=True)
     _, qry = f2_masked(spark, sf, pair)
-    _, axis, vecs, train, _ = f2_ref_training(spark, sf, pair)
+    _, axis, vecs, train, _, stats = f2_ref_training(spark, sf, pair)
     ae, _ = embed.linear_autoencoder(vecs, 20)
     train_lat = ae.latent.join(train.select("cell_id", "label"), "cell_id")
-    return _out(project.map_query_latent(ae, train_lat, axis, qry))
+    return _out(project.map_query_latent(ae, train_lat, axis, qry, stats))
 
 
 # T4 ---------------------------------------------------------------------------
@@ -84,7 +87,7 @@ def map_query_semisup_q(spark, sf):
     space = project.fit_nb_space(ref, axis, "batch", 20)
     graph = neighbors.neighbors(space.pca.latent, 15)
     seeds = ref.obs.select("cell_id", F.when(~F.col("masked"), F.col("label_truth")).alias("label_seed"))
-    probs = cut_lineage(semisup.propagate_labels(graph, seeds, "label_seed", rounds=5))
+    probs = cut_lineage(semisup.propagate_labels(graph, seeds, "label_seed", rounds=30))
     qry_nobatch = CountFrame(qry.x, qry.obs.drop("batch"))  # the second dataset has no batch
     out = project.map_query_semisup(space, probs, qry_nobatch, axis, "batch")
     return out.select("cell_id", "pred", round_half_up("confidence").alias("confidence"))
@@ -133,12 +136,11 @@ def explain_labels_q(spark, sf):
     feats = f4_features(spark, sf)
     axis = feats[1]
     fit, masked, labels = f4_softmax(spark, sf, feats)
-    hard, _ = models.predict(fit, masked)
-    first3 = [r[0] for r in summary.distinct_labels(hard, "pred", 3).collect()]
+    # the first three true labels, 50 rows of each by key
+    first3 = [r[0] for r in summary.distinct_labels(masked, "truth", 3).collect()]
     idx = {l: i for i, l in enumerate(labels)}
-    rows = hard.where(F.col("pred").isin(first3)).join(masked.select("cell_id", "vec"), "cell_id")
-    rows = sampling.limit_per_label(rows, 50, label="pred")
-    target = F.element_at(F.create_map(*[x for l in first3 for x in (F.lit(l), F.lit(idx[l]))]), F.col("pred"))
+    rows = sampling.limit_per_label(masked.where(F.col("truth").isin(first3)).select("cell_id", "vec", "truth"), 50, label="truth")
+    target = F.element_at(F.create_map(*[x for l in first3 for x in (F.lit(l), F.lit(idx[l]))]), F.col("truth"))
     ig = explain.integrated_gradients(fit.model, rows.withColumn("target", target.cast("int")))
     means = explain.mean_attribution(ig, by=["target"]).join(F.broadcast(axis), "gene_idx")
     top = explain.top_features(means, 10, by=["target"])
@@ -189,9 +191,7 @@ def model_comparison_q(spark, sf):
     nb = embed.nb_latent(f4, axis, 20, "batch")
     graph = neighbors.neighbors(cut_lineage(nb.latent), 15)
     seeds = mobs.select("cell_id", F.when(~F.col("masked"), F.col("label_truth")).alias("label_seed"))
-    ann = semisup.annotate(semisup.propagate_labels(graph, seeds, "label_seed"))
+    ann = semisup.annotate(semisup.propagate_labels(graph, seeds, "label_seed"), seeds)
     rows.append(("nb_propagation", _metrics_row(ann, truth)))
     return evaluate.results_table(rows)
 
-
-__all__ = ["features", "summary"]

@@ -82,7 +82,7 @@ def f3_propagation(spark, sf, rounds=PROP_ROUNDS):
     mobs = sampling.mask_labels(lat.select("cell_id", "label"))
     seeds = mobs.select("cell_id", F.when(~F.col("masked"), F.col("label")).alias("label_seed"))
     graph = neighbors.neighbors(lat, 15)
-    return semisup.propagate_labels(graph, seeds, "label_seed", rounds=rounds)
+    return semisup.propagate_labels(graph, seeds, "label_seed", rounds=rounds), seeds
 
 
 def _prop_sql(rounds: int) -> str:
@@ -105,13 +105,14 @@ p{r} AS (SELECT cell_id, label, s / sum(s) OVER (PARTITION BY cell_id) AS p FROM
 
 @query("label_propagation", _prop_sql(PROP_ROUNDS) + f" SELECT cell_id, label, {rnd('p')} AS p FROM p{PROP_ROUNDS}")
 def label_propagation_q(spark, sf):
-    return f3_propagation(spark, sf).withColumn("p", round_half_up("p"))
+    return f3_propagation(spark, sf)[0].withColumn("p", round_half_up("p"))
 
 
 @query("annotate_hard", _prop_sql(PROP_ROUNDS) + f"""
-SELECT cell_id, label AS pred, {rnd('p')} AS confidence FROM (
-  SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {rnd('p', 9)} DESC, label) AS r FROM p{PROP_ROUNDS})
-WHERE r = 1""")
+SELECT f3.cell_id, coalesce(b.label, 'Unknown') AS pred, coalesce({rnd('b.p')}, 0.0) AS confidence
+FROM f3 LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY {rnd('p', 9)} DESC, label) AS r FROM p{PROP_ROUNDS}) b
+ON b.cell_id = f3.cell_id AND b.r = 1""")
 def annotate_hard_q(spark, sf):
-    ann = semisup.annotate(f3_propagation(spark, sf))
+    ann = semisup.annotate(*f3_propagation(spark, sf))
     return ann.withColumn("confidence", round_half_up("confidence"))

@@ -12,6 +12,7 @@ from countframe.operators.features import ensure_column
 from countframe.plans.catalog import query
 from countframe.plans.sqlbits import F1, F1_QC, F2, F4, F4_MASKED, F5, exact_k, md5k, rnd, with_
 from countframe.sources import describe, fixtures
+from countframe.sources.tables import table
 
 QC_METRICS = ["n_genes_by_counts", "total_counts"]
 
@@ -141,9 +142,14 @@ def crosstab_prop(spark, sf):
     return summary.crosstab_prop(_crosstab(spark, sf), "label", "batch")
 
 
-@query("absent_labels", _CT_SQL + " SELECT label FROM ct GROUP BY label HAVING bool_or(n = 0)")
+@query("absent_labels", """
+WITH g AS (SELECT role, turn FROM (SELECT DISTINCT role FROM conversations), (SELECT DISTINCT turn FROM conversations)),
+n AS (SELECT role, turn, count(*) AS n FROM conversations GROUP BY 1, 2)
+SELECT g.role FROM g LEFT JOIN n ON g.role = n.role AND g.turn = n.turn GROUP BY g.role HAVING bool_or(n IS NULL)""")
 def absent_labels(spark, sf):
-    return summary.absent_labels(_crosstab(spark, sf), "label")
+    """Roles that some turn of the conversations lacks."""
+    turns = table(spark, sf, "conversations").select("role", "turn")
+    return summary.absent_labels(summary.crosstab(turns, "role", "turn"), "role")
 
 
 # R1 -------------------------------------------------------------------------
@@ -199,12 +205,12 @@ def limit_per_label(spark, sf):
 
 # P3 -------------------------------------------------------------------------
 @query("query_obs_defaults", with_(F2) + """
-SELECT cell_id, 'test' AS batch, 'Unknown' AS label_scvi FROM f2_qry_obs""")
+SELECT cell_id, 'test' AS batch, 'Unknown' AS label_query FROM f2_qry_obs""")
 def query_obs_defaults(spark, sf):
     _, qry = fixtures.reference_query_pair(spark, sf)
     obs = qry.obs.select("cell_id")  # the second dataset carries no batch
     obs = ensure_column(obs, "batch", "test")
-    return obs.withColumn("label_scvi", F.lit(UNKNOWN))
+    return obs.withColumn("label_query", F.lit(UNKNOWN))
 
 
 # A9 / A10 -------------------------------------------------------------------

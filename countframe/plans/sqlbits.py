@@ -60,12 +60,8 @@ f4_tok AS (
   SELECT doc_id AS cell_id,
          unnest(string_split(translate(lower(text), chr(10) || '.,', '   '), ' ')) AS gene_id
   FROM documents),
-f4_all AS (
+f4_x AS (
   SELECT cell_id, gene_id, count(*) AS n FROM f4_tok WHERE gene_id <> '' GROUP BY 1, 2),
-f4_keep AS (
-  SELECT gene_id FROM f4_all GROUP BY gene_id
-  HAVING CAST(count(*) AS DOUBLE) >= greatest(5.0, 0.02 * (SELECT count(*) FROM documents))),
-f4_x AS (SELECT * FROM f4_all WHERE gene_id IN (SELECT gene_id FROM f4_keep)),
 f4_obs AS (SELECT doc_id AS cell_id, source AS batch, lang AS label FROM documents)"""
 
 

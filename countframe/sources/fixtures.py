@@ -21,8 +21,6 @@ from countframe.sources.tables import spread, table
 
 # Fixed values shared with the SQL oracle ------------------------------------
 TOKEN_STRIP = "\n.,"          # characters turned into spaces before splitting
-TOKEN_MIN_DOCS = 5.0          # a token must occur in >= max(5, 2 % of docs)
-TOKEN_MIN_FRACTION = 0.02
 SPLIT_SALT = 3                # F2 split: h(cell, 3) < 13107 (~20 %) is the query
 SPLIT_CUT = 13107
 PRED_KEEP = 45000             # F5: pred = truth when h(cell, 7) < 45000
@@ -90,8 +88,7 @@ def embedding_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # F4 --------------------------------------------------------------------------
-def document_tokens(spark: SparkSession, sf_dir: str, min_docs: float = TOKEN_MIN_DOCS,
-                    min_fraction: float = TOKEN_MIN_FRACTION) -> CountFrame:
+def document_tokens(spark: SparkSession, sf_dir: str) -> CountFrame:
     # doc_id is unique, so spreading on it cannot skew; the per-(doc, token)
     # counts and per-document windows below reuse this partitioning
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
@@ -100,13 +97,7 @@ def document_tokens(spark: SparkSession, sf_dir: str, min_docs: float = TOKEN_MI
                        F.explode(F.split(F.translate(F.lower("text"), TOKEN_STRIP, " " * len(TOKEN_STRIP)),
                                          " ")).alias("gene_id"))
            .where(F.col("gene_id") != ""))
-    x_all = tok.groupBy("cell_id", "gene_id").agg(F.count(F.lit(1)).alias("n"))
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    # document frequency: partial aggregation absorbs hot tokens map-side
-    keep = (x_all.groupBy("gene_id").agg(F.count(F.lit(1)).alias("df"))
-            .where(F.col("df").cast("double") >= F.greatest(F.lit(min_docs), F.lit(min_fraction) * n_docs))
-            .select("gene_id"))
-    x = x_all.join(keep, "gene_id", "left_semi")
+    x = tok.groupBy("cell_id", "gene_id").agg(F.count(F.lit(1)).alias("n"))
     obs = docs.select(F.col("doc_id").alias("cell_id"), F.col("source").alias("batch"),
                       F.col("lang").alias("label"))
     return CountFrame(x=x.select("cell_id", "gene_id", "n"), obs=obs)
@@ -163,9 +154,3 @@ def rule_loadings(genes: DataFrame, n_pcs: int = 5) -> DataFrame:
     key = F.concat(F.col("gene_id"), F.lit(":"), F.col("pc").cast("string"))
     return g.withColumn("w", hash16(key, 11).cast("double") / 65536.0 - 0.5)
 
-
-__all__ = [
-    "customer_products", "customer_obs", "reference_query_pair", "embedding_latent",
-    "document_tokens", "label_index", "rule_predictions", "rule_scores", "class_list",
-    "rule_loadings", "md5_key",
-]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -107,15 +106,11 @@ def fit_or_load(path: str, fit_fn: Callable[[], object], load_fn: Callable[[str]
 
 
 def _exists(path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    from pyspark.sql import SparkSession as _S
-
-    spark = _S.getActiveSession()
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
+    """Looked up where models are saved: on the path's Hadoop file system, or
+    the default one for a path without scheme."""
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def write_report(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:

@@ -66,7 +66,8 @@ def test_propagation_keeps_seeds_and_sums_to_one(spark, data):
     assert all(abs(r["s"] - 1) < 1e-9 for r in sums)
     seeded = {r["cell_id"]: r["label"] for r in probs.where(F.col("cell_id") % 3 == 0).collect()}
     assert all(seeded[i] == str(y[i]) for i in seeded)
-    ann = semisup.annotate(probs).collect()
+    ann = semisup.annotate(probs, seeds).collect()
+    assert len(ann) == len(y)
     assert len(ann) == len(sums)
 
 

@@ -8,13 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from countframe.plans.catalog import ORACLE, QUERIES, load_all
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+load_all()
 # model fits are covered by test_models; here only the relational queries
 SLOW = {"mlp_predict", "training_history", "model_comparison", "map_query_semisup", "explain_labels"}
 
