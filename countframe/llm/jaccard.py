@@ -22,9 +22,9 @@ if it can link with smaller sets there, in the band below.
     worked off (pairs of different components only).  Segments whose key is
     hotter get 0.  A set that keeps at least (largest difference + 1) other
     segments still meets every partner there.  Sets that keep fewer are
-    matched among each other on one-deletion neighbourhoods of their
-    cheapest segments (worth 2 each) until the allocation reaches that sum;
-    only if even this falls short are their hot keys worked off as well.
+    matched among each other: one-deletion neighbourhoods raise a segment to
+    2, hot and empty segments can be raised to 1, and each set takes the
+    probes that meet the fewest entries until its allocation reaches the sum.
 Every candidate is verified on whole sets: 100 * |A and B| >= t * |A or B|.
 
 Nothing about all documents reaches the driver but counters and a Bloom
@@ -45,7 +45,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.llm import textarrays as ta
@@ -56,7 +56,7 @@ SHINGLE = 5
 PERCENT = 75
 GROWTH = 1.8
 HOT = 64
-BATCH_BYTES = 8 << 20    # text per pre-aggregation batch
+BATCH_BYTES = 4 << 20    # text per pre-aggregation batch
 PART_KEYS = 1_500_000    # shingles per part of the index
 STAR_ROWS = 512          # members verified against one copy of the star's centre
 _A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
@@ -418,52 +418,65 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, si
 
 
 # 3. one-deletion neighbourhoods ---------------------------------------------------
+_ENTRY = "key bigint, node bigint, band int, seg int, need int"
+
+
 def neighbourhoods(bands: Bands, parts: int):
-    """(node, hashes, hot keys) -> probes and index entries of the sets whose
-    other segments do not reach the guarantee, by a tagged key: whole against
-    whole, whole against one-deletion, one-deletion against whole."""
+    """(node, hashes, hot keys) -> index entries (seg -1) and possible probes
+    of the sets whose segments without a hot key do not reach the guarantee;
+    ``need`` probes have to be chosen per (node, band).  A probe raises what
+    its segment is worth by 1: a segment that is not hot (worth 1, worked off
+    before) also meets one-deletion neighbours, a hot or empty one its equals.
+    Keys are tagged: whole against whole, whole against one-deletion,
+    one-deletion against whole."""
+
+    def entries(node, h, hot):
+        n = len(h)
+        for _, band, differ in bands.places(np.array([n])):
+            if not len(band):
+                continue
+            m = int(bands.segments[band[0]])
+            order, start, _, seg, total = segment_subsets(h, np.zeros(n, np.int64), np.full(n, m))
+            whole = key_of(band, seg, total)
+            is_hot = np.isin(short_key(whole, parts), hot)
+            need = int(differ[0]) + 1 - int((~is_hot).sum())
+            if need <= 0:
+                continue
+            owner = np.repeat(np.arange(len(seg)), np.diff(np.append(start, n)))
+            less = key_of(band, seg[owner], total[owner] - ta.mix64(h[order] ^ _B))
+            gap = np.setdiff1d(np.arange(m), seg)               # empty segments
+            every = np.concatenate([whole, key_of(band, gap, np.zeros(len(gap), np.uint64))])
+            place = np.concatenate([seg, gap])
+            once = np.concatenate([is_hot, np.ones(len(gap), bool)])
+            two = ~is_hot[owner]
+            for key, at in ((_tag(every, 1), None), (_tag(less, 2), None), (_tag(every, 3), None),
+                            (_tag(every[once], 1), place[once]), (_tag(whole[~is_hot], 2), seg[~is_hot]), (_tag(less[two], 3), seg[owner][two])):
+                yield key, np.full(len(key), -1) if at is None else at, node, int(band[0]), need
 
     def expand(batches):
         for batch in batches:
-            keys, nodes, probe = [], [], []
+            got, rows = [], 0
             for node, raw, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "hashes", "hot"))):
-                h = np.frombuffer(raw, np.uint64)
-                n = len(h)
-                hot = np.array(hot or [], np.int64)
-                for _, band, differ in bands.places(np.array([n])):
-                    if not len(band):
-                        continue
-                    m = int(bands.segments[band[0]])
-                    order, start, _, seg, total = segment_subsets(h, np.zeros(n, np.int64), np.full(n, m))
-                    whole = key_of(band, seg, total)
-                    is_hot = np.isin(short_key(whole, parts), hot)
-                    # allocation: 1 for every segment that is not hot (worked off
-                    # before), 2 for the cheapest of them, then 1 for hot and empty ones
-                    need = int(differ[0]) + 1 - int((~is_hot).sum())
-                    if need <= 0:
-                        continue
-                    size = np.diff(np.append(start, n))
-                    owner = np.repeat(np.arange(len(seg)), size)
-                    less = key_of(band, seg[owner], total[owner] - ta.mix64(h[order] ^ _B))
-                    gap = np.setdiff1d(np.arange(m), seg)               # empty segments
-                    empty = key_of(band, gap, np.zeros(len(gap), np.uint64))
-                    cheap = np.flatnonzero(~is_hot)
-                    cheap = cheap[np.argsort(np.where(size[cheap] > 1, size[cheap], n + 1), kind="stable")][:need]
-                    rest = np.concatenate([whole[is_hot], empty])[:need - len(cheap)]
-                    every = np.concatenate([whole, empty])
-                    for got, asks in ((_tag(rest, 1), True), (_tag(whole[cheap], 2), True),
-                                      (_tag(less[np.isin(owner, cheap)], 3), True),
-                                      (_tag(every, 1), False), (_tag(less, 2), False), (_tag(every, 3), False)):
-                        keys.append(got)
-                        nodes += [node] * len(got)
-                        probe.append(np.full(len(got), asks))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, pa.int64()),
-                                                  pa.array(np.concatenate(probe))], ["key", "node", "probe"])
+                for e in entries(node, np.frombuffer(raw, np.uint64), np.array(hot or [], np.int64)):
+                    got.append(e)
+                    rows += len(e[0])
+                if rows > 1 << 16:
+                    yield _entry_batch(got)
+                    got, rows = [], 0
+            if got:
+                yield _entry_batch(got)
 
     return expand
 
 
+def _entry_batch(got):
+    size = [len(e[0]) for e in got]
+    spread = lambda i, t: pa.array(np.repeat(np.array([e[i] for e in got], np.int64), size).astype(t))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([e[0] for e in got]).view(np.int64)), spread(2, np.int64), spread(3, np.int32),
+         pa.array(np.concatenate([e[1] for e in got]).astype(np.int32)), spread(4, np.int32)], ["key", "node", "band", "seg", "need"])
+
+
 def _tag(keys: np.ndarray, kind: int) -> np.ndarray:
     return ta.mix64(keys ^ np.uint64(kind * 0x5851F42D4C957F2D % (1 << 64)))
 
@@ -527,11 +540,16 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
     warm = cut_lineage(warm.join(few, "node", "full_outer"))
     parts = max(12, -(-total // PART_KEYS))
     sets = needed_sets(texts, cut_lineage(warm.select("node").join(nodes.select("node", "place"), "node")), size)
-    entries = cut_lineage(warm.join(sets, "node").select("node", "hashes", "hot")
-                          .mapInArrow(neighbourhoods(bands, parts), "key bigint, node bigint, probe boolean"))
-    entries = named(entries, "node", "comp")
-    asks, holds = (signed(entries.where(w).select("key", "node", F.col("comp").alias(f"c{x}")), nodes, x)
-                   for w, x in (("probe", "x"), ("NOT probe", "y")))
+    entries = cut_lineage(warm.join(sets, "node").select("node", "hashes", "hot").mapInArrow(neighbourhoods(bands, parts), _ENTRY))
+    held, possible_asks = entries.where("seg < 0").select("key", "node"), entries.where("seg >= 0")
+    # allocation by cost: per set and band the probes that meet the fewest entries
+    met = held.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    cost = (possible_asks.join(met, "key", "left").groupBy("node", "band", "seg")
+            .agg(F.sum(F.coalesce("met", F.lit(0))).alias("cost"), F.first("need").alias("need")))
+    cheapest = F.row_number().over(Window.partitionBy("node", "band").orderBy("cost", "seg"))
+    chosen = cost.withColumn("nth", cheapest).where("nth <= need").select("node", "band", "seg")
+    asks = possible_asks.join(chosen, ["node", "band", "seg"]).select("key", "node")
+    asks, holds = (signed(named(frame, "node", f"c{x}"), nodes, x) for frame, x in ((asks, "x"), (held, "y")))
     near = asks.join(holds, (asks["key"] == holds["key"]) & (F.col("cx") != F.col("cy")) & near_by)
     near = near.select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
     rest = crossed.unionByName(near).distinct()
