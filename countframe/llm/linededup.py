@@ -19,8 +19,13 @@ place; the first occurrence of every unit stays.
 
 Scale: one shuffle of fingerprints by hash (partial aggregation to the first
 occurrence, so a hot line is one row per task there; its occurrences are
-joined by a join that can be split), then the unit hashes of documents, 8
-bytes a unit.  Texts move once, to meet their deletions.
+joined by a join that can be split).  Of the occurrences that one run lines up
+(same two documents, same distance) one per ``STEP`` units goes on to the
+comparison with the unit hashes of both documents, 8 bytes a unit; they lie
+within reach of each other, so the run is still covered.  Texts move once, to
+meet their deletions; fingerprints and texts that meet nothing are mostly kept
+from moving by Bloom filters (bit masks of at most 1 MB: beyond that size they
+let more rows through, and no result depends on them).
 
 Cases: null texts stay null, empty texts empty; a text that loses all but
 white space is ``emptied``.  Documents are ordered by id (null last), then a
@@ -31,13 +36,17 @@ columns pass through; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.session import cut_lineage
 
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
-REACH = 12               # units compared on each side of a fingerprint
+REACH = 8                # units compared on each side of a fingerprint
+STEP = 8                 # of lined-up occurrences, one per so many units is compared
+BLOOM_BITS = 1 << 23
 UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
 
 
@@ -76,14 +85,32 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n))
 
 
+def bloom(values: DataFrame, column: str):
+    """Function of a column: can its value be among ``values``?  A bit mask
+    by one aggregation, at most BLOOM_BITS / 64 rows of which reach the driver."""
+    bits = min(BLOOM_BITS, 1 << max(10, (8 * values.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    words = (values.select(at(F.col(column)).alias("i")).groupBy(F.shiftright("i", 6).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, i & 63)")).alias("b")).collect())
+    mask = [0] * (bits // 64)
+    for r in words:
+        mask[r["w"]] = r["b"]
+    # one literal: an array of longs, read by position
+    filled = F.from_json(F.lit(json.dumps(mask)), "array<bigint>")
+    return lambda c: F.getbit(F.get(filled, F.shiftright(at(c), 6)), at(c).bitwiseAND(F.lit(63))) == 1
+
+
 def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
-                  min_chars: int = MIN_CHARS, reach: int = REACH) -> DataFrame:
-    """(k, n_units, runs) per distinct document with text: the runs
+                  min_chars: int = MIN_CHARS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
+    """Per distinct document with text, by key k: (k, h, len), its unit
+    hashes and lengths; and (k, runs) where it has later repeats: the runs
     array<struct<first, last, chars>> of 0-based unit positions to delete."""
     body = F.col(f"`{text}`").cast("string")
     doc = docs.select(doc_key(F.col(f"`{row_id}`"), body).alias("k"), body.alias("t")).where("t <> ''")
-    doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).dropDuplicates(["k"])
-                      .select("k", F.col("u.h").alias("h"), F.col("u.len").alias("len")))
+    doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).select("k", F.col("u.h").alias("h"), F.col("u.len").alias("len")))
+    # rows equal in id and text, mostly none, become one
+    again = doc.select("k").groupBy("k").count().where("count > 1").select("k")
+    doc = doc.join(again, "k", "left_anti").unionByName(doc.join(again, "k", "left_semi").dropDuplicates(["k"]))
 
     # hashes of neighbouring pairs (null at the end and beside a blank unit)
     pairs = F.transform("h", lambda x, i: F.when((x != 0) & (F.get("h", i + 1) != 0), F.xxhash64(x, F.get("h", i + 1))))
@@ -100,29 +127,38 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     marks = doc.withColumn("g", pairs).select("k", F.explode(F.concat(
         some(F.transform("g", of_pair)), some(F.transform("h", of_unit)))).alias("m"))
     marks = marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
-    firsts = marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("g", "first")
+    firsts = cut_lineage(marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+                         .where("first < last").select("g", "first"))
     pos = lambda at: F.pmod(F.col(at), F.lit(_TH).cast("decimal(9,0)")).cast("int")
-    found = (marks.join(firsts, "g").where("first < at")
+    seen = bloom(firsts, "g")
+    found = (marks.where(seen(F.col("g"))).join(firsts, "g").where("first < at")
              .select((F.col("at") - pos("at")).cast(PLACE).alias("k"), pos("at").alias("pos"),
                      (F.col("first") - pos("first")).cast(PLACE).alias("fk"), pos("first").alias("fpos")))
+    found = (found.groupBy("k", "fk", (F.col("pos") - F.col("fpos")).alias("apart"), F.floor(F.col("pos") / STEP).alias("step"))
+             .agg(F.min("pos").alias("pos")).select("k", "fk", "pos", (F.col("pos") - F.col("apart")).alias("fpos")))
     before = lambda h, p: F.reverse(F.slice(h, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
     after = lambda h, p: F.slice(h, p + 1, F.lit(reach + 1))
     there = found.join(doc.select(F.col("k").alias("fk"), F.col("h").alias("fh")), "fk").select(
         "k", "pos", before(F.col("fh"), F.col("fpos")).alias("fl"), after(F.col("fh"), F.col("fpos")).alias("fr"))
     left, right = _agree(before(F.col("h"), F.col("pos")), F.col("fl")), _agree(after(F.col("h"), F.col("pos")), F.col("fr"))
-    met = (there.join(doc, "k").select("k", "pos", "len", left.alias("l"), right.alias("r")).where("r > 0")
-           .select("k", "l", "r", F.transform(F.sequence(F.col("pos") - F.col("l"), F.col("pos") + F.col("r") - 1),
-                                              lambda p: F.struct(p.alias("pos"), F.get("len", p).alias("len"))).alias("cover")))
-    chars = F.aggregate("cover", F.lit(0), lambda a, u: a + u["len"])
-    met = met.where((chars >= min_chars) | (F.col("l") == reach) | (F.col("r") > reach))
-    covered = met.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cover")))).alias("cover"))
-    # runs of covered units, by gaps and islands
-    placed = covered.select("k", F.posexplode("cover").alias("nth", "u"))
-    runs = (placed.groupBy("k", (F.col("u.pos") - F.col("nth")).alias("island"))
-            .agg(F.min("u.pos").alias("first"), F.max("u.pos").alias("last"), F.sum("u.len").alias("chars"))
-            .where(F.col("chars") >= min_chars))
+    # explode of one struct: what it holds is computed once, however often it is used
+    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
+    chars_of = lambda first, last: F.aggregate(F.slice("len", first + 1, last - first + 1), F.lit(0), lambda a, n: a + n)
+    met = there.join(doc, "k").select("k", "pos", "len", once(l=left, r=right).alias("m")).where("m.r > 0")
+    s, e = F.col("pos") - F.col("m.l"), F.col("pos") + F.col("m.r") - 1
+    met = met.select("k", "m", once(s=s, e=e, chars=chars_of(s, e)).alias("c"))
+    met = met.where((F.col("c.chars") >= min_chars) | (F.col("m.l") == reach) | (F.col("m.r") > reach)).select("k", "c.s", "c.e")
+    # unite matches that overlap or touch, and measure the united runs
+    in_order = Window.partitionBy("k").orderBy("s", "e")
+    furthest = F.max("e").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = met.withColumn("new", F.when(furthest.isNull() | (F.col("s") > furthest + 1), 1).otherwise(0))
+    islands = islands.withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = islands.groupBy("k", "island").agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    runs = (runs.join(doc.select("k", "len"), "k")
+            .select("k", "first", "last", once(chars=chars_of(F.col("first"), F.col("last")).cast("bigint")).alias("c"))
+            .select("k", "first", "last", "c.chars").where(F.col("chars") >= min_chars))
     runs = runs.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "last", "chars"))).alias("runs"))
-    return doc.select("k", F.size("h").cast("bigint").alias("n_units")).join(runs, "k", "left")
+    return doc, cut_lineage(runs)
 
 
 def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS,
@@ -131,11 +167,14 @@ def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars
     deleted_chars, runs and emptied (all of a non-empty text was deleted)."""
     added = ("n_units", "n_deleted", "deleted_chars", "runs", "emptied")
     names = [c for c in docs.columns if c not in added]
-    runs = repeated_runs(docs, text, row_id, min_chars, reach)
+    doc, runs = repeated_runs(docs, text, row_id, min_chars, reach)
     body = F.col(f"`{text}`").cast("string")
+    key = doc_key(F.col(f"`{row_id}`"), body)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names)], body.alias("__cf_text"),
-                       doc_key(F.col(f"`{row_id}`"), body).alias("k"))
-    rows = rows.join(runs, "k", "left")
+                       key.alias("k"), F.size(units(body)).cast("bigint").alias("n_units"))
+    touched = F.coalesce(bloom(runs, "k")(F.col("k")), F.lit(False))
+    nothing = F.lit(None).cast("array<struct<first:int,last:int,chars:bigint>>")
+    rows = rows.where(touched).join(runs, "k", "left").unionByName(rows.where(~touched).withColumn("runs", nothing))
     gone = F.filter(units(F.col("__cf_text")), lambda u, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     kept = F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(gone, ""))
     count = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))

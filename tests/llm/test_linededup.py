@@ -44,10 +44,16 @@ def brute(rows, min_chars=ld.MIN_CHARS, reach=ld.REACH):
     first = {}
     for x, i, p in sorted(marks, key=lambda m: m[1:]):
         first.setdefault(x, (i, p))
-    cover = {}
+    lined = {}
     for x, i, p in marks:
         f, q = first[x]
-        if (f, q) == (i, p) or h[i][p] != h[f][q]:
+        if (f, q) != (i, p):
+            spot = (i, f, p - q, p // ld.STEP)
+            lined[spot] = min(lined.get(spot, p), p)
+    cover = {}
+    for (i, f, apart, _), p in lined.items():
+        q = p - apart
+        if h[i][p] != h[f][q]:
             continue
         lo = hi = 0
         while lo < reach and p - lo - 1 >= 0 and q - lo - 1 >= 0 and h[i][p - lo - 1] == h[f][q - lo - 1]:
