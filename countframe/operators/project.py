@@ -35,7 +35,7 @@ def fit_knn_space(ref: CountFrame, axis: DataFrame, label: str, n_pcs: int = 50)
     sel = features.select_genes(rlog.x, axis)
     stats = cut_lineage(normalize.gene_stats(sel, normalize.n_cells_of(rlog.obs)))
     vecs = cut_lineage(normalize.scale_vectors(sel, axis, rlog.obs, stats))
-    res = embed.pca(vecs, n_pcs)
+    res = embed.pca(vecs, min(n_pcs, axis.count()))
     lab = ref.obs.where(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).select("cell_id", F.col(label).alias("label"))
     train_latent = res.latent.join(lab, "cell_id")
     return KnnSpace(axis, stats, res, train_latent)
