@@ -14,8 +14,8 @@ if it can link with smaller sets there, in the band below.
     number of parts follows the number of keys (``PART_KEYS`` per part).
 2.  Stars: every member of a key is paired with one member (the smallest
     node; next, for keys that stay open, the member of most open keys).
-    Pairs that sizes and bucket counts of the sets do not rule out are verified
-    exactly on whole sets; links are joined to components.  A key whose
+    Pairs that the sizes, parities and bucket counts of the sets do not rule
+    out are verified exactly on whole sets; links are joined to components.  A key whose
     members are all in one component is closed: no pair inside can add
     anything.
 3.  Cost-based allocation for open keys: a key of up to ``HOT`` members is
@@ -152,16 +152,30 @@ def _joined(parts):
 
 
 # 0. nodes ------------------------------------------------------------------------
-SIGNATURE = ("s0", "s1", "s2", "s3")
+SIGNATURE = tuple(f"s{i}" for i in range(8))
 _NODE = "struct<n:bigint,node:bigint>"
-_DESCRIBED = "struct<n:bigint,node:bigint,counts:binary,s0:bigint,s1:bigint,s2:bigint,s3:bigint>"
+_DESCRIBED = "struct<n:bigint,node:bigint,counts:binary,wide:binary," + ",".join(f"{c}:bigint" for c in SIGNATURE) + ">"
 
 
-def parity(h: np.ndarray) -> np.ndarray:
-    """256 bits as four longs: bit i is odd if an odd number of hashes fall on
-    i.  Two signatures differ in at most as many bits as the sets differ."""
-    odd = np.bincount(((h >> np.uint64(8)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bit i is odd if an odd number of hashes fall on i.  The parities of two
+    sets differ in at most as many bits as the sets differ in hashes; a wide
+    parity folds to a narrow one by xor of its halves."""
+    odd = np.bincount(((h >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide_parity(h: np.ndarray) -> bytes:
+    """Parity of about two bits a hash, 512 to 65 536 bits."""
+    return parity(h, 1 << min(16, max(9, (2 * len(h) - 1).bit_length() if len(h) else 0))).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference of two sets, from their wide parities."""
+    u, v = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    k = min(len(u), len(v))
+    both = np.bitwise_xor.reduce(u.reshape(-1, k), axis=0) ^ np.bitwise_xor.reduce(v.reshape(-1, k), axis=0)
+    return int(np.bitwise_count(both).sum())
 
 
 def document_nodes(text, size: int = SHINGLE, described: bool = False):
@@ -170,18 +184,19 @@ def document_nodes(text, size: int = SHINGLE, described: bool = False):
 
     @F.arrow_udf(_DESCRIBED if described else _NODE)
     def describe(column: pa.Array) -> pa.Array:
-        n, nodes, counts, signs = [], [], [], []
+        n, nodes, counts, wide, signs = [], [], [], [], []
         for sizes, first, h, own in text_sets(column, size):
             n += sizes.tolist()
             nodes += own
             if described:
                 sets = [h[a:b] for a, b in zip(first[:-1], first[1:])]
                 counts += [bucket_counts(s) for s in sets]
-                signs += [parity(s) for s in sets]
+                wide += [wide_parity(s) for s in sets]
+                signs += [parity(s, 64 * len(SIGNATURE)).view(np.int64) for s in sets]
         out = {"n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())}
         if described:
-            signs = np.array(signs, np.int64).reshape(-1, 4)
-            out |= {"counts": pa.array(counts, pa.binary())} | {c: pa.array(signs[:, i]) for i, c in enumerate(SIGNATURE)}
+            signs = np.array(signs, np.int64).reshape(-1, len(SIGNATURE))
+            out |= {"counts": pa.array(counts, pa.binary()), "wide": pa.array(wide, pa.binary())} | {c: pa.array(signs[:, i]) for i, c in enumerate(SIGNATURE)}
         return pa.StructArray.from_arrays(list(out.values()), list(out))
 
     return describe(text)
@@ -350,8 +365,8 @@ def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def close(percent: int) -> str:
-    """SQL: can sets x and y (columns nx, x0..x3, ny, y0..y3) link, by size and parity?"""
-    bits = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(4))
+    """SQL: can sets x and y (columns nx, x0, .., ny, y0, ..) link, by size and parity?"""
+    bits = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(len(SIGNATURE)))
     return (f"least(nx, ny) * 100 >= {percent} * greatest(nx, ny) AND "
             f"{bits} <= (nx + ny) * {100 - percent} div {100 + percent}")
 
@@ -362,15 +377,17 @@ def signed(rows: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
                      "node").withColumnRenamed("node", side)
 
 
-def possible(percent: int):
-    """Column function: can two sets of these sizes and bucket counts link?"""
+def narrowed(pairs: DataFrame, nodes: DataFrame, column: str, keep) -> DataFrame:
+    """The pairs (a, b, nx, ny) that ``keep`` (of both sizes and both values
+    of a column of the nodes) does not rule out."""
 
     @F.arrow_udf("boolean")
-    def check(n: pa.Array, m: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        most = ((x, y, most_common(u, v, x, y)) for x, y, u, v in zip(n.to_pylist(), m.to_pylist(), a.to_pylist(), b.to_pylist()))
-        return pa.array([k * 100 >= percent * (x + y - k) for x, y, k in most], pa.bool_())
+    def check(n: pa.Array, m: pa.Array, u: pa.Array, v: pa.Array) -> pa.Array:
+        return pa.array([keep(*z) for z in zip(n.to_pylist(), m.to_pylist(), u.to_pylist(), v.to_pylist())], pa.bool_())
 
-    return check
+    side = nodes.select("node", column)
+    met = pairs.join(side.toDF("a", "u"), "a").join(side.toDF("b", "v"), "b")
+    return cut_lineage(met.where(check(*(F.col(c) for c in ("nx", "ny", "u", "v")))).select("a", "b", "nx", "ny"))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
@@ -379,9 +396,13 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, si
     near = F.expr(close(percent))
     pairs = signed(signed(pairs.select(F.col("a").alias("node"), "b"), nodes, "x").withColumnRenamed("b", "node"), nodes, "y")
     pairs = pairs.where(near).select(F.col("x").alias("a"), F.col("y").alias("b"), "nx", "ny")
-    small = nodes.select("node", "counts")
-    pairs = pairs.join(small.toDF("a", "u"), "a").join(small.toDF("b", "v"), "b")
-    pairs = cut_lineage(pairs.where(possible(percent)(*(F.col(c) for c in ("nx", "ny", "u", "v")))).select("a", "b"))
+    pairs = narrowed(pairs, nodes, "wide", lambda n, m, u, v: least_difference(u, v) <= (n + m) * (100 - percent) // (100 + percent))
+
+    def counts_allow(n, m, u, v):
+        k = most_common(u, v, n, m)
+        return k * 100 >= percent * (n + m - k)
+
+    pairs = narrowed(pairs, nodes, "counts", counts_allow).select("a", "b")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = needed_sets(docs, cut_lineage(ends.join(nodes.select("node", "place"), "node")), size)
     copies = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / STAR_ROWS).cast("int").alias("copies"))
@@ -492,10 +513,10 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
     bands = Bands(percent)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(row_id).alias("id"), document_nodes(body, size, described=True).alias("d"))
-    rows = cut_lineage(rows.select("id", F.col("d.n").alias("n_shingles"), "d.node", "d.counts", *[f"d.{c}" for c in SIGNATURE]))
+    rows = cut_lineage(rows.select("id", F.col("d.n").alias("n_shingles"), "d.node", "d.counts", "d.wide", *[f"d.{c}" for c in SIGNATURE]))
     # where a text is found again: a hash of its row's id
     place = lambda c: F.xxhash64(F.col(c))
-    nodes = cut_lineage(rows.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), place("id").alias("place"), "counts", *SIGNATURE)
+    nodes = cut_lineage(rows.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), place("id").alias("place"), "counts", "wide", *SIGNATURE)
                         .dropDuplicates(["node"]))
     texts = docs.select(place(row_id).alias("place"), body.alias("text"))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0

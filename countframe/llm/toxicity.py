@@ -337,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str =
               .groupBy("token").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     tokens = cut_lineage(tokens)
     total = tokens.agg(F.sum("neg"), F.sum("pos"), F.count(F.lit(1))).first()
-    share = max(1, total[1] or 0) / max(2, (total[0] or 0) + (total[1] or 0))
+    share = min(max((total[1] or 0) / max(1, (total[0] or 0) + (total[1] or 0)), 1e-9), 1 - 1e-9)
     # evidence: log likelihood ratio of the token's own share of toxic contexts
     # against the share over all tokens; Bonferroni keeps chance tokens out
     n = F.col("pos") + F.col("neg")

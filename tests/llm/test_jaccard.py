@@ -100,14 +100,16 @@ def test_pigeonhole_bound():
             assert n * (100 - p) < p or own in met
 
 
-def test_signature_never_rules_out_a_link():
+def test_bounds_never_rule_out_a_link():
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        a = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
-        b = np.concatenate([a[:70], rng.integers(0, 1 << 63, 10, dtype=np.uint64)])
-        differ = len(np.setxor1d(a, b))
-        bits = sum(bin((int(x) ^ int(y)) & (2 ** 64 - 1)).count("1") for x, y in zip(jaccard.parity(a), jaccard.parity(b)))
-        assert bits <= differ
+    for n in (5, 80, 700):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[: n * 7 // 8], rng.integers(0, 1 << 63, rng.integers(0, n), dtype=np.uint64)])
+            differ, common = len(np.setxor1d(a, b)), len(np.intersect1d(a, b))
+            narrow = int(np.bitwise_count(jaccard.parity(a, 512) ^ jaccard.parity(b, 512)).sum())
+            assert narrow <= differ and jaccard.least_difference(jaccard.wide_parity(a), jaccard.wide_parity(b)) <= differ
+            assert jaccard.most_common(jaccard.bucket_counts(a), jaccard.bucket_counts(b), len(a), len(b)) >= common
 
 
 def test_components(spark):
