@@ -24,7 +24,7 @@ joined by a join that can be split).  Of the occurrences that one run lines up
 comparison with the unit hashes of both documents, 8 bytes a unit; they lie
 within reach of each other, so the run is still covered.  Texts move once, to
 meet their deletions; fingerprints and texts that meet nothing are mostly kept
-from moving by Bloom filters (bit masks of at most 1 MB: beyond that size they
+from moving by Bloom filters (bit masks of at most 512 KB: beyond that size they
 let more rows through, and no result depends on them).
 
 Cases: null texts stay null, empty texts empty; a text that loses all but
@@ -46,7 +46,7 @@ from countframe.session import cut_lineage
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
 REACH = 8                # units compared on each side of a fingerprint
 STEP = 8                 # of lined-up occurrences, one per so many units is compared
-BLOOM_BITS = 1 << 23
+BLOOM_BITS = 1 << 22
 UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
 
 
@@ -80,9 +80,8 @@ def doc_key(row_id: Column, text: Column) -> Column:
 
 def _agree(a: Column, b: Column) -> Column:
     """How many leading entries of two arrays are equal (blank units too)."""
-    n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i > n) | (F.get(a, i - 1) != F.get(b, i - 1)))
-    return F.when(n == 0, F.lit(0)).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n))
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x == y), F.lit(False))
+    return F.when(differ == 0, F.least(F.size(a), F.size(b))).otherwise(differ.cast("int") - 1)
 
 
 def bloom(values: DataFrame, column: str):
@@ -163,15 +162,15 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
 def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS,
           reach: int = REACH) -> DataFrame:
-    """``docs`` with the text after deletion, plus n_units, n_deleted (units),
+    """``docs`` with the text after deletion, plus n_deleted (units),
     deleted_chars, runs and emptied (all of a non-empty text was deleted)."""
-    added = ("n_units", "n_deleted", "deleted_chars", "runs", "emptied")
+    added = ("n_deleted", "deleted_chars", "runs", "emptied")
     names = [c for c in docs.columns if c not in added]
     doc, runs = repeated_runs(docs, text, row_id, min_chars, reach)
     body = F.col(f"`{text}`").cast("string")
     key = doc_key(F.col(f"`{row_id}`"), body)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names)], body.alias("__cf_text"),
-                       key.alias("k"), F.size(units(body)).cast("bigint").alias("n_units"))
+                       key.alias("k"))
     touched = F.coalesce(bloom(runs, "k")(F.col("k")), F.lit(False))
     nothing = F.lit(None).cast("array<struct<first:int,last:int,chars:bigint>>")
     rows = rows.where(touched).join(runs, "k", "left").unionByName(rows.where(~touched).withColumn("runs", nothing))
@@ -180,7 +179,6 @@ def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars
     count = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))
     out = rows.select(
         *[(kept if c == text else F.col(f"__cf_{i}")).alias(f"__cf_{i}") for i, c in enumerate(names)],
-        F.coalesce("n_units", F.lit(0)).alias("n_units"),
         count(lambda r: r["last"] - r["first"] + 1).alias("n_deleted"), count(lambda r: r["chars"]).alias("deleted_chars"),
         F.coalesce("runs", F.array().cast("array<struct<first:int,last:int,chars:bigint>>")).alias("runs"))
     empty = F.btrim(F.col(f"__cf_{names.index(text)}"), F.lit(" \t\n\r")) == ""

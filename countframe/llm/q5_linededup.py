@@ -14,5 +14,5 @@ ORACLE_SQL = None        # 64-bit hash order decides the fingerprints: tested ag
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = linededup.dedup(docs)
-    return done.select("doc_id", "n_units", "n_deleted", "deleted_chars", "emptied",
+    return done.select("doc_id", "n_deleted", "deleted_chars", "emptied",
                        F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))

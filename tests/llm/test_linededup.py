@@ -122,4 +122,4 @@ def test_edge_cases(spark):
     texts = sorted((str(r.doc_id), r.text) for r in ld.dedup(two).collect())
     assert texts == sorted([("None", ""), ("3", ""), ("3", ""), ("-4", PASSAGE), ("3", "x. ")])     # equal rows are one document
     clash = docs.selectExpr("doc_id", "text", "1 AS runs", "2 AS k", "3 AS h", "4 AS emptied")
-    assert ld.dedup(clash).columns == ["doc_id", "text", "k", "h", "n_units", "n_deleted", "deleted_chars", "runs", "emptied"]
+    assert ld.dedup(clash).columns == ["doc_id", "text", "k", "h", "n_deleted", "deleted_chars", "runs", "emptied"]
