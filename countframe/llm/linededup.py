@@ -108,8 +108,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     doc = docs.select(doc_key(F.col(f"`{row_id}`"), body).alias("k"), body.alias("t")).where("t <> ''")
     doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).select("k", F.col("u.h").alias("h"), F.col("u.len").alias("len")))
     # rows equal in id and text, mostly none, become one
-    again = doc.select("k").groupBy("k").count().where("count > 1").select("k")
-    doc = doc.join(again, "k", "left_anti").unionByName(doc.join(again, "k", "left_semi").dropDuplicates(["k"]))
+    again = cut_lineage(doc.groupBy("k").count().where("count > 1").select("k"))
+    if again.limit(1).count():
+        doc = cut_lineage(doc.join(again, "k", "left_anti").unionByName(doc.join(again, "k", "left_semi").dropDuplicates(["k"])))
 
     # hashes of neighbouring pairs (null at the end and beside a blank unit)
     pairs = F.transform("h", lambda x, i: F.when((x != 0) & (F.get("h", i + 1) != 0), F.xxhash64(x, F.get("h", i + 1))))
