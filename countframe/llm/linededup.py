@@ -23,9 +23,9 @@ joined by a join that can be split).  Of the occurrences that one run lines up
 (same two documents, same distance) one per ``STEP`` units goes on to the
 comparison with the unit hashes of both documents, 8 bytes a unit; they lie
 within reach of each other, so the run is still covered.  Texts move once, to
-meet their deletions; fingerprints and texts that meet nothing are mostly kept
-from moving by Bloom filters (bit masks of at most 512 KB: beyond that size they
-let more rows through, and no result depends on them).
+meet their deletions; those without any are mostly kept from moving by a Bloom
+filter (a bit mask of at most 128 KB: for larger inputs it lets more texts
+through, and no result depends on it).
 
 Cases: null texts stay null, empty texts empty; a text that loses all but
 white space is ``emptied``.  Documents are ordered by id (null last), then a
@@ -46,7 +46,7 @@ from countframe.session import cut_lineage
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
 REACH = 8                # units compared on each side of a fingerprint
 STEP = 8                 # of lined-up occurrences, one per so many units is compared
-BLOOM_BITS = 1 << 22
+BLOOM_BITS = 1 << 20
 UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
 
 
@@ -127,11 +127,9 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     marks = doc.withColumn("g", pairs).select("k", F.explode(F.concat(
         some(F.transform("g", of_pair)), some(F.transform("h", of_unit)))).alias("m"))
     marks = marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
-    firsts = cut_lineage(marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-                         .where("first < last").select("g", "first"))
+    firsts = marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("g", "first")
     pos = lambda at: F.pmod(F.col(at), F.lit(_TH).cast("decimal(9,0)")).cast("int")
-    seen = bloom(firsts, "g")
-    found = (marks.where(seen(F.col("g"))).join(firsts, "g").where("first < at")
+    found = (marks.join(firsts, "g").where("first < at")
              .select((F.col("at") - pos("at")).cast(PLACE).alias("k"), pos("at").alias("pos"),
                      (F.col("first") - pos("first")).cast(PLACE).alias("fk"), pos("first").alias("fpos")))
     found = (found.groupBy("k", "fk", (F.col("pos") - F.col("fpos")).alias("apart"), F.floor(F.col("pos") / STEP).alias("step"))
