@@ -12,6 +12,7 @@ from countframe.operators.features import ensure_column
 from countframe.plans.catalog import query
 from countframe.plans.sqlbits import F1, F1_QC, F2, F4, F4_MASKED, F5, exact_k, md5k, rnd, with_
 from countframe.sources import describe, fixtures
+from countframe.sources.io import read_counts
 from countframe.sources.tables import table
 
 QC_METRICS = ["n_genes_by_counts", "total_counts"]
@@ -28,7 +29,8 @@ def f4_masked(spark, sf):
 # S1 -------------------------------------------------------------------------
 @query("load_counts", with_(F1) + " SELECT cell_id, gene_id, n FROM f1_x")
 def load_counts(spark, sf):
-    return fixtures.customer_products(spark, sf).x
+    f1 = fixtures.customer_products(spark, sf)
+    return read_counts(spark, f1.x, f1.obs).x
 
 
 # S2 -------------------------------------------------------------------------
