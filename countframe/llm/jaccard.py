@@ -56,8 +56,8 @@ SHINGLE = 5
 PERCENT = 75
 GROWTH = 1.8
 HOT = 64
-BATCH_BYTES = 4 << 20    # text per pre-aggregation batch
-PART_KEYS = 1_500_000    # shingles per part of the index
+BATCH_BYTES = 2 << 20    # text per pre-aggregation batch
+PART_KEYS = 1_000_000    # shingles per part of the index
 STAR_ROWS = 512          # members verified against one copy of the star's centre
 _A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -377,13 +377,20 @@ def signed(rows: DataFrame, nodes: DataFrame, side: str) -> DataFrame:
                      "node").withColumnRenamed("node", side)
 
 
+def some_rows(*columns, size: int = 256):
+    """Rows of Arrow columns as tuples; only ``size`` of them are Python
+    objects at a time."""
+    for at in range(0, len(columns[0]), size):
+        yield from zip(*(c.slice(at, size).to_pylist() for c in columns))
+
+
 def narrowed(pairs: DataFrame, nodes: DataFrame, column: str, keep) -> DataFrame:
     """The pairs (a, b, nx, ny) that ``keep`` (of both sizes and both values
     of a column of the nodes) does not rule out."""
 
     @F.arrow_udf("boolean")
     def check(n: pa.Array, m: pa.Array, u: pa.Array, v: pa.Array) -> pa.Array:
-        return pa.array([keep(*z) for z in zip(n.to_pylist(), m.to_pylist(), u.to_pylist(), v.to_pylist())], pa.bool_())
+        return pa.array([keep(*z) for z in some_rows(n, m, u, v)], pa.bool_())
 
     side = nodes.select("node", column)
     met = pairs.join(side.toDF("a", "u"), "a").join(side.toDF("b", "v"), "b")
@@ -416,9 +423,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, si
     def match(batches):
         now, centre = None, None
         for batch in batches:
-            a, b, sets_ = (batch.column(c).to_pylist() for c in ("a", "b", "hashes"))
             out = []
-            for x, y, s in zip(a, b, sets_):
+            for x, y, s in some_rows(*(batch.column(c) for c in ("a", "b", "hashes"))):
                 s = np.frombuffer(s, np.uint64)
                 if y is None:
                     now, centre = x, s
@@ -477,7 +483,7 @@ def neighbourhoods(bands: Bands, parts: int):
     def expand(batches):
         for batch in batches:
             got, rows = [], 0
-            for node, raw, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "hashes", "hot"))):
+            for node, raw, hot in some_rows(*(batch.column(c) for c in ("node", "hashes", "hot"))):
                 for e in entries(node, np.frombuffer(raw, np.uint64), np.array(hot or [], np.int64)):
                     got.append(e)
                     rows += len(e[0])
