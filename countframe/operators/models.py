@@ -56,6 +56,12 @@ def log_loss(model, df: DataFrame, label_idx: str = "label_idx") -> float:
     return float(out["l"])
 
 
+def f1_of(model, df: DataFrame, label_idx: str = "label_idx") -> float:
+    """Weighted F1 of a fitted classifier on (vec, label_idx) rows."""
+    scored = model.transform(_vec(df)).select(F.col(label_idx).alias("truth"), F.col("prediction").cast("int").alias("pred"))
+    return float(weighted_f1(scored).first()[0])
+
+
 def fit_mlp(train: DataFrame, labels: list[str], hidden=(512, 256, 128), val: DataFrame | None = None,
             steps_per_chunk: int = 10, max_chunks: int = 5, patience: int = 2, seed: int = SEED,
             label_idx: str = "label_idx") -> FitResult:
@@ -63,7 +69,7 @@ def fit_mlp(train: DataFrame, labels: list[str], hidden=(512, 256, 128), val: Da
 
     Fits ``steps_per_chunk`` L-BFGS iterations at a time, warm-started from
     the previous weights; after each chunk records training objective,
-    validation loss and weighted F1, keeps the best state by validation
+    validation loss and both weighted F1s, keeps the best state by validation
     loss and stops after ``patience`` chunks without improvement."""
     n_in = len(train.select("vec").first()["vec"])
     layers = [n_in, *hidden, len(labels)]
@@ -80,9 +86,7 @@ def fit_mlp(train: DataFrame, labels: list[str], hidden=(512, 256, 128), val: Da
         rec = {"step": (chunk + 1) * steps_per_chunk, "train_loss": float(obj[-1]) if obj else None}
         if val is not None:
             rec["val_loss"] = log_loss(model, val, label_idx)
-            pv = model.transform(_vec(val)).select(F.col(label_idx).alias("truth"),
-                                                   F.col("prediction").cast("int").alias("pred"))
-            rec["val_f1"] = float(weighted_f1(pv).first()[0])
+            rec["train_f1"], rec["val_f1"] = f1_of(model, train, label_idx), f1_of(model, val, label_idx)
         history.append(rec)
         if val is None:
             best = model
@@ -121,5 +125,5 @@ def predict(fit: FitResult, df: DataFrame, key: str = "cell_id") -> tuple[DataFr
 
 def history_frame(spark, fit: FitResult) -> DataFrame:
     """M4. Training history as a DataFrame (one row per recorded step)."""
-    rows = [(h["step"], h.get("train_loss"), h.get("val_loss"), h.get("val_f1")) for h in fit.history]
-    return spark.createDataFrame(rows, "step int, train_loss double, val_loss double, val_f1 double")
+    rows = [(h["step"], h.get("train_loss"), h.get("train_f1"), h.get("val_loss"), h.get("val_f1")) for h in fit.history]
+    return spark.createDataFrame(rows, "step int, train_loss double, train_f1 double, val_loss double, val_f1 double")

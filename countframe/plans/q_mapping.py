@@ -12,7 +12,7 @@ from countframe.operators import (
 )
 from countframe.plans.catalog import query
 from countframe.plans.q_embedding import f4_features
-from countframe.plans.q_models import f4_training_sets
+from countframe.plans.q_models import f4_training_sets, fit_f4_mlp
 from countframe.plans.q_preprocess import F1_LOG, f1_log, f2_pair, f2_train_axis
 from countframe.plans.sqlbits import h, rnd
 from countframe.session import cut_lineage
@@ -102,6 +102,18 @@ def f4_softmax(spark, sf, feats=None):
 @query("ig_softmax")
 def ig_softmax_q(spark, sf):
     fit, masked, _ = f4_softmax(spark, sf)
+    return _attributed(fit, masked)
+
+
+@query("ig_mlp")
+def ig_mlp_q(spark, sf):
+    """The same for the multilayer perceptron."""
+    return _attributed(*fit_f4_mlp(spark, sf))
+
+
+def _attributed(fit, masked):
+    """Per masked row: the predicted class, the sum of its attributions and
+    how far that is from the difference of the logits (completeness)."""
     scored = fit.model.transform(models._vec(masked))
     rows = scored.select("cell_id", "vec", F.col("prediction").cast("int").alias("target"))
     ig = explain.integrated_gradients(fit.model, rows)

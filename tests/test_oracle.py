@@ -16,7 +16,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 load_all()
 # model fits are covered by test_models; here only the relational queries
-SLOW = {"mlp_predict", "training_history", "model_comparison", "map_query_semisup", "explain_labels"}
+SLOW = {"mlp_predict", "ig_mlp", "training_history", "model_comparison", "map_query_semisup", "explain_labels"}
 
 
 def _norm(v):

@@ -7,7 +7,7 @@ from countframe.plans.catalog import QUERIES, load_all
 from tests.conftest import SF_SMALL
 
 load_all()
-MODEL_FITS = {"mlp_predict", "training_history", "model_comparison", "softmax_predict", "map_query_classifier",
+MODEL_FITS = {"mlp_predict", "ig_mlp", "training_history", "model_comparison", "softmax_predict", "map_query_classifier",
               "map_query_latent", "map_query_semisup", "explain_labels", "ig_softmax", "pca_scores",
               "reconstruction_error", "nb_latent", "map_query_knn"}
 
