@@ -57,7 +57,8 @@ PERCENT = 75
 GROWTH = 1.8
 HOT = 64
 BATCH_BYTES = 2 << 20    # text per pre-aggregation batch
-PART_KEYS = 1_000_000    # shingles per part of the index
+PART_KEYS = 3_000_000    # shingles per part of the index
+MIN_PARTS = 48
 STAR_ROWS = 512          # members verified against one copy of the star's centre
 _A, _B, _C = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -321,7 +322,7 @@ def shared_keys(texts: DataFrame, total: int, size: int, bands: Bands) -> DataFr
     """(key, node, centre): members of keys of several nodes, each beside a
     member of the same key; key null: sets with too few segments.  ``total``
     is the number of shingles, which bounds the keys of a part."""
-    parts = max(12, -(-total // PART_KEYS))
+    parts = max(MIN_PARTS, -(-total // PART_KEYS))
     rows = texts.mapInArrow(_index_rows(parts, size, bands), _INDEX).repartitionById(parts, F.col("part"))
     return rows.mapInArrow(_meet, "key bigint, node bigint, centre bigint")
 
@@ -454,8 +455,8 @@ def neighbourhoods(bands: Bands, parts: int):
     ``need`` probes have to be chosen per (node, band).  A probe raises what
     its segment is worth by 1: a segment that is not hot (worth 1, worked off
     before) also meets one-deletion neighbours, a hot or empty one its equals.
-    Keys are tagged: whole against whole, whole against one-deletion,
-    one-deletion against whole."""
+    Keys are tagged: 1 whole subsets (asked for by wholes and one-deletions),
+    2 one-deletions (asked for by wholes)."""
 
     def entries(node, h, hot):
         n = len(h)
@@ -476,8 +477,8 @@ def neighbourhoods(bands: Bands, parts: int):
             place = np.concatenate([seg, gap])
             once = np.concatenate([is_hot, np.ones(len(gap), bool)])
             two = ~is_hot[owner]
-            for key, at in ((_tag(every, 1), None), (_tag(less, 2), None), (_tag(every, 3), None),
-                            (_tag(every[once], 1), place[once]), (_tag(whole[~is_hot], 2), seg[~is_hot]), (_tag(less[two], 3), seg[owner][two])):
+            for key, at in ((_tag(every, 1), None), (_tag(less, 2), None), (_tag(every[once], 1), place[once]),
+                            (_tag(whole[~is_hot], 2), seg[~is_hot]), (_tag(less[two], 1), seg[owner][two])):
                 yield key, np.full(len(key), -1) if at is None else at, node, int(band[0]), need
 
     def expand(batches):
@@ -565,7 +566,7 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
     warm = spread.where(F.col("members") > hot).groupBy("node").agg(F.collect_list("key").alias("hot"))
     few = members.where("key IS NULL").select("node").distinct()
     warm = cut_lineage(warm.join(few, "node", "full_outer"))
-    parts = max(12, -(-total // PART_KEYS))
+    parts = max(MIN_PARTS, -(-total // PART_KEYS))
     sets = needed_sets(texts, cut_lineage(warm.select("node").join(nodes.select("node", "place"), "node")), size)
     entries = cut_lineage(warm.join(sets, "node").select("node", "hashes", "hot").mapInArrow(neighbourhoods(bands, parts), _ENTRY))
     held, possible_asks = entries.where("seg < 0").select("key", "node"), entries.where("seg >= 0")
