@@ -126,7 +126,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     some = lambda c: F.filter(c, lambda m: m.isNotNull() & m["g"].isNotNull())
     marks = doc.withColumn("g", pairs).select("k", F.explode(F.concat(
         some(F.transform("g", of_pair)), some(F.transform("h", of_unit)))).alias("m"))
-    marks = marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
+    # read twice: to find the first occurrences, and to meet them
+    marks = cut_lineage(marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at")))
     firsts = marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("g", "first")
     pos = lambda at: F.pmod(F.col(at), F.lit(_TH).cast("decimal(9,0)")).cast("int")
     found = (marks.join(firsts, "g").where("first < at")
