@@ -1,31 +1,30 @@
-"""Line dedup by winnowing (operator 5), DataFrame functions only.
-
-A text is cut into units: lines, and sentences inside a line (a unit keeps
-the white space after it, so joining all units gives the text back).  Pairs
-of neighbouring units are hashed; of every two neighbouring pairs the one
-with the smaller hash is a fingerprint, and so is every pair, and every
-single unit, of at least ``min_chars`` characters.  So each repeated run of
-``min_chars`` characters in whole units holds a fingerprint: a run of three
-or more units holds two neighbouring pairs, shorter ones are long enough
-themselves.
-
-Fingerprints meet only the first occurrence of their hash (by document, then
-position: one row per occurrence, no pairs within a group).  Around both
-positions the match is extended unit by unit, up to ``reach`` units each way;
-longer runs hold further fingerprints, which continue it.  Extended matches of
-at least ``min_chars`` characters, or that end at ``reach``, are united, and
-united runs of at least ``min_chars`` characters are deleted from the later
-place; the first occurrence of every unit stays.
-
-Scale: one shuffle of fingerprints by hash (partial aggregation to the first
+"""Line dedup by hashed windows (operator 5), DataFrame functions only.
+
+A text is cut into units: lines, and sentences inside a line, in scripts with
+other full stops too (joining all units gives the text back; the indentation of a
+line belongs to its unit).  Windows of
+whole units with at least ``min_chars`` characters that fall short of it without
+their first or without their last unit are hashed, units without the white space
+around them: one or two from every unit on.  A window that lies anywhere before it (by document, then position; in any document, or
+in the same one) is a repeat.  Repeats that overlap or touch are united and
+deleted; the first occurrence of every window stays.  This is exact: a run of
+at least ``min_chars`` characters that occurred before is all windows that
+occurred before, whichever document each was first seen in, however long the
+run is and wherever it differs around.
+
+White space has any width, so a window can be chosen in one place and not in
+another.  As earlier occurrences all windows count that are chosen for some width
+between none and the widest of the input: few more, unless a corpus holds very
+wide white space.
+
+Scale: one shuffle of windows by hash (partial aggregation to the first
 occurrence, so a hot line is one row per task there; its occurrences are
-joined by a join that can be split).  Of the occurrences that one run lines up
-(same two documents, same distance) one per ``STEP`` units goes on to the
-comparison with the unit hashes of both documents, 8 bytes a unit; they lie
-within reach of each other, so the run is still covered.  Texts move once, to
-meet their deletions; those without any are mostly kept from moving by a Bloom
-filter (a bit mask of at most 128 KB: for larger inputs it lets more texts
-through, and no result depends on it).
+joined by a join that can be split), 64 bits a window: two different ones
+coincide with probability 2^-64 a pair.  No pairs are made: an occurrence meets
+one row.  Repeats then meet the unit lengths of their own document.
+Texts move once, to meet their deletions; those without any are mostly kept
+from moving by a Bloom filter (a bit mask of at most 128 KB: for larger inputs
+it lets more texts through, and no result depends on it).
 
 Cases: null texts stay null, empty texts empty; a text that loses all but
 white space is ``emptied``.  Documents are ordered by id (null last), then a
@@ -38,14 +37,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countframe.session import cut_lineage
 
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
-REACH = 8                # units compared on each side of a fingerprint
-STEP = 8                 # of lined-up occurrences, one per so many units is compared
+# Read by the older brute force of the tests only: every window counts here.
+REACH = 8
+STEP = 8
 BLOOM_BITS = 1 << 20
 UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
 
@@ -55,11 +55,12 @@ def units(text: Column) -> Column:
 
 
 def described(text: Column) -> Column:
-    """array<struct<h, len>>: a 64-bit hash of each unit without the white
-    space around it (0: blank), and its length in characters."""
+    """array<struct<h, len, bare>>: a 64-bit hash of each unit without the white
+    space around it (0: blank), and its length in characters with and without it."""
     def one(u):
         bare = F.btrim(u, F.lit(" \t\n\r\x0b\x0c"))
-        return F.struct(F.when(bare == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(bare)).alias("h"), F.length(u).alias("len"))
+        return F.struct(F.when(bare == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(bare)).alias("h"),
+                        F.length(u).alias("len"), F.length(bare).alias("bare"))
 
     return F.transform(units(text), one)
 
@@ -78,10 +79,34 @@ def doc_key(row_id: Column, text: Column) -> Column:
     return (number * F.lit(_ID).cast("decimal(19,0)") + (F.hash(text).cast("bigint") + (1 << 31)) * F.lit(_TH)).cast(PLACE)
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """How many leading entries of two arrays are equal (blank units too)."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x == y), F.lit(False))
-    return F.when(differ == 0, F.least(F.size(a), F.size(b))).otherwise(differ.cast("int") - 1)
+UNROLLED = 8
+
+
+def _enough(size, i: Column, need: int) -> Column:
+    """Least n for which size(i) + ... + size(i + n - 1) is at least ``need``;
+    null if the array ends before.  Few units are enough in prose."""
+    total = size(i)
+    short = F.when(total >= need, 1)
+    for n in range(1, UNROLLED):
+        total = total + size(i + n)
+        short = short.when(total >= need, n + 1)
+    return short.otherwise(F.when(total.isNotNull(), _enough_of_many(size, i, need)))
+
+
+def _enough_of_many(size, i: Column, need: int) -> Column:
+    # all units but the first of a text hold a character: need + 1 are enough
+    step = lambda a, j: F.when((a["n"] >= 0) | size(i + j).isNull(), a).otherwise(
+        F.struct((a["total"] + size(i + j)).alias("total"), F.when(a["total"] + size(i + j) >= need, j + 1).otherwise(-1).alias("n")))
+    start = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("n"))
+    # a few steps before all of them: an aggregate runs to its end
+    within = lambda steps: F.aggregate(F.sequence(F.lit(0), F.lit(min(steps, need))), start, step, lambda a: F.when(a["n"] > 0, a["n"]))
+    return F.coalesce(within(4 * UNROLLED), F.when(size(i + 4 * UNROLLED).isNotNull(), within(need)))
+
+
+def _hashed(i: Column, n: Column) -> Column:
+    """xxhash64 of h(i), ..., h(i + n - 1); no slice, which reads the whole array."""
+    few = F.xxhash64(F.get("h", i), *[F.when(n > j, F.get("h", i + j)) for j in range(1, UNROLLED)])
+    return F.when(n <= UNROLLED, few).otherwise(F.xxhash64(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("h", i + j))))
 
 
 def bloom(values: DataFrame, column: str):
@@ -100,72 +125,61 @@ def bloom(values: DataFrame, column: str):
 
 
 def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
-                  min_chars: int = MIN_CHARS, reach: int = REACH) -> tuple[DataFrame, DataFrame]:
-    """Per distinct document with text, by key k: (k, h, len), its unit
+                  min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+    """Per distinct document with text, by key k: (k, h, len, bare), its unit
     hashes and lengths; and (k, runs) where it has later repeats: the runs
     array<struct<first, last, chars>> of 0-based unit positions to delete."""
     body = F.col(f"`{text}`").cast("string")
     doc = docs.select(doc_key(F.col(f"`{row_id}`"), body).alias("k"), body.alias("t")).where("t <> ''")
-    doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).select("k", F.col("u.h").alias("h"), F.col("u.len").alias("len")))
+    doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).select(
+        "k", F.col("u.h").alias("h"), F.col("u.len").alias("len"), F.col("u.bare").alias("bare")))
     # rows equal in id and text, mostly none, become one
     again = cut_lineage(doc.groupBy("k").count().where("count > 1").select("k"))
     if again.limit(1).count():
         doc = cut_lineage(doc.join(again, "k", "left_anti").unionByName(doc.join(again, "k", "left_semi").dropDuplicates(["k"])))
+    widest = doc.agg(F.max(F.array_max(F.zip_with("len", "bare", lambda a, b: a - b)))).first()[0] or 0
+
+    # least n from every unit on: by the text as it stands, and for the widest and no white space
+    least = lambda size: F.transform("h", lambda x, i: _enough(size, i, min_chars))
+    # windows from i on that no unit can leave at one end: the shortest, and those
+    # that are too short without unit i (up to the end of the text, if that is near)
+    def most(n, i):
+        return F.greatest(F.get(n, i), F.coalesce(F.get(n, i + 1), F.size("h") - i))
+
+    def windows(low, high):
+        return F.flatten(F.filter(F.transform("h", lambda x, i: F.when(F.get(low, i).isNotNull(), F.transform(
+            F.sequence(F.get(low, i), most(high, i)),
+            lambda n: F.struct(_hashed(i, n).alias("g"), i.alias("pos"), n.alias("n"))))), lambda w: w.isNotNull()))
 
-    # hashes of neighbouring pairs (null at the end and beside a blank unit)
-    pairs = F.transform("h", lambda x, i: F.when((x != 0) & (F.get("h", i + 1) != 0), F.xxhash64(x, F.get("h", i + 1))))
-    most = F.lit((1 << 63) - 1)
-
-    def of_pair(g, i):
-        least = (g <= F.coalesce(F.get("g", i - 1), most)) | (g <= F.coalesce(F.get("g", i + 1), most))
-        return F.when(least | (F.get("len", i) + F.get("len", i + 1) >= min_chars), F.struct(g.alias("g"), i.alias("pos")))
-
-    def of_unit(x, i):
-        return F.when((x != 0) & (F.get("len", i) >= min_chars), F.struct(F.xxhash64(x).alias("g"), i.alias("pos")))
-
-    some = lambda c: F.filter(c, lambda m: m.isNotNull() & m["g"].isNotNull())
-    marks = doc.withColumn("g", pairs).select("k", F.explode(F.concat(
-        some(F.transform("g", of_pair)), some(F.transform("h", of_unit)))).alias("m"))
-    marks = marks.select(F.col("m.g").alias("g"), (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at"))
-    firsts = marks.groupBy("g").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("g", "first")
-    pos = lambda at: F.pmod(F.col(at), F.lit(_TH).cast("decimal(9,0)")).cast("int")
-    found = (marks.join(firsts, "g").where("first < at")
-             .select((F.col("at") - pos("at")).cast(PLACE).alias("k"), pos("at").alias("pos"),
-                     (F.col("first") - pos("first")).cast(PLACE).alias("fk"), pos("first").alias("fpos")))
-    found = (found.groupBy("k", "fk", (F.col("pos") - F.col("fpos")).alias("apart"), F.floor(F.col("pos") / STEP).alias("step"))
-             .agg(F.min("pos").alias("pos")).select("k", "fk", "pos", (F.col("pos") - F.col("apart")).alias("fpos")))
-    before = lambda h, p: F.reverse(F.slice(h, F.greatest(p - reach, F.lit(0)) + 1, F.least(p, F.lit(reach))))
-    after = lambda h, p: F.slice(h, p + 1, F.lit(reach + 1))
-    there = found.join(doc.select(F.col("k").alias("fk"), F.col("h").alias("fh")), "fk").select(
-        "k", "pos", before(F.col("fh"), F.col("fpos")).alias("fl"), after(F.col("fh"), F.col("fpos")).alias("fr"))
-    left, right = _agree(before(F.col("h"), F.col("pos")), F.col("fl")), _agree(after(F.col("h"), F.col("pos")), F.col("fr"))
     # explode of one struct: what it holds is computed once, however often it is used
     once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    chars_of = lambda first, last: F.aggregate(F.slice("len", first + 1, last - first + 1), F.lit(0), lambda a, n: a + n)
-    met = there.join(doc, "k").select("k", "pos", "len", once(l=left, r=right).alias("m")).where("m.r > 0")
-    s, e = F.col("pos") - F.col("m.l"), F.col("pos") + F.col("m.r") - 1
-    met = met.select("k", "m", once(s=s, e=e, chars=chars_of(s, e)).alias("c"))
-    met = met.where((F.col("c.chars") >= min_chars) | (F.col("m.l") == reach) | (F.col("m.r") > reach)).select("k", "c.s", "c.e")
-    # unite matches that overlap or touch, and measure the united runs
-    in_order = Window.partitionBy("k").orderBy("s", "e")
-    furthest = F.max("e").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = met.withColumn("new", F.when(furthest.isNull() | (F.col("s") > furthest + 1), 1).otherwise(0))
-    islands = islands.withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy("k", "island").agg(F.min("s").alias("first"), F.max("e").alias("last"))
-    runs = (runs.join(doc.select("k", "len"), "k")
-            .select("k", "first", "last", once(chars=chars_of(F.col("first"), F.col("last")).cast("bigint")).alias("c"))
-            .select("k", "first", "last", "c.chars").where(F.col("chars") >= min_chars))
-    runs = runs.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("first", "last", "chars"))).alias("runs"))
+    place = (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at")
+    places = doc.select("k", "h", once(low=least(lambda i: F.get("bare", i) + widest), high=least(lambda i: F.get("bare", i))).alias("c"))
+    firsts = (places.select("k", F.explode(windows("c.low", "c.high")).alias("m")).select(F.col("m.g").alias("g"), place)
+              .groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first"))
+    probes = doc.select("k", "h", once(own=least(lambda i: F.get("len", i))).alias("c")).select("k", F.explode(windows("c.own", "c.own")).alias("m"))
+    pos = F.pmod("at", F.lit(_TH).cast("decimal(9,0)")).cast("int")
+    found = probes.select(F.col("m.g").alias("g"), place, F.col("m.n").alias("n")).join(firsts, "g").where("first < at")
+    # in order of their starts, and so of their ends
+    met = (found.select((F.col("at") - pos).cast(PLACE).alias("k"), F.struct(pos.alias("s"), (pos + F.col("n") - 1).alias("e")).alias("w"))
+           .groupBy("k").agg(F.array_sort(F.collect_list("w")).alias("w")).join(doc.select("k", "len"), "k")
+           .select("k", "len", once(w=F.col("w")).alias("c")).select("k", "len", "c.w"))
+    # unite those that overlap or touch, and measure the united runs
+    apart = lambda a, b: a.isNull() | b.isNull() | (b["s"] > a["e"] + 1)
+    opens = F.filter("w", lambda x, j: apart(F.get("w", j - 1), x))
+    closes = F.filter("w", lambda x, j: apart(x, F.get("w", j + 1)))
+    chars_of = lambda s, e: F.aggregate(F.slice("len", s + 1, e - s + 1), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    runs = met.select("k", F.zip_with(opens, closes, lambda a, b: F.struct(
+        a["s"].alias("first"), b["e"].alias("last"), chars_of(a["s"], b["e"]).alias("chars"))).alias("runs"))
     return doc, cut_lineage(runs)
 
 
-def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS,
-          reach: int = REACH) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text after deletion, plus n_deleted (units),
     deleted_chars, runs and emptied (all of a non-empty text was deleted)."""
     added = ("n_deleted", "deleted_chars", "runs", "emptied")
     names = [c for c in docs.columns if c not in added]
-    doc, runs = repeated_runs(docs, text, row_id, min_chars, reach)
+    doc, runs = repeated_runs(docs, text, row_id, min_chars)
     body = F.col(f"`{text}`").cast("string")
     key = doc_key(F.col(f"`{row_id}`"), body)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names)], body.alias("__cf_text"),

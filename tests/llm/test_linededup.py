@@ -123,3 +123,51 @@ def test_edge_cases(spark):
     assert texts == sorted([("None", ""), ("3", ""), ("3", ""), ("-4", PASSAGE), ("3", "x. ")])     # equal rows are one document
     clash = docs.selectExpr("doc_id", "text", "1 AS runs", "2 AS k", "3 AS h", "4 AS emptied")
     assert ld.dedup(clash).columns == ["doc_id", "text", "k", "h", "n_deleted", "deleted_chars", "runs", "emptied"]
+
+
+def exact(rows, min_chars=ld.MIN_CHARS):
+    """Every run of units with min_chars characters that starts at an earlier
+    place as well, compared unit by unit: {id: remaining text}.  Ids are unique."""
+    docs = {i: units(t) for i, t in sorted(rows) if t}
+    bare = {i: [u.strip(" \t\n\r\x0b\x0c") for u in us] for i, us in docs.items()}
+    at = {}
+    for i, us in bare.items():
+        for p, u in enumerate(us):
+            at.setdefault(u, []).append((i, p))
+    out = {}
+    for i, us in bare.items():
+        gone = set()
+        for p, u in enumerate(us):
+            for f, q in at[u]:
+                if (f, q) >= (i, p):
+                    break
+                n = 0
+                while p + n < len(us) and q + n < len(bare[f]) and us[p + n] == bare[f][q + n]:
+                    n += 1
+                if sum(map(len, docs[i][p:p + n])) >= min_chars:
+                    gone.update(range(p, p + n))
+        out[i] = "".join(u for p, u in enumerate(docs[i]) if p not in gone)
+    return out
+
+
+def deduped(spark, rows, **how):
+    return {r.doc_id: r.text for r in ld.dedup(docs_frame(spark, rows), **how).collect()}
+
+
+def test_copy_with_one_edited_sentence(spark):
+    lines = [f"{sentence(i, 7)}\n" for i in range(3000, 3008)]
+    rows = [(1, "".join(lines)), (2, "".join(lines[:2] + [sentence(3100) + "\n"] + lines[3:]))]
+    got = deduped(spark, rows)
+    assert got == exact(rows) and got[2] == "".join(lines[:2]) + sentence(3100) + "\n"
+
+
+def test_every_comparison_is_made(spark):
+    """Random texts of few different units, white space of different widths."""
+    import random
+
+    draw = random.Random(5)
+    stock = [sentence(i, n) for i, n in zip(range(4000, 4012), (1, 2, 3, 5, 7, 9, 2, 4, 30, 1, 6, 3))]
+    rows = [(i, "".join(draw.choice(stock) + draw.choice([" ", "\n", "\n\n", "\n     ", " \n"]) for _ in range(draw.randrange(1, 40))))
+            for i in range(60)]
+    assert deduped(spark, rows) == exact(rows)
+    assert deduped(spark, rows, min_chars=60) == exact(rows, 60)
