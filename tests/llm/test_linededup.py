@@ -171,3 +171,11 @@ def test_every_comparison_is_made(spark):
             for i in range(60)]
     assert deduped(spark, rows) == exact(rows)
     assert deduped(spark, rows, min_chars=60) == exact(rows, 60)
+
+
+def test_passage_whose_pairs_were_seen_elsewhere(spark):
+    five = [sentence(i) for i in range(5000, 5005)]
+    rows = [(i + 1, f"{sentence(5100 + i)}\n{five[i]}\n{five[i + 1]}") for i in range(4)]
+    rows += [(10, sentence(5200) + "\n" + "\n".join(five)), (11, sentence(5300) + "\n" + "\n".join(five))]
+    got = deduped(spark, rows)
+    assert got == exact(rows) and got[10] == rows[4][1] and got[11] == sentence(5300) + "\n"
