@@ -47,7 +47,12 @@ MIN_CHARS = 160          # shortest run that is deleted, about 25 words
 REACH = 8
 STEP = 8
 BLOOM_BITS = 1 << 20
-UNIT_END = r"(?<=\s)(?!\s)(?<=(?:\n|[.!?]\s)\s{0,3})"
+# Split after the last newline of a run of white space, however long; where it has
+# none, after the first character that follows a full stop; in scripts that put no
+# space there, after full stops and the marks that close a quotation or bracket.
+_STOPS, _CLOSERS = "。！？｡።။។", "”’」』）》】"
+UNIT_END = (r"(?<=\n)(?=[^\S\n]*\S)|(?<=[.!?…।॥۔؟։" + _STOPS + r"]\s)(?=[^\S\n]*\S)"
+            rf"|(?<=[{_STOPS}]|[{_STOPS}][{_CLOSERS}])(?=[^\s{_STOPS}{_CLOSERS}])")
 
 
 def units(text: Column) -> Column:

@@ -179,3 +179,18 @@ def test_passage_whose_pairs_were_seen_elsewhere(spark):
     rows += [(10, sentence(5200) + "\n" + "\n".join(five)), (11, sentence(5300) + "\n" + "\n".join(five))]
     got = deduped(spark, rows)
     assert got == exact(rows) and got[10] == rows[4][1] and got[11] == sentence(5300) + "\n"
+
+
+def test_indented_lines_and_other_full_stops(spark):
+    block = "".join(f"{' ' * 8}{sentence(i, 8)}\n" for i in range(6000, 6004))
+    tabs = "".join(f"\t\t\t\t\t{sentence(i, 8)}\r\n" for i in range(6100, 6104))
+    han = "".join(chr(0x4E00 + i) * 50 + "。" for i in range(4))
+    hindi = "".join(f"{chr(0x0915 + i) * 50}। " for i in range(4))
+    bodies = [block, tabs, han, hindi]
+    rows = [(i, f"{sentence(6200 + i)}{sep}{body}") for i, (body, sep) in enumerate(
+        [(body, "" if body is han else "\n") for body in bodies] * 2)]
+    rows[2], rows[6] = (2, "甲乙。「丙丁。」" + han), (6, "戊己。「庚辛。」" + han)
+    got = deduped(spark, rows)
+    assert got == exact(rows)
+    assert [got[i] for i in (4, 5, 6, 7)] == [sentence(6204) + "\n", sentence(6205) + "\n", "戊己。「庚辛。」", sentence(6207) + "\n"]
+    assert all("".join(units(t)) == t for _, t in rows)
