@@ -19,6 +19,7 @@ MODULES = {
     "op8_jaccard": "q8_jaccard",
     "op9_chat": "q9_chat",
     "op10_fingerprint": "q10_fingerprint",
+    "op11_substrings": "q11_substrings",
     "op12_vectorcode": "q12_vectorcode",
     "op13_runs": "q13_runs",
 }
