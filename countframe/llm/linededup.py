@@ -43,9 +43,6 @@ from pyspark.sql import functions as F
 from countframe.session import cut_lineage
 
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
-# Read by the older brute force of the tests only: every window counts here.
-REACH = 8
-STEP = 8
 BLOOM_BITS = 1 << 20
 # Split after the last newline of a run of white space, however long; where it has
 # none, after the first character that follows a full stop; in scripts that put no

@@ -1,7 +1,4 @@
-import struct
-
 import regex
-import xxhash
 
 from countframe.llm import linededup as ld
 from tests.llm.helpers import docs_frame, hostile_rows
@@ -11,68 +8,29 @@ def units(text):
     return [u for u in regex.split(ld.UNIT_END, text, flags=regex.V1) if u]
 
 
-def digest(raw):
-    x = xxhash.xxh64_intdigest(raw, seed=42)
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
-def chained(values):
-    """Spark's xxhash64 of several longs: each hash seeds the next."""
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=seed)
-    return seed - (1 << 64) if seed >= 1 << 63 else seed
-
-
-def brute(rows, min_chars=ld.MIN_CHARS, reach=ld.REACH):
-    """The same rule, one document after another: {(id, text): deleted positions}.
-    Ids are unique here."""
-    docs = {i: units(t) for i, t in rows if t}
-    bare = lambda u: u.strip(" \t\n\r\x0b\x0c")
-    h = {i: [digest(bare(u).encode()) if bare(u) else 0 for u in us] for i, us in docs.items()}
-    marks = []
-    for i, v in h.items():
-        g = [chained(v[p:p + 2]) if p + 1 < len(v) and v[p] and v[p + 1] else None for p in range(len(v))]
-        for p, x in enumerate(g):
-            size = len(docs[i][p])
-            if x is not None:
-                near = [g[q] if 0 <= q < len(g) and g[q] is not None else (1 << 63) - 1 for q in (p - 1, p + 1)]
-                if x <= near[0] or x <= near[1] or size + len(docs[i][p + 1]) >= min_chars:
-                    marks.append((x, i, p))
-            if v[p] and size >= min_chars:
-                marks.append((chained(v[p:p + 1]), i, p))
-    first = {}
-    for x, i, p in sorted(marks, key=lambda m: m[1:]):
-        first.setdefault(x, (i, p))
-    lined = {}
-    for x, i, p in marks:
-        f, q = first[x]
-        if (f, q) != (i, p):
-            spot = (i, f, p - q, p // ld.STEP)
-            lined[spot] = min(lined.get(spot, p), p)
-    cover = {}
-    for (i, f, apart, _), p in lined.items():
-        q = p - apart
-        if h[i][p] != h[f][q]:
-            continue
-        lo = hi = 0
-        while lo < reach and p - lo - 1 >= 0 and q - lo - 1 >= 0 and h[i][p - lo - 1] == h[f][q - lo - 1]:
-            lo += 1
-        while hi < reach and p + hi + 1 < len(h[i]) and q + hi + 1 < len(h[f]) and h[i][p + hi + 1] == h[f][q + hi + 1]:
-            hi += 1
-        run = range(p - lo, p + hi + 1)
-        if sum(len(docs[i][x]) for x in run) >= min_chars or lo == reach or hi == reach:
-            cover.setdefault(i, set()).update(run)
-    gone = {}
-    for i, c in cover.items():
-        run = []
-        for p in sorted(c) + [None]:
-            if run and p != run[-1] + 1 if p is not None else run:
-                if sum(len(docs[i][x]) for x in run) >= min_chars:
-                    gone.setdefault(i, set()).update(run)
-                run = []
-            run = run + [p] if p is not None else run
-    return {i: "".join(u for p, u in enumerate(us) if p not in gone.get(i, ())) for i, us in docs.items()}
+def exact(rows, min_chars=ld.MIN_CHARS):
+    """Every run of units with min_chars characters that starts at an earlier
+    place as well, compared unit by unit: {id: remaining text}.  Ids are unique."""
+    docs = {i: units(t) for i, t in sorted(rows) if t}
+    bare = {i: [u.strip(" \t\n\r\x0b\x0c") for u in us] for i, us in docs.items()}
+    at = {}
+    for i, us in bare.items():
+        for p, u in enumerate(us):
+            at.setdefault(u, []).append((i, p))
+    out = {}
+    for i, us in bare.items():
+        gone = set()
+        for p, u in enumerate(us):
+            for f, q in at[u]:
+                if (f, q) >= (i, p):
+                    break
+                n = 0
+                while p + n < len(us) and q + n < len(bare[f]) and us[p + n] == bare[f][q + n]:
+                    n += 1
+                if sum(map(len, docs[i][p:p + n])) >= min_chars:
+                    gone.update(range(p, p + n))
+        out[i] = "".join(u for p, u in enumerate(docs[i]) if p not in gone)
+    return out
 
 
 def sentence(i, n=9):
@@ -96,7 +54,7 @@ def corpus():
 def test_equals_brute_force_and_catches_passages(spark):
     rows = corpus()
     got = {r.doc_id: r for r in ld.dedup(docs_frame(spark, rows)).collect()}
-    assert {i: r.text for i, r in got.items()} == brute(rows)
+    assert {i: r.text for i, r in got.items()} == exact(rows)
     assert got[20].n_deleted == 0 and sentence(902) not in got[21].text
     assert got[22].n_deleted == got[23].n_deleted == 0
     assert got[24].emptied and got[24].text == "" and got[25].text == "One more line at the end of it."
@@ -108,7 +66,7 @@ def test_query_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = {r.doc_id: r.text for r in ld.dedup(docs).where("text <> '' OR emptied").collect()}
-    assert got == brute(rows)
+    assert got == exact(rows)
 
 
 def test_edge_cases(spark):
@@ -125,31 +83,6 @@ def test_edge_cases(spark):
     assert ld.dedup(clash).columns == ["doc_id", "text", "k", "h", "n_deleted", "deleted_chars", "runs", "emptied"]
 
 
-def exact(rows, min_chars=ld.MIN_CHARS):
-    """Every run of units with min_chars characters that starts at an earlier
-    place as well, compared unit by unit: {id: remaining text}.  Ids are unique."""
-    docs = {i: units(t) for i, t in sorted(rows) if t}
-    bare = {i: [u.strip(" \t\n\r\x0b\x0c") for u in us] for i, us in docs.items()}
-    at = {}
-    for i, us in bare.items():
-        for p, u in enumerate(us):
-            at.setdefault(u, []).append((i, p))
-    out = {}
-    for i, us in bare.items():
-        gone = set()
-        for p, u in enumerate(us):
-            for f, q in at[u]:
-                if (f, q) >= (i, p):
-                    break
-                n = 0
-                while p + n < len(us) and q + n < len(bare[f]) and us[p + n] == bare[f][q + n]:
-                    n += 1
-                if sum(map(len, docs[i][p:p + n])) >= min_chars:
-                    gone.update(range(p, p + n))
-        out[i] = "".join(u for p, u in enumerate(docs[i]) if p not in gone)
-    return out
-
-
 def deduped(spark, rows, **how):
     return {r.doc_id: r.text for r in ld.dedup(docs_frame(spark, rows), **how).collect()}
 

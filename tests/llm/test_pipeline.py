@@ -4,7 +4,7 @@ import __spark_entry__ as E
 import corpus_pipeline as cp
 from countframe.llm import decontaminate, language, mixing
 from tests.llm.helpers import DOC_SCHEMA, components, hostile_rows, shingle_set
-from tests.llm.test_linededup import brute as deduped
+from tests.llm.test_linededup import exact as deduped
 
 SF = "/root/testdata/sf0.001"
 
