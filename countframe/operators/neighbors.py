@@ -1,18 +1,15 @@
 """k-nearest-neighbour joins, graphs and distance-weighted votes.
 
-Exact kNN (``method="exact"``) is all-pairs work by nature, so it is done
-in blocks: query rows are hashed into ``Bq`` blocks and training rows into
-``Bt`` blocks; each query block meets each training block once in a
-cogroup keyed by (query block, train block).  One Arrow task holds at most
-``block_rows`` rows per side, runs one matrix product, and emits only its k
-best candidates per query row.  A last window keeps the k best of the
-``Bt * k`` candidates of each query (bounded, Spark limits per partition
-before the shuffle).  No pair list is ever materialised.
+Exact kNN is all-pairs work by nature, so it is done in blocks of at most
+``block_rows`` rows per side: one matrix product each, of which only the k
+best candidates per query row leave.  No pair list is ever materialised.
 
 When the training side is small enough (rows x dim x 8 bytes counted
-against ``broadcast_bytes``), it is broadcast instead: each task streams its
+against ``broadcast_bytes``), it is broadcast: each task streams its
 query rows past the whole training matrix in blocks and emits final top-k
-rows, with no replication and no shuffle at all.
+rows, with no replication and no shuffle at all.  Beyond that, training rows
+are partitioned by pivots and a query row is sent only to the partitions
+that can hold one of its neighbours (``knnindex.PivotIndex``).
 
 Ordering is by distance rounded to 1e-6, ties by training id, which makes
 the result identical to plain SQL.  Inside a block the product form of the
@@ -20,14 +17,12 @@ distance only *pre-selects*: every candidate within 1e-6 of the k-th
 distance is re-measured exactly, so ties and rounding never drop a true
 neighbour.
 
-No approximate (LSH) path is offered: a bucketed similarity join emits
-every pair inside a hash bucket, which turns quadratic on a hot bucket.
+The approximate variant (K2) is ``knnindex.InvertedIndex``; a bucketed
+similarity join would emit every pair inside a hash bucket.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -118,10 +113,6 @@ def _broadcast_topk(bc, k: int, exclude_self: bool, block_rows: int):
     return fn
 
 
-def _blocks(n: int, block_rows: int) -> int:
-    return max(1, math.ceil(n / block_rows))
-
-
 def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", key: str = "cell_id",
              block_rows: int = BLOCK_ROWS, exclude_self: bool = False,
              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -129,7 +120,7 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", k
     of every query row by Euclidean distance.
 
     A training side of at most ``broadcast_bytes`` (rows x dim x 8, counted
-    first) is broadcast; beyond it the blocked cogroup runs."""
+    first) is broadcast; beyond it pivot partitions are used."""
     ship_library(query.sparkSession)
     q = query.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
     t = train.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
@@ -147,19 +138,9 @@ def knn_join(query: DataFrame, train: DataFrame, k: int = K, vec: str = "vec", k
         bc = query.sparkSession.sparkContext.broadcast((T, tid))
         return q.mapInPandas(_broadcast_topk(bc, k, exclude_self, block_rows),
                              "query_id long, ref_id long, rank int, dist double")
-    nq = query.count()
-    bq, bt = _blocks(nq, block_rows), _blocks(nt, block_rows)
-    # every query row is copied once per train block and vice versa; block
-    # numbers have one type on both sides, as int and bigint hash differently
-    q_rep = q.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int").alias("qb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(bt - 1))).alias("tb"))
-    t_rep = t.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(bt)).cast("int").alias("tb"),
-                     F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("qb"))
-    cand = (q_rep.groupBy("qb", "tb").cogroup(t_rep.groupBy("qb", "tb"))
-            .applyInPandas(_block_topk(k, exclude_self), _CAND_SCHEMA))
-    w = Window.partitionBy("query_id").orderBy("dist", "ref_id")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("query_id", "ref_id", F.col("rank").cast("int").alias("rank"), "dist"))
+    from countframe.operators.knnindex import knn_pivot
+
+    return knn_pivot(query, train, k, vec, key, exclude_self, block_rows)
 
 
 def neighbors(latent: DataFrame, k: int = K, n_pcs: int | None = None, vec: str = "vec",

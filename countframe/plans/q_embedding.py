@@ -48,15 +48,19 @@ def pca_scores_q(spark, sf):
 
 
 # D2 ---------------------------------------------------------------------------
-@query("pca_project", F1_LOG + ",\nf1_genes AS (SELECT DISTINCT gene_id FROM f1_x)," +
-       stats_cte("f1_log", "(SELECT count(*) FROM f1_obs)", "f1_st") + "," +
-       scale_cte("f1_log", "f1_genes", "f1_obs", "f1_st", "f1_z") + f""",
+SCORES_SQL = (F1_LOG + ",\nf1_genes AS (SELECT DISTINCT gene_id FROM f1_x)," +
+              stats_cte("f1_log", "(SELECT count(*) FROM f1_obs)", "f1_st") + "," +
+              scale_cte("f1_log", "f1_genes", "f1_obs", "f1_st", "f1_z") + f""",
 f6 AS (
   SELECT g.gene_id, CAST(r.pc AS INTEGER) AS pc,
          CAST({h("g.gene_id || ':' || CAST(r.pc AS VARCHAR)", 11)} AS DOUBLE) / 65536.0 - 0.5 AS w
-  FROM f1_genes g, range(0, 5) r(pc))
-SELECT z.cell_id, f6.pc, {rnd('sum(z.value * f6.w)')} AS score
-FROM f1_z z JOIN f6 ON z.gene_id = f6.gene_id GROUP BY 1, 2""")
+  FROM f1_genes g, range(0, 5) r(pc)),
+scores AS (
+  SELECT z.cell_id, f6.pc, {rnd('sum(z.value * f6.w)')} AS score
+  FROM f1_z z JOIN f6 ON z.gene_id = f6.gene_id GROUP BY 1, 2)""")
+
+
+@query("pca_project", SCORES_SQL + " SELECT * FROM scores")
 def pca_project_q(spark, sf):
     cf = f1_log(spark, sf)
     stats = normalize.gene_stats(cf.x, normalize.n_cells_of(cf.obs))

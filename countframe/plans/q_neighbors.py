@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import hash16, round_half_up
-from countframe.operators import neighbors
+from countframe.operators import knnindex, neighbors
 from countframe.plans.catalog import query
+from countframe.plans.q_embedding import SCORES_SQL, pca_project_q
 from countframe.plans.sqlbits import F3, h, rnd, with_
+from countframe.session import cut_lineage
 from countframe.sources import fixtures
 
 SPLIT_SALT, SPLIT_CUT = 3, 13107
@@ -95,3 +97,48 @@ SELECT src, dst, CAST(rank AS INTEGER) AS rank, dist FROM (
 def knn_graph_head_q(spark, sf):
     """kNN graph on the first 30 components only (n_pcs = 30)."""
     return neighbors.neighbors(fixtures.embedding_latent(spark, sf), 15, n_pcs=30)
+
+
+# K1/J6 by pivots, K2 ------------------------------------------------------------
+PIVOT_BLOCK = 64         # small, so that the small tables make many partitions
+
+
+@query("knn_pivot", KNN_SQL + " SELECT * FROM nn")
+def knn_pivot_q(spark, sf):
+    """``knn_join`` by pivot partitions."""
+    q, t = f3_split(spark, sf)
+    return knnindex.knn_pivot(q, t, 15, block_rows=PIVOT_BLOCK)
+
+
+def score_vectors(spark, sf):
+    """The five projected scores of every F1 cell as a vector."""
+    scores = pca_project_q(spark, sf)
+    pairs = F.array_sort(F.collect_list(F.struct("pc", "score")))
+    return cut_lineage(scores.groupBy("cell_id").agg(F.transform(pairs, lambda p: p["score"]).alias("vec")))
+
+
+SCORE_GRAPH_SQL = SCORES_SQL + f""",
+sv AS (SELECT cell_id, list(score ORDER BY pc) AS vec FROM scores GROUP BY cell_id),
+sd AS (SELECT a.cell_id AS src, b.cell_id AS dst, {rnd('list_distance(a.vec, b.vec)')} AS dist FROM sv a, sv b WHERE a.cell_id <> b.cell_id),
+sg AS (
+  SELECT src, dst, CAST(rank AS INTEGER) AS rank, dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM sd) WHERE rank <= 15)"""
+
+
+@query("knn_pivot_graph", SCORE_GRAPH_SQL + " SELECT * FROM sg")
+def knn_pivot_graph_q(spark, sf):
+    """Exact kNN graph of all cells in the space of the scores, where bounds leave out most partitions."""
+    found = knnindex.knn_pivot(score_vectors(spark, sf), score_vectors(spark, sf), 15, exclude_self=True, block_rows=PIVOT_BLOCK)
+    return found.select(F.col("query_id").alias("src"), F.col("ref_id").alias("dst"), "rank", "dist")
+
+
+@query("knn_ivf_recall", SCORES_SQL + """
+SELECT CAST(15 AS INTEGER) AS k, count(DISTINCT cell_id) AS queries, count(DISTINCT cell_id) * 15 AS wanted, TRUE AS recall_at_least_90_percent
+FROM scores""")
+def knn_ivf_recall_q(spark, sf):
+    """Inverted lists against the exact neighbours, for every cell."""
+    v = score_vectors(spark, sf)
+    near = cut_lineage(knnindex.knn_approximate(v, v, 15, probes=8, exclude_self=True))
+    got = knnindex.recall(near, neighbors.knn_join(v, v, 15, exclude_self=True))
+    return got.select(F.lit(15).alias("k"), (F.col("wanted") / 15).cast("bigint").alias("queries"), "wanted",
+                      (F.col("hit") >= 0.9 * F.col("wanted")).alias("recall_at_least_90_percent"))
