@@ -1,41 +1,49 @@
-"""Line dedup by hashed windows (operator 5), DataFrame functions only.
+"""Line dedup by winnowing (operator 5), DataFrame functions only.
 
 A text is cut into units: lines, and sentences inside a line, in scripts with
-other full stops too (joining all units gives the text back; the indentation of a
-line belongs to its unit).  Windows of
-whole units with at least ``min_chars`` characters that fall short of it without
-their first or without their last unit are hashed, units without the white space
-around them: one or two from every unit on.  A window that lies anywhere before it (by document, then position; in any document, or
-in the same one) is a repeat.  Repeats that overlap or touch are united and
-deleted; the first occurrence of every window stays.  This is exact: a run of
-at least ``min_chars`` characters that occurred before is all windows that
-occurred before, whichever document each was first seen in, however long the
-run is and wherever it differs around.
-
-White space has any width, so a window can be chosen in one place and not in
-another.  As earlier occurrences all windows count that are chosen for some width
-between none and the widest of the input: few more, unless a corpus holds very
-wide white space.
-
-Scale: one shuffle of windows by hash (partial aggregation to the first
-occurrence, so a hot line is one row per task there; its occurrences are
-joined by a join that can be split), 64 bits a window: two different ones
-coincide with probability 2^-64 a pair.  No pairs are made: an occurrence meets
-one row.  Repeats then meet the unit lengths of their own document.
-Texts move once, to meet their deletions; those without any are mostly kept
-from moving by a Bloom filter (a bit mask of at most 128 KB: for larger inputs
-it lets more texts through, and no result depends on it).
+other full stops too (joining all units gives the text back; the indentation
+of a line belongs to its unit).  Units are compared without the white space
+around them; blank ones do not count.  A run of units with at least
+``min_chars`` characters that also starts at an earlier place (by document,
+then position; in any document, or in the same one) is a repeat and deleted,
+with blank units inside it; the first occurrence of every run stays.
+
+1.  Windows are the shortest runs of at least ``min_chars`` characters from
+    every unit on, and up to every unit.  A run of that many characters, where
+    it ends or differs around, is all such windows inside it.
+2.  Winnowing: a window's fingerprint is the least hash of its units.  Equal
+    windows have equal fingerprints, so only windows whose fingerprint occurs
+    twice among the selected units go on.  A unit is selected if it is not
+    larger than one of its neighbours, or a window by itself: that holds for
+    every window's least unit.
+3.  Positions of a fingerprint are joined by the window around it: every
+    occurrence meets the first occurrence of an equal window.  Windows that
+    occurred before and overlap or touch are united, which extends a match
+    both ways as far as any earlier text goes along with it, whichever
+    document that is; the united runs are deleted.
+
+The result is exact.  Windows are compared by 128 bits: their fingerprint and
+a hash of all their units.
+
+Scale: selected units are counted with partial aggregation, so a hot line is
+one row a task; windows meet the repeated fingerprints and their first
+occurrences in joins that can be split.  No pairs are made.  Documents get
+numbers in the order of their ids by a range sort of narrow rows (at most
+2^24 documents in each of 32 767 ranges, 2^24 units a text), so a place is
+one long.  Texts move once, to meet their deletions.
 
 Cases: null texts stay null, empty texts empty; a text that loses all but
-white space is ``emptied``.  Documents are ordered by id (null last), then a
-hash of the text; rows equal in both are one document and get the same
-result.  Equal units inside one document are later repeats as well.  Extra
-columns pass through; input columns named like an output are replaced.
+white space is ``emptied``.  Ids can be null (last) and of any type with an
+order; documents of one id are ordered by 128 bits of their text, and rows
+equal in id and text are one document and get the same result.  Equal runs
+inside one document are later repeats as well.  An empty table gives an empty
+one.  Extra columns pass through; input columns named like an output are
+replaced.
 """
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,159 +51,190 @@ from pyspark.sql import functions as F
 from countframe.session import cut_lineage
 
 MIN_CHARS = 160          # shortest run that is deleted, about 25 words
-BLOOM_BITS = 1 << 20
-# Split after the last newline of a run of white space, however long; where it has
-# none, after the first character that follows a full stop; in scripts that put no
-# space there, after full stops and the marks that close a quotation or bracket.
-_STOPS, _CLOSERS = "。！？｡።။។", "”’」』）》】"
-UNIT_END = (r"(?<=\n)(?=[^\S\n]*\S)|(?<=[.!?…।॥۔؟։" + _STOPS + r"]\s)(?=[^\S\n]*\S)"
-            rf"|(?<=[{_STOPS}]|[{_STOPS}][{_CLOSERS}])(?=[^\s{_STOPS}{_CLOSERS}])")
+# A unit ends after a newline, after a full stop and a space, and in scripts that
+# put no space there after full stops and a mark that closes a quotation or bracket.
+STOPS, OTHER_STOPS = ".!?", "…।॥۔؟։"
+_CJK, _CLOSERS = "。！？｡።។", "”’」』）》】"
+_NO_SPACE = rf"[{_CJK}](?: |[{_CLOSERS}]?(?=[^\s{_CJK}{_CLOSERS}]))"
+UNIT_END = rf"(?<=\n)|(?<=[{STOPS}{OTHER_STOPS}{_CJK}] )|(?<=[{_CJK}]|[{_CJK}][{_CLOSERS}])(?=[^\s{_CJK}{_CLOSERS}])"
+_MARK = "\ue000"         # private use: a text that holds it is cut by UNIT_END itself
+BLANKS = " \t\n\r\x0b\x0c"
 
 
 def units(text: Column) -> Column:
-    return F.filter(F.split(text, UNIT_END), lambda u: u != "")
-
-
-def described(text: Column) -> Column:
-    """array<struct<h, len, bare>>: a 64-bit hash of each unit without the white
-    space around it (0: blank), and its length in characters with and without it."""
-    def one(u):
-        bare = F.btrim(u, F.lit(" \t\n\r\x0b\x0c"))
-        return F.struct(F.when(bare == "", F.lit(0).cast("bigint")).otherwise(F.xxhash64(bare)).alias("h"),
-                        F.length(u).alias("len"), F.length(bare).alias("bare"))
-
-    return F.transform(units(text), one)
-
-
-# A place (document, unit) as one number that orders by id (null last), hash of
-# the text, position: a fixed-width value, so that the smallest place of a hash
-# is found by hash aggregation.
-_ID, _TH = 10 ** 18, 10 ** 8
-_NO_ID = 1 << 63
-PLACE = "decimal(38,0)"
-
-
-def doc_key(row_id: Column, text: Column) -> Column:
-    """The document's part of a place: equal for rows equal in id and text."""
-    number = F.coalesce(row_id.cast("bigint").cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)"))
-    return (number * F.lit(_ID).cast("decimal(19,0)") + (F.hash(text).cast("bigint") + (1 << 31)) * F.lit(_TH)).cast(PLACE)
-
-
-UNROLLED = 8
-
-
-def _enough(size, i: Column, need: int) -> Column:
-    """Least n for which size(i) + ... + size(i + n - 1) is at least ``need``;
-    null if the array ends before.  Few units are enough in prose."""
-    total = size(i)
-    short = F.when(total >= need, 1)
-    for n in range(1, UNROLLED):
-        total = total + size(i + n)
-        short = short.when(total >= need, n + 1)
-    return short.otherwise(F.when(total.isNotNull(), _enough_of_many(size, i, need)))
-
-
-def _enough_of_many(size, i: Column, need: int) -> Column:
-    # all units but the first of a text hold a character: need + 1 are enough
-    step = lambda a, j: F.when((a["n"] >= 0) | size(i + j).isNull(), a).otherwise(
-        F.struct((a["total"] + size(i + j)).alias("total"), F.when(a["total"] + size(i + j) >= need, j + 1).otherwise(-1).alias("n")))
-    start = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("n"))
-    # a few steps before all of them: an aggregate runs to its end
-    within = lambda steps: F.aggregate(F.sequence(F.lit(0), F.lit(min(steps, need))), start, step, lambda a: F.when(a["n"] > 0, a["n"]))
-    return F.coalesce(within(4 * UNROLLED), F.when(size(i + 4 * UNROLLED).isNotNull(), within(need)))
-
-
-def _hashed(i: Column, n: Column) -> Column:
-    """xxhash64 of h(i), ..., h(i + n - 1); no slice, which reads the whole array."""
-    few = F.xxhash64(F.get("h", i), *[F.when(n > j, F.get("h", i + j)) for j in range(1, UNROLLED)])
-    return F.when(n <= UNROLLED, few).otherwise(F.xxhash64(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("h", i + j))))
-
-
-def bloom(values: DataFrame, column: str):
-    """Function of a column: can its value be among ``values``?  A bit mask
-    by one aggregation, at most BLOOM_BITS / 64 rows of which reach the driver."""
-    bits = min(BLOOM_BITS, 1 << max(10, (8 * values.count()).bit_length()))
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    words = (values.select(at(F.col(column)).alias("i")).groupBy(F.shiftright("i", 6).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, i & 63)")).alias("b")).collect())
-    mask = [0] * (bits // 64)
-    for r in words:
-        mask[r["w"]] = r["b"]
-    # one literal: an array of longs, read by position
-    filled = F.from_json(F.lit(json.dumps(mask)), "array<bigint>")
-    return lambda c: F.getbit(F.get(filled, F.shiftright(at(c), 6)), at(c).bitwiseAND(F.lit(63))) == 1
-
-
-def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
-                  min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
-    """Per distinct document with text, by key k: (k, h, len, bare), its unit
-    hashes and lengths; and (k, runs) where it has later repeats: the runs
-    array<struct<first, last, chars>> of 0-based unit positions to delete."""
+    """The units of a text.  Marks are put in by plain replacements, which
+    take a tenth of the time of a pattern; a pattern is for rare texts."""
+    def marked(ends):
+        return reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + _MARK)), ends, text)
+
+    ascii_ends = ["\n", *(c + " " for c in STOPS)]
+    every = marked([*ascii_ends, *(c + " " for c in OTHER_STOPS)])
+    no_space = reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in _CJK])
+    cut = (F.when(F.octet_length(text) == F.length(text), F.split(marked(ascii_ends), _MARK))
+           .when(F.contains(text, F.lit(_MARK)), F.split(text, UNIT_END))
+           .when(no_space, F.split(F.regexp_replace(every, _NO_SPACE, "$0" + _MARK), _MARK))
+           .otherwise(F.split(every, _MARK)))
+    return F.array_remove(cut, "")
+
+
+def bare(units_of: Column) -> Column:
+    """Units without the white space around them; blank ones are empty."""
+    return F.transform(units_of, lambda u: F.btrim(u, F.lit(BLANKS)))
+
+
+# documents and places -----------------------------------------------------------------
+_ROW_BITS, _UNIT_BITS, _MAX_RANGES = 24, 24, (1 << 15) - 1
+_RANGE_ROWS = 4_000_000
+_NAME = ["__cf_id", "__cf_t1", "__cf_t2"]
+
+
+def _names(row_id: Column, text: Column) -> list[Column]:
+    return [row_id.alias(_NAME[0]), F.xxhash64(text).alias(_NAME[1]), F.xxhash64(F.lit(1), text).alias(_NAME[2])]
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in _NAME])
+
+
+def numbered(names: DataFrame) -> DataFrame:
+    """Distinct names with ``base``, a long that orders them and leaves room
+    for positions below, and ``copies``."""
+    spark = names.sparkSession
+    distinct = cut_lineage(names.groupBy(*_NAME).agg(F.count(F.lit(1)).alias("copies")))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // _RANGE_ROWS))
+    if ranges > _MAX_RANGES:
+        raise ValueError(f"{ranges} ranges of documents: more than {_MAX_RANGES}")
+    order = [F.col(_NAME[0]).asc_nulls_last(), *_NAME[1:]]
+    n = F.monotonically_increasing_id()           # range << 33 | row
+    base = F.shiftright(n, 33) * F.lit(1 << (_ROW_BITS + _UNIT_BITS)) + n.bitwiseAND(F.lit((1 << 33) - 1)) * F.lit(1 << _UNIT_BITS)
+    return cut_lineage(distinct.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("base", base))
+
+
+def _base(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(~((1 << _UNIT_BITS) - 1)))
+
+
+def _position(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << _UNIT_BITS) - 1)).cast("int")
+
+
+# windows ------------------------------------------------------------------------------
+_UNROLLED = 4            # units of a window read one by one: enough in prose, and small enough to be compiled
+
+
+def _windows(doc: DataFrame, need: int, step: int) -> DataFrame:
+    """(f, g, place, n): fingerprint, hash, first unit and length of the
+    windows from every unit on (step 1), and of those up to every unit (step
+    -1) that are not also windows of the first kind."""
+    unit = doc.select("base", "h", "bare", F.posexplode("h").alias("pos", "x"))
+    near = unit.select("base", "h", "bare", "pos", *[F.get(c, F.col("pos") + step * j).alias(f"{c}{j}") for c in ("bare", "h") for j in range(_UNROLLED)])
+    total, few, inner = F.col("bare0"), F.when(F.col("bare0") >= need, 1), F.when(F.col("bare0") >= need, 0)
+    for j in range(1, _UNROLLED):
+        total = total + F.col(f"bare{j}")
+        few, inner = few.when(total >= need, j + 1), inner.when(total >= need, total - F.col("bare0"))
+    near = near.withColumn("n", few)
+    short = near.where("n IS NOT NULL")
+    if step < 0:
+        short = short.where(inner >= need)
+    own = [F.col(f"h{j}") for j in range(_UNROLLED)]
+    hashed = [F.xxhash64(*own[:n][::step]) for n in range(1, _UNROLLED + 1)]
+    least = F.least(own[0], F.lit((1 << 63) - 1), *[F.when(F.col("n") > j, own[j]) for j in range(1, _UNROLLED)])
+    g = reduce(lambda c, n: c.when(F.col("n") == n, hashed[n - 1]), range(2, _UNROLLED), F.when(F.col("n") == 1, hashed[0])).otherwise(hashed[-1])
+    start = F.col("base") + F.col("pos") - (F.col("n") - 1 if step < 0 else 0)
+    short = short.select(least.alias("f"), g.alias("g"), start.alias("place"), "n")
+
+    # windows of more units: every unit holds a character, so ``need`` are enough
+    many = near.where(F.col("n").isNull() & F.col(f"bare{_UNROLLED - 1}").isNotNull()).select("base", "h", "bare", "pos")
+
+    def reached(most):
+        if step > 0:
+            ahead = F.slice("bare", F.col("pos") + 1, most)
+        else:
+            low = F.greatest(F.col("pos") - (most - 1), F.lit(0))
+            ahead = F.reverse(F.slice("bare", low + 1, F.col("pos") - low + 1))
+        add = lambda a, b: F.when(a["n"] >= 0, a).otherwise(F.struct(
+            (a["t"] + b).alias("t"), (a["i"] + 1).alias("i"), F.when(a["t"] + b >= need, a["i"] + 1).otherwise(-1).alias("n")))
+        zero = F.struct(F.lit(0).alias("t"), F.lit(0).alias("i"), F.lit(-1).alias("n"))
+        return F.aggregate(ahead, zero, add, lambda a: F.when(a["n"] > 0, a["n"]))
+
+    far = F.col("pos") + step * 4 * _UNROLLED
+    more = (far < F.size("bare")) & (far >= 0)
+    many = many.withColumn("n", F.coalesce(reached(4 * _UNROLLED), F.when(more, reached(need)))).where("n IS NOT NULL")
+    first = F.col("pos") if step > 0 else F.col("pos") - F.col("n") + 1
+    many = many.select("base", first.alias("first"), F.slice("h", first + 1, F.col("n")).alias("own"), F.slice("bare", first + 1, F.col("n")).alias("size"), "n")
+    if step < 0:
+        many = many.where(F.aggregate("size", F.lit(0), lambda a, b: a + b) - F.element_at("size", -1) >= need)
+    return short.unionByName(many.select(F.array_min("own").alias("f"), F.xxhash64("own").alias("g"), (F.col("base") + F.col("first")).alias("place"), "n"))
+
+
+def _selected(doc: DataFrame, need: int) -> DataFrame:
+    """(f): units that may be the least of a window."""
+    unit = doc.select("h", "bare", F.posexplode("h").alias("pos", "f"))
+    beside = lambda j: F.coalesce(F.col("f") <= F.get("h", F.col("pos") + j), F.lit(False))
+    return unit.where(beside(-1) | beside(1) | (F.get("bare", F.col("pos")) >= need)).select("f")
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+    """Per document with repeats, by its name: ``runs``, array<struct<s, e>>
+    of first and last positions (among units that are not blank) to delete."""
+    need = max(1, min_chars)
     body = F.col(f"`{text}`").cast("string")
-    doc = docs.select(doc_key(F.col(f"`{row_id}`"), body).alias("k"), body.alias("t")).where("t <> ''")
-    doc = cut_lineage(doc.select("k", described(F.col("t")).alias("u")).select(
-        "k", F.col("u.h").alias("h"), F.col("u.len").alias("len"), F.col("u.bare").alias("bare")))
-    # rows equal in id and text, mostly none, become one
-    again = cut_lineage(doc.groupBy("k").count().where("count > 1").select("k"))
-    if again.limit(1).count():
-        doc = cut_lineage(doc.join(again, "k", "left_anti").unionByName(doc.join(again, "k", "left_semi").dropDuplicates(["k"])))
-    widest = doc.agg(F.max(F.array_max(F.zip_with("len", "bare", lambda a, b: a - b)))).first()[0] or 0
-
-    # least n from every unit on: by the text as it stands, and for the widest and no white space
-    least = lambda size: F.transform("h", lambda x, i: _enough(size, i, min_chars))
-    # windows from i on that no unit can leave at one end: the shortest, and those
-    # that are too short without unit i (up to the end of the text, if that is near)
-    def most(n, i):
-        return F.greatest(F.get(n, i), F.coalesce(F.get(n, i + 1), F.size("h") - i))
-
-    def windows(low, high):
-        return F.flatten(F.filter(F.transform("h", lambda x, i: F.when(F.get(low, i).isNotNull(), F.transform(
-            F.sequence(F.get(low, i), most(high, i)),
-            lambda n: F.struct(_hashed(i, n).alias("g"), i.alias("pos"), n.alias("n"))))), lambda w: w.isNotNull()))
-
-    # explode of one struct: what it holds is computed once, however often it is used
-    once = lambda **c: F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()])))
-    place = (F.col("k") + F.col("m.pos")).cast(PLACE).alias("at")
-    places = doc.select("k", "h", once(low=least(lambda i: F.get("bare", i) + widest), high=least(lambda i: F.get("bare", i))).alias("c"))
-    firsts = (places.select("k", F.explode(windows("c.low", "c.high")).alias("m")).select(F.col("m.g").alias("g"), place)
-              .groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first"))
-    probes = doc.select("k", "h", once(own=least(lambda i: F.get("len", i))).alias("c")).select("k", F.explode(windows("c.own", "c.own")).alias("m"))
-    pos = F.pmod("at", F.lit(_TH).cast("decimal(9,0)")).cast("int")
-    found = probes.select(F.col("m.g").alias("g"), place, F.col("m.n").alias("n")).join(firsts, "g").where("first < at")
+    rows = docs.where(F.length(body) >= need).select(*_names(F.col(f"`{row_id}`"), body), body.alias("t"))
+    names = numbered(rows.select(*_NAME))
+    own = rows.select(*_NAME, F.array_remove(bare(units(F.col("t"))), "").alias("b"))
+    own = own.select(*_NAME, F.transform("b", lambda u: F.xxhash64(u)).alias("h"), F.transform("b", F.length).alias("bare"))
+    doc = own.join(names, _same(own, names)).select("base", "copies", "h", "bare")
+    doc = cut_lineage(doc)
+    if not names.where("copies > 1").isEmpty():                # rows equal in id and text become one
+        doc = cut_lineage(doc.where("copies = 1").unionByName(doc.where("copies > 1").dropDuplicates(["base"])))
+
+    twice = _selected(doc, need).groupBy("f").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("f")
+    every = _windows(doc, need, 1).unionByName(_windows(doc, need, -1))
+    window = cut_lineage(every.join(twice, "f", "left_semi"))
+    first = window.groupBy("f", "g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    found = window.join(first.select("f", "g", "first"), ["f", "g"]).where("first < place")
     # in order of their starts, and so of their ends
-    met = (found.select((F.col("at") - pos).cast(PLACE).alias("k"), F.struct(pos.alias("s"), (pos + F.col("n") - 1).alias("e")).alias("w"))
-           .groupBy("k").agg(F.array_sort(F.collect_list("w")).alias("w")).join(doc.select("k", "len"), "k")
-           .select("k", "len", once(w=F.col("w")).alias("c")).select("k", "len", "c.w"))
-    # unite those that overlap or touch, and measure the united runs
+    spans = F.array_sort(F.collect_list(F.struct(_position(F.col("place")).alias("s"), (_position(F.col("place")) + F.col("n") - 1).alias("e"))))
+    met = found.groupBy(_base(F.col("place")).alias("base")).agg(spans.alias("w"))
+    # unite those that overlap or touch
     apart = lambda a, b: a.isNull() | b.isNull() | (b["s"] > a["e"] + 1)
     opens = F.filter("w", lambda x, j: apart(F.get("w", j - 1), x))
     closes = F.filter("w", lambda x, j: apart(x, F.get("w", j + 1)))
-    chars_of = lambda s, e: F.aggregate(F.slice("len", s + 1, e - s + 1), F.lit(0).cast("bigint"), lambda a, n: a + n)
-    runs = met.select("k", F.zip_with(opens, closes, lambda a, b: F.struct(
-        a["s"].alias("first"), b["e"].alias("last"), chars_of(a["s"], b["e"]).alias("chars"))).alias("runs"))
-    return doc, cut_lineage(runs)
+    runs = met.select("base", F.zip_with(opens, closes, lambda a, b: F.struct(a["s"].alias("s"), b["e"].alias("e"))).alias("runs"))
+    return cut_lineage(runs.join(names, "base").select(*_NAME, "runs"))
+
+
+_RUNS = "array<struct<first:int,last:int,chars:bigint>>"
 
 
 def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text after deletion, plus n_deleted (units),
-    deleted_chars, runs and emptied (all of a non-empty text was deleted)."""
+    deleted_chars, runs (array<struct<first, last, chars>>: positions among
+    the units that are not blank, and characters) and emptied (all of a
+    non-empty text was deleted)."""
     added = ("n_deleted", "deleted_chars", "runs", "emptied")
     names = [c for c in docs.columns if c not in added]
-    doc, runs = repeated_runs(docs, text, row_id, min_chars)
+    runs = repeated_runs(docs, text, row_id, min_chars)
     body = F.col(f"`{text}`").cast("string")
-    key = doc_key(F.col(f"`{row_id}`"), body)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names)], body.alias("__cf_text"),
-                       key.alias("k"))
-    touched = F.coalesce(bloom(runs, "k")(F.col("k")), F.lit(False))
-    nothing = F.lit(None).cast("array<struct<first:int,last:int,chars:bigint>>")
-    rows = rows.where(touched).join(runs, "k", "left").unionByName(rows.where(~touched).withColumn("runs", nothing))
-    gone = F.filter(units(F.col("__cf_text")), lambda u, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    kept = F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(gone, ""))
-    count = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))
-    out = rows.select(
-        *[(kept if c == text else F.col(f"__cf_{i}")).alias(f"__cf_{i}") for i, c in enumerate(names)],
-        count(lambda r: r["last"] - r["first"] + 1).alias("n_deleted"), count(lambda r: r["chars"]).alias("deleted_chars"),
-        F.coalesce("runs", F.array().cast("array<struct<first:int,last:int,chars:bigint>>")).alias("runs"))
-    empty = F.btrim(F.col(f"__cf_{names.index(text)}"), F.lit(" \t\n\r")) == ""
-    return out.select(*[F.col(f"__cf_{i}").alias(c) for i, c in enumerate(names)], *added[:-1],
-                      ((F.size("runs") > 0) & F.coalesce(empty, F.lit(False))).alias("emptied"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names) if c != text], body.alias("__cf_text"),
+                       *_names(F.col(f"`{row_id}`"), body))
+    met = rows.join(runs, _same(rows, runs), "left").drop(*[runs[c] for c in _NAME], *[rows[c] for c in _NAME])
+    # cut again where something goes; ``at`` holds the units of the positions
+    met = met.withColumn("u", F.when(F.col("runs").isNotNull(), units(F.col("__cf_text"))))
+    met = met.withColumn("b", bare(F.col("u")))
+    every = F.sequence(F.lit(0), F.size("u") - 1)
+    met = met.withColumn("at", F.when(F.array_contains("b", ""), F.filter(every, lambda i: F.get("b", i) != "")).otherwise(every)).drop("b")
+    met = met.withColumn("cuts", F.transform("runs", lambda r: F.struct(F.get("at", r["s"]).alias("from"), (F.get("at", r["e"]) + 1).alias("to")))).drop("at")
+    joined = lambda a, b: F.array_join(F.slice("u", a + 1, b - a), "")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda j: joined(
+        F.when(j == 0, 0).otherwise(F.get("cuts", j - 1)["to"]), F.when(j == F.size("cuts"), F.size("u")).otherwise(F.get("cuts", j)["from"])))
+    met = met.withColumn("kept", F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(pieces, "")))
+    told = F.zip_with("runs", "cuts", lambda r, c: F.struct(r["s"].alias("first"), r["e"].alias("last"),
+                                                            F.length(joined(c["from"], c["to"])).cast("bigint").alias("chars")))
+    total = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))
+    return met.select(
+        *[F.col("kept" if c == text else f"__cf_{i}").alias(c) for i, c in enumerate(names)],
+        total(lambda r: (r["e"] - r["s"] + 1).cast("bigint")).alias("n_deleted"),
+        F.coalesce(F.length("__cf_text") - F.length("kept"), F.lit(0)).cast("bigint").alias("deleted_chars"),
+        F.coalesce(told, F.array().cast(_RUNS)).alias("runs"),
+        (F.col("runs").isNotNull() & F.coalesce(F.btrim("kept", F.lit(BLANKS)) == "", F.lit(False))).alias("emptied"))

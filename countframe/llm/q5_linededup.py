@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from countframe.llm import linededup
 from countframe.sources.tables import table
 
-ORACLE_SQL = None        # 64-bit hash order decides the fingerprints: tested against a brute-force version
+ORACLE_SQL = None        # every run against every earlier one: tested against a brute-force version
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

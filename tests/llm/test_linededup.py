@@ -1,4 +1,5 @@
 import regex
+from pyspark.sql import functions as F
 
 from countframe.llm import linededup as ld
 from tests.llm.helpers import docs_frame, hostile_rows
@@ -9,27 +10,31 @@ def units(text):
 
 
 def exact(rows, min_chars=ld.MIN_CHARS):
-    """Every run of units with min_chars characters that starts at an earlier
-    place as well, compared unit by unit: {id: remaining text}.  Ids are unique."""
-    docs = {i: units(t) for i, t in sorted(rows) if t}
-    bare = {i: [u.strip(" \t\n\r\x0b\x0c") for u in us] for i, us in docs.items()}
+    """Every run of units (blank ones aside) with min_chars characters that
+    starts at an earlier place as well, compared unit by unit: {id: remaining
+    text}.  Ids are unique."""
+    docs = {i: units(t) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])) if t}
+    full = {i: [p for p, u in enumerate(us) if u.strip(ld.BLANKS)] for i, us in docs.items()}
+    bare = {i: [docs[i][p].strip(ld.BLANKS) for p in at] for i, at in full.items()}
     at = {}
     for i, us in bare.items():
         for p, u in enumerate(us):
             at.setdefault(u, []).append((i, p))
-    out = {}
+    out, order = {}, {i: n for n, i in enumerate(docs)}
     for i, us in bare.items():
         gone = set()
         for p, u in enumerate(us):
             for f, q in at[u]:
-                if (f, q) >= (i, p):
+                if (order[f], q) >= (order[i], p):
                     break
                 n = 0
                 while p + n < len(us) and q + n < len(bare[f]) and us[p + n] == bare[f][q + n]:
                     n += 1
-                if sum(map(len, docs[i][p:p + n])) >= min_chars:
+                if sum(map(len, us[p:p + n])) >= min_chars:
                     gone.update(range(p, p + n))
-        out[i] = "".join(u for p, u in enumerate(docs[i]) if p not in gone)
+        # blank units inside a run go with it
+        lost = {full[i][p] for p in gone} | {x for p in gone if p + 1 in gone for x in range(full[i][p], full[i][p + 1])}
+        out[i] = "".join(u for x, u in enumerate(docs[i]) if x not in lost)
     return out
 
 
@@ -127,3 +132,37 @@ def test_indented_lines_and_other_full_stops(spark):
     assert got == exact(rows)
     assert [got[i] for i in (4, 5, 6, 7)] == [sentence(6204) + "\n", sentence(6205) + "\n", "戊己。「庚辛。」", sentence(6207) + "\n"]
     assert all("".join(units(t)) == t for _, t in rows)
+
+
+def test_units_of_all_scripts_and_of_marks(spark):
+    import random
+
+    draw = random.Random(8)
+    parts = ["a", "Bc d", ".", "!", "? ", ". ", "\n", "\n\n", "  ", "\t", "。", "。」", "！？", "？ ", "。\n", "。。」』", "… ", "। ", "।", "؟ ", "é", "中文", ".\n", ". \n x", "", "\r\n"]
+    texts = ["".join(draw.choice(parts[:k]) for _ in range(draw.randrange(1, 30))) for k in (6, 10, 24, 26) for _ in range(150)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", ld.units(F.col("t")).alias("u")).collect():
+        assert r.u == units(r.t)
+
+
+def test_ids_of_other_types_and_null_ids(spark):
+    body = "\n".join(sentence(7000 + k) for k in range(6))
+    rows = [("k2", sentence(7100) + "\n" + body), ("k10", sentence(7101) + "\n" + body), ("k1", "short"), ("k3", body[:150])]
+    frame = spark.createDataFrame(rows + [(None, body + "\nalone")], "doc_id string, text string")
+    got = {r.doc_id: r.text for r in ld.dedup(frame).collect()}
+    assert got == exact(rows + [(None, body + "\nalone")]) | {"k1": "short"}
+    assert got["k10"] == rows[1][1] and got["k2"] == rows[0][1][:len(sentence(7100)) + 1] and got[None] == "alone"
+    none = [f"{sentence(7200 + i)}\n{body}" for i in range(40)]
+    texts = sorted(r.text for r in ld.dedup(spark.createDataFrame([(None, t) for t in none], "doc_id int, text string")).collect())
+    assert sum(body in t for t in texts) == 1 and sorted(t.split("\n")[0] for t in texts) == sorted(t.split("\n")[0] for t in none)
+
+
+def test_hot_line_and_stretches_of_short_units(spark):
+    """A line in every document, and repeats made of many short units."""
+    hot = sentence(8000, 30)
+    rows = [(i, f"{sentence(8100 + i)}\n{hot}\n{sentence(8300 + i)}") for i in range(60)]
+    short = "".join(f"x{k % 23} y.\n" for k in range(70))
+    rows += [(100, short), (101, "Begin.\n" + short + "end"), (102, "\n  \n".join(short.split("\n")[5:60])), (103, "a. " * 90), (104, "b. " + "a. " * 61)]
+    got = deduped(spark, rows)
+    assert got == exact(rows) and all(hot not in got[i] for i in range(1, 60)) and hot in got[0]
+    assert got[101] == "Begin.\nend"
