@@ -9,16 +9,18 @@ they are (any type, any characters).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countframe.frame import UNKNOWN
 from countframe.functions.hashing import round_half_up, safe_div
+from countframe.operators import quantiles
+from countframe.session import cut_lineage
 
 _AGGS = {
     "mean": lambda c: F.avg(c),
-    "median": lambda c: F.median(c),
     "std": lambda c: F.stddev_samp(c),
     "min": lambda c: F.min(c),
     "max": lambda c: F.max(c),
@@ -29,30 +31,46 @@ _AGGS = {
 APPROX_ACCURACY = 10_000  # percentile sketch: relative rank error about 1e-4
 
 
-def _quantile(c, q: float, approx: bool):
-    """Exact percentile (a value -> count map per group, memory grows with
-    the distinct values of a group), or a bounded sketch when ``approx``."""
-    if approx:
-        return F.percentile_approx(c, q, APPROX_ACCURACY).cast("double")
-    return F.percentile(c, q)
+def _quantile(c, q: float):
+    """A bounded sketch of the percentile."""
+    return F.percentile_approx(c, q, APPROX_ACCURACY).cast("double")
+
+
+def _with_quantiles(table: DataFrame, df: DataFrame, by: list[str], metrics: Sequence[str], shares: Sequence[float],
+                    name, few: int) -> DataFrame:
+    """``table`` (one row per group) plus exact quantiles by ``name``(metric, share)."""
+    found = quantiles.exact_quantiles(df, by, metrics, shares, few)
+    cell = lambda m, s: F.max(F.when((F.col("metric") == m) & (F.col("share") == s), F.col("value"))).alias(name(m, s))
+    wide = found.groupBy(*by).agg(*[cell(m, s) for m in metrics for s in shares])
+    if not by:
+        table, wide = table.withColumn("__cf_one", F.lit(1)), wide.withColumn("__cf_one", F.lit(1))
+        return table.join(wide, "__cf_one", "left").drop("__cf_one")
+    wide = wide.select(*[F.col(b).alias(f"__cf_{i}") for i, b in enumerate(by)], *[F.col(name(m, s)) for m in metrics for s in shares])
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"__cf_{i}")) for i, b in enumerate(by)])
+    return table.join(wide, same, "left").drop(*[f"__cf_{i}" for i in range(len(by))])
 
 
 def summarize(df: DataFrame, by: str | Sequence[str], metrics: Sequence[str],
               aggs: Sequence[str] = ("mean", "median", "std"), digits: int | None = 1,
-              approx: bool = False) -> DataFrame:
+              approx: bool = False, few: int = quantiles.FEW) -> DataFrame:
     """A1/A2. ``groupBy(by)`` with <metric>_<agg> columns, rounded half-up.
     std is the sample standard deviation (NULL for a single row); median is
-    exact like the reference's, or a bounded sketch with ``approx``."""
+    exact like the reference's, found by distributed selection
+    (``quantiles``), or a bounded sketch with ``approx``."""
     by = [by] if isinstance(by, str) else list(by)
+    selected = "median" in aggs and not approx
     cols = []
     for m in metrics:
         for a in aggs:
-            if a == "median":
-                v = _quantile(F.col(m), 0.5, approx).cast("double")
-            else:
-                v = _AGGS[a](F.col(m)).cast("double")
-            cols.append((round_half_up(v, digits) if digits is not None else v).alias(f"{m}_{a}"))
-    return df.groupBy(*by).agg(*cols)
+            if a != "median":
+                cols.append(_AGGS[a](F.col(m)).cast("double").alias(f"{m}_{a}"))
+            elif approx:
+                cols.append(_quantile(F.col(m), 0.5).alias(f"{m}_{a}"))
+    table = df.groupBy(*by).agg(*(cols or [F.count(F.lit(1)).alias("__cf_n")]))
+    if selected:
+        table = _with_quantiles(table, df, by, metrics, [0.5], lambda m, s: f"{m}_median", few)
+    rounded = (lambda c: round_half_up(c, digits)) if digits is not None else F.col
+    return table.select(*by, *[rounded(f"{m}_{a}").alias(f"{m}_{a}") for m in metrics for a in aggs])
 
 
 def label_counts(obs: DataFrame, col: str = "label_masked") -> DataFrame:
@@ -93,7 +111,7 @@ QUANTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
 def distribution(df: DataFrame, metric: str | Sequence[str], by: str | Sequence[str] | None = None,
-                 digits: int = 6, approx: bool = False) -> DataFrame:
+                 digits: int = 6, approx: bool = False, few: int = quantiles.FEW) -> DataFrame:
     """A7/A8. Quantile summary (the data of a violin/box plot) of one or
     more metrics, optionally per group: (by..., metric, n, mean, q0..q100).
     Exact by default; ``approx`` uses the bounded percentile sketch."""
@@ -102,9 +120,16 @@ def distribution(df: DataFrame, metric: str | Sequence[str], by: str | Sequence[
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("_m"))
     long = long.select(*by, "_m.metric", "_m.v")
-    qcols = [round_half_up(_quantile(F.col("v"), q, approx), digits).alias(f"q{int(q * 100)}") for q in QUANTILES]
-    return long.groupBy(*by, "metric").agg(
-        F.count("v").alias("n"), round_half_up(F.avg("v"), digits).alias("mean"), *qcols)
+    if not approx:
+        long = cut_lineage(long)
+    name = lambda q: f"q{int(q * 100)}"
+    sketched = [_quantile(F.col("v"), q).alias(name(q)) for q in QUANTILES] if approx else []
+    table = long.groupBy(*by, "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), *sketched)
+    if not approx:
+        keyed = long.withColumnRenamed("metric", "__cf_metric")
+        table = _with_quantiles(table.withColumnRenamed("metric", "__cf_metric"), keyed, [*by, "__cf_metric"], ["v"], QUANTILES, lambda m, s: name(s), few)
+        table = table.withColumnRenamed("__cf_metric", "metric")
+    return table.select(*by, "metric", "n", *[round_half_up(c, digits).alias(c) for c in ("mean", *map(name, QUANTILES))])
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 20, by: str | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import round_half_up
-from countframe.operators import embed, features, hvg, normalize, sampling
+from countframe.operators import embed, features, hvg, normalize, sampling, sparsepca
 from countframe.plans.catalog import query
 from countframe.frame import CountFrame
 from countframe.plans.q_preprocess import (
@@ -142,3 +143,33 @@ def nb_residuals_unseen_batch_q(spark, sf):
     totals = embed.nb_batch_totals(ref, axis, "batch")
     vecs = embed.nb_residual_vectors(CountFrame(qry.x, qobs), axis, "batch", batch_totals=totals, n_train=ref.obs.count())
     return normalize.vectors_to_long(vecs, axis).withColumn("value", round_half_up("value"))
+
+
+# D1 on long triples ---------------------------------------------------------------
+def f4_sparse(spark, sf, n_top: int = N_TOP_DOCS):
+    """The same features as ``f4_features`` as long triples: (log-normalised
+    entries on the axis, axis, cells, statistics)."""
+    f4 = fixtures.materialize(fixtures.document_tokens(spark, sf))
+    norm = normalize.normalize_total(f4)
+    axis = hvg_axis(hvg.highly_variable(norm.x, norm.obs, n_top))
+    sel = cut_lineage(features.select_genes(normalize.log1p(norm).x, axis))
+    stats = cut_lineage(normalize.gene_stats(sel, normalize.n_cells_of(f4.obs)))
+    return sel, axis, f4.obs, stats
+
+
+@query("pca_sparse_scores")
+def pca_sparse_scores_q(spark, sf):
+    res = sparsepca.pca_sparse(*f4_sparse(spark, sf), 50)
+    return _long(res.latent).withColumn("score", round_half_up("score"))
+
+
+@query("pca_sparse_check", """
+SELECT CAST(50 AS INTEGER) AS k, TRUE AS angle_below_a_thousandth, TRUE AS shares_equal, TRUE AS orthonormal""")
+def pca_sparse_check_q(spark, sf):
+    """Components of the long triples against those of the dense vectors."""
+    dense = embed.pca(f4_features(spark, sf)[0], 50)
+    sparse = sparsepca.pca_sparse(*f4_sparse(spark, sf), 50)
+    u = sparse.components
+    row = (50, sparsepca.subspace_angle(dense.components, u) < 1e-3, bool(np.abs(dense.explained_ratio - sparse.explained_ratio).max() < 1e-6),
+           bool(np.abs(u.T @ u - np.eye(u.shape[1])).max() < 1e-9))
+    return spark.createDataFrame([row], "k int, angle_below_a_thousandth boolean, shares_equal boolean, orthonormal boolean")
