@@ -1,12 +1,12 @@
 """Line dedup by winnowing (operator 5), DataFrame functions only.
 
 A text is cut into units: lines, and sentences inside a line, in scripts with
-other full stops too (joining all units gives the text back; the indentation
-of a line belongs to its unit).  Units are compared without the white space
-around them; blank ones do not count.  A run of units with at least
-``min_chars`` characters that also starts at an earlier place (by document,
-then position; in any document, or in the same one) is a repeat and deleted,
-with blank units inside it; the first occurrence of every run stays.
+other full stops too; short ones come in groups that depend on their content
+(``with_units``).  Joining all units gives the text back.  Units are compared
+without the white space around lines and sentences.  A run of units with at
+least ``min_chars`` characters that also starts at an earlier place (by
+document, then position; in any document, or in the same one) is a repeat and
+deleted; the first occurrence of every run stays.
 
 1.  Windows are the shortest runs of at least ``min_chars`` characters from
     every unit on, and up to every unit.  A run of that many characters, where
@@ -59,11 +59,12 @@ _NO_SPACE = rf"[{_CJK}](?: |[{_CLOSERS}]?(?=[^\s{_CJK}{_CLOSERS}]))"
 UNIT_END = rf"(?<=\n)|(?<=[{STOPS}{OTHER_STOPS}{_CJK}] )|(?<=[{_CJK}]|[{_CJK}][{_CLOSERS}])(?=[^\s{_CJK}{_CLOSERS}])"
 _MARK = "\ue000"         # private use: a text that holds it is cut by UNIT_END itself
 BLANKS = " \t\n\r\x0b\x0c"
+SHORT, AHEAD = 24, 7     # pieces of fewer characters are grouped, about eight to a unit
 
 
-def units(text: Column) -> Column:
-    """The units of a text.  Marks are put in by plain replacements, which
-    take a tenth of the time of a pattern; a pattern is for rare texts."""
+def pieces(text: Column) -> Column:
+    """The text cut after every end.  Marks are put in by plain replacements,
+    which take a tenth of the time of a pattern; a pattern is for rare texts."""
     def marked(ends):
         return reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + _MARK)), ends, text)
 
@@ -77,9 +78,30 @@ def units(text: Column) -> Column:
     return F.array_remove(cut, "")
 
 
-def bare(units_of: Column) -> Column:
-    """Units without the white space around them; blank ones are empty."""
-    return F.transform(units_of, lambda u: F.btrim(u, F.lit(BLANKS)))
+def with_units(frame: DataFrame, text: str) -> DataFrame:
+    """``frame`` plus u, the units of column ``text``, and b, what is compared
+    of them: their pieces without white space around, joined by a space.
+
+    A piece ends a unit if it or the next one has ``SHORT`` characters, or if
+    its hash is not larger than those of the next ``AHEAD`` pieces; the last
+    one does.  So short lines and sentences come in groups that depend on
+    their content only, as in content-defined chunking, and long ones are
+    units; blank ones go to the next unit."""
+    cut = frame.withColumn("__p", pieces(F.col(text))).withColumn("__t", F.transform("__p", lambda u: F.btrim(u, F.lit(BLANKS))))
+    cut = cut.withColumn("__h", F.when(F.exists("__t", lambda x: F.length(x) < SHORT), F.transform("__t", lambda x: F.xxhash64(x))))
+    place = F.sequence(F.lit(0), F.size("__p") - 1)
+    long = lambda i: F.coalesce(F.length(F.get("__t", i)) >= SHORT, F.lit(True))
+    least = lambda i: F.get("__h", i) <= F.array_min(F.slice("__h", i + 2, AHEAD))
+    ends = F.filter(place, lambda i: long(i) | (i == F.size("__p") - 1) | ((F.get("__t", i) != "") & (long(i + 1) | least(i))))
+    cut = cut.withColumn("__e", F.when(F.col("__h").isNotNull(), ends))
+
+    def group(column, join):
+        start = lambda j: F.when(j == 0, 0).otherwise(F.get("__e", j - 1) + 1)
+        return F.transform("__e", lambda e, j: join(F.slice(column, start(j) + 1, e - start(j) + 1)))
+
+    cut = cut.withColumn("u", F.when(F.col("__e").isNull(), F.col("__p")).otherwise(group("__p", lambda x: F.array_join(x, ""))))
+    cut = cut.withColumn("b", F.when(F.col("__e").isNull(), F.col("__t")).otherwise(group("__t", lambda x: F.array_join(F.array_remove(x, ""), " "))))
+    return cut.drop("__p", "__t", "__h", "__e")
 
 
 # documents and places -----------------------------------------------------------------
@@ -143,28 +165,43 @@ def _windows(doc: DataFrame, need: int, step: int) -> DataFrame:
     start = F.col("base") + F.col("pos") - (F.col("n") - 1 if step < 0 else 0)
     short = short.select(least.alias("f"), g.alias("g"), start.alias("place"), "n")
 
-    # windows of more units: every unit holds a character, so ``need`` are enough
-    many = near.where(F.col("n").isNull() & F.col(f"bare{_UNROLLED - 1}").isNotNull()).select("base", "h", "bare", "pos")
+    # Windows of more units, made inside the arrays: a lambda behind the generator
+    # would copy a document's arrays for each of its units.
+    long = doc.select("base", F.explode(F.filter(F.transform("h", lambda x, i: _long_window(i, need, step)), lambda w: w.isNotNull())).alias("w"))
+    return short.unionByName(long.select("w.f", "w.g", (F.col("base") + F.col("w.first")).alias("place"), "w.n"))
+
+
+def _long_window(i: Column, need: int, step: int) -> Column:
+    """struct<f, g, first, n> of the window from unit i on (up to it) if it
+    has more than _UNROLLED units; null otherwise."""
+    # characters and units so far are one number, which costs a tenth of a struct;
+    # every unit holds a character, so ``need`` are enough
+    one, full = F.lit(1 << _UNIT_BITS).cast("bigint"), F.lit(need << _UNIT_BITS).cast("bigint")
 
     def reached(most):
         if step > 0:
-            ahead = F.slice("bare", F.col("pos") + 1, most)
+            ahead = F.slice("bare", i + 1, most)
         else:
-            low = F.greatest(F.col("pos") - (most - 1), F.lit(0))
-            ahead = F.reverse(F.slice("bare", low + 1, F.col("pos") - low + 1))
-        add = lambda a, b: F.when(a["n"] >= 0, a).otherwise(F.struct(
-            (a["t"] + b).alias("t"), (a["i"] + 1).alias("i"), F.when(a["t"] + b >= need, a["i"] + 1).otherwise(-1).alias("n")))
-        zero = F.struct(F.lit(0).alias("t"), F.lit(0).alias("i"), F.lit(-1).alias("n"))
-        return F.aggregate(ahead, zero, add, lambda a: F.when(a["n"] > 0, a["n"]))
-
-    far = F.col("pos") + step * 4 * _UNROLLED
+            low = F.greatest(i - (most - 1), F.lit(0))
+            ahead = F.reverse(F.slice("bare", low + 1, i - low + 1))
+        return F.aggregate(ahead, F.lit(0).cast("bigint"), lambda a, b: F.when(a < full, a + b * one + 1).otherwise(a), lambda a: F.when(a >= full, a))
+
+    def bound(value, use):               # ``use`` of a value that is computed once
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def made(total):
+        n = _position(total)
+        first = i if step > 0 else i - n + 1
+        ends_right = F.lit(True) if step > 0 else F.shiftright(total, _UNIT_BITS) - F.get("bare", i) >= need
+        window = bound(F.slice("h", first + 1, n), lambda own: F.struct(
+            F.array_min(own).alias("f"), F.xxhash64(own).alias("g"), first.alias("first"), n.alias("n")))
+        return F.when(total.isNotNull() & ends_right, window)
+
+    few = reduce(Column.__add__, [F.get("bare", i + step * j) for j in range(_UNROLLED)])
+    far = i + step * 4 * _UNROLLED
     more = (far < F.size("bare")) & (far >= 0)
-    many = many.withColumn("n", F.coalesce(reached(4 * _UNROLLED), F.when(more, reached(need)))).where("n IS NOT NULL")
-    first = F.col("pos") if step > 0 else F.col("pos") - F.col("n") + 1
-    many = many.select("base", first.alias("first"), F.slice("h", first + 1, F.col("n")).alias("own"), F.slice("bare", first + 1, F.col("n")).alias("size"), "n")
-    if step < 0:
-        many = many.where(F.aggregate("size", F.lit(0), lambda a, b: a + b) - F.element_at("size", -1) >= need)
-    return short.unionByName(many.select(F.array_min("own").alias("f"), F.xxhash64("own").alias("g"), (F.col("base") + F.col("first")).alias("place"), "n"))
+    # null at the end of the text: no window of that many units
+    return F.when(few < need, bound(F.coalesce(reached(4 * _UNROLLED), F.when(more, reached(need))), made))
 
 
 def _selected(doc: DataFrame, need: int) -> DataFrame:
@@ -176,12 +213,12 @@ def _selected(doc: DataFrame, need: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """Per document with repeats, by its name: ``runs``, array<struct<s, e>>
-    of first and last positions (among units that are not blank) to delete."""
+    of first and last positions of units to delete."""
     need = max(1, min_chars)
     body = F.col(f"`{text}`").cast("string")
     rows = docs.where(F.length(body) >= need).select(*_names(F.col(f"`{row_id}`"), body), body.alias("t"))
     names = numbered(rows.select(*_NAME))
-    own = rows.select(*_NAME, F.array_remove(bare(units(F.col("t"))), "").alias("b"))
+    own = with_units(rows, "t").select(*_NAME, F.array_remove("b", "").alias("b"))          # only a last unit can be blank
     own = own.select(*_NAME, F.transform("b", lambda u: F.xxhash64(u)).alias("h"), F.transform("b", F.length).alias("bare"))
     doc = own.join(names, _same(own, names)).select("base", "copies", "h", "bare")
     doc = cut_lineage(doc)
@@ -209,9 +246,8 @@ _RUNS = "array<struct<first:int,last:int,chars:bigint>>"
 
 def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text after deletion, plus n_deleted (units),
-    deleted_chars, runs (array<struct<first, last, chars>>: positions among
-    the units that are not blank, and characters) and emptied (all of a
-    non-empty text was deleted)."""
+    deleted_chars, runs (array<struct<first, last, chars>>: positions of
+    units, and characters) and emptied (all of a non-empty text was deleted)."""
     added = ("n_deleted", "deleted_chars", "runs", "emptied")
     names = [c for c in docs.columns if c not in added]
     runs = repeated_runs(docs, text, row_id, min_chars)
@@ -219,18 +255,13 @@ def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__cf_{i}") for i, c in enumerate(names) if c != text], body.alias("__cf_text"),
                        *_names(F.col(f"`{row_id}`"), body))
     met = rows.join(runs, _same(rows, runs), "left").drop(*[runs[c] for c in _NAME], *[rows[c] for c in _NAME])
-    # cut again where something goes; ``at`` holds the units of the positions
-    met = met.withColumn("u", F.when(F.col("runs").isNotNull(), units(F.col("__cf_text"))))
-    met = met.withColumn("b", bare(F.col("u")))
-    every = F.sequence(F.lit(0), F.size("u") - 1)
-    met = met.withColumn("at", F.when(F.array_contains("b", ""), F.filter(every, lambda i: F.get("b", i) != "")).otherwise(every)).drop("b")
-    met = met.withColumn("cuts", F.transform("runs", lambda r: F.struct(F.get("at", r["s"]).alias("from"), (F.get("at", r["e"]) + 1).alias("to")))).drop("at")
+    # cut again where something goes
+    met = with_units(met.withColumn("__cf_cut", F.when(F.col("runs").isNotNull(), F.col("__cf_text"))), "__cf_cut").drop("b")
     joined = lambda a, b: F.array_join(F.slice("u", a + 1, b - a), "")
-    pieces = F.transform(F.sequence(F.lit(0), F.size("cuts")), lambda j: joined(
-        F.when(j == 0, 0).otherwise(F.get("cuts", j - 1)["to"]), F.when(j == F.size("cuts"), F.size("u")).otherwise(F.get("cuts", j)["from"])))
-    met = met.withColumn("kept", F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(pieces, "")))
-    told = F.zip_with("runs", "cuts", lambda r, c: F.struct(r["s"].alias("first"), r["e"].alias("last"),
-                                                            F.length(joined(c["from"], c["to"])).cast("bigint").alias("chars")))
+    left = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: joined(
+        F.when(j == 0, 0).otherwise(F.get("runs", j - 1)["e"] + 1), F.when(j == F.size("runs"), F.size("u")).otherwise(F.get("runs", j)["s"])))
+    met = met.withColumn("kept", F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(left, "")))
+    told = F.transform("runs", lambda r: F.struct(r["s"].alias("first"), r["e"].alias("last"), F.length(joined(r["s"], r["e"] + 1)).cast("bigint").alias("chars")))
     total = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))
     return met.select(
         *[F.col("kept" if c == text else f"__cf_{i}").alias(c) for i, c in enumerate(names)],
