@@ -204,6 +204,13 @@ def _long_window(i: Column, need: int, step: int) -> Column:
     return F.when(few < need, bound(F.coalesce(reached(4 * _UNROLLED), F.when(more, reached(need))), made))
 
 
+def _once(frame: DataFrame, *values: Column) -> DataFrame:
+    """``frame`` with more columns that are computed once, however often they
+    are used: a generator is not merged with what follows."""
+    made = frame.select("*", F.explode(F.array(F.struct(*values))).alias("__cf_v"))
+    return made.select(*frame.columns, "__cf_v.*")
+
+
 def _selected(doc: DataFrame, need: int) -> DataFrame:
     """(f): units that may be the least of a window."""
     unit = doc.select("h", "bare", F.posexplode("h").alias("pos", "f"))
@@ -260,12 +267,13 @@ def dedup(docs: DataFrame, text: str = "text", row_id: str = "doc_id", min_chars
     joined = lambda a, b: F.array_join(F.slice("u", a + 1, b - a), "")
     left = F.transform(F.sequence(F.lit(0), F.size("runs")), lambda j: joined(
         F.when(j == 0, 0).otherwise(F.get("runs", j - 1)["e"] + 1), F.when(j == F.size("runs"), F.size("u")).otherwise(F.get("runs", j)["s"])))
-    met = met.withColumn("kept", F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(left, "")))
+    kept = F.when(F.col("runs").isNull(), F.col("__cf_text")).otherwise(F.array_join(left, ""))
     told = F.transform("runs", lambda r: F.struct(r["s"].alias("first"), r["e"].alias("last"), F.length(joined(r["s"], r["e"] + 1)).cast("bigint").alias("chars")))
-    total = lambda f: F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + f(r)), F.lit(0).cast("bigint"))
-    return met.select(
-        *[F.col("kept" if c == text else f"__cf_{i}").alias(c) for i, c in enumerate(names)],
-        total(lambda r: (r["e"] - r["s"] + 1).cast("bigint")).alias("n_deleted"),
+    units_gone = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + (r["e"] - r["s"] + 1).cast("bigint"))
+    # a filter on the result must not be pushed into all this
+    done = _once(met, kept.alias("kept"), F.coalesce(told, F.array().cast(_RUNS)).alias("told"), F.coalesce(units_gone, F.lit(0).cast("bigint")).alias("units_gone"))
+    empty = F.coalesce(F.btrim("kept", F.lit(BLANKS)) == "", F.lit(False))
+    return done.select(
+        *[F.col("kept" if c == text else f"__cf_{i}").alias(c) for i, c in enumerate(names)], F.col("units_gone").alias("n_deleted"),
         F.coalesce(F.length("__cf_text") - F.length("kept"), F.lit(0)).cast("bigint").alias("deleted_chars"),
-        F.coalesce(told, F.array().cast(_RUNS)).alias("runs"),
-        (F.col("runs").isNotNull() & F.coalesce(F.btrim("kept", F.lit(BLANKS)) == "", F.lit(False))).alias("emptied"))
+        F.col("told").alias("runs"), ((F.size("told") > 0) & empty).alias("emptied"))
