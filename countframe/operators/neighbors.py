@@ -23,6 +23,8 @@ similarity join would emit every pair inside a hash bucket.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -176,3 +178,38 @@ def knn_predict(probs: DataFrame, digits: int = 9) -> DataFrame:
     pr = round_half_up("p", digits)
     return probs.groupBy("query_id").agg(F.min_by("label", F.struct(-pr, F.col("label"))).alias("pred"),
                                          F.max("p").alias("p"))
+
+
+BISECTIONS = 40
+WIDEST = 32.0            # times a row's largest distance: there the weights sum to more than log2(k) + 1
+NARROWEST = 1e-3         # times a row's mean distance
+
+
+def connectivities(graph: DataFrame, k: int = K, src: str = "src", dst: str = "dst", dist: str = "dist") -> DataFrame:
+    """K3. Weights of a kNN graph, both directions of every pair: (src, dst, w).
+
+    Per row a weight falls off with the distance beyond the nearest neighbour
+    that is not at distance 0, w = exp(-max(0, dist - nearest) / width); the
+    width makes the row's weights sum to log2(k), found by ``BISECTIONS``
+    halvings.  The two directions are united like chances, w + w' - w w'.
+    Everything is per row (its k edges as one array) but for one aggregation
+    by pair."""
+    row = graph.groupBy(src).agg(F.array_sort(F.collect_list(F.struct(F.col(dist).alias("d"), F.col(dst).alias("t")))).alias("e"))
+    row = row.withColumn("d", F.transform("e", lambda e: e["d"]))
+    row = row.withColumn("near", F.coalesce(F.array_min(F.filter("d", lambda d: d > 0)), F.lit(0.0)))
+    mean = F.aggregate("d", F.lit(0.0), lambda a, d: a + d) / F.size("d")
+    target = F.lit(math.log2(k))
+    weight = lambda d, width: F.when(d <= F.col("near"), F.lit(1.0)).otherwise(F.exp(-(d - F.col("near")) / width))
+    total = lambda width: F.aggregate("d", F.lit(0.0), lambda a, d: a + weight(d, width))
+    half = lambda a: (a["lo"] + a["hi"]) / 2
+    start = F.struct(F.lit(0.0).alias("lo"), (F.array_max("d") * WIDEST).alias("hi"))
+    step = lambda a, i: F.when(total(half(a)) > target, F.struct(a["lo"].alias("lo"), half(a).alias("hi"))).otherwise(
+        F.struct(half(a).alias("lo"), a["hi"].alias("hi")))
+    width = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, step, half)
+    row = row.withColumn("width", F.greatest(width, mean * NARROWEST))
+    # all at distance 0: no width is needed
+    one = row.select(src, "near", "width", F.explode("e").alias("e")).select(
+        F.col(src).alias("src"), F.col("e.t").alias("dst"), weight(F.col("e.d"), F.col("width")).alias("w"))
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    united = F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.max("w") * F.min("w")).otherwise(0.0)
+    return both.groupBy("src", "dst").agg(united.alias("w"))

@@ -8,7 +8,7 @@ and distance, never by position.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +37,8 @@ def fit_knn_space(ref: CountFrame, axis: DataFrame, label: str, n_pcs: int = 50)
     vecs = cut_lineage(normalize.scale_vectors(sel, axis, rlog.obs, stats))
     res = embed.pca(vecs, min(n_pcs, axis.count()))
     lab = ref.obs.where(F.col(label).isNotNull() & (F.col(label) != UNKNOWN)).select("cell_id", F.col(label).alias("label"))
-    train_latent = res.latent.join(lab, "cell_id")
+    # written once: the kNN join counts, measures and reads it
+    train_latent = cut_lineage(res.latent.join(lab, "cell_id"))
     return KnnSpace(axis, stats, res, train_latent)
 
 
@@ -80,6 +81,7 @@ def map_query_latent(ae: embed.PcaResult, train_latent: DataFrame, axis: DataFra
     """T3. Aligned query rows through the (linear) encoder, then kNN on the
     training embedding."""
     qlat = embed.project_vectors(query_vectors_on_axis(qry, axis, stats), ae.components, ae.mean)
+    train_latent = cut_lineage(train_latent.select("cell_id", "vec", "label"))
     nn = neighbors.knn_join(qlat, train_latent, k)
     pr = neighbors.knn_predict(neighbors.knn_predict_proba(nn, train_latent))
     return pr.select(F.col("query_id").alias("cell_id"), "pred", "p")
@@ -99,7 +101,8 @@ def fit_nb_space(ref: CountFrame, axis: DataFrame, batch: str = "batch", n_laten
     totals = cut_lineage(embed.nb_batch_totals(ref, axis, batch))
     n_train = ref.obs.count()
     rvec = cut_lineage(embed.nb_residual_vectors(ref, axis, batch, batch_totals=totals, n_train=n_train))
-    return NbSpace(totals, n_train, embed.pca(rvec, n_latent))
+    res = embed.pca(rvec, n_latent)
+    return NbSpace(totals, n_train, replace(res, latent=cut_lineage(res.latent)))
 
 
 def map_query_semisup(space: NbSpace, ref_probs: DataFrame, qry: CountFrame, axis: DataFrame,

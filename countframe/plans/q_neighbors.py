@@ -142,3 +142,25 @@ def knn_ivf_recall_q(spark, sf):
     got = knnindex.recall(near, neighbors.knn_join(v, v, 15, exclude_self=True))
     return got.select(F.lit(15).alias("k"), (F.col("wanted") / 15).cast("bigint").alias("queries"), "wanted",
                       (F.col("hit") >= 0.9 * F.col("wanted")).alias("recall_at_least_90_percent"))
+
+
+# K3 connectivities -----------------------------------------------------------------
+@query("knn_connectivities", SCORE_GRAPH_SQL + f""",
+cr AS (
+  SELECT src, list(dist ORDER BY dist, dst) AS d, coalesce(min(dist) FILTER (WHERE dist > 0), 0.0) AS near, max(dist) AS top, avg(dist) AS mean
+  FROM sg GROUP BY src),
+cw AS (
+  SELECT src, near, mean, list_reduce(
+           list_transform(range(0, {neighbors.BISECTIONS + 1}), lambda i: {{'lo': 0.0::DOUBLE, 'hi': top * {neighbors.WIDEST}::DOUBLE}}),
+           lambda a, b: CASE WHEN list_sum(list_transform(d, lambda x: CASE WHEN x <= near THEN 1.0 ELSE exp(-(x - near) / ((a.lo + a.hi) / 2)) END)) > log2(15.0)
+                        THEN {{'lo': a.lo, 'hi': (a.lo + a.hi) / 2}} ELSE {{'lo': (a.lo + a.hi) / 2, 'hi': a.hi}} END) AS r
+  FROM cr),
+cx AS (SELECT src, near, greatest((r.lo + r.hi) / 2, mean * {neighbors.NARROWEST}::DOUBLE) AS width FROM cw),
+ce AS (SELECT sg.src, sg.dst, CASE WHEN dist <= near THEN 1.0 ELSE exp(-(dist - near) / width) END AS w FROM sg JOIN cx ON sg.src = cx.src)
+SELECT src, dst, {rnd('sum(w) - CASE WHEN count(*) > 1 THEN max(w) * min(w) ELSE 0.0 END')} AS w
+FROM (SELECT src, dst, w FROM ce UNION ALL SELECT dst, src, w FROM ce) GROUP BY src, dst""")
+def knn_connectivities_q(spark, sf):
+    """Weights of the kNN graph of all cells in the space of the scores."""
+    v = score_vectors(spark, sf)
+    graph = neighbors.neighbors(v, 15)
+    return neighbors.connectivities(graph, 15).withColumn("w", round_half_up("w"))
