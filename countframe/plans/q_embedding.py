@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from countframe.functions.hashing import round_half_up
-from countframe.operators import embed, features, hvg, normalize, sampling, sparsepca
+from countframe.operators import dispersion, embed, features, hvg, normalize, sampling, sparsepca
 from countframe.plans.catalog import query
 from countframe.frame import CountFrame
 from countframe.plans.q_preprocess import (
@@ -173,3 +173,31 @@ def pca_sparse_check_q(spark, sf):
     row = (50, sparsepca.subspace_angle(dense.components, u) < 1e-3, bool(np.abs(dense.explained_ratio - sparse.explained_ratio).max() < 1e-6),
            bool(np.abs(u.T @ u - np.eye(u.shape[1])).max() < 1e-9))
     return spark.createDataFrame([row], "k int, angle_below_a_thousandth boolean, shares_equal boolean, orthonormal boolean")
+
+
+# A dispersion per gene ------------------------------------------------------------
+@query("nb_dispersion_start", F1_HVG + f""",
+dt AS (SELECT o.cell_id, o.batch, CAST(sum(n) AS DOUBLE) AS t FROM f1_obs o JOIN f1_x x ON o.cell_id = x.cell_id GROUP BY 1, 2 HAVING sum(n) > 0),
+db AS (SELECT batch, sum(t) AS t FROM dt GROUP BY 1),
+dp AS (
+  SELECT x.gene_id, dt.batch, CAST(sum(n) AS DOUBLE) / any_value(db.t) AS p FROM f1_x x JOIN f1_axis a ON x.gene_id = a.gene_id
+  JOIN dt ON x.cell_id = dt.cell_id JOIN db ON dt.batch = db.batch GROUP BY 1, 2),
+dm AS (
+  SELECT dp.gene_id, dt.t * dp.p AS mu, CAST(coalesce(x.n, 0) AS DOUBLE) AS y
+  FROM dp JOIN dt ON dp.batch = dt.batch LEFT JOIN f1_x x ON x.cell_id = dt.cell_id AND x.gene_id = dp.gene_id),
+ds AS (SELECT gene_id, sum(mu * mu) AS mm, sum((y - mu) * (y - mu)) - sum(mu) AS over FROM dm GROUP BY 1)
+SELECT a.gene_id, {rnd(f'coalesce(CASE WHEN over > 0 THEN greatest(least(mm / over, {dispersion.MAX_THETA!r}), {dispersion.MIN_THETA!r}) END, {dispersion.MAX_THETA!r})', 4)} AS theta
+FROM f1_axis a LEFT JOIN ds ON a.gene_id = ds.gene_id""")
+def nb_dispersion_start_q(spark, sf):
+    f1 = f1_base(spark, sf, materialize=True)
+    return dispersion.dispersion_start(f1, hvg_axis(f1_hvg(spark, sf, f1))).withColumn("theta", round_half_up("theta", 4))
+
+
+@query("nb_dispersion", F1_HVG + """
+SELECT gene_id, TRUE AS in_bounds, TRUE AS not_below_start, TRUE AS rising FROM f1_axis""")
+def nb_dispersion_q(spark, sf):
+    """The fitted dispersions' invariants; ``dispersion.nb_dispersion`` gives the values."""
+    f1 = f1_base(spark, sf, materialize=True)
+    found = dispersion.nb_dispersion(f1, hvg_axis(f1_hvg(spark, sf, f1)))
+    return found.select("gene_id", F.col("theta").between(dispersion.MIN_THETA, dispersion.MAX_THETA).alias("in_bounds"),
+                        (F.col("gain") >= 0).alias("not_below_start"), "rising")
