@@ -6,11 +6,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from countframe.functions.hashing import round_half_up
-from countframe.operators import models, neighbors, sampling, semisup
+from countframe.functions.hashing import hash16, round_half_up
+from countframe.operators import mixture, models, neighbors, sampling, semisup
 from countframe.plans.catalog import query
 from countframe.plans.q_embedding import f4_features
-from countframe.plans.sqlbits import F3, F4, exact_k, rnd, with_
+from countframe.plans.sqlbits import F1, F3, F4, exact_k, h, rnd, with_
 from countframe.session import cut_lineage
 from countframe.sources import fixtures
 
@@ -116,3 +116,43 @@ ON b.cell_id = f3.cell_id AND b.r = 1""")
 def annotate_hard_q(spark, sf):
     ann = semisup.annotate(*f3_propagation(spark, sf))
     return ann.withColumn("confidence", round_half_up("confidence"))
+
+
+# M7: semi-supervised mixture ---------------------------------------------------------
+SEED_SALT, SEED_CUT = 17, 45_875         # about 70 % of the cells keep their label
+
+
+def _seeds(cf):
+    return cf.obs.where(hash16(F.col("cell_id"), SEED_SALT) < SEED_CUT).select("cell_id", "label")
+
+
+@query("em_annotate", with_(F1) + f""",
+seed AS (SELECT cell_id, label FROM f1_obs WHERE {h('cell_id', SEED_SALT)} < {SEED_CUT} AND label IS NOT NULL),
+g AS (SELECT count(DISTINCT gene_id) AS n FROM f1_x),
+cls AS (SELECT label, count(*) AS w FROM seed GROUP BY 1),
+cnt AS (SELECT s.label, x.gene_id, CAST(sum(x.n) AS DOUBLE) AS c FROM f1_x x JOIN seed s ON x.cell_id = s.cell_id GROUP BY 1, 2),
+sz AS (SELECT cls.label, w / (SELECT sum(w) FROM cls) AS share, coalesce(t, 0.0) + (SELECT n FROM g) AS size
+       FROM cls LEFT JOIN (SELECT label, sum(c) AS t FROM cnt GROUP BY 1) t ON cls.label = t.label),
+free AS (SELECT o.cell_id, coalesce(t, 0.0) AS t FROM f1_obs o LEFT JOIN (SELECT cell_id, CAST(sum(n) AS DOUBLE) AS t FROM f1_x GROUP BY 1) q ON o.cell_id = q.cell_id
+         WHERE o.cell_id NOT IN (SELECT cell_id FROM seed)),
+seen AS (SELECT x.cell_id, c.label, sum(x.n * ln(c.c + 1.0)) AS s FROM f1_x x JOIN cnt c ON x.gene_id = c.gene_id GROUP BY 1, 2),
+score AS (SELECT f.cell_id, sz.label, ln(share) - f.t * ln(size) + coalesce(s, 0.0) AS v
+          FROM free f CROSS JOIN sz LEFT JOIN seen ON seen.cell_id = f.cell_id AND seen.label = sz.label),
+soft AS (SELECT cell_id, label, exp(v - max(v) OVER (PARTITION BY cell_id)) AS e FROM score),
+p AS (SELECT cell_id, label, e / sum(e) OVER (PARTITION BY cell_id) AS p FROM soft)
+SELECT cell_id, label, {rnd('p')} AS p FROM p WHERE p >= 1e-6 UNION ALL SELECT cell_id, label, 1.0 FROM seed""")
+def em_annotate_q(spark, sf):
+    """One round from the labelled cells (responsibilities of 1e-6 and more)."""
+    cf = fixtures.materialize(fixtures.customer_products(spark, sf))
+    found = mixture.em_annotate(cf, _seeds(cf), 1, sparse=0.0).probs
+    return found.where("p >= 1e-6").withColumn("p", round_half_up("p"))
+
+
+@query("em_objective", """
+SELECT unnest(range(1, 5)) AS round, TRUE AS not_lower""")
+def em_objective_q(spark, sf):
+    """No round of expectation-maximisation lowers the objective."""
+    cf = fixtures.materialize(fixtures.customer_products(spark, sf))
+    values = mixture.em_annotate(cf, _seeds(cf), 4, sparse=0.0).objective
+    steps = [(i + 1, i == 0 or v >= values[i - 1] - 1e-6) for i, v in enumerate(values)]
+    return spark.createDataFrame(steps, "round long, not_lower boolean")
