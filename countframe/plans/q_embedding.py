@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from countframe.functions.hashing import round_half_up
-from countframe.operators import dispersion, embed, features, hvg, normalize, sampling, sparsepca
+from countframe.functions.hashing import hash16, round_half_up
+from countframe.operators import dispersion, embed, features, hvg, moments, normalize, sampling, sparsepca
 from countframe.plans.catalog import query
 from countframe.frame import CountFrame
 from countframe.plans.q_preprocess import (
@@ -201,3 +201,21 @@ def nb_dispersion_q(spark, sf):
     found = dispersion.nb_dispersion(f1, hvg_axis(f1_hvg(spark, sf, f1)))
     return found.select("gene_id", F.col("theta").between(dispersion.MIN_THETA, dispersion.MAX_THETA).alias("in_bounds"),
                         (F.col("gain") >= 0).alias("not_below_start"), "rising")
+
+
+# T1 without a rescan: mergeable moments --------------------------------------------------
+@query("merged_moments", F1_HVG + f""",
+mv AS (SELECT l.cell_id, a.gene_idx, l.value FROM f1_log l JOIN f1_axis a ON l.gene_id = a.gene_id),
+mn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM f1_obs),
+ms AS (SELECT gene_idx, sum(value) AS s FROM mv GROUP BY 1),
+mg AS (SELECT a.gene_idx AS i, b.gene_idx AS j, sum(a.value * b.value) AS g FROM mv a JOIN mv b ON a.cell_id = b.cell_id AND a.gene_idx <= b.gene_idx GROUP BY 1, 2)
+SELECT a.gene_idx AS i, b.gene_idx AS j, {rnd('(coalesce(g, 0.0) - a.s * b.s / n) / (n - 1)')} AS cov
+FROM ms a JOIN ms b ON a.gene_idx <= b.gene_idx CROSS JOIN mn LEFT JOIN mg ON mg.i = a.gene_idx AND mg.j = b.gene_idx""")
+def merged_moments_q(spark, sf):
+    """Covariances from two halves' states, each from its own scan."""
+    f1 = f1_base(spark, sf, materialize=True)
+    axis = hvg_axis(f1_hvg(spark, sf, f1))
+    log = f1_log(spark, sf, f1)
+    first = hash16(F.col("cell_id"), 5) < 32_768
+    halves = [moments.moments(log.x.where(c), axis, log.obs.where(c)) for c in (first, ~first)]
+    return moments.covariance(cut_lineage(moments.merge(*halves))).withColumn("cov", round_half_up("cov"))
