@@ -35,6 +35,7 @@ def load_all() -> None:
     from countframe.plans import (  # noqa: F401
         q_embedding,
         q_evaluation,
+        q_invariants,
         q_mapping,
         q_models,
         q_neighbors,
