@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countframe.frame import CountFrame
+from countframe.session import cut_lineage
 
 X_REQUIRED = {"cell_id", "gene_id"}
 
@@ -113,13 +114,18 @@ def _exists(path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+REPORT_ROWS = 1_000_000
+
+
 def write_report(tables: dict[str, DataFrame], out_dir: str, fmt: str = "parquet") -> list[str]:
     """S5. Write the table behind each figure.  Report tables are small
-    aggregates, so each is written as a single file."""
+    aggregates, written as a single file each; one that turns out larger gets
+    a file per ``REPORT_ROWS`` rows, so no task holds a large table."""
     written = []
     for name, df in tables.items():
         path = f"{out_dir.rstrip('/')}/{name}"
-        writer = df.coalesce(1).write.mode("overwrite")
+        df = cut_lineage(df)                     # counted and written from one run
+        writer = df.coalesce(max(1, -(-df.count() // REPORT_ROWS))).write.mode("overwrite")
         if fmt == "csv":
             writer.option("header", "true").csv(path)
         else:

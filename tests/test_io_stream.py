@@ -78,6 +78,41 @@ def test_counts_stream_scores_with_frozen_model(spark, tmpdir_path):
         assert np.allclose(out[c], batch[c], atol=1e-8)
 
 
+def test_cells_in_pieces_equal_the_batch(spark, tmpdir_path):
+    """Every cell comes in three batches, one row too late."""
+    import time
+
+    rng = np.random.default_rng(4)
+    rows = [(c, f"g{g}", int(rng.integers(1, 9))) for c in range(25) for g in range(7) if rng.random() < 0.8]
+    x = spark.createDataFrame(rows, scoring.COUNTS_SCHEMA)
+    from countframe.frame import CountFrame
+
+    cells = x.select("cell_id").distinct()
+    cf = normalize.log1p(normalize.normalize_total(CountFrame(x, cells)))
+    axis = features.index_genes(x.select("gene_id").distinct())
+    stats = normalize.gene_stats(cf.x, cells.count())
+    pca = embed.pca(normalize.scale_vectors(cf.x, axis, cells, stats), 2)
+    src = f"{tmpdir_path}/pieces"
+
+    def arrive(part, minute):
+        at = spark.createDataFrame([(*r, f"2024-01-01 10:{minute:02}:00") for r in part], "cell_id long, gene_id string, n long, at string")
+        at.selectExpr("cell_id", "gene_id", "n", "cast(at AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)                              # files are read in the order of their times
+
+    for k in range(3):
+        arrive([(c, g, n) for c, g, n in rows if k == int(g[1]) % 3 and n == 1] +
+               [(c, g, n - 2 if k == 0 else 1) for c, g, n in rows if n > 2] + [(c, g, 1) for c, g, n in rows if n == 2 and k < 2], k)
+    for minute in (50, 51):                          # moves the watermark past all cells; it counts from the next batch on
+        arrive([(-1, "g0", 1)], minute)
+    arrive([(3, "g1", 1000)], 1)                     # too late
+    stream = spark.readStream.schema(scoring.PIECES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    scoring.score_pieces_stream(stream, axis, stats, pca, f"{tmpdir_path}/out", f"{tmpdir_path}/ck", trigger_once=True).awaitTermination(180)
+    out = [(r.cell_id, r.vec) for r in spark.read.parquet(f"{tmpdir_path}/out").where("cell_id >= 0").collect()]
+    batch = {r.cell_id: r.vec for r in pca.latent.collect()}
+    assert sorted(c for c, _ in out) == sorted(batch)            # each once
+    assert all(np.allclose(v, batch[c], atol=1e-8) for c, v in out)
+
+
 def test_project_stream_memory_sink(spark, tmpdir_path):
     vec = spark.createDataFrame([(i, [float(i), 1.0, -float(i)]) for i in range(10)], "cell_id long, vec array<double>")
     pca = embed.pca(vec, 1)
