@@ -39,9 +39,10 @@ def _met(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -
 
 def ranked(rows: DataFrame, group: list[str], ranks: DataFrame, first_cuts: Sequence[float], few: int = FEW) -> DataFrame:
     """(group..., rank, value): the values at 0-based ``ranks`` (group...,
-    rank) among the non-null ``v`` of each group of ``rows``."""
+    rank) among the non-null ``v`` of each group of ``rows``, which are read
+    several times."""
     cell = [*group, "path"]
-    rows = cut_lineage(rows.select(*group, F.lit("").alias("path"), "v"))
+    rows = rows.select(*group, F.lit("").alias("path"), "v")
     size = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
     sizes = rows.groupBy(*cell).agg(*size)
     want = cut_lineage(_met(ranks.select(*group, "rank", F.col("rank").alias("r")), sizes, group))
