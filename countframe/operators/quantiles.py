@@ -82,8 +82,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], metrics: Sequence[str], sh
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")
     rows = df.select(*[F.col(b).alias(g) for b, g in zip(by, group)], each).select(*group[:-1], "m.metric", "m.v").where("v IS NOT NULL")
     rows = cut_lineage(rows)
-    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     share = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    if largest <= few:                           # nothing to search: every group is sorted as it is
+        sizes = rows.groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("all")).withColumn("n", F.size("all"))
+        place = sizes.select(*group, "all", "n", share).withColumn("at", (F.col("n") - 1) * F.col("share"))
+        value = lambda rank: F.get("all", rank.cast("int"))
+        both = place.select(*group, "share", "at", F.floor("at").alias("low"), F.ceil("at").alias("high"),
+                            value(F.floor("at")).alias("a"), value(F.ceil("at")).alias("b"))
+        return _interpolated(both, by, group)
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     place = cut_lineage(n.select(*group, "n", share).withColumn("at", (F.col("n") - 1) * F.col("share"))
                         .select(*group, "share", "at", F.floor("at").alias("low"), F.ceil("at").alias("high")))
     ranks = place.select(*group, F.explode(F.array("low", "high")).alias("rank")).distinct()
@@ -91,6 +99,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], metrics: Sequence[str], sh
     value = cut_lineage(ranked(rows, group, ranks, inner, few))
     low = _met(place, value.withColumnRenamed("rank", "low").withColumnRenamed("value", "a"), [*group, "low"])
     both = _met(low, value.withColumnRenamed("rank", "high").withColumnRenamed("value", "b"), [*group, "high"])
+    return _interpolated(both, by, group)
+
+
+def _interpolated(both: DataFrame, by: list[str], group: list[str]) -> DataFrame:
     mixed = F.when((F.col("low") == F.col("high")) | (F.col("a") == F.col("b")), F.col("a")).otherwise(
         (F.col("high") - F.col("at")) * F.col("a") + (F.col("at") - F.col("low")) * F.col("b"))
     return both.select(*[F.col(g).alias(b) for g, b in zip(group, by)], "metric", "share", mixed.alias("value"))
