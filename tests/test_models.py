@@ -153,3 +153,25 @@ def test_long_form_projection_equals_vector_projection(spark):
         for c in range(62):
             for k in range(3):
                 assert abs(long[(c, k)] - vec[c][k]) < 1e-9
+
+
+def test_dense_rows_covariance_and_scaling_of_entries(spark):
+    """Entries become dense rows by scattering: absent and NULL values are 0,
+    scaled alike; no stage of it looks up a map per feature."""
+    from countframe.operators import features, normalize
+
+    x = spark.createDataFrame([(1, "a", 2.0), (1, "c", 4.0), (2, "b", None), (3, "c", 1.0)], "cell_id long, gene_id string, value double")
+    axis = features.index_genes(spark.createDataFrame([("a",), ("b",), ("c",)], "gene_id string"))
+    cells = spark.createDataFrame([(1,), (2,), (3,), (3,), (9,)], "cell_id long")
+    want = {1: [2.0, 0.0, 4.0], 2: [0.0] * 3, 3: [0.0, 0.0, 1.0], 9: [0.0] * 3}
+    got = features.to_vectors(x, axis, cells)
+    assert sorted((r.cell_id, r.vec) for r in got.collect()) == sorted((i, want[i]) for i in (1, 2, 3, 3, 9))
+    assert {r.cell_id: r.vec for r in features.to_vectors(x, axis, cells, fill=F.lit(7.0)).collect()}[9] == [7.0] * 3
+    assert "element_at" not in got._jdf.queryExecution().toString()
+    rows = features.cell_entries(x, axis, cells)
+    scaled = np.array([r.vec for r in features.dense_vectors(rows, 3, normalize.entry_scaling(rows, 3)).orderBy("cell_id").collect()])
+    X = np.array([want[i] for i in (1, 2, 3, 3, 9)])
+    sd = X.std(axis=0, ddof=1)
+    assert np.allclose(scaled, (X - X.mean(0)) / np.where(sd > 0, sd, 1))
+    mean, cov = embed.mean_covariance(got)
+    assert np.allclose(mean, X.mean(0)) and np.allclose(cov, np.cov(X, rowvar=False))
