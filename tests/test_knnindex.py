@@ -82,3 +82,33 @@ def test_a_list_with_half_of_all_rows_is_split(spark):
         assert index.meetings.met == 8 * n
         work[n] = index.meetings.row_pairs
     assert work[2400] < 1.5 * 4 * work[600]              # in proportion to the rows, not their square
+
+
+def test_a_query_is_sent_once_per_group_and_pieces_are_bounded(spark, monkeypatch):
+    """Copies of queries are counted in groups of blocks, not in blocks; groups,
+    slices and pieces of any size give the same rows."""
+    from countframe.operators import neighbors as nb
+
+    rows = clustered(500)
+    t = frame(spark, rows)
+    index = ki.PivotIndex.build(t, 10, block_rows=8)
+    want = exact(rows, rows, 10, exclude_self=True)
+    sent = []
+    kept = ki.cut_lineage
+    monkeypatch.setattr(ki, "cut_lineage", lambda df: sent.append(kept(df)) or sent[-1])
+    assert found(index.search(t, 10, exclude_self=True)) == want
+    met = [d for d in sent if "grp" in d.columns]
+    assert len(index.size) > 20 and sum(d.count() for d in met) <= 2 * len(rows) < index.meetings.met
+    monkeypatch.setattr(ki, "GROUP_ROWS", 50)
+    monkeypatch.setattr(ki, "SLICE_ROWS", 64)
+    assert found(index.search(t, 10, exclude_self=True)) == want
+    x, ids = np.array(list(rows.values())), np.array(list(rows))
+    whole = nb.nearest(x, ids, x, ids, 10, True)
+    monkeypatch.setattr(nb, "Q_STEP", 7)
+    monkeypatch.setattr(nb, "T_STEP", 11)
+    small = nb.nearest(x, ids, x, ids, 10, True)
+    assert all((a == b).all() for a, b in zip(whole, small))
+    same = np.zeros((3000, 4))
+    row, col, dist = nb.nearest(same, np.arange(3000), same, np.arange(3000), 3, False)
+    assert (col.reshape(-1, 3) == [0, 1, 2]).all() and not dist.any()
+    assert found(nb.knn_join(t, t, 10, exclude_self=True, broadcast_bytes=0)) == want == found(nb.knn_join(t, t, 10, exclude_self=True))
