@@ -175,3 +175,23 @@ def test_dense_rows_covariance_and_scaling_of_entries(spark):
     assert np.allclose(scaled, (X - X.mean(0)) / np.where(sd > 0, sd, 1))
     mean, cov = embed.mean_covariance(got)
     assert np.allclose(mean, X.mean(0)) and np.allclose(cov, np.cov(X, rowvar=False))
+
+
+def test_network_gradient_and_scores_are_mllibs(spark, data):
+    """The gradient is that of the loss, training comes as low as MLlib's, and
+    the model's chances are the network's."""
+    X, y, df = data
+    net = models.Network(df, [12, 7, 3], "label_idx")
+    w = net.initial_weights(3)
+    value, grad = net.loss(w)
+    step = np.random.default_rng(1).normal(size=len(w)) * 1e-5
+    assert abs((net.loss(w + step)[0] - net.loss(w - step)[0]) / 2 - grad @ step) < 1e-9
+    tr = df.withColumn("features", array_to_vector("vec")).withColumn("label", F.col("label_idx").cast("double"))
+    mllib = MultilayerPerceptronClassifier(layers=[12, 7, 3], maxIter=15, seed=3).fit(tr)
+    got, low = models.minimise(net.loss, w, 15)
+    assert low < value and low <= net.loss(mllib.weights.toArray())[0] * 1.25
+    model = net.model(got)
+    assert np.allclose(model.weights.toArray(), got)
+    p = np.array([r[0] for r in model.transform(tr).orderBy("cell_id").select(vector_to_array("probability")).collect()])
+    assert np.allclose(p, models.forward(models.unpack(got, [12, 7, 3]), X)[-1], atol=1e-9)
+    assert abs(net.judge(got, df)[0] - models.log_loss(model, df)) < 1e-9
