@@ -10,11 +10,13 @@ exact in closed form: attr_i = x_i * W[c, i].
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegressionModel, MultilayerPerceptronClassificationModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from countframe.operators.embed import _matrices
+from countframe.operators.features import list_of
 from countframe.session import ship_library
 
 STEPS = 50
@@ -45,22 +47,25 @@ def mlp_logits(layers, X: np.ndarray) -> np.ndarray:
     return h
 
 
-def _mlp_grad(layers, X: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """d logit[target] / dX for every row."""
-    acts, h = [X], X
-    for i, (W, b) in enumerate(layers):
-        z = h @ W + b
-        h = z if i == len(layers) - 1 else 1.0 / (1.0 + np.exp(-z))
-        acts.append(h)
-    g = np.zeros_like(acts[-1])
-    g[np.arange(len(X)), target] = 1.0
-    for i in range(len(layers) - 1, -1, -1):
-        W, _ = layers[i]
-        if i != len(layers) - 1:
-            a = acts[i + 1]
-            g = g * a * (1.0 - a)
-        g = g @ W.T
-    return g
+def _mlp_path_grad(layers, X: np.ndarray, target: np.ndarray, steps: int) -> np.ndarray:
+    """Mean of d logit[target] / dX at the midpoints of ``steps`` pieces of the
+    way from 0 to X, for every row.  The first layer is linear in X and in the
+    gradient behind it: its two products are made once, not once a step."""
+    (W0, b0), rest = layers[0], layers[1:]
+    first, behind = X @ W0, 0.0
+    for s in range(steps):
+        z = (s + 0.5) / steps * first + b0
+        acts = [z if not rest else 1.0 / (1.0 + np.exp(-z))]
+        for i, (W, b) in enumerate(rest):
+            z = acts[-1] @ W + b
+            acts.append(z if i == len(rest) - 1 else 1.0 / (1.0 + np.exp(-z)))
+        g = np.zeros_like(acts[-1])
+        g[np.arange(len(X)), target] = 1.0
+        for i in range(len(rest) - 1, -1, -1):
+            a = acts[i]
+            g = (g @ rest[i][0].T) * a * (1.0 - a)
+        behind = behind + g
+    return (behind / steps) @ W0.T
 
 
 def integrated_gradients(model, df: DataFrame, target: str = "target", vec: str = "vec",
@@ -78,33 +83,25 @@ def integrated_gradients(model, df: DataFrame, target: str = "target", vec: str
     else:
         raise TypeError(f"unsupported model {type(model).__name__}")
     bc = spark.sparkContext.broadcast((kind, params))
+    rows = df.select(F.col(key).cast("long").alias(key), F.col(vec).alias("vec"), F.col(target).cast("int").alias(target))
 
     def fn(batches):
         kind_, p = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            t = pdf[target].to_numpy().astype(np.int64)
+        for X, some in _matrices(batches, "vec"):
+            t = some.column(target).to_numpy().astype(np.int64)
             if kind_ == "linear":
                 W, b = p
                 attr = X * W[t]
                 fx = np.einsum("ij,ij->i", X, W[t]) + b[t]
                 f0 = b[t]
             else:
-                grads = np.zeros_like(X)
-                for s in range(steps):
-                    alpha = (s + 0.5) / steps
-                    grads += _mlp_grad(p, alpha * X, t)
-                attr = X * grads / steps
+                attr = X * _mlp_path_grad(p, X, t, steps)
                 fx = mlp_logits(p, X)[np.arange(len(X)), t]
                 f0 = mlp_logits(p, np.zeros((1, X.shape[1])))[0, t]
             gap = attr.sum(axis=1) - (fx - f0)
-            yield pd.DataFrame({key: pdf[key].to_numpy(), target: t.astype(np.int32),
-                                "attr": list(attr), "gap": gap})
+            yield pa.RecordBatch.from_arrays([some.column(key), some.column(target), list_of(attr), pa.array(gap)], [key, target, "attr", "gap"])
 
-    return df.select(key, vec, target).mapInPandas(
-        fn, f"{key} long, {target} int, attr array<double>, gap double")
+    return rows.mapInArrow(fn, f"{key} long, {target} int, attr array<double>, gap double")
 
 
 def mean_attribution(attrs: DataFrame, by: list[str] | None = None, attr: str = "attr") -> DataFrame:

@@ -195,3 +195,17 @@ def test_network_gradient_and_scores_are_mllibs(spark, data):
     p = np.array([r[0] for r in model.transform(tr).orderBy("cell_id").select(vector_to_array("probability")).collect()])
     assert np.allclose(p, models.forward(models.unpack(got, [12, 7, 3]), X)[-1], atol=1e-9)
     assert abs(net.judge(got, df)[0] - models.log_loss(model, df)) < 1e-9
+
+
+def test_path_gradient_is_the_mean_of_gradients():
+    draw = np.random.default_rng(4)
+    layers = [(draw.normal(size=(a, b)), draw.normal(size=b)) for a, b in ((6, 5), (5, 4), (4, 3))]
+    X, t, logit = draw.normal(size=(3, 6)), np.array([0, 2, 1]), lambda x, c: explain.mlp_logits(layers, x[None])[0, c]
+    got = explain._mlp_path_grad(layers, X, t, 7)
+    for r in range(3):
+        for j in range(6):
+            e = np.eye(6)[j] * 1e-6
+            want = np.mean([(logit((s + 0.5) / 7 * X[r] + e, t[r]) - logit((s + 0.5) / 7 * X[r] - e, t[r])) / 2e-6 for s in range(7)])
+            assert abs(got[r, j] - want) < 1e-6
+    one = layers[:1]
+    assert np.allclose(explain._mlp_path_grad(one, X, t, 5), one[0][0].T[t])
