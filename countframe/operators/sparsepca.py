@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countframe.operators.embed import PcaResult, _fix_signs
+from countframe.operators.features import scatter
+from countframe.operators.normalize import entry_scaling
 from countframe.session import cut_lineage, ship_library
 
 MAX_AXIS = 100_000
@@ -38,8 +40,10 @@ SEED = 42
 class SparseRows:
     """D by cell, with what its implicit parts need."""
 
-    def __init__(self, rows: DataFrame, axis_size: int, n: int, centre: np.ndarray, total_variance: float, base: np.ndarray):
+    def __init__(self, rows: DataFrame, axis_size: int, n: int, centre: np.ndarray, total_variance: float, base: np.ndarray,
+                 scaling: tuple | None = None):
         self.rows, self.g, self.n, self.centre, self.total_variance, self.base = rows, axis_size, n, centre, total_variance, base
+        self.scaling = scaling
 
     @classmethod
     def of(cls, x: DataFrame, axis: DataFrame, cells: DataFrame, stats: DataFrame, max_value: float = 10.0) -> "SparseRows":
@@ -58,29 +62,52 @@ class SparseRows:
             "cell_id", "idx", (clip((F.col("value") - F.col("mean")) / F.col("sd")) - F.col("z0")).alias("d"))
         rows = cut_lineage(entry.groupBy("cell_id").agg(F.collect_list(F.struct("idx", "d")).alias("e"))
                            .select("cell_id", F.col("e.idx").alias("idx"), F.col("e.d").alias("d")))
-        n = cells.count()
-        sums = (rows.select(F.explode(F.arrays_zip("idx", "d")).alias("e")).groupBy(F.col("e.idx").alias("idx"))
-                .agg(F.sum("e.d").alias("s"), F.sum(F.col("e.d") * F.col("e.d")).alias("q")).toArrow())
-        s, q, base = np.zeros(g), np.zeros(g), np.zeros(g)
-        s[sums["idx"].to_numpy()], q[sums["idx"].to_numpy()] = sums["s"].to_numpy(), sums["q"].to_numpy()
         z0 = scaled.select("idx", "z0").toArrow()
+        base = np.zeros(g)
         base[z0["idx"].to_numpy()] = z0["z0"].to_numpy()
+        return cls._summed(rows, g, cells.count(), base)
+
+    @classmethod
+    def of_entries(cls, rows: DataFrame, g: int, n: int, scaling: tuple) -> "SparseRows":
+        """``rows`` (cell_id, entries MAP<gene_idx, value>), written; ``n`` cells,
+        ``scaling`` = (means, stds, max_value) by index.  Nothing is shuffled by
+        cell nor written again: values are scaled in every pass."""
+        mu, sd, top = np.asarray(scaling[0], float), np.asarray(scaling[1], float), scaling[2]
+        base = np.clip(-mu / sd, -top, top)
+        return cls._summed(rows.select("cell_id", "entries"), g, n, base, (mu, sd, top))
+
+    @classmethod
+    def _summed(cls, rows, g, n, base, scaling=None):
+        if scaling is None:
+            entry = rows.select(F.explode(F.arrays_zip("idx", "d")).alias("e")).select(F.col("e.idx").alias("idx"), F.col("e.d").alias("d"))
+        else:
+            mu, sd, top = scaling
+            at = lambda x: F.get(F.lit(x.tolist()), F.col("idx"))
+            z = F.greatest(F.least((F.col("v") - at(mu)) / at(sd), F.lit(top)), F.lit(-top))
+            entry = rows.select(F.explode("entries").alias("idx", "v")).select("idx", (z - at(base)).alias("d"))
+        sums = (entry.groupBy("idx").agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q")).toArrow())
+        s, q = np.zeros(g), np.zeros(g)
+        s[sums["idx"].to_numpy()], q[sums["idx"].to_numpy()] = sums["s"].to_numpy(), sums["q"].to_numpy()
         centre = s / max(n, 1)
-        return cls(rows, g, n, centre, float((q - n * centre ** 2).sum() / max(n - 1, 1)), base)
+        return cls(rows, g, n, centre, float((q - n * centre ** 2).sum() / max(n - 1, 1)), base, scaling)
 
     def covariance_times(self, block: np.ndarray) -> np.ndarray:
         """Covariance times a block of columns: one pass."""
         g, width = block.shape
-        shared = self.rows.sparkSession.sparkContext.broadcast(block)
+        spark = self.rows.sparkSession
+        shared = spark.sparkContext.broadcast((block, self.scaling, self.base))
 
         def multiply(batches):
             out = np.zeros((g, width))
-            for piece, _ in _pieces(batches, g):
-                out += piece.T @ (piece @ shared.value)
+            q, scaling, base = shared.value
+            for piece, _ in _pieces(batches, g, scaling, base):
+                out += piece.T @ (piece @ q)
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.ravel()[at])], ["at", "s"])
 
-        sums = self.rows.select("cell_id", "idx", "d").mapInArrow(multiply, "at bigint, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+        # two sums a slot at most, whatever the number of splits
+        few = self.rows.coalesce(max(1, 2 * spark.sparkContext.defaultParallelism))
+        sums = few.mapInArrow(multiply, "at bigint, s double").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
         out = np.zeros(g * width)
         out[sums["at"].to_numpy()] = sums["s"].to_numpy()
         shared.unpersist()
@@ -91,25 +118,32 @@ class SparseRows:
         spark = cells.sparkSession
         k, g = components.shape[1], self.g
         away = self.centre @ components
-        shared = spark.sparkContext.broadcast((components, away))
+        shared = spark.sparkContext.broadcast((components, away, self.scaling, self.base))
 
         def project(batches):
-            w, off = shared.value
-            for piece, ids in _pieces(batches, g):
+            w, off, scaling, base = shared.value
+            for piece, ids in _pieces(batches, g, scaling, base):
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"cell_id": ids, "vec": list(piece @ w - off)}),
                                                  pa.schema([("cell_id", pa.int64()), ("vec", pa.list_(pa.float64()))]), preserve_index=False)
 
-        found = self.rows.select(F.col("cell_id").cast("long"), "idx", "d").mapInArrow(project, "cell_id long, vec array<double>")
+        found = self.rows.withColumn("cell_id", F.col("cell_id").cast("long")).mapInArrow(project, "cell_id long, vec array<double>")
         none = F.array(*[F.lit(float(-away[i])) for i in range(k)])
         return cells.select("cell_id").join(found, "cell_id", "left").select("cell_id", F.coalesce("vec", none).alias("vec"))
 
 
-def _pieces(batches, g: int):
-    """(dense rows, ids) of Arrow batches, at most PIECE numbers at a time."""
+def _pieces(batches, g: int, scaling=None, base=None):
+    """(dense rows, ids) of Arrow batches, at most PIECE numbers at a time;
+    ``scaling``, ``base``: of rows that hold raw entries."""
     most = max(1, PIECE // max(g, 1))
     for batch in batches:
         for at in range(0, batch.num_rows, most):
             some = batch.slice(at, most)
+            if scaling is not None:
+                mu, sd, top = scaling
+                row, idx, v, piece = scatter(some.column("entries"), g, 0.0)
+                piece[row, idx] = np.clip((v - mu[idx]) / sd[idx], -top, top) - base[idx]
+                yield piece, some.column("cell_id").to_numpy(zero_copy_only=False)
+                continue
             idx, d = some.column("idx"), some.column("d")
             size = np.diff(idx.offsets.to_numpy())
             piece = np.zeros((some.num_rows, g))
@@ -150,7 +184,18 @@ def pca_sparse(x: DataFrame, axis: DataFrame, cells: DataFrame, stats: DataFrame
     dense vectors, up to ``principal``'s tolerance.  ``mean`` is that of the
     scaled values."""
     ship_library(x.sparkSession)
-    sparse = SparseRows.of(x, axis, cells, stats, max_value)
+    return _principal(SparseRows.of(x, axis, cells, stats, max_value), cells, k)
+
+
+def pca_sparse_entries(rows: DataFrame, g: int, cells: DataFrame, k: int = 50) -> PcaResult:
+    """D1 on entries by cell (``features.cell_entries``, written): statistics
+    over all ``cells``, then as ``pca_sparse``."""
+    ship_library(rows.sparkSession)
+    n = cells.count()
+    return _principal(SparseRows.of_entries(rows, g, n, entry_scaling(rows, g, n=n)), cells, k)
+
+
+def _principal(sparse: SparseRows, cells: DataFrame, k: int) -> PcaResult:
     value, vector, _ = principal(sparse.covariance_times, sparse.g, min(k, sparse.g))
     components, _ = _fix_signs(vector)
     share = value / sparse.total_variance if sparse.total_variance > 0 else np.zeros_like(value)

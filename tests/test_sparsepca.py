@@ -45,3 +45,21 @@ def test_lanczos_needs_few_passes_where_eigenvalues_are_close():
     assert np.allclose(value, spectrum[:20]) and sp.subspace_angle(q[:, :20], vector) < 1e-5 and passes < 15
     value, vector, _ = sp.principal(lambda b: np.zeros_like(b), 30, 4)
     assert not value.any() and vector.shape == (30, 4)
+
+
+def test_entries_give_the_components_of_the_triples(spark):
+    from countframe.operators import features, normalize
+
+    rng = np.random.default_rng(6)
+    x = [(c, f"g{g}", float(rng.integers(1, 9))) for c in range(80) for g in range(12) if rng.random() < 0.3]
+    x = spark.createDataFrame(x, "cell_id long, gene_id string, value double").repartition(40)
+    cells = spark.range(90).withColumnRenamed("id", "cell_id")           # ten cells without entries
+    axis = spark.createDataFrame([(f"g{g}", g) for g in range(12)] + [("absent", 12)], "gene_id string, gene_idx int")
+    stats = normalize.gene_stats(x, normalize.n_cells_of(cells))
+    want = sp.pca_sparse(x, axis, cells, stats, 4)
+    rows = features.cell_entries(x, axis).repartition(40)
+    got = sp.pca_sparse_entries(rows, 13, cells, 4)
+    assert np.allclose(got.components, want.components, atol=1e-9) and np.allclose(got.explained_ratio, want.explained_ratio, atol=1e-12)
+    assert np.allclose(got.mean, want.mean, atol=1e-12)
+    score = lambda res: np.array([r.vec for r in res.latent.orderBy("cell_id").collect()])
+    assert score(got).shape == (90, 4) and np.allclose(score(got), score(want), atol=1e-9)
