@@ -18,13 +18,15 @@ if it can link with smaller sets there, in the band below.
     out are verified exactly on whole sets; links are joined to components.  A key whose
     members are all in one component is closed: no pair inside can add
     anything.
-3.  Cost-based allocation for open keys: a key of up to ``HOT`` members is
-    worked off (pairs of different components only).  Segments whose key is
-    hotter get 0.  A set that keeps at least (largest difference + 1) other
-    segments still meets every partner there.  Sets that keep fewer are
-    matched among each other: one-deletion neighbourhoods raise a segment to
-    2, hot and empty segments can be raised to 1, and each set takes the
-    probes that meet the fewest entries until its allocation reaches the sum.
+    A set of an open key, or of too few segments for the pigeonhole, stays only if
+    at least ``percent`` % of its hashes are in another such set as well:
+    a set with more hashes of its own is linked with none of them.
+3.  Prefixes: of the sets that stay, each orders its hashes from rare to
+    frequent; those that no other component has come first and join nothing.
+    Two linked sets share a hash among the first quarter of each, early
+    enough that what follows can still reach the threshold.  The smaller set
+    of a pair needs a seventh only.  Hashes of more than ``HOT`` sets are dealt
+    over several tasks.
 Every candidate is verified on whole sets: 100 * |A and B| >= t * |A or B|.
 
 Nothing about all documents reaches the driver but counters and a Bloom
@@ -55,7 +57,7 @@ from countframe.session import cut_lineage, ship_library
 SHINGLE = 5
 PERCENT = 75
 GROWTH = 1.8
-HOT = 64
+HOT = 4096               # sets that meet one copy of the smaller sets of a prefix hash
 BATCH_BYTES = 2 << 20    # text per pre-aggregation batch
 PART_KEYS = 3_000_000    # shingles per part of the index
 MIN_PARTS = 48
@@ -339,32 +341,88 @@ def bloom(values: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, hashes): the sets of ``wanted`` (node, place), made again from
-    (place, text) rows; other texts are passed over by a Bloom filter of places."""
+def over_sets(docs: DataFrame, wanted: DataFrame, size: int, emit, schema: str) -> DataFrame:
+    """What ``emit`` (of nodes, first, hashes; each node once) yields for the
+    sets of ``wanted`` (place), made again from (place, text) rows in batches;
+    other texts are passed over by a Bloom filter of places (a few are not)."""
     spark = docs.sparkSession
     values = wanted.select(F.col("place").alias("v"))
     shared = spark.sparkContext.broadcast(bloom(values, values.count()))
     bits = len(shared.value) * 64
 
-    def emit(batches):
+    def run(batches):
         filled = shared.value
         for batch in batches:
             at = batch.column("at").to_numpy()
             some = np.flatnonzero((filled[at >> 6] >> (at & 63)) & 1)
             if not len(some):
                 continue
-            for sizes, first, h, own in text_sets(batch.column("text").take(pa.array(some)), size):
-                keep = list({x: i for i, x in enumerate(own) if x is not None}.items())
+            for _, first, h, own in text_sets(batch.column("text").take(pa.array(some)), size):
+                keep = {x: i for i, x in enumerate(own) if x is not None}
                 if keep:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([x for x, _ in keep], pa.int64()),
-                        pa.array([h[first[i]:first[i + 1]].tobytes() for _, i in keep], pa.binary())], ["node", "hashes"])
+                    yield from emit(keep, first, h)
+
+    rows = docs.select(F.pmod(F.xxhash64("place"), F.lit(bits)).alias("at"), "text")
+    return rows.mapInArrow(run, schema)
+
+
+def needed_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, hashes): the sets of ``wanted`` (node, place), made again from (place, text) rows."""
+
+    def emit(keep, first, h):
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(keep), pa.int64()),
+            pa.array([h[first[i]:first[i + 1]].tobytes() for i in keep.values()], pa.binary())], ["node", "hashes"])
 
-    rows = docs.select(F.pmod(F.xxhash64("place"), F.lit(bits)).alias("at"), "text").mapInArrow(emit, "node bigint, hashes binary")
+    rows = over_sets(docs, wanted, size, emit, "node bigint, hashes binary")
     return cut_lineage(rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
 
+def alone(docs: DataFrame, wanted: DataFrame, total: int, size: int) -> DataFrame:
+    """(node, own): how many hashes of a node no other node of ``wanted``
+    (place) has, at least: hashes are compared by 32 bits and their part.
+    ``total`` is the number of shingles, which bounds the hashes of a part."""
+    parts = max(MIN_PARTS, -(-total // PART_KEYS))
+
+    def emit(keep, first, h):
+        names = np.array(list(keep), np.int64)
+        docs = np.array(list(keep.values()), np.int64)
+        length = first[docs + 1] - first[docs]
+        row = np.repeat(np.arange(len(docs)), length)
+        at = np.repeat(first[docs] - np.cumsum(length) + length, length) + np.arange(len(row))
+        key = short_key(ta.mix64(h[at] ^ _A), parts)
+        part = key >> 32
+        order = np.argsort(part << 24 | row, kind="stable")                 # a batch has less than 2^24 texts
+        part, row, raw = part[order], row[order], key[order].astype(np.uint32)
+        start = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (row[1:] != row[:-1])]))
+        ends = np.append(start, len(raw)).astype(np.int32) * np.int32(4)
+        packed = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(part[start], pa.int32()), pa.array(names[row[start]]), packed], ["part", "node", "keys"])
+
+    def count(batches):
+        keys, nodes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            packed = batch.column("keys")
+            _, off, raw = packed.buffers()
+            off = np.frombuffer(off, np.int32)[packed.offset:packed.offset + len(packed) + 1] // 4
+            if len(off) > 1 and off[-1] > off[0]:
+                keys.append(np.frombuffer(raw, np.uint32, len(raw) // 4)[off[0]:off[-1]].copy())
+                nodes.append(np.repeat(batch.column("node").to_numpy(), np.diff(off)))
+        k, n = np.concatenate(keys), np.concatenate(nodes)
+        del keys, nodes
+        if not len(k):
+            return
+        order = np.argsort(k)
+        k, n = k[order], n[order]
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        low, high = np.minimum.reduceat(n, start), np.maximum.reduceat(n, start)
+        names, own = np.unique(low[low == high], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own.astype(np.int64))], ["node", "own"])
+
+    rows = over_sets(docs, wanted, size, emit, "part int, node bigint, keys binary").repartitionById(parts, F.col("part"))
+    return rows.mapInArrow(count, "node bigint, own bigint").groupBy("node").agg(F.sum("own").alias("own"))
+
+
 def close(percent: int) -> str:
     """SQL: can sets x and y (columns nx, x0, .., ny, y0, ..) link, by size and parity?"""
     bits = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(len(SIGNATURE)))
@@ -445,68 +503,50 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, si
     return cut_lineage(together.mapInArrow(match, "a bigint, b bigint"))
 
 
-# 3. one-deletion neighbourhoods ---------------------------------------------------
-_ENTRY = "key bigint, node bigint, band int, seg int, need int"
-
-
-def neighbourhoods(bands: Bands, parts: int):
-    """(node, hashes, hot keys) -> index entries (seg -1) and possible probes
-    of the sets whose segments without a hot key do not reach the guarantee;
-    ``need`` probes have to be chosen per (node, band).  A probe raises what
-    its segment is worth by 1: a segment that is not hot (worth 1, worked off
-    before) also meets one-deletion neighbours, a hot or empty one its equals.
-    Keys are tagged: 1 whole subsets (asked for by wholes and one-deletions),
-    2 one-deletions (asked for by wholes)."""
-
-    def entries(node, h, hot):
-        n = len(h)
-        for _, band, differ in bands.places(np.array([n])):
-            if not len(band):
-                continue
-            m = int(bands.segments[band[0]])
-            order, start, _, seg, total = segment_subsets(h, np.zeros(n, np.int64), np.full(n, m))
-            whole = key_of(band, seg, total)
-            is_hot = np.isin(short_key(whole, parts), hot)
-            need = int(differ[0]) + 1 - int((~is_hot).sum())
-            if need <= 0:
-                continue
-            owner = np.repeat(np.arange(len(seg)), np.diff(np.append(start, n)))
-            less = key_of(band, seg[owner], total[owner] - ta.mix64(h[order] ^ _B))
-            gap = np.setdiff1d(np.arange(m), seg)               # empty segments
-            every = np.concatenate([whole, key_of(band, gap, np.zeros(len(gap), np.uint64))])
-            place = np.concatenate([seg, gap])
-            once = np.concatenate([is_hot, np.ones(len(gap), bool)])
-            two = ~is_hot[owner]
-            for key, at in ((_tag(every, 1), None), (_tag(less, 2), None), (_tag(every[once], 1), place[once]),
-                            (_tag(whole[~is_hot], 2), seg[~is_hot]), (_tag(less[two], 1), seg[owner][two])):
-                yield key, np.full(len(key), -1) if at is None else at, node, int(band[0]), need
-
-    def expand(batches):
-        for batch in batches:
-            got, rows = [], 0
-            for node, raw, hot in some_rows(*(batch.column(c) for c in ("node", "hashes", "hot"))):
-                for e in entries(node, np.frombuffer(raw, np.uint64), np.array(hot or [], np.int64)):
-                    got.append(e)
-                    rows += len(e[0])
-                if rows > 1 << 16:
-                    yield _entry_batch(got)
-                    got, rows = [], 0
-            if got:
-                yield _entry_batch(got)
-
-    return expand
-
-
-def _entry_batch(got):
-    size = [len(e[0]) for e in got]
-    spread = lambda i, t: pa.array(np.repeat(np.array([e[i] for e in got], np.int64), size).astype(t))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([e[0] for e in got]).view(np.int64)), spread(2, np.int64), spread(3, np.int32),
-         pa.array(np.concatenate([e[1] for e in got]).astype(np.int32)), spread(4, np.int32)], ["key", "node", "band", "seg", "need"])
-
-
-def _tag(keys: np.ndarray, kind: int) -> np.ndarray:
-    return ta.mix64(keys ^ np.uint64(kind * 0x5851F42D4C957F2D % (1 << 64)))
+# 3. prefixes ----------------------------------------------------------------------
+def exploded(batches):
+    """(node, comp, hashes) -> (h, node, comp)."""
+    for batch in batches:
+        got, rows = [], 0
+        for node, comp, raw in some_rows(*(batch.column(c) for c in ("node", "comp", "hashes"))):
+            got.append((np.frombuffer(raw, np.int64), node, comp))
+            rows += len(raw) // 8
+            if rows > 1 << 16:
+                yield _hash_batch(got)
+                got, rows = [], 0
+        if got:
+            yield _hash_batch(got)
+
+
+def _hash_batch(got):
+    size = [len(h) for h, _, _ in got]
+    spread = lambda i: pa.array(np.repeat(np.array([g[i] for g in got], np.int64), size))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[0] for g in got])), spread(1), spread(2)], ["h", "node", "comp"])
+
+
+def prefix_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets (node, n, comp, hashes) of different
+    components that the order of their hashes does not rule out.  A hash that
+    comes first among the common ones leaves both sets what follows it."""
+    tokens = sets.select("node", "comp", "hashes").mapInArrow(exploded, "h bigint, node bigint, comp bigint")
+    often = (tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+             .where("low <> high").select("h", "df"))
+    ordered = (tokens.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+               .join(sets.select("node", "n", "comp"), "node").withColumn("own", F.col("n") - F.size("common"))
+               .where(f"(n - own) * 100 >= {percent} * n"))
+    # after the hash at rank i of n, n - i hashes are left, itself included
+    length = F.expr(f"cast(n - own - ceil({percent} * n / 100) + 1 as int)")
+    prefix = cut_lineage(ordered.select("node", "n", "comp", "own", F.posexplode(F.slice("common", F.lit(1), length)).alias("i", "e"))
+                         .select(F.col("e.h").alias("h"), "node", "n", "comp", (F.col("n") - F.col("own") - F.col("i")).alias("left")))
+    met = prefix.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("copies"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    dealt = prefix.join(met.where("low <> high").select("h", "copies"), "h")
+    larger = dealt.select("h", F.pmod(F.hash("node"), "copies").alias("salt"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("left").alias("lx"))
+    smaller = (dealt.where(f"left * {100 + percent} >= {2 * percent} * n")
+               .select("h", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"), F.col("left").alias("ly")))
+    can = (f"cx <> cy AND (ny < nx OR ny = nx AND y < x) AND ny * 100 >= {percent} * nx "
+           f"AND least(lx, ly) * {100 + percent} >= {percent} * (nx + ny)")
+    found = larger.join(smaller, (larger["h"] == smaller["h"]) & (larger["salt"] == smaller["salt"]) & F.expr(can))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 # the join -------------------------------------------------------------------------
@@ -541,46 +581,29 @@ def cluster(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent
         got = frame.join(comp.select(F.col("node").alias(column), F.col("comp").alias("__cf_c")), column, "left")
         return got.withColumn(out, F.coalesce("__cf_c", column)).drop("__cf_c")
 
-    # members of keys that span components; the second star joins them to the
-    # member of most such keys
+    # members of keys that span components, and sets with too few segments:
+    # those that have enough hashes in common with the others of them
     open_pairs = named(named(tested[0], "a", "ca"), "b", "cb").where("ca <> cb").select(F.col("a").alias("centre"), F.col("b").alias("node"))
     keys = members.where("key IS NOT NULL").join(open_pairs, ["centre", "node"], "left_semi").select("key").distinct()
-    opened = cut_lineage(members.select("key", "node").join(keys, "key", "left_semi").distinct())
+    opened = cut_lineage(members.select("key", "node").join(keys, "key", "left_semi"))
+    few = members.where("key IS NULL").select("node")
+    apart = cut_lineage(opened.select("node").unionByName(few).distinct().join(nodes.select("node", "n", "place"), "node"))
+    apart = cut_lineage(apart.join(alone(texts, apart, total, size), "node", "left")
+                        .where(f"(n - coalesce(own, 0)) * 100 >= {percent} * n").select("node", "n", "place"))
+
+    # the second star joins them to the member of most such keys
+    opened = cut_lineage(opened.join(apart, "node", "left_semi").distinct())
     weight = opened.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    centre = opened.join(weight, "node").groupBy("key").agg(F.max("w").alias("w"), F.max_by("node", F.struct("w", "node")).alias("a"))
-    second = named(named(opened.join(centre.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
+    centre = opened.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("a"))
+    second = named(named(opened.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(),
                          "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     tested.append(cut_lineage(second.join(tested[0], ["a", "b"], "left_anti")))
     links.append(check(tested[1]))
     comp = connect(reduce(DataFrame.unionByName, links))
 
-    # keys still open: pairs of different components, or deletion neighbourhoods
-    spread = named(opened, "node", "comp")
-    still = spread.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    spread = cut_lineage(spread.join(still.select("key", "members"), "key"))
-    near_by = F.expr(close(percent))
-    cool = spread.where(F.col("members") <= hot).select("key", "node", "comp")
-    left, right = (signed(cool.withColumnRenamed("comp", f"c{x}"), nodes, x) for x in ("x", "y"))
-    crossed = left.join(right, (left["key"] == right["key"]) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near_by)
-    crossed = crossed.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    warm = spread.where(F.col("members") > hot).groupBy("node").agg(F.collect_list("key").alias("hot"))
-    few = members.where("key IS NULL").select("node").distinct()
-    warm = cut_lineage(warm.join(few, "node", "full_outer"))
-    parts = max(MIN_PARTS, -(-total // PART_KEYS))
-    sets = needed_sets(texts, cut_lineage(warm.select("node").join(nodes.select("node", "place"), "node")), size)
-    entries = cut_lineage(warm.join(sets, "node").select("node", "hashes", "hot").mapInArrow(neighbourhoods(bands, parts), _ENTRY))
-    held, possible_asks = entries.where("seg < 0").select("key", "node"), entries.where("seg >= 0")
-    # allocation by cost: per set and band the probes that meet the fewest entries
-    met = held.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
-    cost = (possible_asks.join(met, "key", "left").groupBy("node", "band", "seg")
-            .agg(F.sum(F.coalesce("met", F.lit(0))).alias("cost"), F.first("need").alias("need")))
-    cheapest = F.row_number().over(Window.partitionBy("node", "band").orderBy("cost", "seg"))
-    chosen = cost.withColumn("nth", cheapest).where("nth <= need").select("node", "band", "seg")
-    asks = possible_asks.join(chosen, ["node", "band", "seg"]).select("key", "node")
-    asks, holds = (signed(named(frame, "node", f"c{x}"), nodes, x) for frame, x in ((asks, "x"), (held, "y")))
-    near = asks.join(holds, (asks["key"] == holds["key"]) & (F.col("cx") != F.col("cy")) & near_by)
-    near = near.select(pair(F.col("x"), F.col("y")).alias("p")).select("p.a", "p.b").distinct()
-    rest = crossed.unionByName(near).distinct()
+    # what is still linked across components shares a hash early
+    sets = named(apart, "node", "comp").join(needed_sets(texts, apart, size), "node")
+    rest = prefix_pairs(cut_lineage(sets.select("node", "n", "comp", "hashes")), percent, hot)
     for done in tested:
         rest = rest.join(done.select(pair(F.col("a"), F.col("b")).alias("p")).select("p.a", "p.b"), ["a", "b"], "left_anti")
     links.append(check(cut_lineage(rest)))

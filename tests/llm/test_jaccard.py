@@ -72,6 +72,42 @@ def test_one_large_family_with_hot_keys(spark):
     assert result(jaccard.cluster(docs_frame(spark, rows), hot=4)) == brute(rows)
 
 
+def test_pairs_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    """Members that are about half alike, each with words of its own: no pigeonhole
+    tells them apart, but what each has alone does."""
+    rng = random.Random(11)
+    passage, count = [f"v{rng.randrange(10 ** 6)}" for _ in range(800)], 120
+    rows = [(i, " ".join(passage + [f"o{i}x{rng.randrange(10 ** 6)}" for _ in range(400)])) for i in range(count)]
+    rows.append((count, " ".join(passage[:-20] + ["end"])))
+    rows.append((count + 1, " ".join(passage[30:])))
+    verified, whole = [], jaccard.verify
+
+    def verify(pairs, *rest):
+        verified.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verify", verify)
+    assert result(jaccard.cluster(docs_frame(spark, rows))) == brute(rows)
+    assert sum(verified[1:]) < count, verified      # after the first stars
+
+
+def test_prefixes_keep_every_link(spark):
+    """All pairs of sets in components of their own, hashes dealt over copies."""
+    rng = random.Random(13)
+    sets, common = [], rng.sample(range(10 ** 9), 200)
+    for i in range(70):
+        n = rng.randrange(3, 120)
+        at = rng.randrange(0, 200 - n)
+        sets.append(sorted(set(common[at:at + n]) | {rng.randrange(10 ** 9) for _ in range(rng.randrange(0, n // 4 + 1))}))
+    frame = spark.createDataFrame([(i, len(h), i // 2, np.array(h, np.int64).tobytes()) for i, h in enumerate(sets)],
+                                  "node bigint, n bigint, comp bigint, hashes binary")
+    linked = {(i, j) for j in range(70) for i in range(j) if i // 2 != j // 2
+              and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    for hot in (4096, 2):
+        got = {(r.a, r.b) for r in jaccard.prefix_pairs(frame, 75, hot).collect()}
+        assert linked and linked <= got and len(got) < 70 * 69 // 4
+
+
 def test_edge_cases(spark):
     rows = [r[:2] for r in hostile_rows()]
     assert result(jaccard.cluster(docs_frame(spark, rows))) == brute(rows)
