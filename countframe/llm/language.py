@@ -31,6 +31,7 @@ from countframe.session import ship_library
 BITS = 16
 ORDERS = (1, 2, 3)
 MAX_DOCS = 20_000        # labelled texts learned from, per language
+BLOCK_BYTES = 1 << 17    # of text whose n-grams are held at once; a longer text is held alone
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -54,27 +55,27 @@ def grams(block: ta.Block, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np
     at = np.flatnonzero(keep)
     letter = letter[at]
     seq = np.where(letter, codes[at], np.uint32(32))
-    row = np.repeat(np.arange(block.n), np.diff(np.searchsorted(at, start)))
-    rows, buckets = [], []
-    for n in ORDERS:
-        size = len(seq) - n + 1
-        if size <= 0:
-            continue
+    row = np.repeat(np.arange(block.n, dtype=np.int32), np.diff(np.searchsorted(at, start)))
+    sizes, buckets = np.zeros((len(ORDERS), block.n), np.int64), []
+    for k, n in enumerate(ORDERS):
+        size = max(0, len(seq) - n + 1)
         acc = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-        for k in range(n):
-            acc = (acc ^ seq[k:k + size]) * np.uint32(0x01000193)
+        for j in range(n):
+            acc = (acc ^ seq[j:j + size]) * np.uint32(0x01000193)
             acc ^= acc >> np.uint32(15)
         acc *= np.uint32(0x85EBCA6B)
         some = letter[:size].copy()             # at least one letter, none of it in another text
-        for k in range(1, n):
-            some |= letter[k:k + size]
-        some &= row[:size] == row[n - 1:]
-        rows.append(row[:size][some])
-        buckets.append((acc >> np.uint32(32 - bits))[some])
-    row, bucket = np.concatenate(rows), np.concatenate(buckets).astype(np.int32)
-    order = np.argsort(row, kind="stable")
-    row, bucket = row[order], bucket[order]
-    first = np.searchsorted(row, np.arange(block.n + 1))
+        for j in range(1, n):
+            some |= letter[j:j + size]
+        some &= row[:size] == row[n - 1:n - 1 + size]
+        sizes[k] = np.bincount(row[:size][some], minlength=block.n)
+        buckets.append((acc >> np.uint32(32 - bits))[some].astype(np.int32))
+    first = np.concatenate([[0], np.cumsum(sizes.sum(axis=0))])
+    bucket = np.empty(first[-1], np.int32)
+    begin = first[:-1].copy()                   # of each row, where its n-grams of this order go
+    for own, found in zip(sizes, buckets):
+        bucket[np.arange(len(found)) + np.repeat(begin - (np.cumsum(own) - own), own)] = found
+        begin += own
     return first, bucket, np.diff(first) > 0
 
 
@@ -89,7 +90,7 @@ class NaiveBayes:
 
     def predict(self, column) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for block in ta.blocks(column):
+        for block in ta.blocks(column, BLOCK_BYTES):
             first, bucket, some = grams(block, int(np.log2(self.log_p.shape[1])))
             best, score = np.full(block.n, -1), np.zeros(block.n)
             if self.languages and some.any():
@@ -122,7 +123,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str =
             sums: dict[str, np.ndarray] = {}
             for batch in batches:
                 names = batch.column(0).to_pylist()
-                for block in ta.blocks(batch.column(1)):
+                for block in ta.blocks(batch.column(1), BLOCK_BYTES):
                     first, bucket, _ = grams(block, bits)
                     own = np.array(names[block.first:block.first + block.n], object)
                     for name in set(own):

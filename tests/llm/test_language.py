@@ -1,6 +1,8 @@
 import math
+import tracemalloc
 import zlib
 
+import numpy as np
 import pyarrow as pa
 
 import __spark_entry__ as E
@@ -41,6 +43,30 @@ def test_grams_equal_brute_force():
     assert got == [(brute_grams(t), any(c.isalpha() for c in t or "")) for t in texts]
 
 
+def peak_mb(model, texts):
+    model.predict(pa.array(texts[:1]))         # imports and tables
+    tracemalloc.start()
+    model.predict(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_scoring_holds_the_ngrams_of_a_small_block():
+    model = language.NaiveBayes(["a", "b"], np.ones(2), np.ones((2, 1 << language.BITS)))
+    assert peak_mb(model, ["the cat and the dog, " * 100] * 1000) < 25          # 2.1 MB in a batch
+    assert peak_mb(model, ["the cat and the dog, " * 50_000]) < 110             # one text of 1.05 MB
+
+
+def test_scores_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = language.NaiveBayes(["a", "b", "c"], np.ones(3), rng.integers(0, 50, (3, 1 << language.BITS)).astype(float))
+    texts = ["".join(rng.choice(list("abcdé ñ.,1"), int(n))) for n in rng.integers(0, 90, 300)] + [None, "", "a"]
+    whole = model.predict(pa.array(texts))
+    monkeypatch.setattr(language, "BLOCK_BYTES", 50)
+    assert model.predict(pa.array(texts)) == whole
+
+
 def test_naive_bayes_equals_brute_force(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "der hund und die katze", "de"), (4, "the end", "en")]
     model = language.train(docs_frame(spark, rows))
