@@ -2,7 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from countframe import session
+from countframe.operators import knnindex as ki
+from countframe.operators import neighbors as nb
 from countframe.operators import project
 from countframe.plans import q_mapping as qm
 
@@ -36,3 +40,49 @@ def test_the_components_of_the_knn_mapping_are_fewer_than_its_genes(spark, shop,
     assert made[0].pca.explained_ratio.sum() < 1 - 1e-6                 # what is left out moves distances
     assert m.axis.count() == 50                                        # the other models' list is as before
     assert out.count() == m.qry.obs.count()
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_a_written_frame_leaves_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    held = spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 997).alias("a")).agg(F.sum("id").alias("s"))
+    kept = session.cut_lineage(held)
+    assert kept.count() == 997 == held.count()                         # the plan itself can run again
+    spark.conf.set(session.CLEANUP, "false")
+    try:
+        session.cut_lineage(held)
+        assert spark.conf.get(session.CLEANUP) == "false"               # the session's own setting stays
+    finally:
+        spark.conf.unset(session.CLEANUP)
+    names = {n.split("_")[1] for n in _shuffle_files(spark) - before}
+    again = session.cut_lineage(held)
+    assert again.count() == 997
+    made = {n.split("_")[1] for n in _shuffle_files(spark) - before} - names
+    assert len(made) <= 1                                              # of count() alone, whose aggregate is not written
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+def test_far_blocks_pass_by_queries_that_stay(spark, monkeypatch, exclude_self):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(600, 5)), 1)                          # equal distances, equal rows
+    x[100:140] = x[3]
+    ids = np.arange(600) % 550                                         # ids may repeat
+    t = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "cell_id long, vec array<double>")
+    met, real = [], ki._meet
+    monkeypatch.setattr(ki, "_meet", lambda index, q, *a: met.append(q.count()) or real(index, q, *a))
+    monkeypatch.setattr(ki, "GROUP_ROWS", 40)
+    want = nb.knn_join(t, t, 6, exclude_self=exclude_self).dropDuplicates(["query_id", "rank"])
+    want = {(r.query_id, r.rank): r.dist for r in want.collect() if r.query_id >= 50}       # of repeated ids, one of two rows
+    for sent, at_once in ((1 << 20, 16), (2000, 2)):
+        met.clear()
+        monkeypatch.setattr(ki, "SENT_BYTES", sent)
+        monkeypatch.setattr(ki, "ROUND", at_once)
+        index = ki.PivotIndex.build(t, 6, block_rows=16)
+        got = index.search(t, 6, exclude_self=exclude_self)
+        assert {(r.query_id, r.rank): r.dist for r in got.collect() if r.query_id >= 50} == want
+        assert sum(met) == 600 < index.meetings.met                    # a query is copied to its home alone
+        assert index.meetings.row_pairs <= index.meetings.all_row_pairs
