@@ -52,22 +52,33 @@ def _mlp_path_grad(layers, X: np.ndarray, target: np.ndarray, steps: int) -> np.
     way from 0 to X, for every row.  The first layer is linear in X and in the
     gradient behind it: its two products are made once, not once a step."""
     (W0, b0), rest = layers[0], layers[1:]
-    first, behind = X @ W0, 0.0
+    first = X @ W0
+    behind, spare = np.zeros_like(first), [np.empty((len(X), len(b))) for _, b in layers]
     for s in range(steps):
-        z = (s + 0.5) / steps * first + b0
-        acts = [z if not rest else 1.0 / (1.0 + np.exp(-z))]
+        z = np.multiply(first, (s + 0.5) / steps, out=spare[0])
+        z += b0
+        acts = [_sigmoid(z) if rest else z]
         for i, (W, b) in enumerate(rest):
-            z = acts[-1] @ W + b
-            acts.append(z if i == len(rest) - 1 else 1.0 / (1.0 + np.exp(-z)))
+            z = np.matmul(acts[-1], W, out=spare[i + 1])
+            z += b
+            acts.append(z if i == len(rest) - 1 else _sigmoid(z))
         g = np.zeros_like(acts[-1])
         g[np.arange(len(X)), target] = 1.0
         for i in range(len(rest) - 1, -1, -1):
-            a = acts[i]
-            g = (g @ rest[i][0].T) * a * (1.0 - a)
-        behind = behind + g
+            g = g @ rest[i][0].T
+            g *= acts[i]
+            g *= np.subtract(1.0, acts[i], out=acts[i])
+        behind += g
     return (behind / steps) @ W0.T
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.exp(np.negative(z, out=z), out=z)
+    z += 1.0
+    return np.divide(1.0, z, out=z)
+
+
 def integrated_gradients(model, df: DataFrame, target: str = "target", vec: str = "vec",
                          key: str = "cell_id", steps: int = STEPS) -> DataFrame:
     """X1. (cell_id, target, attr ARRAY<DOUBLE>, gap) where ``gap`` is the
