@@ -64,3 +64,34 @@ def test_scores_are_mllibs_and_other_columns_stay(spark, rows):
     assert [x[:2] for x in a] == [x[:2] for x in b] and np.allclose([x[2] for x in a], [x[2] for x in b], atol=1e-12)
     hard, long = models.predict(fit, df)
     assert hard.columns == ["cell_id", "pred", "confidence"] and long.count() == 3 * len(X)
+
+
+def test_evaluations_leave_no_gradients_behind(spark, rows):
+    from tests.test_large_mapping import _shuffle_files
+
+    net = models.Network(rows[2], SIZES, "label_idx")
+    before = _shuffle_files(spark)
+    w = net.initial_weights(1)
+    for i in range(3):
+        net.loss(w + i)
+    assert not _shuffle_files(spark) - before
+
+
+def test_a_check_scores_rows_once_and_attributes_to_the_likeliest_class(spark, rows, monkeypatch):
+    from countframe.operators import explain
+    from countframe.plans import q_invariants as qi
+    from countframe.plans import q_mapping as qm
+
+    _, _, df = rows
+    fit = models.fit_mlp(df, ["a", "b", "c"], hidden=(9, 6), steps_per_chunk=3, max_chunks=1)
+    seen, real = [], models.scored
+    monkeypatch.setattr(models, "scored", lambda *a: seen.append(1) or real(*a))
+    out = qi._classified(fit, df)
+    assert len(seen) == 1 and out.count() == df.count() and out.where("NOT (sums_to_one AND top_is_pred AND complete)").isEmpty()
+    got = {r.cell_id: r.target for r in qm._attributed(fit, df).collect()}
+    assert len(seen) == 2 and got == {r.cell_id: r.pred_idx for r in real(fit.model, df).collect()}
+    layers = explain.mlp_layers(fit.model)
+    X = rows[0][:5]
+    kept = X.copy()
+    explain._mlp_path_grad(layers, X, np.zeros(5, int), 4)
+    assert (X == kept).all()                                # sums are made in place, not in the rows
