@@ -86,3 +86,22 @@ def test_far_blocks_pass_by_queries_that_stay(spark, monkeypatch, exclude_self):
         assert {(r.query_id, r.rank): r.dist for r in got.collect() if r.query_id >= 50} == want
         assert sum(met) == 600 < index.meetings.met                    # a query is copied to its home alone
         assert index.meetings.row_pairs <= index.meetings.all_row_pairs
+
+
+def test_counts_and_moments_that_are_there_are_not_made_again(spark, tmp_path, monkeypatch):
+    from countframe.operators import embed
+    from countframe.plans import q_embedding as qe
+    from countframe.sources import fixtures
+
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 9 + i % 5)), "ab"[i % 2], f"s{i % 3}") for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    f4 = fixtures.materialize(fixtures.document_tokens(spark, str(tmp_path)))
+    want = {r.cell_id: r.entries for r in qe.f4_entries(spark, str(tmp_path), 10)[0].collect()}
+    monkeypatch.setattr(fixtures, "document_tokens", None)
+    rows, axis, scaling, _ = qe.f4_entries(spark, str(tmp_path), 10, f4)
+    assert {r.cell_id: r.entries for r in rows.collect()} == want
+    vecs = qe.f4_dense(rows, axis, scaling)
+    plain, moments = embed.pca(vecs, 3), embed.mean_covariance(vecs)
+    monkeypatch.setattr(embed, "mean_covariance", None)
+    for got in (embed.pca(vecs, 3, moments=moments), embed.linear_autoencoder(vecs, 3, moments=moments)[0]):
+        assert np.allclose(got.components, plain.components) and np.allclose(got.explained_ratio, plain.explained_ratio)
