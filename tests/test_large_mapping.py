@@ -105,3 +105,29 @@ def test_counts_and_moments_that_are_there_are_not_made_again(spark, tmp_path, m
     monkeypatch.setattr(embed, "mean_covariance", None)
     for got in (embed.pca(vecs, 3, moments=moments), embed.linear_autoencoder(vecs, 3, moments=moments)[0]):
         assert np.allclose(got.components, plain.components) and np.allclose(got.explained_ratio, plain.explained_ratio)
+
+
+def test_rows_that_were_placed_or_projected_are_not_kept_twice(spark, shop, monkeypatch):
+    import glob
+
+    def folders():
+        return set(glob.glob(session.scratch_dir(spark).removeprefix("file:") + "/*"))
+
+    before = folders()
+    gone = session.cut_lineage(spark.range(3))
+    assert len(folders() - before) == 1
+    session.discard(gone)
+    session.discard(gone)                                              # once is enough
+    session.discard(spark.range(3))                                    # not written: nothing to delete
+    assert folders() == before
+    rng = np.random.default_rng(1)
+    x = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "cell_id long, vec array<double>")
+    index = ki.PivotIndex.build(x, 4, block_rows=20)
+    assert index.rows.count() == 300 and len(folders() - before) == 2  # repeated vectors (none), rows by block
+    assert index.search(x, 4).count() == 1200
+    m = qm.f2_mapping(spark, shop)
+    axis, before = m.axis, folders()
+    space = project.fit_nb_space(m.ref, axis, "batch", 5)
+    assert space.pca.latent.count() == m.ref.obs.count()
+    wide = [p for p in folders() - before if "vec" in spark.read.parquet(p).columns]
+    assert len(wide) == 1                                              # the latent, not the residuals
